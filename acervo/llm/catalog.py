@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from acervo.llm.encoding import find_garbled
 from acervo.llm.lexicon import trusted_words
+from acervo.llm.overlap import overlap_counts, split_overlaps
 from acervo.llm.truncation import endings, storage_limits, truncation_rates
 from acervo.sources import read_table
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlaps(read_table(spark, sf_dir, "dataset", ["id", "original_text", "split"]))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _overlaps(spark, sf_dir)
+    return pairs.select(F.least("id_t", "id_e").alias("id_a"), F.greatest("id_t", "id_e").alias("id_b")).distinct()
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_counts(_overlaps(spark, sf_dir), read_table(spark, sf_dir, "dataset", ["id", "source"]))
+
+
 def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_table(spark, sf_dir, "dataset", ["id", "title", "original_text"])
     trusted = trusted_words(df, "original_text")
@@ -37,6 +52,8 @@ def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p6_found": p6_found,
+    "p6_counts": p6_counts,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
     "p10_found": p10_found,
