@@ -1,0 +1,30 @@
+"""A fixed-size bitmap of hashes: a one-hash Bloom filter whose size does not grow with the data.
+
+It only spares rows a shuffle: a row it lets through by chance is dropped by the exact join that follows, and no row that
+the join would keep is ever held back. When it fills up, it lets more rows through and nothing else changes.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BITS = 25
+
+
+def bitmap_of(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The bitmap (2**bits bits, 4 MB by default, as 64-bit words) of a LONG column, gathered as its non-zero words."""
+    col = F.col(hashes.columns[0])
+    at = col.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    words = hashes.where(col.isNotNull()).select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    got = words.toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes the bitmap may hold."""
+    at = hashes.astype(np.int64, copy=False) & (len(bitmap) * 64 - 1)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from acervo.llm.encoding import find_garbled
 from acervo.llm.lexicon import trusted_words
 from acervo.llm.overlap import overlap_counts, split_overlaps
+from acervo.llm.scans import scan_noise
 from acervo.llm.truncation import endings, storage_limits, truncation_rates
 from acervo.sources import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_noise(read_table(spark, sf_dir, "dataset", ["id", "original_text"]), "id", "original_text", rebuild=False)
+    return found.select("id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise(read_table(spark, sf_dir, "dataset", ["id", "original_text"]), "id", "original_text").distinct()
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlaps(read_table(spark, sf_dir, "dataset", ["id", "original_text", "split"]))
 
@@ -52,6 +62,8 @@ def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
     "p7_found": p7_found,

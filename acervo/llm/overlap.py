@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acervo.llm.bitmap import bitmap_of, may_hold
 from acervo.llm.encoding import decode_spans, decode_words
 from acervo.llm.lexicon import trusted_words
 from acervo.sources import cut
@@ -120,24 +121,43 @@ def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str,
     return texts.mapInPandas(rows, "key string, split string, content long, size int, rare array<long>, plain_size int, plain array<long>")
 
 
+def _postings(known: DataFrame, universe: str, size: str, bitmap: np.ndarray | None = None) -> DataFrame:
+    """``shingle, content, size, pos`` of one prefix column, without the shingles the bitmap rules out."""
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[b["prefix"].map(len) > 0]
+            if not len(b):
+                continue
+            n = b["prefix"].map(len).to_numpy()
+            flat = np.concatenate(b["prefix"].to_numpy())
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            keep = may_hold(bitmap, flat) if bitmap is not None else np.ones(len(flat), bool)
+            yield pd.DataFrame({"shingle": flat[keep], "content": np.repeat(b["content"].to_numpy(), n)[keep], "size": np.repeat(b["size"].to_numpy(), n)[keep], "pos": pos[keep].astype(np.int32)})
+
+    return known.select("content", F.col(size).alias("size"), F.col(universe).alias("prefix")).mapInPandas(post, "shingle long, content long, size int, pos int").distinct()
+
+
 def _candidates(known: DataFrame, prefix: str, size: str, threshold: float, training: str) -> DataFrame:
-    """``content_t, content_e``: pairs of contents that pass the prefix, length and position filters for ``threshold``."""
-    posted = known.select((F.col("split") == training).alias("is_t"), "content", F.col(size).alias("size"), F.posexplode(prefix).alias("pos", "shingle")).distinct()
-    t = posted.where("is_t").select("shingle", F.col("content").alias("content_t"), F.col("size").alias("size_t"), F.col("pos").alias("pos_t"))
-    e = posted.where("not is_t").select("shingle", F.col("content").alias("content_e"), F.col("size").alias("size_e"), F.col("pos").alias("pos_e"))
+    """``content_t, content_e``: pairs of contents that pass the prefix, length and position filters for ``threshold``.
+
+    Evaluation prefixes are the index; a training shingle that no evaluation prefix holds is dropped before the shuffle.
+    """
+    index = known.where(F.col("split") != training)
+    e = _postings(index, prefix, size).withColumnsRenamed({"content": "content_e", "size": "size_e", "pos": "pos_e"})
+    held = bitmap_of(index.select(F.explode(prefix).alias("shingle")))
+    t = _postings(known.where(F.col("split") == training), prefix, size, held).withColumnsRenamed({"content": "content_t", "size": "size_t", "pos": "pos_t"})
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_t") + F.col("size_e")) - 1e-9)
     fits = (F.col("size_t") >= threshold * F.col("size_e")) & (F.col("size_e") >= threshold * F.col("size_t"))
-    reach = 1 + F.least(F.col("size_t") - F.col("pos_t") - 1, F.col("size_e") - F.col("pos_e") - 1)
-    # before the first common shingle only shingles of the order's head can lie, so the bound holds for the first match;
-    # later matches are counted with those before them, up to the prefix position
-    reach = reach + F.least("pos_t", "pos_e")
+    # shingles before both positions may be common too, those after them at most as many as the shorter rest
+    reach = 1 + F.least(F.col("size_t") - F.col("pos_t") - 1, F.col("size_e") - F.col("pos_e") - 1) + F.least("pos_t", "pos_e")
     return t.join(e, "shingle").where(fits & (reach >= least) & (F.col("content_t") != F.col("content_e"))).select("content_t", "content_e").distinct()
 
 
 def split_overlaps(
-    df: DataFrame, key: str = "id", text: str = "original_text", split: str = "split", training: str = "training", same: float = 0.4, near: int = 3
+    df: DataFrame, key: str = "id", text: str = "original_text", split: str = "split", training: str = "training", same: float = 0.35, near: int = 3
 ) -> DataFrame:
-    """``id_t, id_e, similarity``: every pair of a training row and a row of another split whose running text is (nearly) the same.
+    """``id_t, id_e, split_e, similarity``: every pair of a training row and a row of another split whose running text is (nearly) the same.
 
     Pairs with one skeleton have similarity 1; others are verified by the Jaccard coefficient of ``near``-word shingles of
     the whole skeletons, at least ``same``. Rows with NULL split, NULL or wordless text take part in no pair; repeated
@@ -146,25 +166,26 @@ def split_overlaps(
     trusted = trusted_words(df, text)
     columns = df.where(F.col(split).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(split).alias("_s"))
     known = cut(contents(columns, "_k", "_t", "_s", trusted))
-    rare = _candidates(known, "rare", "size", 0.3, training)
-    plain = _candidates(known, "plain", "plain_size", 0.5, training)
-    found = rare.unionByName(plain).distinct()
-    one = known.groupBy("content").agg(F.min("key").alias("key"))
-    pairs = found.join(one.withColumnsRenamed({"content": "content_t", "key": "key_t"}), "content_t").join(one.withColumnsRenamed({"content": "content_e", "key": "key_e"}), "content_e")
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("key_t").alias("_k")).unionByName(pairs.select(F.col("key_e").alias("_k"))).distinct()
+    found = _candidates(known, "rare", "size", 0.3, training).unionByName(_candidates(known, "plain", "plain_size", 0.5, training)).distinct()
+    found = cut(found)
+    wanted = found.select(F.col("content_t").alias("content")).unionByName(found.select(F.col("content_e").alias("content"))).distinct()
+    one = known.select("content", "key").join(wanted, "content", "left_semi").groupBy("content").agg(F.min("key").alias("key"))
+    one = cut(one)
+    held = bitmap_of(one.select(F.xxhash64("key").alias("h")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _Codes(frozenset())
         for b in batches:
+            b = b[may_hold(held, b["h"].to_numpy())]
             out = []
-            for k, t in zip(b["_k"], b["_t"]):
+            for k, t in zip(b["key"], b["_t"]):
                 words = skeleton(t, trusted)
                 out.append((k, shingles(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), near)[0]))
-            yield pd.DataFrame(out, columns=["_k", "all"])
+            yield pd.DataFrame(out, columns=["key", "all"])
 
-    texts = columns.select("_k", "_t").join(wanted, "_k", "left_semi").mapInPandas(sets, "_k string, all array<long>").dropDuplicates(["_k"])
-    both = pairs.join(texts.withColumnsRenamed({"_k": "key_t", "all": "all_t"}), "key_t").join(texts.withColumnsRenamed({"_k": "key_e", "all": "all_e"}), "key_e")
+    texts = columns.where(F.col("_t").isNotNull()).select(F.col("_k").alias("key"), "_t", F.xxhash64("_k").alias("h")).mapInPandas(sets, "key string, all array<long>")
+    texts = one.join(texts.dropDuplicates(["key"]), "key").select("content", "all")
+    both = found.join(texts.withColumnsRenamed({"content": "content_t", "all": "all_t"}), "content_t").join(texts.withColumnsRenamed({"content": "content_e", "all": "all_e"}), "content_e")
     shared = F.size(F.array_intersect("all_t", "all_e"))
     both = both.withColumn("similarity", shared / (F.size("all_t") + F.size("all_e") - shared)).where(F.col("similarity") >= same)
     sides = known.select("key", "split", "content").distinct()
