@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm.encoding import find_garbled
+from acervo.llm.language import label_cases, segments
 from acervo.llm.lexicon import trusted_words
 from acervo.llm.overlap import overlap_counts, split_overlaps
 from acervo.llm.scans import scan_noise
@@ -22,6 +23,14 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_noise(read_table(spark, sf_dir, "dataset", ["id", "original_text"]), "id", "original_text").distinct()
 
 
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(read_table(spark, sf_dir, "dataset", ["id", "original_text", "language"]), "id", "original_text", "language").distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_cases(p2_segments(spark, sf_dir)).select("id", "seg_no", "lang").distinct()
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlaps(read_table(spark, sf_dir, "dataset", ["id", "original_text", "split"]))
 
@@ -64,6 +73,8 @@ def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
     "p7_found": p7_found,

@@ -92,11 +92,11 @@ def _prefix(hashes: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarra
     return hashes[order][: len(hashes) - int(np.ceil(threshold * len(hashes))) + 1]
 
 
-def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str, int], width: int = 5, threshold: float = 0.3, few: int = 10, plain_threshold: float = 0.5) -> DataFrame:
-    """``key, split, content, size, rare, plain_size, plain``: the skeleton's hash and its prefixes, a row per non-empty text.
+def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str, int], width: int = 5, threshold: float = 0.3, few: int = 10) -> DataFrame:
+    """``key, split, content, size, rare, plain``: the skeleton's hash and its shingles, a row per non-empty text.
 
-    rare: prefix of the shingles with a rare word, of which there are ``size``; plain: prefix of all shingles, only for
-    texts with fewer than ``few`` rare ones. Rows with NULL, empty or wordless text give no row.
+    rare: prefix of the shingles with a rare word, of which there are ``size``; plain: all shingles, only for texts with
+    fewer than ``few`` rare ones. Rows with NULL, empty or wordless text give no row.
     """
     common = frozenset(w for word in trusted for w in fold(word).split())
 
@@ -113,12 +113,12 @@ def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str,
                 mine = rank > 0
                 size = int(mine.sum())
                 rare = _prefix(hashes[mine], rank[mine], threshold) if size else hashes[:0]
-                plain = _prefix(hashes, rank, plain_threshold) if size < few else hashes[:0]
-                out.append((k, s, xxhash.xxh3_64_intdigest(coded.tobytes()) >> 1, size, rare, len(hashes), plain))
-            yield pd.DataFrame(out, columns=["key", "split", "content", "size", "rare", "plain_size", "plain"])
+                plain = hashes if size < few else hashes[:0]
+                out.append((k, s, xxhash.xxh3_64_intdigest(coded.tobytes()) >> 1, size, rare, plain))
+            yield pd.DataFrame(out, columns=["key", "split", "content", "size", "rare", "plain"])
 
     texts = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(split).alias("split"))
-    return texts.mapInPandas(rows, "key string, split string, content long, size int, rare array<long>, plain_size int, plain array<long>")
+    return texts.mapInPandas(rows, "key string, split string, content long, size int, rare array<long>, plain array<long>")
 
 
 def _postings(known: DataFrame, universe: str, size: str, bitmap: np.ndarray | None = None) -> DataFrame:
@@ -138,15 +138,33 @@ def _postings(known: DataFrame, universe: str, size: str, bitmap: np.ndarray | N
     return known.select("content", F.col(size).alias("size"), F.col(universe).alias("prefix")).mapInPandas(post, "shingle long, content long, size int, pos int").distinct()
 
 
-def _candidates(known: DataFrame, prefix: str, size: str, threshold: float, training: str) -> DataFrame:
-    """``content_t, content_e``: pairs of contents that pass the prefix, length and position filters for ``threshold``.
+def _rare_candidates(known: DataFrame, threshold: float, training: str) -> DataFrame:
+    """``content_t, content_e``: pairs whose shingles with a rare word may reach ``threshold``.
 
     Evaluation prefixes are the index; a training shingle that no evaluation prefix holds is dropped before the shuffle.
     """
     index = known.where(F.col("split") != training)
-    e = _postings(index, prefix, size).withColumnsRenamed({"content": "content_e", "size": "size_e", "pos": "pos_e"})
-    held = bitmap_of(index.select(F.explode(prefix).alias("shingle")))
-    t = _postings(known.where(F.col("split") == training), prefix, size, held).withColumnsRenamed({"content": "content_t", "size": "size_t", "pos": "pos_t"})
+    held = bitmap_of(index.select(F.explode("rare").alias("shingle")))
+    t = _postings(known.where(F.col("split") == training), "rare", "size", held)
+    return _matches(t, _postings(index, "rare", "size"), threshold)
+
+
+def _plain_candidates(known: DataFrame, threshold: float, training: str) -> DataFrame:
+    """The same over all shingles, for texts with few rare words; their order is by document frequency among such texts."""
+    is_t = F.col("split") == training
+    posts = known.where(F.size("plain") > 0).select(is_t.alias("is_t"), "content", F.explode("plain").alias("shingle")).distinct()
+    frequency = posts.select("content", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("df"))
+    ordered = posts.join(frequency, "shingle").groupBy("is_t", "content").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    size = F.size("all")
+    prefix = F.slice("all", 1, size - F.ceil(F.lit(threshold) * size).cast("int") + 1)
+    posted = ordered.select("is_t", "content", size.alias("size"), F.posexplode(prefix).alias("pos", "x")).select("is_t", "content", "size", "pos", "x.shingle")
+    return _matches(posted.where("is_t"), posted.where("not is_t"), threshold)
+
+
+def _matches(training: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that share a prefix shingle and pass the length and position filters."""
+    t = training.select("shingle", F.col("content").alias("content_t"), F.col("size").alias("size_t"), F.col("pos").alias("pos_t"))
+    e = index.select("shingle", F.col("content").alias("content_e"), F.col("size").alias("size_e"), F.col("pos").alias("pos_e"))
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_t") + F.col("size_e")) - 1e-9)
     fits = (F.col("size_t") >= threshold * F.col("size_e")) & (F.col("size_e") >= threshold * F.col("size_t"))
     # shingles before both positions may be common too, those after them at most as many as the shorter rest
@@ -166,8 +184,7 @@ def split_overlaps(
     trusted = trusted_words(df, text)
     columns = df.where(F.col(split).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(split).alias("_s"))
     known = cut(contents(columns, "_k", "_t", "_s", trusted))
-    found = _candidates(known, "rare", "size", 0.3, training).unionByName(_candidates(known, "plain", "plain_size", 0.5, training)).distinct()
-    found = cut(found)
+    found = cut(_rare_candidates(known, 0.3, training).unionByName(_plain_candidates(known, 0.4, training)).distinct())
     wanted = found.select(F.col("content_t").alias("content")).unionByName(found.select(F.col("content_e").alias("content"))).distinct()
     one = known.select("content", "key").join(wanted, "content", "left_semi").groupBy("content").agg(F.min("key").alias("key"))
     one = cut(one)
