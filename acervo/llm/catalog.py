@@ -10,6 +10,7 @@ from acervo.llm.language import label_cases, segments
 from acervo.llm.lexicon import trusted_words
 from acervo.llm.overlap import overlap_counts, split_overlaps
 from acervo.llm.scans import scan_noise
+from acervo.llm.subjects import SubjectModel, assign, declared_areas, fit, subject_cases
 from acervo.llm.truncation import endings, storage_limits, truncation_rates
 from acervo.sources import read_table
 
@@ -31,6 +32,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_cases(p2_segments(spark, sf_dir)).select("id", "seg_no", "lang").distinct()
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SubjectModel]:
+    materias = read_table(spark, sf_dir, "materias")
+    names = sorted(r["subject"] for r in materias.select("subject").distinct().collect())
+    df = declared_areas(read_table(spark, sf_dir, "dataset", ["id", "original_text", "subject"]), "subject", materias)
+    model = fit(df.where(F.col("declared").isNotNull() & (F.col("original_text") != "")).select(F.col("declared").alias("area"), F.col("original_text").alias("text")), names)
+    return assign(df, "id", "original_text", "declared", model), model
+
+
+def p5_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir)[0].distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_cases(_subjects(spark, sf_dir)[0], "id").select("id", "subject").distinct()
+
+
+def p5_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_subjects(spark, sf_dir)[1].table(), "topic int, subject string, purity double, terms string")
+
+
+def p5_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p5_subjects(spark, sf_dir)
+    return found.groupBy("subject").agg(F.countDistinct("id").alias("records"), F.round(F.sum("share"), 4).alias("text_share"))
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlaps(read_table(spark, sf_dir, "dataset", ["id", "original_text", "split"]))
 
@@ -75,6 +101,10 @@ QUERIES = {
     "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
+    "p5_found": p5_found,
+    "p5_subjects": p5_subjects,
+    "p5_topics": p5_topics,
+    "p5_composition": p5_composition,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
     "p7_found": p7_found,
