@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from acervo.llm.encoding import find_garbled
 from acervo.llm.language import label_cases, segments
 from acervo.llm.lexicon import trusted_words
+from acervo.llm.names import link_names, variant_pairs
 from acervo.llm.overlap import overlap_counts, split_overlaps
 from acervo.llm.scans import scan_noise
 from acervo.llm.subjects import SubjectModel, assign, declared_areas, fit, subject_cases
 from acervo.llm.truncation import endings, storage_limits, truncation_rates
+from acervo.operators.packed import given_names
 from acervo.sources import read_table
 
 
@@ -32,6 +34,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_cases(p2_segments(spark, sf_dir)).select("id", "seg_no", "lang").distinct()
 
 
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_table(spark, sf_dir, "dataset", ["creator", "director", "codirector"])
+    names = df.select(F.explode(F.flatten(F.array(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in df.columns]))).alias("name"))
+    return link_names(names, given_names(names))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(p4_entities(spark, sf_dir))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SubjectModel]:
     materias = read_table(spark, sf_dir, "materias")
     names = sorted(r["subject"] for r in materias.select("subject").distinct().collect())
@@ -101,6 +113,8 @@ QUERIES = {
     "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
+    "p4_found": p4_found,
+    "p4_entities": p4_entities,
     "p5_found": p5_found,
     "p5_subjects": p5_subjects,
     "p5_topics": p5_topics,
