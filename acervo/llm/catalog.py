@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from acervo.llm.encoding import find_garbled
 from acervo.llm.language import label_cases, segments
 from acervo.llm.lexicon import trusted_words
+from acervo.llm.mixing import mix, reached_shares
 from acervo.llm.names import link_names, variant_pairs
 from acervo.llm.overlap import overlap_counts, split_overlaps
+from acervo.llm.packing import fill_rates, pack
 from acervo.llm.scans import scan_noise
 from acervo.llm.subjects import SubjectModel, assign, declared_areas, fit, subject_cases
 from acervo.llm.truncation import endings, storage_limits, truncation_rates
@@ -92,6 +94,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_restored(spark, sf_dir).select("id", "field").distinct()
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r["budget"]: r["capacity_tokens"] for r in read_table(spark, sf_dir, "pack_budgets").collect()}
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), _capacities(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_rates(p8_pack(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reached_shares(p9_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
 def _endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endings(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]), read_table(spark, sf_dir, "dataset", ["title"]))
 
@@ -123,6 +145,10 @@ QUERIES = {
     "p6_counts": p6_counts,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
     "p10_limits": p10_limits,
