@@ -17,15 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.bitmap import bitmap_of, may_hold
+from acervo.llm.hashcounts import counts_of, may_hold
 from acervo.llm.encoding import decode_spans, decode_words
 from acervo.llm.lexicon import trusted_words
 from acervo.sources import cut
 
-BROKEN_WORD = re.compile(r"(?<=\w)[-\xad¬‐‑–][^\S\n]*\n\s*(?=\w)")
+BROKEN_WORD = re.compile(r"[-\xad¬‐‑–](?<=\w.)[^\S\n]*\n\s*(?=\w)")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
+SPACED_SIGN = re.compile(r" [^\W\d_] [^\W\d_] [^\W\d_] ")
 MULTIBYTE_SIGN = re.compile("[ÃÂâ√├┬ГВ]")
-ONE_BYTE_SIGN = re.compile(r"[a-z](?:[^\x00-\x7fáàâãéèêíìîóòôõúùûüñçºª«»“”‘’‐-―\xad¬´\xa0]|[ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇ])")
+ONE_BYTE_SIGN = re.compile(r"(?:[^\x00-\x7fáàâãéèêíìîóòôõúùûüñçºª«»“”‘’‐-―\xad¬´\xa0¿¡ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇ]|[ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇ])(?<=[a-z].)")
 #: Letters and signs that scanners take for one another, folded to one of them.
 FOLD_FROM, FOLD_TO = b"1l!|ueyv65029tf8", b"iiiiicvvbsoooffb"
 _TABLE = bytearray(b" " * 256)
@@ -35,6 +36,8 @@ for _a, _b in zip(FOLD_FROM, FOLD_TO):
     _TABLE[_a] = _b
 FOLD = bytes(_TABLE)
 REPEATED = re.compile(rb"([a-z])\1+")
+RARE, PLAIN, WIDE = 0.12, 0.15, 8
+PLAIN_MARK = np.int64(0x5851F42D4C957F2D)
 
 
 def fold(text: str) -> bytes:
@@ -44,29 +47,31 @@ def fold(text: str) -> bytes:
     return REPEATED.sub(rb"\1", plain)
 
 
-def skeleton(text: str, trusted: dict[str, int]) -> list[bytes]:
-    """The words of the skeleton in order; an empty or blank text has none."""
+class Codes(dict):
+    """Token -> the hashes of its folded words, 8 bytes each; the lowest bit tells that a word is not a common one."""
+
+    def __init__(self, trusted: dict[str, int]):
+        self.common = frozenset(w for word in trusted for w in fold(word).split())
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) > 1_000_000:
+            self.clear()
+        words = fold(token).split()
+        code = b"".join(((xxhash.xxh3_64_intdigest(w) >> 1 & ~1) | (w not in self.common and len(w) > 3)).to_bytes(8, "little") for w in words)
+        self[token] = code
+        return code
+
+
+def skeleton(text: str, trusted: dict[str, int], codes: Codes) -> np.ndarray:
+    """The word hashes of the skeleton in order; an empty or blank text has none."""
     if MULTIBYTE_SIGN.search(text):
         text = decode_spans(text)
     if ONE_BYTE_SIGN.search(text):
         text = decode_words(text, trusted)
     text = BROKEN_WORD.sub("", text)
-    text = SPACED.sub(lambda m: m[0].replace(" ", ""), text)
-    return fold(text).split()
-
-
-class _Codes(dict):
-    """Word -> 63-bit hash whose lowest bit tells that the word is rare (not one of the corpus's common words)."""
-
-    def __init__(self, common: frozenset[bytes]):
-        self.common = common
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        rare = word not in self.common and len(word) > 3
-        code = self[word] = (xxhash.xxh3_64_intdigest(word) >> 1 & ~1) | rare
-        return code
+    if SPACED_SIGN.search(text):
+        text = SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+    return np.frombuffer(b"".join(map(codes.__getitem__, text.split())), np.uint64)
 
 
 def shingles(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,101 +80,94 @@ def shingles(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     width = min(width, len(codes))
     n = len(codes) - width + 1
-    mixed, rare = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    mixed, rare = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
             part = codes[k : k + n]
             mixed = (mixed ^ part) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-            rare += (part & np.uint64(1)).astype(np.int64)
+            rare += part & np.uint64(1)
     hashes, first = np.unique(mixed.view(np.int64), return_index=True)
-    return hashes, rare[first]
-
-
-def _prefix(hashes: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
-    """The first |x| - ceil(t|x|) + 1 shingles of the global order (rarest first, then by hash)."""
-    order = np.lexsort((hashes, -rank))
-    return hashes[order][: len(hashes) - int(np.ceil(threshold * len(hashes))) + 1]
+    return hashes, rare[first].view(np.int64)
 
 
-def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str, int], width: int = 5, threshold: float = 0.3, few: int = 10) -> DataFrame:
-    """``key, split, content, size, rare, plain``: the skeleton's hash and its shingles, a row per non-empty text.
+def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str, int], width: int = 5, few: int = 10) -> DataFrame:
+    """``key, split, content, rare, all``: the skeleton's hash and its shingles, a row per non-empty text.
 
-    rare: prefix of the shingles with a rare word, of which there are ``size``; plain: all shingles, only for texts with
-    fewer than ``few`` rare ones. Rows with NULL, empty or wordless text give no row.
+    all: the shingles with a rare word (``rare`` of them, first), then, for texts with fewer than ``few`` of these, every
+    shingle of WIDE words under a mark of its own (five common words are no rare shingle). Rows with NULL, empty or wordless text give no row.
     """
-    common = frozenset(w for word in trusted for w in fold(word).split())
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = _Codes(common)
+        codes = Codes(trusted)
         for b in batches:
             out = []
             for k, t, s in zip(b["key"], b["text"], b["split"]):
-                words = skeleton(t, trusted)
-                if not words:
+                coded = skeleton(t, trusted, codes)
+                if not len(coded):
                     continue
-                coded = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
                 hashes, rank = shingles(coded, width)
-                mine = rank > 0
-                size = int(mine.sum())
-                rare = _prefix(hashes[mine], rank[mine], threshold) if size else hashes[:0]
-                plain = hashes if size < few else hashes[:0]
-                out.append((k, s, xxhash.xxh3_64_intdigest(coded.tobytes()) >> 1, size, rare, plain))
-            yield pd.DataFrame(out, columns=["key", "split", "content", "size", "rare", "plain"])
+                rare = hashes[rank > 0]
+                every = np.concatenate([rare, shingles(coded, WIDE)[0] ^ PLAIN_MARK]) if len(rare) < few else rare
+                out.append((k, s, xxhash.xxh3_64_intdigest(coded.tobytes()) >> 1, len(rare), every.tobytes()))
+            yield pd.DataFrame(out, columns=["key", "split", "content", "rare", "all"])
 
     texts = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(split).alias("split"))
-    return texts.mapInPandas(rows, "key string, split string, content long, size int, rare array<long>, plain array<long>")
+    return texts.mapInPandas(rows, "key string, split string, content long, rare int, all binary")
 
 
-def _postings(known: DataFrame, universe: str, size: str, bitmap: np.ndarray | None = None) -> DataFrame:
-    """``shingle, content, size, pos`` of one prefix column, without the shingles the bitmap rules out."""
+def _postings(known: DataFrame, frequency: np.ndarray | None = None) -> DataFrame:
+    """``shingle, content, size, pos, plain``: the first |x| - ceil(t|x|) + 1 shingles of each content, rarest first.
+
+    The order is by how often the index holds a shingle (counted by residue), then by the shingle. Shingles that the
+    index cannot hold keep their place in the order but are not posted. Without ``frequency`` all shingles are posted.
+    """
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[b["prefix"].map(len) > 0]
-            if not len(b):
+            arrays = [np.frombuffer(x, np.int64) for x in b["all"]]
+            total, rare = np.array([len(x) for x in arrays], np.int64), b["rare"].to_numpy(np.int64)
+            if not total.sum():
                 continue
-            n = b["prefix"].map(len).to_numpy()
-            flat = np.concatenate(b["prefix"].to_numpy())
+            # two groups per content: its rare shingles and, if there are any, all of them
+            n = np.stack([rare, total - rare], axis=1).ravel()
+            content, plain = np.repeat(b["content"].to_numpy(), 2), np.tile([False, True], len(b))
+            flat, group = np.concatenate(arrays), np.repeat(np.arange(len(n)), n)
+            if frequency is None:
+                yield pd.DataFrame({"shingle": flat, "content": content[group], "size": n[group].astype(np.int32), "pos": np.int32(0), "plain": plain[group]})
+                continue
+            threshold = np.where(plain, PLAIN, RARE)
+            often = frequency[flat & (len(frequency) - 1)]
+            order = np.lexsort((flat, often, group))
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            keep = may_hold(bitmap, flat) if bitmap is not None else np.ones(len(flat), bool)
-            yield pd.DataFrame({"shingle": flat[keep], "content": np.repeat(b["content"].to_numpy(), n)[keep], "size": np.repeat(b["size"].to_numpy(), n)[keep], "pos": pos[keep].astype(np.int32)})
+            keep = (pos < (n - np.ceil(threshold * n) + 1)[group]) & (often[order] > 0)
+            at = group[keep]
+            yield pd.DataFrame({"shingle": flat[order][keep], "content": content[at], "size": n[at].astype(np.int32), "pos": pos[keep].astype(np.int32), "plain": plain[at]})
 
-    return known.select("content", F.col(size).alias("size"), F.col(universe).alias("prefix")).mapInPandas(post, "shingle long, content long, size int, pos int").distinct()
+    return known.select("content", "rare", "all").mapInPandas(post, "shingle long, content long, size int, pos int, plain boolean")
 
 
-def _rare_candidates(known: DataFrame, threshold: float, training: str) -> DataFrame:
-    """``content_t, content_e``: pairs whose shingles with a rare word may reach ``threshold``.
+def _candidates(known: DataFrame, training: str) -> DataFrame:
+    """``content_t, content_e``: pairs of contents that may reach the threshold on rare shingles, or on all of texts with few.
 
-    Evaluation prefixes are the index; a training shingle that no evaluation prefix holds is dropped before the shuffle.
+    Evaluation prefixes are the index, training prefixes probe it; pairs must pass the length and position filters and
+    share as many prefix shingles as the threshold leaves them: of the shingles in common, those outside either prefix
+    all lie behind the same one, so they are fewer than the longer rest.
     """
-    index = known.where(F.col("split") != training)
-    held = bitmap_of(index.select(F.explode("rare").alias("shingle")))
-    t = _postings(known.where(F.col("split") == training), "rare", "size", held)
-    return _matches(t, _postings(index, "rare", "size"), threshold)
-
-
-def _plain_candidates(known: DataFrame, threshold: float, training: str) -> DataFrame:
-    """The same over all shingles, for texts with few rare words; their order is by document frequency among such texts."""
-    is_t = F.col("split") == training
-    posts = known.where(F.size("plain") > 0).select(is_t.alias("is_t"), "content", F.explode("plain").alias("shingle")).distinct()
-    frequency = posts.select("content", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("df"))
-    ordered = posts.join(frequency, "shingle").groupBy("is_t", "content").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("all"))
-    size = F.size("all")
-    prefix = F.slice("all", 1, size - F.ceil(F.lit(threshold) * size).cast("int") + 1)
-    posted = ordered.select("is_t", "content", size.alias("size"), F.posexplode(prefix).alias("pos", "x")).select("is_t", "content", "size", "pos", "x.shingle")
-    return _matches(posted.where("is_t"), posted.where("not is_t"), threshold)
-
-
-def _matches(training: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a prefix shingle and pass the length and position filters."""
-    t = training.select("shingle", F.col("content").alias("content_t"), F.col("size").alias("size_t"), F.col("pos").alias("pos_t"))
-    e = index.select("shingle", F.col("content").alias("content_e"), F.col("size").alias("size_e"), F.col("pos").alias("pos_e"))
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_t") + F.col("size_e")) - 1e-9)
+    once = lambda side: known.where(side).select("content", "rare", "all").dropDuplicates(["content"])
+    index = once(F.col("split") != training)
+    frequency = counts_of(_postings(index).select("shingle"))
+    t = _postings(once(F.col("split") == training), frequency).withColumnsRenamed({"content": "content_t", "size": "size_t", "pos": "pos_t"}).drop("plain")
+    e = _postings(index, frequency).withColumnsRenamed({"content": "content_e", "size": "size_e", "pos": "pos_e"})
+    threshold = F.when(F.col("plain"), PLAIN).otherwise(RARE)
+    least = F.ceil(threshold / (1 + threshold) * (F.col("size_t") + F.col("size_e")) - 1e-9)
     fits = (F.col("size_t") >= threshold * F.col("size_e")) & (F.col("size_e") >= threshold * F.col("size_t"))
     # shingles before both positions may be common too, those after them at most as many as the shorter rest
     reach = 1 + F.least(F.col("size_t") - F.col("pos_t") - 1, F.col("size_e") - F.col("pos_e") - 1) + F.least("pos_t", "pos_e")
-    return t.join(e, "shingle").where(fits & (reach >= least) & (F.col("content_t") != F.col("content_e"))).select("content_t", "content_e").distinct()
+    met = t.join(e, "shingle").where(fits & (reach >= least) & (F.col("content_t") != F.col("content_e")))
+    met = met.groupBy("content_t", "content_e", "size_t", "size_e", "plain").agg(F.count("*").alias("met"))
+    rest = F.greatest(F.ceil(threshold * F.col("size_t")), F.ceil(threshold * F.col("size_e"))) - 1
+    return met.where(F.col("met") >= least - rest).select("content_t", "content_e").distinct()
 
 
 def split_overlaps(
@@ -184,21 +182,16 @@ def split_overlaps(
     trusted = trusted_words(df, text)
     columns = df.where(F.col(split).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(split).alias("_s"))
     known = cut(contents(columns, "_k", "_t", "_s", trusted))
-    found = cut(_rare_candidates(known, 0.3, training).unionByName(_plain_candidates(known, 0.4, training)).distinct())
+    found = cut(_candidates(known, training))
     wanted = found.select(F.col("content_t").alias("content")).unionByName(found.select(F.col("content_e").alias("content"))).distinct()
-    one = known.select("content", "key").join(wanted, "content", "left_semi").groupBy("content").agg(F.min("key").alias("key"))
-    one = cut(one)
-    held = bitmap_of(one.select(F.xxhash64("key").alias("h")))
+    one = cut(known.select("content", "key").join(wanted, "content", "left_semi").groupBy("content").agg(F.min("key").alias("key")))
+    held = counts_of(one.select(F.xxhash64("key").alias("h")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = _Codes(frozenset())
+        codes = Codes({})
         for b in batches:
             b = b[may_hold(held, b["h"].to_numpy())]
-            out = []
-            for k, t in zip(b["key"], b["_t"]):
-                words = skeleton(t, trusted)
-                out.append((k, shingles(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), near)[0]))
-            yield pd.DataFrame(out, columns=["key", "all"])
+            yield pd.DataFrame([(k, shingles(skeleton(t, trusted, codes), near)[0]) for k, t in zip(b["key"], b["_t"])], columns=["key", "all"])
 
     texts = columns.where(F.col("_t").isNotNull()).select(F.col("_k").alias("key"), "_t", F.xxhash64("_k").alias("h")).mapInPandas(sets, "key string, all array<long>")
     texts = one.join(texts.dropDuplicates(["key"]), "key").select("content", "all")
