@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from acervo.llm.encoding import RESIDUE, restore
 from acervo.llm.lexicon import WORD, trusted_words
-from acervo.llm.overlap import MULTIBYTE_SIGN, ONE_BYTE_SIGN, fold
+from acervo.llm.overlap import MULTIBYTE_SIGN, ONE_BYTE_SIGN, SPACED_SIGN, fold
 
 KINDS = ("hyphen", "chars", "header", "pageno")
 #: What scanners take for what, as (seen, meant), both ways where both occur.
@@ -41,16 +41,26 @@ ET_AL_LINE = re.compile(r"^[^\W\d_][\w!|]+ (?:e|c)t a[l1!]\.$", re.I)
 TABLE_LINE = re.compile(r"^\s*\d+(?:\s{2,}|\t)\S*\d\s*$")
 LINE_MARKS = tuple("-\xad¬‐‑–")
 LINE_HYPHEN = re.compile(r"([^\W_]\S*?)([-\xad¬‐‑–])\s*$")
-SENTENCE_END = re.compile(r"[.?!:][»”\"')\]]*\s*$")
 SPACED_LETTERS = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){4,}[^\W\d_](?![^\W_])")
 TRIPLED = re.compile(r"([A-ZÀ-Þ])\1\1(?:([A-ZÀ-Þ])\2\2)+")
 BAD_EXTRACTION = re.compile(r"[ﬀ-ﬆı\ue000-\uf8ff]|[´¨˜~](?:[^\W\d_]|(?<=[^\W\d_].))|[0-9!|](?<=[^\W\d_].)[^\W\d_]|\(cid:\d+\)")
-LAST_WORD = re.compile(r"([^\W\d_]+)\W*$")
 #: Words that leave a sentence open; a line that ends on one is running text.
 OPEN_WORDS = frozenset(
     "a al and as con da das de degli dei del della delle des di do dos du e el em en et for from il in la las le les lo los na no of on or os per por que se su than the to un una und y à é o más hacia entre between around vers tra pour com with".split()
 )
 LOWER_WORD = re.compile(r"(?<![\w´¨~-])[^\W\d_]{4,}(?![\w´¨~(])")
+LONG_WORD = re.compile(r"[^\W\d_]{4,}")
+BETWEEN = "zzzzbetweentextszzzz"  # no word of any text, so no pair spans two texts
+COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+
+
+def ends_sentence(line: str) -> bool:
+    return line.rstrip().rstrip("»”\"')]")[-1:] in tuple(".?!:")
+
+
+def last_word(line: str) -> str:
+    words = line.rsplit(None, 1)
+    return words[-1].strip(".,;:()[]?!«»\"'").lower() if words else ""
 
 
 def bare(word: str) -> str:
@@ -84,6 +94,10 @@ class Speller:
     def knows(self, word: str) -> bool:
         return bare(word) in self.counts
 
+    def looks_known(self, word: str) -> bool:
+        """Whether a trusted word has the same letters once those that scanners confuse are folded together."""
+        return fold(word).replace(b" ", b"") in self.folded
+
     def distance(self, seen: str, meant: str, most: float = SLACK) -> float:
         """Weighted edit distance; pairs of CONFUSIONS cost CHEAP, other edits PLAIN; more than ``most`` is given as infinite."""
         row = {0: 0.0}
@@ -115,7 +129,7 @@ class Speller:
             if len(self.cache) > 200_000:
                 self.cache.clear()
             found = {}
-            if fold(plain).replace(b" ", b"") in self.folded or len(plain) > 4:
+            if len(plain) > 4 or self.looks_known(plain):
                 for short in self._deletes(plain):
                     for meant in self.index.get(short, ()):
                         if meant not in found and abs(len(meant) - len(plain)) <= 3:
@@ -168,17 +182,18 @@ def _layout(lines: list[str]) -> tuple[set[int], set[int], bool]:
         if len(key) < 4:
             continue
         s = lines[at[0]].strip()
-        last = LAST_WORD.search(s)
-        runs_on = bool(last and last[1].lower() in OPEN_WORDS and not s.isupper()) or s[-1] in ",;:-"
+        if len(at) == 1 and not (s.isupper() or skip or at[0] in numbered or "|" in s or s.endswith((".", "1.", "!."))):
+            continue
+        runs_on = (last_word(s) in OPEN_WORDS and not s.isupper()) or s[-1] in ",;:-"
         named = any(VOLUME_HEADER.search(lines[i]) or i in numbered or ET_AL_LINE.match(lines[i].strip()) for i in at)
         if named and (len(at) > 1 or VOLUME_HEADER.search(s) or ET_AL_LINE.match(s) or at[0] in numbered):
             headers.update(at)
             continue
-        if runs_on or SENTENCE_END.search(s) and not ET_AL_LINE.match(s):
+        if runs_on or ends_sentence(s) and not ET_AL_LINE.match(s):
             continue
-        breaks = [i for i in at if (b := around(i, skip | set(at)))[0] and not SENTENCE_END.search(b[0]) and (b[1][:1].islower() or s.isupper() or b[0].rstrip()[-1:] in "-\xad¬‐–")]
+        breaks = [i for i in at if (b := around(i, skip | set(at)))[0] and not ends_sentence(b[0]) and (b[1][:1].islower() or s.isupper() or b[0].rstrip()[-1:] in "-\xad¬‐–")]
         beside = [i for i in at if any(j in skip for j in (text_at[order[i] - 1] if order[i] else -1, text_at[order[i] + 1] if order[i] + 1 < len(text_at) else -1))]
-        apart = [i for i in at if (not (b := around(i, skip | set(at)))[0] or SENTENCE_END.search(b[0])) and not b[1][:1].islower()]
+        apart = [i for i in at if (not (b := around(i, skip | set(at)))[0] or ends_sentence(b[0])) and not b[1][:1].islower()]
         words = len(s.split())
         if len(at) > 1:
             known = (s.isupper() or "," not in s) and bool(breaks or beside or (words > 1 and (s.isupper() or len(apart) == len(at))))
@@ -194,10 +209,9 @@ def _layout(lines: list[str]) -> tuple[set[int], set[int], bool]:
             k = order[i]
             next_to = {text_at[k - 1] if k else -1, text_at[k + 1] if k + 1 < len(text_at) else -1}
             before, after = around(i, skip | headers)
-            last = LAST_WORD.search(before)
             if next_to & set(bare_pages):  # a column of a table
                 continue
-            inside = (last and last[1].lower() in OPEN_WORDS) or re.match(r"\s*%", after) or next_to & tables
+            inside = last_word(before) in OPEN_WORDS or re.match(r"\s*%", after) or next_to & tables
             if (v == -1 and len(lines[i].strip()) > 1) or next_to & headers or (rising and not next_to & tables) or not inside:
                 pages.add(i)
     return headers, pages, bool(numbered & headers)
@@ -230,7 +244,7 @@ def repair(text: str, trusted: dict[str, int], speller: Speller, compounds: froz
             joined = re.sub(r"^\W+", "", head_word + tail_word)
             letters = joined.lower()
             own = f"{head_word}-{tail_word}".lower() in compounds
-            known = letters.split("'")[-1].split("’")[-1] in trusted or speller.knows(letters) or fold(letters).replace(b" ", b"") in speller.folded
+            known = letters.split("'")[-1].split("’")[-1] in trusted or speller.knows(letters) or speller.looks_known(letters)
             damaged = not own and (known or bool(speller.candidates(letters)))
             if tail_word[:1].islower() or tail_word[:1] in "!|0123456789(´¨" or (tail_word and RESIDUE.match(tail_word)):
                 if damaged or (not own and (mark != "-" or head_word[:1].isupper() or not head_word.isalpha() or not tail_word.isalpha())):
@@ -243,12 +257,13 @@ def repair(text: str, trusted: dict[str, int], speller: Speller, compounds: froz
                 continue
         k += 1
     flat = "\n".join(body)
-    if BAD_EXTRACTION.search(flat) or SPACED_LETTERS.search(flat) or TRIPLED.search(flat):
+    if BAD_EXTRACTION.search(flat) or (SPACED_SIGN.search(flat) and SPACED_LETTERS.search(flat)) or TRIPLED.search(flat):
         kinds.add("chars")
     if "chars" not in kinds or rebuild:
         before = ""
         fixes = {}
-        odd = {w for w in set(LOWER_WORD.findall(flat)) if (v := w.lower()) not in trusted and not speller.knows(v) and speller.candidates(v)}
+        # an unknown word with a capital is a name, unless it looks just like a trusted word
+        odd = {w for w in set(LONG_WORD.findall(flat)) if (v := w.lower()) not in trusted and not speller.knows(v) and (w[0].islower() or speller.looks_known(v)) and speller.candidates(v)}
         for m in LOWER_WORD.finditer(flat) if odd else ():
             w = m[0]
             if w in odd:
@@ -287,7 +302,7 @@ def _paragraphs(lines: list[str]) -> str:
         if not s:
             gap = True
             continue
-        if out and not (gap and SENTENCE_END.search(out[-1])) and (s[0].islower() or not gap):
+        if out and not (gap and ends_sentence(out[-1])) and (s[0].islower() or not gap):
             out[-1] = f"{out[-1]} {s}"
         else:
             out.append(s)
@@ -295,31 +310,30 @@ def _paragraphs(lines: list[str]) -> str:
     return "\n\n".join(out)
 
 
-def hyphen_compounds(df: DataFrame, text: str, share: float = 1e-6) -> frozenset[str]:
-    """Words written with a hyphen of their own inside lines, at least ``share`` of all tokens (so at most 1/share of them)."""
-    found = df.where(F.col(text).contains("-")).select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\p{L}+(?:-\p{L}+)+)"), F.lit(1))).alias("w"))
-    counts = found.groupBy("w").agg(F.count("*").alias("n"))
-    size = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first()["n"] / 6
-    return frozenset(r["w"] for r in counts.where(F.col("n") >= max(2.0, share * size)).collect())
-
-
-def common_bigrams(df: DataFrame, text: str, trusted: dict[str, int], share: float = 1e-5) -> dict[tuple[str, str], int]:
-    """Pairs of adjacent trusted words that make up at least ``share`` of all such pairs: at most 1/share of them."""
+def corpus_statistics(df: DataFrame, text: str, trusted: dict[str, int], share: float = 1e-5) -> tuple[dict[tuple[str, str], int], frozenset[str]]:
+    """Over all rows: pairs of adjacent trusted words that make up ``share`` of all such pairs, and words written with a
+    hyphen of their own that are ``share`` / 10 of all; so at most 1/share and 10/share of them, whatever the corpus."""
     words = sorted(trusted)
     number = {w: i for i, w in enumerate(words)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compounds: Counter[str] = Counter()
         for b in batches:
-            codes = np.fromiter((number.get(w, -1) for t in b["t"] for w in [*WORD.findall(t.lower()), ""]), np.int64)
+            codes = np.fromiter(map(number.get, WORD.findall(f"\n{BETWEEN}\n".join(b["t"]).lower()), repeat(-1)), np.int64)
             a, z = codes[:-1], codes[1:]
             pairs, n = np.unique((a * len(words) + z)[(a >= 0) & (z >= 0)], return_counts=True)
-            yield pd.DataFrame({"pair": pairs, "n": n})
+            for t in b["t"]:
+                if "-" in t:
+                    compounds.update(COMPOUND.findall(t.lower()))
+            yield pd.DataFrame({"pair": pairs, "word": None, "n": n}).astype({"word": "object"})
+        yield pd.DataFrame({"pair": -1, "word": list(compounds), "n": list(compounds.values())}).astype({"pair": "int64", "word": "object", "n": "int64"})
 
-    counts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).persist()
+    counts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(count, "pair long, word string, n long").groupBy("pair", "word").agg(F.sum("n").alias("n")).persist()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    out = {(words[r["pair"] // len(words)], words[r["pair"] % len(words)]): r["n"] for r in counts.where(F.col("n") >= max(2, share * total)).collect()}
+    kept = counts.where(F.col("n") >= F.when(F.col("word").isNull(), max(2, share * total)).otherwise(max(2, share * total / 10))).collect()
     counts.unpersist()
-    return out
+    bigrams = {(words[r["pair"] // len(words)], words[r["pair"] % len(words)]): r["n"] for r in kept if r["word"] is None}
+    return bigrams, frozenset(r["word"] for r in kept if r["word"] is not None)
 
 
 def scan_noise(df: DataFrame, key: str, text: str, rebuild: bool = True) -> DataFrame:
@@ -329,8 +343,7 @@ def scan_noise(df: DataFrame, key: str, text: str, rebuild: bool = True) -> Data
     columns are not read. Lexicon, compounds and bigrams are counted over all rows and bounded by their shares.
     """
     trusted = trusted_words(df, text)
-    compounds = hyphen_compounds(df, text)
-    bigrams = common_bigrams(df, text, trusted)
+    bigrams, compounds = corpus_statistics(df, text, trusted)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         speller = Speller(trusted, bigrams)
