@@ -1,0 +1,154 @@
+"""Patterns in running text: vocabularies, keyphrases, keyword sections, abstracts and similar strings."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from acervo.functions import text as T
+
+#: Words that carry no subject, in the languages of the corpus.
+STOP_WORDS = tuple(
+    "como con del desde donde entre esta este esto las los más para pero por que según ser sin sobre son también una uno the and for from that this with are was which not com dos das para por que uma não mais dans des les par pour que une avec sur est alla che con dal del della per una più".split()
+)
+KEYWORD_LINE = r"(?im)^[^\S\n]*(?:palabras clave|keywords|palavras-chave|mots-clés|parole chiave)[^\S\n]*[:.][^\S\n]*([^\n]{1,200})$"
+ABSTRACT_HEAD = re.compile(r"^\s*(resumen|abstract|resumo|résumé|riassunto)\b\s*[:.—-]?\s*(.*)$", re.I)
+STOP_HEAD = re.compile(r"^\s*(palabras clave|keywords|palavras-chave|mots-clés|parole chiave|introducci[oó]n|introduction|introdução|introduzione|abstract|resumen|resumo|résumé|riassunto|pregunta|question|pergunta|domanda|tabla|table|tabela|tableau|tabella)\b", re.I)
+
+
+def tokens(df: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
+    """``key, pos, word``: lower-case words of ``least`` letters or more that are no stop words."""
+    rows = df.select(key, F.posexplode(T.letter_tokens(F.col(text), least)).alias("pos", "word"))
+    return rows.where(~F.col("word").isin(*STOP_WORDS))
+
+
+def vocabulary(df: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
+    """``word, n, docs``: words that occur ``least`` times or more in the corpus."""
+    return tokens(df, key, text).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct(key).alias("docs")).where(F.col("n") >= least)
+
+
+def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, a, b``: pairs of neighbouring kept words of a text."""
+    rows = tokens(df, key, text)
+    return rows.withColumn("b", F.lead("word").over(W.partitionBy(key).orderBy("pos"))).where("b is not null").select(key, F.col("word").alias("a"), "b")
+
+
+def pmi(df: DataFrame, key: str, text: str, least: int = 3, top: int = 20000) -> DataFrame:
+    """``a, b, n, pmi``: bigrams of ``least`` occurrences or more by log2(n_ab * N / (n_a * n_b)), the best ``top``."""
+    words = tokens(df, key, text).groupBy("word").agg(F.count("*").alias("n"))
+    pairs = bigrams(df, key, text).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    total = words.agg(F.sum("n").alias("total"))
+    joined = pairs.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(total))
+    value = F.round(F.log2(F.col("n").cast("double") * F.col("total") / (F.col("na").cast("double") * F.col("nb"))), 6)
+    return joined.select("a", "b", "n", value.alias("pmi")).orderBy(F.desc("pmi"), "a", "b").limit(top)
+
+
+def tfidf(df: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
+    """``key, word, weight``: the ``top`` words of each text by (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), L2-normalised."""
+    tf = tokens(df, key, text).groupBy(key, "word").agg(F.count("*").alias("tf"))
+    df_ = tf.groupBy("word").agg(F.count("*").alias("df"))
+    total = df.agg(F.count("*").alias("N"))
+    raw = tf.join(df_, "word").crossJoin(F.broadcast(total)).withColumn("raw", (1 + F.log("tf")) * (F.log((1.0 + F.col("N")) / (1.0 + F.col("df"))) + 1))
+    weight = F.round(F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key))), 6)
+    ranked = raw.withColumn("weight", weight).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("weight"), "word")))
+    return ranked.where(F.col("_n") <= top).select(key, "word", "weight")
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """The ratio of matching characters of two strings (longest matching blocks); NULL if either is NULL."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)
+
+
+def keyphrases(df: DataFrame, key: str, text: str, vocab: DataFrame, most: int = 10, alike: float = 0.7) -> DataFrame:
+    """``key, rank, phrase, score``: phrases of the vocabulary that occur twice or more, by count (two-word ones times 1.7).
+
+    Greedy from the best down: a phrase is left out if it is contained in, or more than ``alike`` similar to, one taken.
+    vocab: ``a, b`` as :func:`pmi` gives them; it is limited to its ``top``, so it is safe to send to every task.
+    """
+    pairs = {(r["a"], r["b"]) for r in vocab.select("a", "b").collect()}
+    stop = set(STOP_WORDS)
+    word = re.compile(r"[^\W\d_]{3,}")
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, t in zip(b[key], b[text]):
+                words = [w for w in word.findall((t or "").lower()) if w not in stop]
+                counts: dict[str, float] = {}
+                for w in words:
+                    counts[w] = counts.get(w, 0) + 1
+                for x, y in zip(words, words[1:]):
+                    if (x, y) in pairs:
+                        counts[f"{x} {y}"] = counts.get(f"{x} {y}", 0) + 1
+                scored = sorted(((n * (1.7 if " " in p else 1.0), p) for p, n in counts.items() if n >= 2), key=lambda v: (-v[0], v[1]))
+                taken: list[str] = []
+                for score, p in scored:
+                    if len(taken) < most and not any(p in q or q in p or SequenceMatcher(None, p, q).ratio() > alike for q in taken):
+                        taken.append(p)
+                        rows.append((k, len(taken), p, float(score)))
+            yield pd.DataFrame(rows, columns=["key", "rank", "phrase", "score"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInPandas(pick, f"key {kind}, rank int, phrase string, score double").withColumnRenamed("key", key)
+
+
+def keyword_section(text: Column) -> Column:
+    """The keywords of the first keyword line of a text, split; NULL without such a line."""
+    line = F.regexp_extract(text, KEYWORD_LINE, 1)
+    return F.when(line != "", T.split_keywords(line))
+
+
+def abstracts(df: DataFrame, key: str, text: str, most_words: int = 500) -> DataFrame:
+    """``key, abstract``: the text after the first abstract heading, up to the next heading; lines broken in a word are joined."""
+
+    def scan(t: str | None) -> str | None:
+        lines = (t or "").split("\n")
+        for i, line in enumerate(lines):
+            if m := ABSTRACT_HEAD.match(line):
+                parts = [m[2].strip()] if m[2].strip() else []
+                for later in lines[i + 1 :]:
+                    s = later.strip()
+                    if STOP_HEAD.match(s) or sum(len(p.split()) for p in parts) >= most_words:
+                        break
+                    if not s:
+                        if parts and parts[-1][-1:] in ".?!":
+                            break
+                        continue
+                    if parts and re.search(r"[^\W\d_]-$", parts[-1]) and s[0].islower():
+                        parts[-1] = parts[-1][:-1] + s
+                    else:
+                        parts.append(s)
+                return " ".join(parts) or None
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = pd.DataFrame({"key": b[key], "abstract": [scan(t) for t in b[text]]})
+            yield out[out["abstract"].notna()]
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInPandas(run, f"key {kind}, abstract string").withColumnRenamed("key", key)
+
+
+def lines_after(df: DataFrame, key: str, text: str, heading: str, n: int = 5) -> DataFrame:
+    """``key, line_no, line``: the ``n`` lines after the first line that matches ``heading``."""
+    rows = df.select(key, F.split(text, "\n").alias("lines")).withColumn("at", F.array_position(F.transform("lines", lambda x: x.rlike(heading)), True))
+    return rows.where("at > 0").select(key, F.posexplode(F.slice("lines", F.col("at").cast("int") + 1, n)).alias("line_no", "line"))
+
+
+def until_words(df: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """``key, part, words``: parts (set off by blank lines) that begin before ``most`` words are reached."""
+    parts = df.select(key, F.posexplode(F.split(text, "\n\n")).alias("part", "body")).withColumn("words", F.size(F.regexp_extract_all("body", F.lit(r"([^ \t\n\r]+)"), F.lit(1))))
+    before = F.coalesce(F.sum("words").over(W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("before", before).where(F.col("before") < most).select(key, "part", "words")
