@@ -82,10 +82,9 @@ def update_by_key(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in shared else F.col(c) for c in df.columns])
 
 
-def training_pairs(df: DataFrame, key: str, doc_type: str, prompts: DataFrame) -> DataFrame:
+def training_pairs(df: DataFrame, key: str, doc_type: str, prompts: dict[str, str]) -> DataFrame:
     """Two rows per record: the general prompt and that of its type (the general one again for an unknown type)."""
-    general = prompts.where("doc_type = 'General'").select(F.col("prompt").alias("_general"))
-    by_type = prompts.select(F.col("doc_type").alias(doc_type), F.col("prompt").alias("_typed"))
-    rows = df.crossJoin(F.broadcast(general)).join(F.broadcast(by_type), doc_type, "left")
-    two = F.array(F.struct(F.lit("General").alias("kind"), F.col("_general").alias("prompt")), F.struct(F.lit("typed").alias("kind"), F.coalesce("_typed", "_general").alias("prompt")))
-    return rows.select(key, F.explode(two).alias("x")).select(key, "x.kind", "x.prompt")
+    general = F.lit(prompts["General"])
+    typed = F.coalesce(F.create_map(*[F.lit(x) for kv in prompts.items() for x in kv])[F.col(doc_type)], general)
+    two = F.array(F.struct(F.lit("General").alias("kind"), general.alias("prompt")), F.struct(F.lit("typed").alias("kind"), typed.alias("prompt")))
+    return df.select(key, F.explode(two).alias("x")).select(key, "x.kind", "x.prompt")

@@ -43,9 +43,9 @@ def pmi(df: DataFrame, key: str, text: str, least: int = 3, top: int = 20000) ->
     """``a, b, n, pmi``: bigrams of ``least`` occurrences or more by log2(n_ab * N / (n_a * n_b)), the best ``top``."""
     words = tokens(df, key, text).groupBy("word").agg(F.count("*").alias("n"))
     pairs = bigrams(df, key, text).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    total = words.agg(F.sum("n").alias("total"))
-    joined = pairs.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(total))
-    value = F.round(F.log2(F.col("n").cast("double") * F.col("total") / (F.col("na").cast("double") * F.col("nb"))), 6)
+    total = float(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"])
+    joined = pairs.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
+    value = F.round(F.log2(F.col("n").cast("double") * total / (F.col("na").cast("double") * F.col("nb"))), 6)
     return joined.select("a", "b", "n", value.alias("pmi")).orderBy(F.desc("pmi"), "a", "b").limit(top)
 
 
@@ -53,8 +53,8 @@ def tfidf(df: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
     """``key, word, weight``: the ``top`` words of each text by (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), L2-normalised."""
     tf = tokens(df, key, text).groupBy(key, "word").agg(F.count("*").alias("tf"))
     df_ = tf.groupBy("word").agg(F.count("*").alias("df"))
-    total = df.agg(F.count("*").alias("N"))
-    raw = tf.join(df_, "word").crossJoin(F.broadcast(total)).withColumn("raw", (1 + F.log("tf")) * (F.log((1.0 + F.col("N")) / (1.0 + F.col("df"))) + 1))
+    total = df.count()
+    raw = tf.join(df_, "word").withColumn("raw", (1 + F.log("tf")) * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1))
     weight = F.round(F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key))), 6)
     ranked = raw.withColumn("weight", weight).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("weight"), "word")))
     return ranked.where(F.col("_n") <= top).select(key, "word", "weight")

@@ -227,7 +227,7 @@ def type_spellings(spark, sf_dir):
 
 @query("training_pairs", f"SELECT id, kind, CASE WHEN kind = 'General' THEN 'extract all' WHEN doc_type = 'Tesis' THEN 'extract thesis' WHEN doc_type = 'Libro' THEN 'extract book' ELSE 'extract all' END AS prompt FROM {S.DATASET}, (SELECT unnest(['General', 'typed']) AS kind)")
 def training_pairs(spark, sf_dir):
-    prompts = spark.createDataFrame([("General", "extract all"), ("Tesis", "extract thesis"), ("Libro", "extract book")], "doc_type string, prompt string")
+    prompts = {"General": "extract all", "Tesis": "extract thesis", "Libro": "extract book"}
     return C.training_pairs(dataset(spark, sf_dir, "doc_type"), "id", "doc_type", prompts)
 
 
