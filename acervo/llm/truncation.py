@@ -65,8 +65,8 @@ def title_words(titles: DataFrame, share: float = 1e-4) -> DataFrame:
     """``word``: lower-case words that make up at least ``share`` of all words of titles; at most 1/share rows, so safe to broadcast."""
     words = titles.select(F.explode(F.regexp_extract_all(F.col(titles.columns[0]), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).select(F.lower("w").alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * share)).select("word")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
+    return counts.where(F.col("n") >= max(2.0, total * share)).select("word")
 
 
 def endings(df: DataFrame, titles: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
