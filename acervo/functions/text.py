@@ -67,7 +67,7 @@ def drop_honorifics(c: Column) -> Column:
     """Forms of address (with their dot), bracketed notes of up to 80 characters, and one closing dot removed."""
     x = reduce(lambda y, h: F.regexp_replace(y, rf"(?i)(^|[^\p{{L}}]){h}\.( |$)", "$1$2"), HONORIFICS, c)
     x = F.trim(F.regexp_replace(F.regexp_replace(x, r"\([^()]{0,80}\)", ""), r"[ \t\n\r]+", " "))
-    return F.regexp_replace(x, r"\.$", "")
+    return F.trim(F.regexp_replace(x, r"\.$", ""))
 
 
 def person_name(c: Column) -> Column:

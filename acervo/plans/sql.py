@@ -31,7 +31,7 @@ def attach_acutes(x: str) -> str:
 
 def honorifics(x: str) -> str:
     y = reduce(lambda z, h: f"regexp_replace({z}, '(^|[^\\p{{L}}]){h}\\.( |$)', '\\1\\2', 'gi')", HONORIFICS, x)
-    return f"regexp_replace(trim(regexp_replace(regexp_replace({y}, '\\([^()]{{0,80}}\\)', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), '\\.$', '')"
+    return f"trim(regexp_replace(trim(regexp_replace(regexp_replace({y}, '\\([^()]{{0,80}}\\)', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), '\\.$', ''))"
 
 
 def volume_issue(x: str) -> str:
