@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Legacy encodings that UTF-8 was read in, with the lead bytes whose spans are decoded there (Latin letters and punctuation).
-MULTIBYTE = {"cp1252": (0xC2, 0xC3, 0xC5, 0xE2), "mac_roman": (0xC2, 0xC3), "cp437": (0xC2, 0xC3), "cp850": (0xC2, 0xC3), "cp1251": (0xC2, 0xC3)}
+MULTIBYTE = {"cp1252": (0xC2, 0xC3, 0xC5, 0xE2), "mac_roman": (0xC2, 0xC3, 0xE2), "cp437": (0xC2, 0xC3, 0xE2), "cp850": (0xC2, 0xC3, 0xE2), "cp1251": (0xC2, 0xC3)}
 #: Encodings that Latin-1 text was read in.
 SINGLE_BYTE = ("mac_roman", "cp850", "cp1251", "cp437", "cp1250", "koi8_r")
 #: The letters and signs beyond ASCII that the five languages use.

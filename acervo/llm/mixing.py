@@ -52,6 +52,8 @@ def rates(groups: DataFrame, targets: dict[str, float], caps: dict[str, float],
 
     def dot(values: dict[str, float]) -> Column:
         """The sum over a text's sources of weight times value; 0 for sources without a value."""
+        if not values:
+            return F.lit(0.0)
         of = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
         return F.aggregate(F.map_entries("weights"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(of[e["key"]], F.lit(0.0)))
 

@@ -199,7 +199,7 @@ def _layout(lines: list[str]) -> tuple[set[int], set[int], bool]:
             known = (s.isupper() or "," not in s) and bool(breaks or beside or (words > 1 and (s.isupper() or len(apart) == len(at))))
         else:  # seen once: capitals that interrupt a sentence, or a short line with the page number at the top or bottom
             b, edge = around(at[0], skip | set(at)), order[at[0]] in (0, len(text_at) - 1)
-            known = bool(breaks and s.isupper() and words > 1 and (b[1][:1].islower() or b[0].rstrip()[-1:] in LINE_MARKS)) or bool(edge and beside and words <= 8 and not re.search(r"[.,;:?!]", s))
+            known = bool(breaks and s.isupper() and words > 1 and (b[1][:1].islower() or b[0].rstrip()[-1:] in LINE_MARKS)) or bool(edge and beside and words <= 8 and not b[1][:1].islower() and not re.search(r"[.,;:?!]", s))
         if known:
             headers.update(at)
     if bare_pages:

@@ -52,7 +52,7 @@ def fit(labelled: DataFrame, names: list[str], sample: int = 12000, topics: int
     """Fit on about ``sample`` rows of ``area, text`` taken by the hash of the text.
 
     The vocabulary holds the words that make up ``share`` of the sample's words or more (at most 1/share) and whose
-    documents are ``lift`` times as often of one area as of a random one.
+    documents are ``lift`` times as often of one area as of a random one (with few areas, half the most that can be reached).
     """
     total = labelled.count()
     rows = cut(labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, sample / max(total, 1)) * (1 << 20)).select("area", "text"))
@@ -66,7 +66,8 @@ def fit(labelled: DataFrame, names: list[str], sample: int = 12000, topics: int
                     if w not in seen:
                         seen[w] = np.zeros(len(names))
                     seen[w][number[a]] += 1
-        yield pd.DataFrame({"word": list(seen), "n": [x.tolist() for x in seen.values()]})
+        if seen:
+            yield pd.DataFrame([(w, x.tolist()) for w, x in seen.items()], columns=["word", "n"])
 
     counted = rows.mapInPandas(count, "word string, n array<double>")
     summed = counted.groupBy("word").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(len(names))])
@@ -76,7 +77,7 @@ def fit(labelled: DataFrame, names: list[str], sample: int = 12000, topics: int
     n = table[[f"n{i}" for i in range(len(names))]].to_numpy()
     base = n.sum(axis=0) / max(n.sum(), 1)
     rate = (n + base) / (n.sum(axis=1, keepdims=True) + 1)
-    keep = (rate / np.maximum(base, 1e-9)).max(axis=1) >= lift
+    keep = (rate / np.maximum(base, 1e-9)).max(axis=1) >= min(lift, (1 + len(names)) / 2)
     words = table["word"].to_numpy()[keep]
     if not len(words):
         return SubjectModel(names, {}, np.zeros((0, 1)), np.ones(1), np.full((1, len(names)), 1 / len(names)), np.zeros(1), np.zeros((0, len(names))))
@@ -139,7 +140,8 @@ def assign(df: DataFrame, key: str, text: str, declared: str, model: SubjectMode
                 found = shares(b["text"].tolist(), model)
                 top = found.max(axis=1)
                 d, a = np.nonzero((found > 0) & ((found >= least) | (found == top[:, None])) & (top[:, None] > 0))
-                yield pd.DataFrame({"key": b["key"].to_numpy()[d], "declared": b["declared"].to_numpy()[d], "subject": [model.names[i] for i in a], "share": found[d, a].round(4)})
+                keys, labels = b["key"].tolist(), b["declared"].tolist()
+                yield pd.DataFrame([(keys[i], labels[i], model.names[j], round(float(found[i, j]), 4)) for i, j in zip(d, a)], columns=["key", "declared", "subject", "share"])
 
     rows = df.where(F.col(text) != "").select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(declared).alias("declared"))
     return rows.mapInPandas(tell, "key string, declared string, subject string, share double").withColumnRenamed("key", key)
