@@ -177,11 +177,13 @@ def parse_element(s: str | None, names: bool, given: frozenset[str]) -> tuple[li
     return [v for v in map(_clean, values) if v], bad
 
 
-def given_names(people: DataFrame, share: float = 1e-4) -> frozenset[str]:
-    """Words that stand after the comma of "Surname, Given" elements: each at least ``share`` of all such words.
+def given_names(people: DataFrame, share: float = 1e-3) -> frozenset[str]:
+    """Words that stand after the comma of different "Surname, Given" elements: each at least ``share`` of all such words.
 
-    people: one STRING column ``name``. At most 1/share words can qualify, so the collected set has a proven bound (10 000).
+    people: one STRING column ``name``; each spelling counts once, so that a misspelling repeated often is no given name.
+    At most 1/share words can qualify, so the collected set has a proven bound (1 000).
     """
+    people = people.distinct()
     plain = people.where(F.col("name").rlike(r"^[^,;|/\[\]\"«•·\n\t]+,\s[^,;|/\[\]\"«•·\n\t:]+$") & ~F.col("name").rlike(r" (y|e|and|et|&) "))
     words = plain.select(
         F.explode(
