@@ -103,6 +103,42 @@ def keyphrases(df: DataFrame, key: str, text: str, vocab: DataFrame, most: int =
     return df.select(key, text).mapInPandas(pick, f"key {kind}, rank int, phrase string, score double").withColumnRenamed("key", key)
 
 
+def rake(df: DataFrame, key: str, text: str, most: int = 10) -> DataFrame:
+    """``key, rank, phrase, score``: runs of words between stop words and punctuation, by the sum of degree over frequency of their words.
+
+    A phrase counts once per text and has at most four words; ties go to the least phrase. NULL and empty texts give no row.
+    """
+    stop = set(STOP_WORDS)
+    piece, word = re.compile(r"[^\w\s-]+|\n\n"), re.compile(r"[^\W\d_]+")
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, t in zip(b[key], b[text]):
+                phrases: list[tuple[str, ...]] = []
+                for part in piece.split((t or "").lower()):
+                    run: list[str] = []
+                    for w in [*word.findall(part), ""]:
+                        if w and len(w) > 2 and w not in stop:
+                            run.append(w)
+                        elif run:
+                            phrases.append(tuple(run))
+                            run = []
+                phrases = [p for p in phrases if len(p) <= 4]
+                often: dict[str, int] = {}
+                degree: dict[str, int] = {}
+                for p in phrases:
+                    for w in p:
+                        often[w] = often.get(w, 0) + 1
+                        degree[w] = degree.get(w, 0) + len(p)
+                scored = sorted({(-sum(degree[w] / often[w] for w in p), " ".join(p)) for p in phrases})
+                rows += [(k, i, p, round(-s, 6)) for i, (s, p) in enumerate(scored[:most], 1)]
+            yield pd.DataFrame(rows, columns=["key", "rank", "phrase", "score"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInPandas(pick, f"key {kind}, rank int, phrase string, score double").withColumnRenamed("key", key)
+
+
 def keyword_section(text: Column) -> Column:
     """The keywords of the first keyword line of a text, split; NULL without such a line."""
     line = F.regexp_extract(text, KEYWORD_LINE, 1)

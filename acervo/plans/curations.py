@@ -253,3 +253,15 @@ def latest_deliveries(spark, sf_dir):
 @query("id_paths", "SELECT DISTINCT id, replace(id, '-', '/') AS path FROM dataset")
 def id_paths(spark, sf_dir):
     return read_table(spark, sf_dir, "dataset", ["id"]).select("id", F.replace("id", F.lit("-"), F.lit("/")).alias("path")).distinct()
+
+
+@query("second_values", f"SELECT id, creator[2] AS second FROM {S.DATASET} WHERE creator IS NOT NULL")
+def second_values(spark, sf_dir):
+    return dataset(spark, sf_dir, "creator").where("creator is not null").select("id", F.try_element_at("creator", F.lit(2)).alias("second"))
+
+
+@query("flattened_splits", f"SELECT id, split FROM {S.DATASET} WHERE split IN ('training', 'validation', 'test')")
+def flattened_splits(spark, sf_dir):
+    df = dataset(spark, sf_dir, "split").select("id", "split")
+    parts = [df.where(F.col("split") == s) for s in ("training", "validation", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

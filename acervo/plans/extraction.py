@@ -109,3 +109,8 @@ def lines_after_heading(spark, sf_dir):
 )
 def page_cutoff(spark, sf_dir):
     return P.until_words(_docs(spark, sf_dir), "doc_id", "text", 100)
+
+
+@query("rake_phrases")
+def rake_phrases(spark, sf_dir):
+    return P.rake(_docs(spark, sf_dir), "doc_id", "text")

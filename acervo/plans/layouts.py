@@ -98,3 +98,21 @@ def image_profiles(spark, sf_dir):
         "doc_id", (F.floor(i / 2) + 1).alias("page_no"), (i % 2).alias("img_seq"), (200 + (F.col("doc_id") * 7 + i * 331) % 5 * 300).alias("w"), (300 + (F.col("doc_id") * 3 + i * 127) % 4 * 400).alias("h"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h")
     )
     return L.image_profile(images)
+
+
+@query("dominant_heights", f"SELECT doc_id, h AS height FROM (SELECT doc_id, round_even(height, 0)::INT AS h, count(*) AS n FROM {BOXES} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, h) = 1")
+def dominant_heights(spark, sf_dir):
+    sizes = _boxes(spark, sf_dir).groupBy("doc_id", F.bround("height").cast("int").alias("h")).agg(F.count("*").alias("n"))
+    return sizes.groupBy("doc_id").agg(F.max_by("h", F.struct("n", (-F.col("h")).alias("less"))).alias("height"))
+
+
+@query(
+    "detector_counts",
+    f"""SELECT count(*) FILTER (t AND d) AS hits, count(*) FILTER (t AND NOT d) AS missed, count(*) FILTER (NOT t AND d) AS wrong, round(count(*) FILTER (t AND d)::DOUBLE / count(*) FILTER (t), 6) AS rate
+        FROM (SELECT doc_id % 3 = 0 AS t, two_columns AS d FROM {GAPS})""",
+)
+def detector_counts(spark, sf_dir):
+    """How the gap detector does on the boxes, of which every third document has two columns."""
+    t, d = F.col("doc_id") % 3 == 0, F.col("two_columns")
+    pages = L.char_gap(_boxes(spark, sf_dir))
+    return pages.agg(F.count_if(t & d).alias("hits"), F.count_if(t & ~d).alias("missed"), F.count_if(~t & d).alias("wrong"), F.round(F.count_if(t & d) / F.count_if(t), 6).alias("rate"))

@@ -252,3 +252,17 @@ def titles_with_subtitles(spark, sf_dir):
 def corruption_classes(spark, sf_dir):
     df = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return df.select("doc_id", T.corruption_class(F.col("text")).alias("kinds")).groupBy("kinds").agg(F.count("*").alias("texts"))
+
+
+@query("repeated_digits", f"SELECT id, issn AS fixed FROM {S.DATASET} WHERE regexp_matches(issn, '^[0-9]{{4}}-[0-9]{{4}}$')")
+def repeated_digits(spark, sf_dir):
+    """Round trip: every digit of an ISSN doubled, then repaired."""
+    df = dataset(spark, sf_dir, "issn").where(F.col("issn").rlike("^[0-9]{4}-[0-9]{4}$"))
+    return df.select("id", T.fix_repeated_digits(F.regexp_replace("issn", "([0-9])", "$1$1")).alias("fixed"))
+
+
+@query("identifier_tally", f"SELECT doc_type, count(*) FILTER (contains(original_text, issn)) AS issn_ok, count(*) FILTER (NOT contains(original_text, issn)) AS issn_missing, count(*) FILTER (contains(original_text, isbn)) AS isbn_ok, count(*) FILTER (NOT contains(original_text, isbn)) AS isbn_missing FROM {S.DATASET} GROUP BY doc_type")
+def identifier_tally(spark, sf_dir):
+    t = F.col("original_text")
+    df = dataset(spark, sf_dir, "doc_type", "issn", "isbn", "original_text")
+    return df.groupBy("doc_type").agg(*[F.count_if(c).alias(n) for n, c in {"issn_ok": t.contains(F.col("issn")), "issn_missing": ~t.contains(F.col("issn")), "isbn_ok": t.contains(F.col("isbn")), "isbn_missing": ~t.contains(F.col("isbn"))}.items()])

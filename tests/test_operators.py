@@ -85,6 +85,12 @@ def test_patterns(spark):
     assert P.vocabulary(df.limit(0), "id", "text").count() == 0
 
 
+def test_rake(spark):
+    df = spark.createDataFrame([(1, "La napa freática del norte, la napa freática y los pozos."), (2, None)], "id int, text string")
+    got = [(r["phrase"], r["score"]) for r in P.rake(df, "id", "text").orderBy("rank").collect()]
+    assert got == [("napa freática", 4.0), ("norte", 1.0), ("pozos", 1.0)]
+
+
 def test_structured(spark):
     raws = ['{"a": 1}', "{'a': 'x'}", '{"a": "x", "b": [1', '```json\n{"a": 2}\n```', 'noise "a": "xx", "a": "y"', None, "[1]", "nothing"]
     got = [(r["value"], r["error"]) for r in X.tolerant_json(spark.createDataFrame(list(enumerate(raws)), "id int, raw string"), "id", "raw").orderBy("id").collect()]

@@ -38,6 +38,11 @@ def test_escapes(spark, raw, out):
     assert one(spark, T.decode_escapes, raw) == out
 
 
+@pytest.mark.parametrize(("raw", "out"), [("2222333344445555--6666777788889999", "2345-6789"), ("1122334455-6677889900", "12345-67890"), ("a 12-13", "a 12-13"), (None, None)])
+def test_repeated_digits(spark, raw, out):
+    assert one(spark, T.fix_repeated_digits, raw) == out
+
+
 def test_names(spark):
     key = lambda c: F.array_join(T.name_key(c), " ")
     assert one(spark, key, "Orsatti, Andrea Soledad") == one(spark, key, "Andrea Soledad Orsatti")
