@@ -21,7 +21,9 @@ SOUND_END = r"[.?!][»”\"')\]]*$|\(«[^«»]*»\)$"
 ADDRESS_LINE = r"(?:\n|^)[^\S\n]*(?:https?://|www\.)\S+$"
 TABLE_ROW = r"^\s*\d+(?:\s{2,}|\t|\s*\|\s*)\S.*\d\s*\|?$"
 NUMBERED_HEADING = r"^\p{Lu}\p{L}+ [IVXLC]+$"
-DATE_LINE = r"^[^.?!]{2,60}, \p{L}+(?: d[ei])? \d{4}$|^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}$"
+#: Month names of the five languages.
+MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre setiembre octubre noviembre diciembre january february march april may june july august september october november december janeiro fevereiro março maio junho julho setembro outubro novembro dezembro janvier février mars avril mai juin juillet août septembre octobre novembre décembre gennaio febbraio aprile maggio giugno luglio settembre ottobre dicembre".split()
+DATE_LINE = rf"(?i)^[^.?!]{{2,60}}, (?:{'|'.join(MONTHS)})(?: d[ei])? \d{{4}}$|^\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}$"
 LIST_LINE = r"^\p{L}[\p{L} -]{2,24}: ?\S[^.?!]*$"
 LIST_ITEM = r"^(?:[-•*·–]|\(?\d{1,3}[.)]|\(?\p{Ll}\))\s+\S[^.?!]*$"
 
@@ -75,7 +77,7 @@ def endings(df: DataFrame, titles: DataFrame, key: str = "doc_id", text: str = "
     ending: ``empty`` (NULL or blank text, never truncated), ``sound`` (sentence end), ``address``, ``table``, ``heading``,
     ``date``, ``list``, ``title`` (all complete), ``marked`` (an ellipsis or a broken character after the cut) or ``open``.
     A link or blanks after the ending are set aside first. A list that ends at a storage limit of its
-    source, or on a word unknown to titles, is truncated; at a limit no title is recognised. Duplicate keys give a row each; clashing extra columns are ignored.
+    source is truncated; at a limit no title is recognised. Duplicate keys give a row each; clashing extra columns are ignored.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     bare = F.regexp_replace(F.col("_text"), BLANK_END, "")
@@ -105,13 +107,12 @@ def endings(df: DataFrame, titles: DataFrame, key: str = "doc_id", text: str = "
     last = F.lower(F.regexp_extract(F.col("_line"), r"(\p{L}+)[^\p{L}]*$", 1))
     first = F.lower(F.regexp_extract(F.col("_line"), r"^[^\p{L}]*(\p{L}+)", 1))
     titled = (F.size(words) > 0) & ~last.isin(*FUNCTION_WORDS) & ~F.col("_line").rlike(r"\([^)]*$|[,;]$|[.?!] \p{Lu}")
-    checked = F.when(F.col("_kind") == "list", F.filter(F.array(F.regexp_extract(F.col("_line"), r"(\p{Ll}+)$", 1)), lambda w: w != "")).otherwise(F.array_union(words, F.array(first)))
-    maybe = known.where(((F.col("_kind") == "open") & ~F.col("_at") & titled) | (F.col("_kind") == "list")).select("_id", F.explode(checked).alias("word"))
+    maybe = known.where((F.col("_kind") == "open") & ~F.col("_at") & titled).select("_id", F.explode(F.array_union(words, F.array(first))).alias("word"))
     foreign = maybe.join(F.broadcast(title_words(titles)), "word", "left_anti").select("_id").distinct().withColumn("_foreign", F.lit(True))
     told = known.join(foreign, "_id", "left")
     title = (F.col("_kind") == "open") & ~F.col("_at") & titled & F.col("_foreign").isNull()
     told = told.withColumn("_kind", F.when(title, "title").otherwise(F.col("_kind")))
-    cut = F.col("_kind").isin("marked", "open") | ((F.col("_kind") == "list") & (F.col("_at") | F.col("_foreign").isNotNull()))
+    cut = F.col("_kind").isin("marked", "open") | ((F.col("_kind") == "list") & F.col("_at"))
     return told.select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_kind").alias("ending"), F.col("_at").alias("at_limit"), cut.alias("truncated"))
 
 
