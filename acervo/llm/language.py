@@ -145,6 +145,9 @@ def segment_batch(texts: list[str], model: Filter) -> list[list[tuple[str, float
     masks = model.masks[0][first] & model.masks[1][second]
     # an n-gram of blanks alone, or that begins with two, tells nothing
     masks[(codes == 32) & (np.append(codes[1:], 32) == 32)] = 0
+    stops = np.cumsum([len(t) + 1 for t in texts]) - 1
+    for k in range(GRAM):  # nor does one that reaches into the next text
+        masks[np.maximum(stops - k, 0)] = 0
     told = np.concatenate([[0], np.cumsum(codes != 32)])
     sums = np.stack([np.concatenate([[0], np.cumsum(masks >> k & 1)]) for k in range(len(LANGUAGES))], axis=1)
     out: list[list[tuple[str, float, int, int]]] = []

@@ -209,3 +209,11 @@ def test_subjects(spark):
     assert cases == {"two", None}
     assert subjects.assign(df.limit(0), "id", "body", "declared", model).count() == 0
     assert subjects.fit(df.limit(0).select(F.col("declared").alias("area"), F.col("body").alias("text")), sorted(words)).vocab == {}
+
+
+def test_segments_do_not_depend_on_neighbours(spark):
+    model = language.train(spark.createDataFrame([(k, t) for k, t in TEXTS.items()], "lang string, text string"))
+    texts = [TEXTS["es"], TEXTS["en"] + TEXTS["fr"], "", TEXTS["pt"], "«cita» corta"]
+    alone = [language.segment_batch([t], model)[0] for t in texts]
+    assert language.segment_batch(texts, model) == alone
+    assert language.segment_batch(texts[::-1], model)[::-1] == alone
