@@ -65,7 +65,7 @@ def quota(have: DataFrame, pool: DataFrame, label: str, key: str, target: int) -
     """Rows of ``pool`` not yet in ``have`` that fill each label up to ``target``, least keys first."""
     held = have.groupBy(label).agg(F.count("*").alias("_have"))
     missing = pool.join(have.select(key), key, "left_anti").withColumn("_n", F.row_number().over(W.partitionBy(label).orderBy(key)))
-    return missing.join(F.broadcast(held), label, "left").where(F.col("_n") <= F.greatest(F.lit(0), target - F.coalesce("_have", F.lit(0)))).drop("_n", "_have")
+    return missing.join(held, label, "left").where(F.col("_n") <= F.greatest(F.lit(0), target - F.coalesce("_have", F.lit(0)))).drop("_n", "_have")
 
 
 def distinct_ignoring_case(values: Column) -> Column:

@@ -95,7 +95,7 @@ def breakdown(pairs: DataFrame, system: str = "system", field: str = "field", tr
     """Outcomes of fields whose truth is mostly there and whose prediction is often absent; invented values are left out."""
     stats = null_statistics(pairs, system, field).where((F.col("truth_null_share") < truth_below) & (F.col("pred_null_share") > pred_above)).select(system, field)
     p, t, m = F.col("has_pred"), F.col("has_truth"), F.col("match")
-    rows = with_match(pairs).join(F.broadcast(stats), [system, field])
+    rows = with_match(pairs).join(stats, [system, field])
     return rows.groupBy(system, field).agg(F.count_if(~p & ~t).alias("null_match"), F.count_if(~p & t).alias("null_mismatch"), F.count_if(p & t & m).alias("ok_match"), F.count_if(p & t & ~m).alias("wrong"))
 
 
