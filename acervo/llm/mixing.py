@@ -91,7 +91,7 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
         goal = {r["source"]: r["target_share"] * r["total_ratio"] * total for r in mine}
         caps = {r["source"]: float(r["max_repeats"]) for r in mine}
         rate = rates(groups, goal, caps).select("group", "rate", "cap")
-        used = rows.join(F.broadcast(rate), "group").where("rate > 0")
+        used = rows.join(rate, "group").where("rate > 0")
         used = used.withColumn("base", F.floor("rate").cast("int")).withColumn("part", F.col("rate") - F.floor("rate"))
         used = used.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(name)), F.lit(1 << 12)).cast("int"))
         # the buckets of a group in turn, until their tokens are the fraction the rate asks for: at most 4096 per group

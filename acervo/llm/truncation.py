@@ -97,21 +97,21 @@ def endings(df: DataFrame, titles: DataFrame, key: str = "doc_id", text: str = "
         .when(line.rlike(LIST_ITEM), "list")
         .otherwise("open")
     )
-    rows = rows.withColumn("_kind", kind).withColumn("_id", F.monotonically_increasing_id())
-    limits = storage_limits(df, text, source).where(F.col("measure").isin("chars", "utf8", "utf16", "html", "json", "json_ascii", "crlf"))
     at = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("size")) for k, v in lengths(F.col("_text")).items()])
-    per_source = limits.groupBy("source").agg(F.collect_set(F.struct("measure", "size")).alias("_limits"))
-    known = rows.join(F.broadcast(per_source), F.col("_source").eqNullSafe(F.col("source")), "left").drop("source")
-    known = known.withColumn("_at", F.coalesce(F.arrays_overlap(at, F.col("_limits")), F.lit(False)))
+    # from here on a row is a key, a line and a few sizes: no text is shuffled
+    rows = rows.select("_key", "_source", "_line", kind.alias("_kind"), at.alias("_sizes"))
+    per_source = storage_limits(df, text, source).groupBy("source").agg(F.collect_set(F.struct("measure", "size")).alias("_limits"))
+    known = rows.join(per_source, F.col("_source").eqNullSafe(F.col("source")), "left").drop("source")
+    known = known.select("_key", "_source", "_line", "_kind", F.coalesce(F.arrays_overlap("_sizes", "_limits"), F.lit(False)).alias("_at"))
     words = F.filter(F.regexp_extract_all(F.col("_line"), F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: F.lower(w) == w)
     last = F.lower(F.regexp_extract(F.col("_line"), r"(\p{L}+)[^\p{L}]*$", 1))
     first = F.lower(F.regexp_extract(F.col("_line"), r"^[^\p{L}]*(\p{L}+)", 1))
     titled = (F.size(words) > 0) & ~last.isin(*FUNCTION_WORDS) & ~F.col("_line").rlike(r"\([^)]*$|[,;]$|[.?!] \p{Lu}")
-    maybe = known.where((F.col("_kind") == "open") & ~F.col("_at") & titled).select("_id", F.explode(F.array_union(words, F.array(first))).alias("word"))
-    foreign = maybe.join(F.broadcast(title_words(titles)), "word", "left_anti").select("_id").distinct().withColumn("_foreign", F.lit(True))
-    told = known.join(foreign, "_id", "left")
-    title = (F.col("_kind") == "open") & ~F.col("_at") & titled & F.col("_foreign").isNull()
-    told = told.withColumn("_kind", F.when(title, "title").otherwise(F.col("_kind")))
+    maybe = F.coalesce((F.col("_kind") == "open") & ~F.col("_at") & titled, F.lit(False))
+    lines = known.where(maybe).select("_line").distinct()
+    foreign = lines.select("_line", F.explode(F.array_union(words, F.array(first))).alias("word")).join(F.broadcast(title_words(titles)), "word", "left_anti").select("_line").distinct()
+    asked = known.where(maybe).join(foreign.withColumn("_foreign", F.lit(True)), "_line", "left")
+    told = known.where(~maybe).select("_key", "_source", "_kind", "_at").unionByName(asked.select("_key", "_source", F.when(F.col("_foreign"), "open").otherwise("title").alias("_kind"), "_at"))
     cut = F.col("_kind").isin("marked", "open") | ((F.col("_kind") == "list") & F.col("_at"))
     return told.select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_kind").alias("ending"), F.col("_at").alias("at_limit"), cut.alias("truncated"))
 
