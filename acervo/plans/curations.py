@@ -161,7 +161,7 @@ def timing_spread(spark, sf_dir):
 def compare_sides(spark, sf_dir):
     h = F.sha2(F.coalesce("title", F.lit("")), 256)
     a = curated(spark, sf_dir).where("id is not null").select("id", h.alias("a"))
-    b = dataset(spark, sf_dir, "title").select("id", h.alias("b"))
+    b = dataset(spark, sf_dir, b=h)
     outcome = F.when(F.col("a").isNull(), "only dataset").when(F.col("b").isNull(), "only export").when(F.col("a") == F.col("b"), "same").otherwise("differs")
     return a.join(b, "id", "full_outer").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("ids"))
 
@@ -214,7 +214,7 @@ def presence_profile(spark, sf_dir):
 @query("null_fields_pruned", f"SELECT sum((abstract IS NULL OR trim(abstract) = '')::INT + (title IS NULL OR trim(title) = '')::INT + (language IS NULL OR trim(language) = '')::INT + (subject IS NULL OR trim(subject) = '')::INT)::BIGINT AS removed FROM {S.DATASET}")
 def null_fields_pruned(spark, sf_dir):
     n = sum((T.is_blank(F.col(c)).cast("int") for c in ("abstract", "title", "language", "subject")), F.lit(0))
-    return dataset(spark, sf_dir, "abstract", "title", "language", "subject").agg(F.sum(n).alias("removed"))
+    return dataset(spark, sf_dir, blank=n).agg(F.sum("blank").alias("removed"))
 
 
 @query("type_spellings", f"SELECT doc_type, CASE WHEN contains(lower(doc_type), 'tesis') THEN 'Tesis' WHEN contains(lower(doc_type), 'articulo') THEN 'Articulo' WHEN contains(lower(doc_type), 'libro') THEN 'Libro' WHEN contains(lower(doc_type), 'conferencia') THEN 'Conferencia' ELSE 'Other' END AS kind, upper(doc_type[1:1]) || doc_type[2:] AS shown, count(*) AS n FROM {S.DATASET} GROUP BY 1, 2, 3")

@@ -214,8 +214,9 @@ def token_recall(spark, sf_dir):
     from acervo.plans.texts import dataset
 
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    df = dataset(spark, sf_dir, "title", "abstract").where("title is not null and abstract is not null").select("id", tokens("title").alias("a"), tokens("abstract").alias("b"))
-    return df.select("id", F.round(F.when(F.size("b") > 0, F.size(F.array_intersect("a", "b")).cast("double") / F.size("b")), 6).alias("recall"))
+    a, b = tokens("title"), tokens("abstract")
+    recall = F.round(F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)).cast("double") / F.size(b)), 6)
+    return dataset(spark, sf_dir, given=F.col("title").isNotNull() & F.col("abstract").isNotNull(), recall=recall).where("given").drop("given")
 
 
 @query(

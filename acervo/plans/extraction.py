@@ -81,12 +81,12 @@ def keyword_sections(spark, sf_dir):
 
 @query("found_abstracts")
 def found_abstracts(spark, sf_dir):
-    return P.abstracts(dataset(spark, sf_dir, "original_text"), "id", "original_text")
+    return P.abstracts(read_table(spark, sf_dir, "dataset", ["id", "original_text"]), "id", "original_text").distinct()
 
 
 @query("abstract_similarity")
 def abstract_similarity(spark, sf_dir):
-    found = P.abstracts(dataset(spark, sf_dir, "original_text"), "id", "original_text").withColumnRenamed("abstract", "found")
+    found = found_abstracts(spark, sf_dir).withColumnRenamed("abstract", "found")
     both = dataset(spark, sf_dir, "abstract").where("abstract is not null").select("id", "abstract").join(found, "id", "left")
     score = P.similarity(F.col("abstract"), F.col("found"))
     outcome = F.when(F.col("found").isNull(), "missing").when(F.col("score") == 1, "exact").when(F.col("score") >= 0.8, "high").when(F.col("score") >= 0.5, "close").otherwise("poor")
@@ -99,7 +99,8 @@ def abstract_similarity(spark, sf_dir):
         FROM (SELECT id, string_split(original_text, chr(10)) AS lines FROM {S.DATASET} WHERE original_text IS NOT NULL)), (SELECT unnest([1, 2, 3, 4, 5]) AS i) WHERE p > 0 AND p + i <= len(lines)""",
 )
 def lines_after_heading(spark, sf_dir):
-    return P.lines_after(dataset(spark, sf_dir, "original_text").where("original_text is not null"), "id", "original_text", "^(Resumen|Abstract|Resumo)$")
+    df = read_table(spark, sf_dir, "dataset", ["id", "original_text"]).where("original_text is not null")
+    return P.lines_after(df, "id", "original_text", "^(Resumen|Abstract|Resumo)$").distinct()
 
 
 @query(

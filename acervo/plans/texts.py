@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,9 +26,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def dataset(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """One row per record key: deliveries differ in harvested_at alone, so the rows without it are made distinct."""
-    df = read_table(spark, sf_dir, "dataset", ["id", "harvested_at", *columns])
+def dataset(spark: SparkSession, sf_dir: str, *columns: str, **derived: Column) -> DataFrame:
+    """One row per record key, the latest delivery (deliveries differ in harvested_at alone): ``id``, columns, derived values.
+
+    Derived values are computed before rows are brought together by key, so that a text is not shuffled for a number.
+    """
+    df = read_table(spark, sf_dir, "dataset").select("id", "harvested_at", *columns, *[c.alias(k) for k, c in derived.items()])
     return df.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("harvested_at")))).where("_n = 1").drop("_n", "harvested_at")
 
 
@@ -101,7 +104,7 @@ def hyphens_joined(spark, sf_dir):
 )
 def cid_profiles(spark, sf_dir):
     p = T.cid_profile(F.col("original_text"))
-    out = dataset(spark, sf_dir, "original_text").where("original_text is not null").select("id", p["cid_count"].alias("cid_count"), p["cid_distinct"].alias("cid_distinct"), F.round(p["cid_percent"], 6).alias("cid_percent"))
+    out = dataset(spark, sf_dir, cid_count=p["cid_count"], cid_distinct=p["cid_distinct"], cid_percent=F.round(p["cid_percent"], 6))
     return out.where("cid_count > 0")
 
 
@@ -116,7 +119,7 @@ _CID = "100.0 * coalesce(list_sum(list_transform(regexp_extract_all(original_tex
 def cid_filter_counts(spark, sf_dir):
     p = F.coalesce(T.cid_profile(F.col("original_text"))["cid_percent"], F.lit(0.0))
     status = F.when(p >= 70, "removed").when(p > 5, "cleaned").otherwise("kept")
-    return dataset(spark, sf_dir, "original_text").groupBy(status.alias("status")).agg(F.count("*").alias("records"))
+    return dataset(spark, sf_dir, status=status).groupBy("status").agg(F.count("*").alias("records"))
 
 
 @query("cid_dropped", f"SELECT id, trim(regexp_replace(regexp_replace(original_text, '\\(cid:[0-9]+\\)', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS clean FROM {S.DATASET} WHERE contains(original_text, '(cid:')")
@@ -131,7 +134,7 @@ def cid_dropped(spark, sf_dir):
 )
 def corpus_corruption(spark, sf_dir):
     p = T.cid_profile(F.coalesce(F.col("original_text"), F.lit("")))
-    df = dataset(spark, sf_dir, "original_text", "doc_type").select("doc_type", *[c.alias(k) for k, c in p.items()])
+    df = dataset(spark, sf_dir, "doc_type", **p)
     return df.groupBy("doc_type").agg(F.count("*").alias("records"), F.count_if(F.col("cid_count") > 0).alias("with_cid"), F.count_if((F.col("cid_percent") > 5) | (F.col("cid_distinct") > 20)).alias("significant"))
 
 
@@ -181,10 +184,12 @@ def identifier_formats(spark, sf_dir):
         FROM {S.DATASET} WHERE issn IS NOT NULL OR isbn IS NOT NULL""",
 )
 def identifier_in_text(spark, sf_dir):
-    df = dataset(spark, sf_dir, "issn", "isbn", "original_text").where("issn is not null or isbn is not null")
     none = F.coalesce("original_text", F.lit("")) == ""
     t = F.col("original_text")
-    return df.select("id", F.when(none | t.contains(F.col("issn")), F.col("issn")).alias("issn"), F.when(none | t.contains(F.col("isbn")) | t.contains(F.regexp_replace("isbn", "[^0-9]", "")), F.col("isbn")).alias("isbn"))
+    issn = F.when(none | t.contains(F.col("issn")), F.col("issn"))
+    isbn = F.when(none | t.contains(F.col("isbn")) | t.contains(F.regexp_replace("isbn", "[^0-9]", "")), F.col("isbn"))
+    df = dataset(spark, sf_dir, given=F.col("issn").isNotNull() | F.col("isbn").isNotNull(), issn_kept=issn, isbn_kept=isbn).where("given")
+    return df.select("id", F.col("issn_kept").alias("issn"), F.col("isbn_kept").alias("isbn"))
 
 
 @query(
@@ -193,7 +198,8 @@ def identifier_in_text(spark, sf_dir):
 )
 def uri_in_text(spark, sf_dir):
     low = F.lower("original_text")
-    return dataset(spark, sf_dir, "original_text", "sedici_uri", "rightsurl").agg(F.count("*").alias("records"), F.count_if(low.contains(F.lower("sedici_uri"))).alias("own_uri"), F.count_if(low.contains(F.lower("rightsurl"))).alias("rights_url"))
+    df = dataset(spark, sf_dir, own=low.contains(F.lower("sedici_uri")), rights_in=low.contains(F.lower("rightsurl")))
+    return df.agg(F.count("*").alias("records"), F.count_if("own").alias("own_uri"), F.count_if("rights_in").alias("rights_url"))
 
 
 @query(
@@ -201,8 +207,9 @@ def uri_in_text(spark, sf_dir):
     f"""SELECT doc_type, count(*) AS records, count(*) FILTER (contains(lower(original_text), lower(title))) AS found FROM {S.DATASET} WHERE title <> '' AND original_text <> '' GROUP BY doc_type""",
 )
 def title_in_text(spark, sf_dir):
-    df = dataset(spark, sf_dir, "title", "original_text", "doc_type").where("title <> '' and original_text <> ''")
-    return df.groupBy("doc_type").agg(F.count("*").alias("records"), F.count_if(F.lower("original_text").contains(F.lower("title"))).alias("found"))
+    both = (F.col("title") != "") & (F.col("original_text") != "")
+    df = dataset(spark, sf_dir, "doc_type", both=both, inside=F.lower("original_text").contains(F.lower("title"))).where("both")
+    return df.groupBy("doc_type").agg(F.count("*").alias("records"), F.count_if("inside").alias("found"))
 
 
 @query("volume_issues", f"SELECT DISTINCT journalvolumeandissue AS raw, {S.volume_issue('journalvolumeandissue')} AS clean FROM dataset WHERE journalvolumeandissue IS NOT NULL")
@@ -264,5 +271,5 @@ def repeated_digits(spark, sf_dir):
 @query("identifier_tally", f"SELECT doc_type, count(*) FILTER (contains(original_text, issn)) AS issn_ok, count(*) FILTER (NOT contains(original_text, issn)) AS issn_missing, count(*) FILTER (contains(original_text, isbn)) AS isbn_ok, count(*) FILTER (NOT contains(original_text, isbn)) AS isbn_missing FROM {S.DATASET} GROUP BY doc_type")
 def identifier_tally(spark, sf_dir):
     t = F.col("original_text")
-    df = dataset(spark, sf_dir, "doc_type", "issn", "isbn", "original_text")
-    return df.groupBy("doc_type").agg(*[F.count_if(c).alias(n) for n, c in {"issn_ok": t.contains(F.col("issn")), "issn_missing": ~t.contains(F.col("issn")), "isbn_ok": t.contains(F.col("isbn")), "isbn_missing": ~t.contains(F.col("isbn"))}.items()])
+    df = dataset(spark, sf_dir, "doc_type", i=t.contains(F.col("issn")), b=t.contains(F.col("isbn")))
+    return df.groupBy("doc_type").agg(*[F.count_if(c).alias(n) for n, c in {"issn_ok": F.col("i"), "issn_missing": ~F.col("i"), "isbn_ok": F.col("b"), "isbn_missing": ~F.col("b")}.items()])
