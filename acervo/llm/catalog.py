@@ -84,14 +84,18 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_counts(_overlaps(spark, sf_dir), read_table(spark, sf_dir, "dataset", ["id", "source"]))
 
 
-def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_table(spark, sf_dir, "dataset", ["id", "title", "original_text"])
     trusted = trusted_words(df, "original_text")
-    return find_garbled(df, "id", ["title", "original_text"], trusted).distinct()
+    return find_garbled(df, "id", ["title", "original_text"], trusted)
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_restored(spark, sf_dir).select("id", "field").distinct()
+    return _garbled(spark, sf_dir).select("id", "field").distinct()
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:

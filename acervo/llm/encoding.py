@@ -23,7 +23,12 @@ SINGLE_BYTE = ("mac_roman", "cp850", "cp1251", "cp437", "cp1250", "koi8_r")
 SOUND = "áàâãäéèêëíìîïóòôõöúùûüñçýœæÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑÇŒ¿¡ªº«»"
 LOST = "�"
 #: Rows that may be garbled, tested in the JVM: signs and scripts beyond the sound letters, capitals inside a word, lone lead letters.
-SUSPECT = r"[^\x{00}-\x{7F}áàâãéèêíìîóòôõúùûüñçÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛÜÑÇ¿¡ªº«»\x{2010}-\x{2015}‘’“”…\x{AD}\x{A0}´¬·•°ıﬁﬂ]|\p{Ll}[ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇ]|[ÃÂ][^\p{L} ]|\p{L}[·°]|[·°‡‚„]\p{L}|\p{Ll}ı"
+#: One class with a cheap test for ASCII leads; only what it lets through is looked at closer.
+_CLOSER = "ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇ·°ı"
+SUSPECT = (
+    r"[\x{80}-\x{10FFFF}&&[^áàâãéèêíìîóòôõúùûüñç¿¡ªº«»\x{AD}\x{A0}´¬\x{2010}-\x{2015}‘’“”…•ﬁﬂ]]"
+    rf"(?:(?<![{_CLOSER}])|(?<=\p{{Ll}}[ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇı])|(?<=[ÃÂ])[^\p{{L}} ]|(?<=\p{{L}}[·°])|(?<=[·°])\p{{L}})"
+)
 #: Signs of damage that hold even where nothing can be decoded: lost characters, controls, a lead letter inside a lower-case word, table-drawing or mixed-script letters next to Latin ones, a sign or accented capital between small letters.
 RESIDUE = re.compile(r"�|[\x80-\x9f]|[a-zß-ÿ][ÃÂ](?![A-ZÀ-Þ])|[A-Za-z][√├┬╔╗│▒║┤][^\s]|[√├┬][^\s\d]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]|Ã[‚ƒ€†]|â€|[a-z][ÀÁÂÈÉÊÌÍÎÒÔÙÚÛÝÞ±¾§þ³¹][a-z]")
 TOKEN = re.compile(r"[^\s.,;:()\[\]!?\"'’/-]+")
