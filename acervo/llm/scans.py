@@ -319,12 +319,13 @@ def corpus_statistics(df: DataFrame, text: str, trusted: dict[str, int], share:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compounds: Counter[str] = Counter()
         for b in batches:
-            codes = np.fromiter(map(number.get, WORD.findall(f"\n{BETWEEN}\n".join(b["t"]).lower()), repeat(-1)), np.int64)
+            low = f"\n{BETWEEN}\n".join(b["t"]).lower()
+            codes = np.fromiter(map(number.get, WORD.findall(low), repeat(-1)), np.int64)
             a, z = codes[:-1], codes[1:]
             pairs, n = np.unique((a * len(words) + z)[(a >= 0) & (z >= 0)], return_counts=True)
-            for t in b["t"]:
-                if "-" in t:
-                    compounds.update(COMPOUND.findall(t.lower()))
+            for token in low.split():
+                if "-" in token:
+                    compounds.update(COMPOUND.findall(token))
             yield pd.DataFrame({"pair": pairs, "word": None, "n": n}).astype({"word": "object"})
         yield pd.DataFrame({"pair": -1, "word": list(compounds), "n": list(compounds.values())}).astype({"pair": "int64", "word": "object", "n": "int64"})
 
