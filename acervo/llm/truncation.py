@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 FUNCTION_WORDS = tuple(
     "a al con da das de degli dei del della delle des di do dos du e el en em et for from in la las le les lo los no na of o os on or par para per por que se su the to un una und with y à é è".split()
 )
-MARK = r"(?:\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|\x{FFFD}+))+\s*$"
-BLANK_END = r"[\s\x{00A0}\x{FEFF}\x{200B}]+$"
+MARK = r"(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|\x{FFFD}+)\s*$"
+BLANKS = " \t\n\r\f\v\x85\xa0\u2028\u2029\ufeff\u200b"
 SOUND_END = r"[.?!][»”\"')\]]*$|\(«[^«»]*»\)$"
-ADDRESS_LINE = r"(?:\n|^)[^\S\n]*(?:https?://|www\.)\S+$"
+ADDRESS_LINE = r"^\s*(?:https?://|www\.)\S+$"
 TABLE_ROW = r"^\s*\d+(?:\s{2,}|\t|\s*\|\s*)\S.*\d\s*\|?$"
 NUMBERED_HEADING = r"^\p{Lu}\p{L}+ [IVXLC]+$"
 #: Month names of the five languages.
@@ -28,22 +28,24 @@ LIST_LINE = r"^\p{L}[\p{L} -]{2,24}: ?\S[^.?!]*$"
 LIST_ITEM = r"^(?:[-•*·–]|\(?\d{1,3}[.)]|\(?\p{Ll}\))\s+\S[^.?!]*$"
 
 
-def _hits(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
 def lengths(text: Column) -> dict[str, Column]:
     """The size of a text as different stores count it, each one expression over the text."""
+
+    def n(*signs: str) -> Column:
+        """How many of the signs there are; a sign that does not occur costs one search of the bytes."""
+        return sum((F.char_length(text) - F.char_length(F.replace(text, F.lit(x), F.lit(""))) for x in signs), F.lit(0).cast("long"))
+
     chars = F.char_length(text).cast("long")
-    astral = _hits(text, r"[\x{10000}-\x{10FFFF}]")
+    wide, astral = F.regexp_count(text, F.lit(r"[\x{80}-\x{10FFFF}]")), F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    escaped = n('"', "\\", "\n", "\r", "\t")
     return {
         "chars": chars,
         "utf8": F.octet_length(text).cast("long"),
         "utf16": 2 * (chars + astral),
-        "html": chars + 4 * _hits(text, "[&]") + 3 * _hits(text, "[<>]") + 5 * _hits(text, "[\"']"),
-        "json": chars + _hits(text, r'["\\\n\r\t]'),
-        "json_ascii": chars + _hits(text, r'["\\\n\r\t]') + 5 * _hits(text, r"[^\x{00}-\x{7F}]") + 6 * astral,
-        "crlf": chars + _hits(text, r"\n"),
+        "html": chars + 4 * n("&") + 3 * n("<", ">") + 5 * n('"', "'"),
+        "json": chars + escaped,
+        "json_ascii": chars + escaped + 5 * wide + 6 * astral,
+        "crlf": chars + n("\n"),
     }
 
 
@@ -80,15 +82,16 @@ def endings(df: DataFrame, titles: DataFrame, key: str = "doc_id", text: str = "
     source is truncated; at a limit no title is recognised. Duplicate keys give a row each; clashing extra columns are ignored.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
-    bare = F.regexp_replace(F.col("_text"), BLANK_END, "")
-    linked = bare.rlike(ADDRESS_LINE)
-    rows = rows.withColumn("_bare", F.regexp_replace(F.regexp_replace(bare, ADDRESS_LINE, ""), BLANK_END, "")).withColumn("_linked", linked)
+    bare = F.rtrim(F.col("_text"), F.lit(BLANKS))
+    rows = rows.withColumn("_bare", bare).withColumn("_tail", F.substring_index("_bare", "\n", -1)).withColumn("_linked", F.col("_tail").rlike(ADDRESS_LINE))
+    before_link = F.rtrim(F.substring(F.col("_bare"), F.lit(1), F.char_length("_bare") - F.char_length("_tail")), F.lit(BLANKS))
+    rows = rows.withColumn("_bare", F.when(F.col("_linked"), before_link).otherwise(F.col("_bare")))
     rows = rows.withColumn("_line", F.substring_index("_bare", "\n", -1))
     line = F.col("_line")
     kind = (
-        F.when(F.coalesce(F.col("_text"), F.lit("")).rlike(r"^[\s\x{00A0}]*$"), "empty")
+        F.when(F.col("_text").isNull() | ((F.col("_bare") == "") & ~F.col("_linked")), "empty")
         .when(F.col("_linked") & (F.col("_bare") == ""), "address")
-        .when(F.col("_bare").rlike(MARK), "marked")
+        .when(line.rlike(MARK), "marked")
         .when(line.rlike(SOUND_END), "sound")
         .when(line.rlike(TABLE_ROW), "table")
         .when(line.rlike(NUMBERED_HEADING), "heading")
