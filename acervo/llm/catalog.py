@@ -157,4 +157,20 @@ QUERIES = {
     "p10_rates": p10_rates,
     "p10_limits": p10_limits,
 }
-ORACLE_SQL: dict[str, str] = {}
+_N = lambda pattern: f"len(regexp_extract_all(text, '{pattern}'))"
+_ESCAPED = _N('["\\\\\\n\\r\\t]')
+_ASTRAL = _N("[\\x{10000}-\\x{10FFFF}]")
+_SIZES = {
+    "chars": "length(text)",
+    "utf8": "strlen(text)",
+    "utf16": f"2 * (length(text) + {_ASTRAL})",
+    "html": f"length(text) + 4 * {_N('&')} + 3 * {_N('[<>]')} + 5 * ({_N(chr(34))} + len(string_split(text, chr(39))) - 1)",
+    "json": f"length(text) + {_ESCAPED}",
+    "json_ascii": f"length(text) + {_ESCAPED} + 5 * {_N('[^\\x00-\\x7F]')} + 6 * {_ASTRAL}",
+    "crlf": f"length(text) + {_N('\\n')}",
+}
+_SIZED = " UNION ALL ".join(f"SELECT source, '{k}' AS measure, ({v})::BIGINT AS size FROM documents WHERE text IS NOT NULL" for k, v in _SIZES.items())
+ORACLE_SQL: dict[str, str] = {
+    "p10_limits": f"""SELECT * FROM (SELECT *, (sum(texts) OVER (PARTITION BY source, measure ORDER BY size RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING) - texts)::DOUBLE / 50 AS around
+        FROM (SELECT source, measure, size, count(*) AS texts FROM ({_SIZED}) GROUP BY ALL)) WHERE texts >= 8 AND texts > 8 * (around + sqrt(around)) AND size >= 100""",
+}
