@@ -1,4 +1,4 @@
-"""Same or near-same records across splits: an exact prefix-filter join on rare shingles, evaluation against training.
+"""Same or near-same records across splits: an exact prefix-filter join on shingles, evaluation against training.
 
 Texts are compared by a skeleton that damage does not change: wrong decoding undone, accents and typography dropped,
 hyphenated words joined, spaced and tripled letters closed up, and letters that scanners confuse folded together.
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.hashcounts import counts_of, may_hold
+from acervo.llm.hashcounts import counts_of
 from acervo.llm.encoding import decode_spans, decode_words
 from acervo.llm.lexicon import trusted_words
 from acervo.sources import cut
@@ -36,8 +36,9 @@ for _a, _b in zip(FOLD_FROM, FOLD_TO):
     _TABLE[_a] = _b
 FOLD = bytes(_TABLE)
 REPEATED = re.compile(rb"([a-z])\1+")
-RARE, PLAIN, WIDE = 0.12, 0.15, 8
-PLAIN_MARK = np.int64(0x5851F42D4C957F2D)
+#: Shingles of one side that a block of pairs holds at a time, HELD bytes each: 48 bits, so that two texts of a thousand
+#: words have one shingle in common by chance in 1 of 300 million pairs.
+BLOCK, HELD = 8_000_000, 6
 
 
 def fold(text: str) -> bytes:
@@ -91,11 +92,10 @@ def shingles(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, rare[first].view(np.int64)
 
 
-def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str, int], width: int = 5, few: int = 10) -> DataFrame:
-    """``key, split, content, rare, all``: the skeleton's hash and its shingles, a row per non-empty text.
+def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str, int], width: int) -> DataFrame:
+    """``key, split, content, n, all``: the skeleton's hash and its ``n`` distinct shingles of ``width`` words, a row per non-empty text.
 
-    all: the shingles with a rare word (``rare`` of them, first), then, for texts with fewer than ``few`` of these, every
-    shingle of WIDE words under a mark of its own (five common words are no rare shingle). Rows with NULL, empty or wordless text give no row.
+    Rows with NULL, empty or wordless text give no row.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,70 +104,94 @@ def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str,
             out = []
             for k, t, s in zip(b["key"], b["text"], b["split"]):
                 coded = skeleton(t, trusted, codes)
-                if not len(coded):
-                    continue
-                hashes, rank = shingles(coded, width)
-                rare = hashes[rank > 0]
-                every = np.concatenate([rare, shingles(coded, WIDE)[0] ^ PLAIN_MARK]) if len(rare) < few else rare
-                out.append((k, s, xxhash.xxh3_64_intdigest(coded.tobytes()) >> 1, len(rare), every.tobytes()))
-            yield pd.DataFrame(out, columns=["key", "split", "content", "rare", "all"])
+                if len(coded):
+                    every = np.unique(shingles(coded, width)[0] & ((1 << 8 * HELD) - 1))
+                    out.append((k, s, xxhash.xxh3_64_intdigest(coded.tobytes()) >> 1, len(every), every.view(np.uint8).reshape(-1, 8)[:, :HELD].tobytes()))
+            yield pd.DataFrame(out, columns=["key", "split", "content", "n", "all"])
 
     texts = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(split).alias("split"))
-    return texts.mapInPandas(rows, "key string, split string, content long, rare int, all binary")
+    return texts.mapInPandas(rows, "key string, split string, content long, n int, all binary")
 
 
-def _postings(known: DataFrame, frequency: np.ndarray | None = None) -> DataFrame:
-    """``shingle, content, size, pos, plain``: the first |x| - ceil(t|x|) + 1 shingles of each content, rarest first.
+def _once(side: DataFrame) -> DataFrame:
+    """``content, n, all``: each content once. Only contents whose residue is not alone are shuffled to be compared."""
+    rows = side.select("content", "n", "all")
+    held = counts_of(rows.select("content"))
 
-    The order is by how often the index holds a shingle (counted by residue), then by the shingle. Shingles that the
-    index cannot hold keep their place in the order but are not posted. Without ``frequency`` all shingles are posted.
-    """
+    def of(alone: bool):
+        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[(held[b["content"].to_numpy() & (len(held) - 1)] == 1) == alone]
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            arrays = [np.frombuffer(x, np.int64) for x in b["all"]]
-            total, rare = np.array([len(x) for x in arrays], np.int64), b["rare"].to_numpy(np.int64)
-            if not total.sum():
-                continue
-            # two groups per content: its rare shingles and, if there are any, all of them
-            n = np.stack([rare, total - rare], axis=1).ravel()
-            content, plain = np.repeat(b["content"].to_numpy(), 2), np.tile([False, True], len(b))
-            flat, group = np.concatenate(arrays), np.repeat(np.arange(len(n)), n)
-            if frequency is None:
-                yield pd.DataFrame({"shingle": flat, "content": content[group], "size": n[group].astype(np.int32), "pos": np.int32(0), "plain": plain[group]})
-                continue
-            threshold = np.where(plain, PLAIN, RARE)
-            often = frequency[flat & (len(frequency) - 1)]
-            order = np.lexsort((flat, often, group))
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            keep = (pos < (n - np.ceil(threshold * n) + 1)[group]) & (often[order] > 0)
-            at = group[keep]
-            yield pd.DataFrame({"shingle": flat[order][keep], "content": content[at], "size": n[at].astype(np.int32), "pos": pos[keep].astype(np.int32), "plain": plain[at]})
-
-    return known.select("content", "rare", "all").mapInPandas(post, "shingle long, content long, size int, pos int, plain boolean")
-
-
-def _candidates(known: DataFrame, training: str) -> DataFrame:
-    """``content_t, content_e``: pairs of contents that may reach the threshold on rare shingles, or on all of texts with few.
-
-    Evaluation prefixes are the index, training prefixes probe it; pairs must pass the length and position filters and
-    share as many prefix shingles as the threshold leaves them: of the shingles in common, those outside either prefix
-    all lie behind the same one, so they are fewer than the longer rest.
+        return rows.mapInPandas(some, rows.schema)
+
+    return of(True).unionByName(of(False).dropDuplicates(["content"]))
+
+
+def _set(raw: bytes) -> np.ndarray:
+    """The shingles of a content, sorted."""
+    out = np.zeros((len(raw) // HELD, 8), np.uint8)
+    out[:, :HELD] = np.frombuffer(raw, np.uint8).reshape(-1, HELD)
+    return out.view(np.int64).ravel()
+
+
+def close_pairs(t: pd.DataFrame, e: pd.DataFrame, same: float) -> pd.DataFrame:
+    """``content_t, content_e, similarity``: every pair of different contents whose shingles have a Jaccard coefficient of ``same`` or more.
+
+    A pair at the threshold shares at least ``same`` / (1 + ``same``) of both sizes together, and never less than ``same``
+    of the first. So the commonest shingles of a text, fewer than that, are left out at first: what the others meet in a
+    text, with those left out, must reach the least; pairs that may are counted in full.
+    """
+    empty = pd.DataFrame({"content_t": np.empty(0, np.int64), "content_e": np.empty(0, np.int64), "similarity": np.empty(0)})
+    if not len(t) or not len(e):
+        return empty
+    sets = [_set(x) for x in e["all"]]
+    sizes = np.array([len(x) for x in sets])
+    words, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[np.argsort(place, kind="stable")]
+    often = np.bincount(place)
+    start = np.cumsum(often) - often
+    part = same / (1 + same)
+    wanted = part * sizes - 1e-9
+    ids_t, ids_e = t["content"].to_numpy(), e["content"].to_numpy()
+    out = []
+    for i, raw in enumerate(t["all"]):
+        mine = _set(raw)
+        at = np.minimum(np.searchsorted(words, mine), len(words) - 1)
+        at = at[words[at] == mine]
+        left_out = int(np.ceil(same * len(mine) - 1e-9)) - 1
+        if len(at) <= left_out:
+            continue
+        first = at[np.argsort(often[at])][: len(at) - left_out]
+        n = often[first]
+        posted = owner[np.repeat(start[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        met = np.bincount(posted, minlength=len(sets))
+        for k in np.flatnonzero((met > 0) & (met - wanted >= part * len(mine) - left_out)):
+            shared = len(np.intersect1d(mine, sets[k], assume_unique=True))
+            similarity = shared / (len(mine) + len(sets[k]) - shared)
+            if similarity >= same and ids_t[i] != ids_e[k]:
+                out.append((ids_t[i], ids_e[k], similarity))
+    return pd.DataFrame(out, columns=empty.columns) if out else empty
+
+
+def _close(known: DataFrame, training: str, same: float) -> DataFrame:
+    """``content_t, content_e, similarity`` over all pairs of a training and another content, block by block.
+
+    A block holds about BLOCK shingles of either side, so its memory is bounded; a side is sent once to each block of the other.
     """
-    once = lambda side: known.where(side).select("content", "rare", "all").dropDuplicates(["content"])
-    index = once(F.col("split") != training)
-    frequency = counts_of(_postings(index).select("shingle"))
-    t = _postings(once(F.col("split") == training), frequency).withColumnsRenamed({"content": "content_t", "size": "size_t", "pos": "pos_t"}).drop("plain")
-    e = _postings(index, frequency).withColumnsRenamed({"content": "content_e", "size": "size_e", "pos": "pos_e"})
-    threshold = F.when(F.col("plain"), PLAIN).otherwise(RARE)
-    least = F.ceil(threshold / (1 + threshold) * (F.col("size_t") + F.col("size_e")) - 1e-9)
-    fits = (F.col("size_t") >= threshold * F.col("size_e")) & (F.col("size_e") >= threshold * F.col("size_t"))
-    # shingles before both positions may be common too, those after them at most as many as the shorter rest
-    reach = 1 + F.least(F.col("size_t") - F.col("pos_t") - 1, F.col("size_e") - F.col("pos_e") - 1) + F.least("pos_t", "pos_e")
-    met = t.join(e, "shingle").where(fits & (reach >= least) & (F.col("content_t") != F.col("content_e")))
-    met = met.groupBy("content_t", "content_e", "size_t", "size_e", "plain").agg(F.count("*").alias("met"))
-    rest = F.greatest(F.ceil(threshold * F.col("size_t")), F.ceil(threshold * F.col("size_e"))) - 1
-    return met.where(F.col("met") >= least - rest).select("content_t", "content_e").distinct()
+    sides = {True: known.where(F.col("split") == training), False: known.where(F.col("split") != training)}
+    n = {r["t"]: r["n"] for r in known.groupBy((F.col("split") == training).alias("t")).agg(F.sum("n").alias("n")).collect()}
+    blocks = {k: -(-n.get(k, 0) // BLOCK) or 1 for k in sides}
+
+    def placed(k: bool) -> DataFrame:
+        own, other = ("bt", "be") if k else ("be", "bt")
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks[not k] - 1)))
+        return _once(sides[k]).select(F.pmod("content", F.lit(blocks[k])).cast("int").alias(own), every.alias(other), "content", "all")
+
+    def match(t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        return close_pairs(t, e, same)
+
+    return placed(True).groupBy("bt", "be").cogroup(placed(False).groupBy("bt", "be")).applyInPandas(match, "content_t long, content_e long, similarity double")
 
 
 def split_overlaps(
@@ -175,34 +199,19 @@ def split_overlaps(
 ) -> DataFrame:
     """``id_t, id_e, split_e, similarity``: every pair of a training row and a row of another split whose running text is (nearly) the same.
 
-    Pairs with one skeleton have similarity 1; others are verified by the Jaccard coefficient of ``near``-word shingles of
-    the whole skeletons, at least ``same``. Rows with NULL split, NULL or wordless text take part in no pair; repeated
-    deliveries of a key count once.
+    Pairs with one skeleton have similarity 1; for others it is the Jaccard coefficient of ``near``-word shingles of the
+    whole skeletons, at least ``same``; no such pair is left out. Rows with NULL split, NULL or wordless text take part in
+    no pair; repeated deliveries of a key count once.
     """
     trusted = trusted_words(df, text)
     columns = df.where(F.col(split).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(split).alias("_s"))
-    known = cut(contents(columns, "_k", "_t", "_s", trusted))
-    found = cut(_candidates(known, training))
-    wanted = found.select(F.col("content_t").alias("content")).unionByName(found.select(F.col("content_e").alias("content"))).distinct()
-    one = cut(known.select("content", "key").join(wanted, "content", "left_semi").groupBy("content").agg(F.min("key").alias("key")))
-    held = counts_of(one.select(F.xxhash64("key").alias("h")))
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = Codes({})
-        for b in batches:
-            b = b[may_hold(held, b["h"].to_numpy())]
-            yield pd.DataFrame([(k, shingles(skeleton(t, trusted, codes), near)[0]) for k, t in zip(b["key"], b["_t"])], columns=["key", "all"])
-
-    texts = columns.where(F.col("_t").isNotNull()).select(F.col("_k").alias("key"), "_t", F.xxhash64("_k").alias("h")).mapInPandas(sets, "key string, all array<long>")
-    texts = one.join(texts.dropDuplicates(["key"]), "key").select("content", "all")
-    both = found.join(texts.withColumnsRenamed({"content": "content_t", "all": "all_t"}), "content_t").join(texts.withColumnsRenamed({"content": "content_e", "all": "all_e"}), "content_e")
-    shared = F.size(F.array_intersect("all_t", "all_e"))
-    both = both.withColumn("similarity", shared / (F.size("all_t") + F.size("all_e") - shared)).where(F.col("similarity") >= same)
+    known = cut(contents(columns, "_k", "_t", "_s", trusted, near))
+    both = _close(known, training, same)
     sides = known.select("key", "split", "content").distinct()
     t = sides.where(F.col("split") == training).select(F.col("key").alias("id_t"), F.col("content").alias("content_t"))
     e = sides.where(F.col("split") != training).select(F.col("key").alias("id_e"), F.col("content").alias("content_e"), F.col("split").alias("split_e"))
     equal = t.join(e, F.col("content_t") == F.col("content_e")).select("id_t", "id_e", "split_e", F.lit(1.0).alias("similarity"))
-    close = both.select("content_t", "content_e", "similarity").join(t, "content_t").join(e, "content_e").select("id_t", "id_e", "split_e", "similarity")
+    close = cut(both).join(t, "content_t").join(e, "content_e").select("id_t", "id_e", "split_e", "similarity")
     return equal.unionByName(close).where(F.col("id_t") != F.col("id_e"))
 
 

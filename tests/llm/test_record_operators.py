@@ -87,6 +87,29 @@ def test_overlaps_equal_brute_force(spark):
     assert overlap.split_overlaps(df.limit(0)).count() == 0
 
 
+def test_overlap_of_a_text_of_common_words_with_a_damaged_copy(spark):
+    """One text has common words alone, its copy ten and more five-word shingles with a name or a damaged word."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("bdgmnprs") + rng.choice("aeo") for _ in range(3)) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(30)]
+    copy = texts[0].split()
+    for at, other in ((5, "Xantipkwa"), (15, "qwjkpaz"), (25, "Zwatkova"), (45, "kxpdwam")):
+        copy[at] = other
+    rows = [("a", texts[0], "training"), ("b", "Universidad Kwanpaxi\n" + " ".join(copy), "test"), *[(f"r{i}", t, "training") for i, t in enumerate(texts[1:])]]
+    df = spark.createDataFrame(rows, "id string, original_text string, split string")
+    assert {(r["id_t"], r["id_e"]) for r in overlap.split_overlaps(df).collect()} == {("a", "b")}
+
+
+def test_close_pairs_equal_brute_force_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 700)
+    rows = corpus(90, 11)
+    df = spark.createDataFrame(rows, "id string, original_text string, split string").repartition(3)
+    codes = overlap.Codes({})
+    sets = {k: (s, set(overlap.shingles(overlap.skeleton(t, {}, codes), 3)[0].tolist())) for k, t, s in rows}
+    want = {(a, b): len(x & y) / len(x | y) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" != u and len(x & y) / len(x | y) >= 0.35}
+    assert {(r["id_t"], r["id_e"]): r["similarity"] for r in overlap.split_overlaps(df).collect()} == pytest.approx(want) and len(want) > 5
+
+
 def test_hot_group_of_copies(spark):
     text = corpus(1)[0][1]
     rows = [(f"t{i}", text, "training") for i in range(40)] + [(f"e{i}", text, "test") for i in range(3)]
