@@ -43,12 +43,14 @@ LINE_MARKS = tuple("-\xad¬‐‑–")
 LINE_HYPHEN = re.compile(r"([^\W_]\S*?)([-\xad¬‐‑–])\s*$")
 SPACED_LETTERS = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){4,}[^\W\d_](?![^\W_])")
 TRIPLED = re.compile(r"([A-ZÀ-Þ])\1\1(?:([A-ZÀ-Þ])\2\2)+")
-BAD_EXTRACTION = re.compile(r"[ﬀ-ﬆı\ue000-\uf8ff]|[´¨˜~](?:[^\W\d_]|(?<=[^\W\d_].))|[0-9!|](?<=[^\W\d_].)[^\W\d_]|\(cid:\d+\)")
+BAD_EXTRACTION = re.compile(r"[ﬀ-ﬆı\ue000-\uf8ff]|[´¨˜~](?:[^\W\d_]|(?<=[^\W\d_].))|[0-9!|](?<=[^\W\d_].)[^\W\d_]|0(?<=[a-zà-ÿ]{2}0)(?!\w)|\(cid:\d+\)")
 #: Words that leave a sentence open; a line that ends on one is running text.
 OPEN_WORDS = frozenset(
     "a al and as con da das de degli dei del della delle des di do dos du e el em en et for from il in la las le les lo los na no of on or os per por que se su than the to un una und y à é o más hacia entre between around vers tra pour com with".split()
 )
 LOWER_WORD = re.compile(r"(?<![\w´¨~-])[^\W\d_]{4,}(?![\w´¨~(])")
+#: Words with digits or signs that scanners take for letters at the start or the end.
+EDGE_WORD = re.compile(r"(?<![\w´¨~.,-])(?:[0125689!|]{1,2}[^\W\d_]+|[^\W\d_]+[0125689!|]{1,2})(?![\w´¨~(-])")
 LONG_WORD = re.compile(r"[^\W\d_]{4,}")
 BETWEEN = "zzzzbetweentextszzzz"  # no word of any text, so no pair spans two texts
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
@@ -139,6 +141,16 @@ class Speller:
             self.cache[plain] = sorted((c, m) for m, c in found.items())
         return self.cache[plain]
 
+    def edge(self, word: str, before: str = "") -> str | None:
+        """The trusted word meant by one of EDGE_WORD; two signs ("e1") only where that word is known to follow ``before``."""
+        if len(word) > 3:
+            return self.correct(word, before) if word.islower() or self.looks_known(word.lower()) else None
+        plain = [""]
+        for c in bare(word.lower()):
+            plain = [x + m for x in plain for m in ([meant for seen, meant in CONFUSIONS if seen == c] if not c.isalpha() else [c])]
+        found = [w for x in plain if (w := self.spelled.get(x)) and (len(word) == 3 or (not word.startswith("1") and (before, w) in self.bigrams))]
+        return max(found, key=lambda w: (self.bigrams.get((before, w), 0), self.counts[bare(w)]), default=None)
+
     def correct(self, word: str, before: str = "") -> str | None:
         """The trusted word meant, by cost, then how often it follows ``before``, then its count; None if there is none."""
         found = self.candidates(word)
@@ -274,6 +286,13 @@ def repair(text: str, trusted: dict[str, int], speller: Speller, compounds: froz
                     kinds.add("chars")
                     if not rebuild:
                         break
+        for m in EDGE_WORD.finditer(flat) if rebuild or "chars" not in kinds else ():
+            previous = WORD.findall(flat[max(0, m.start() - 30) : m.start()])
+            if fixed := speller.edge(m[0], previous[-1].lower() if previous else ""):
+                fixes[m.span()] = fixed
+                kinds.add("chars")
+                if not rebuild:
+                    break
         if rebuild:
             for (a, b), fixed in sorted(fixes.items(), reverse=True):
                 flat = flat[:a] + fixed + flat[b:]

@@ -124,6 +124,21 @@ def test_noise_kinds(speller, text, kinds):
     assert scans.repair(text, words, sp, frozenset({"no-till", "relaciona-se"}))[0] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("Describe la cuenc4 y el poem4.", None), ("La 5egún 1os datos.", "La según los datos."), ("El comportamient0 de la cuenca.", "El comportamiento de la cuenca."), ("Describe los dato5 también.", "Describe los datos también."),
+        ("E1 modelo de1 acuífero.", "E1 modelo del acuífero."), ("Durante e1 poema.", "Durante el poema."), ("Señala Vifac0 (1990) el poema.", "Señala Vifac0 (1990) el poema."), ("La cuenca1 y los años2 de H2 y CO2.", None), ("Los datos! La 1a de 1990, tabla a1.", None),
+    ],
+)
+def test_words_misread_at_an_edge(speller, text, clean):
+    words, _ = speller
+    sp = scans.Speller(words, {("durante", "el"): 5})
+    kinds, repaired = scans.repair(text, words, sp, frozenset())
+    assert (kinds, repaired) == ((set(), text) if clean is None else ({"chars"}, clean))
+    assert scans.repair(text, words, sp, frozenset(), rebuild=False)[0] == kinds
+
+
 def test_repair_gives_paragraphs(speller):
     words, sp = speller
     text = "ANALES DEL SUR\nLa medi-\n- 11 -\nANALES DEL SUR\nción de la cucnca describe.\n\nSegún los da¬\ntos también.\n- 12 -"
