@@ -1,4 +1,4 @@
-"""Frequency lexicon of a corpus: word counts over all documents, and the bounded set of words common enough to trust."""
+"""Frequency lexicon of a corpus: word counts over all different texts, and the bounded set of words common enough to trust."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acervo.llm.hashcounts import counts_of
+
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -27,9 +29,31 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def trusted_words(df: DataFrame, text: str, share: float = 1e-5, least: int = 3) -> dict[str, int]:
-    """Words that make up at least ``share`` of all words, with their counts: at most 1/share of them (100 000), whatever the corpus."""
-    counts = word_counts(df, text)
+def distinct_texts(df: DataFrame, text: str) -> DataFrame:
+    """``text``: one row for each different text that is not NULL, so a group of copies votes once.
+
+    Texts whose 64-bit hash has a residue of its own are kept where they are;
+    only the others, copies for the most part, are shuffled to be compared, and partly aggregated before that.
+    """
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.xxhash64(text).alias("_h"))
+    held = counts_of(rows.select("_h"))
+
+    def of(alone: bool):
+        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[(held[b["_h"].to_numpy() & (len(held) - 1)] == 1) == alone]
+
+        return rows.mapInPandas(some, rows.schema)
+
+    return of(True).unionByName(of(False).dropDuplicates(["_t"])).select(F.col("_t").alias(text))
+
+
+def trusted_words(df: DataFrame, text: str, share: float = 1e-5, least: int = 3, copies: bool = True) -> dict[str, int]:
+    """Words that make up at least ``share`` of all words, with their counts: at most 1/share of them (100 000), whatever the corpus.
+
+    Different texts are counted once each; without ``copies`` the rows are known to be so.
+    """
+    counts = word_counts(distinct_texts(df, text) if copies else df, text)
     counts = counts.persist()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     out = {r["word"]: r["n"] for r in counts.where(F.col("n") >= max(least, share * total)).collect()}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.encoding import RESIDUE, restore
-from acervo.llm.lexicon import WORD, trusted_words
+from acervo.llm.lexicon import WORD, distinct_texts, trusted_words
 from acervo.llm.overlap import MULTIBYTE_SIGN, ONE_BYTE_SIGN, SPACED_SIGN, fold
 
 KINDS = ("hyphen", "chars", "header", "pageno")
@@ -360,10 +360,11 @@ def scan_noise(df: DataFrame, key: str, text: str, rebuild: bool = True) -> Data
     """``key, kinds, clean``: the rows whose text carries noise of scanned pages, its kinds and the running text in paragraphs.
 
     clean is NULL without ``rebuild``. NULL, empty and noise-free texts give no row; repeated rows give one each; other
-    columns are not read. Lexicon, compounds and bigrams are counted over all rows and bounded by their shares.
+    columns are not read. Lexicon, compounds and bigrams are counted over all different texts and bounded by their shares.
     """
-    trusted = trusted_words(df, text)
-    bigrams, compounds = corpus_statistics(df, text, trusted)
+    once = distinct_texts(df, text)
+    trusted = trusted_words(once, text, copies=False)
+    bigrams, compounds = corpus_statistics(once, text, trusted)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         speller = Speller(trusted, bigrams)

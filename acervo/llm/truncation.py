@@ -49,16 +49,18 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-def storage_limits(df: DataFrame, text: str = "text", source: str = "source", least: int = 8, over: float = 8.0) -> DataFrame:
+def storage_limits(df: DataFrame, text: str = "text", source: str = "source", least: int = 8, over: float = 8.0, copies: bool = True) -> DataFrame:
     """``source, measure, size, texts, around``: sizes at which a source's texts pile up.
 
     A size is a limit when ``least`` texts or more have it and that is above ``over`` times the mean of the 25 sizes on
     either side by more than ``over`` of its standard deviations. NULL texts are left out, a NULL source is a group of its own. Counts are taken per (source, measure, size) before
-    anything else is shuffled, so a source with a third of all rows sends one row per size and task.
+    anything else is shuffled, so a source with a third of all rows sends one row per size and task. Without ``copies`` equal
+    texts of a source count once (told by a 64-bit hash and the sizes).
     """
-    sized = df.where(F.col(text).isNotNull()).select(
-        F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("size")) for k, v in lengths(F.col(text)).items()])).alias("x")
-    )
+    sizes = lengths(F.col(text))
+    texts = df.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), *[v.alias(k) for k, v in sizes.items()], *([] if copies else [F.xxhash64(text).alias("_h")]))
+    texts = texts if copies else texts.distinct()
+    sized = texts.select("source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("size")) for k in sizes])).alias("x"))
     counts = sized.groupBy("source", F.col("x.measure").alias("measure"), F.col("x.size").alias("size")).agg(F.count("*").alias("texts"))
     near = W.partitionBy("source", "measure").orderBy("size").rangeBetween(-25, 25)
     around = (F.sum("texts").over(near) - F.col("texts")) / 50
@@ -103,7 +105,7 @@ def endings(df: DataFrame, titles: DataFrame, key: str = "doc_id", text: str = "
     at = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("size")) for k, v in lengths(F.col("_text")).items()])
     # from here on a row is a key, a line and a few sizes: no text is shuffled
     rows = rows.select("_key", "_source", "_line", kind.alias("_kind"), at.alias("_sizes"))
-    per_source = storage_limits(df, text, source).groupBy("source").agg(F.collect_set(F.struct("measure", "size")).alias("_limits"))
+    per_source = storage_limits(df, text, source, copies=False).groupBy("source").agg(F.collect_set(F.struct("measure", "size")).alias("_limits"))
     known = rows.join(per_source, F.col("_source").eqNullSafe(F.col("source")), "left").drop("source")
     known = known.select("_key", "_source", "_line", "_kind", F.coalesce(F.arrays_overlap("_sizes", "_limits"), F.lit(False)).alias("_at"))
     words = F.filter(F.regexp_extract_all(F.col("_line"), F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: F.lower(w) == w)

@@ -27,6 +27,22 @@ def test_word_counts_equal_brute_force(spark):
     assert trusted_words(df.limit(0), "t") == {}
 
 
+def test_a_group_of_copies_votes_once(spark):
+    rows = [("el regis7ro de la cuenca",)] * 30 + [(f"la cuenca {'abcde'[i]}z",) for i in range(5)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").repartition(3)
+    assert trusted_words(df, "t") == {"la": 6, "cuenca": 6}
+    noisy = spark.createDataFrame([(str(i), "La cucnca describe. " + SENTENCE * 2) for i in range(30)] + [(f"s{i}", SENTENCE + "cuenca " * i) for i in range(4)], "id string, body string")
+    assert scans.scan_noise(noisy, "id", "body", rebuild=False).count() == 30
+
+
+def test_copies_make_no_storage_limit(spark):
+    titles = spark.createDataFrame([("El caudal y la cuenca",)] * 3, "title string")
+    text = "Una frase. " * 12 + "\nEl caudal y la cuenca"
+    rows = [(text, "s")] * 12 + [("x" * (100 + 40 * i) + ".", "s") for i in range(40)]
+    got = {(r["ending"], r["at_limit"], r["truncated"]) for r in truncation.endings(documents(spark, *rows), titles).where("ending <> 'sound'").collect()}
+    assert got == {("title", False, False)}
+
+
 # --- wrong encoding ------------------------------------------------------------------------------------------------------
 
 TRUSTED = dict.fromkeys("medición función según español también cuenca años análisis cárcava período".split(), 50)
