@@ -55,6 +55,11 @@ def acute_repair(spark, sf_dir):
     return df.select("doc_id", T.attach_acutes(F.col("text")).alias("fixed"))
 
 
+@query("acute_repair_originals", f"SELECT id, {S.attach_acutes('original_text')} AS fixed FROM {S.DATASET} WHERE contains(original_text, '´')")
+def acute_repair_originals(spark, sf_dir):
+    return dataset(spark, sf_dir, "original_text").where(F.col("original_text").contains("´")).select("id", T.attach_acutes(F.col("original_text")).alias("fixed"))
+
+
 @query("accents_stripped", "SELECT DISTINCT title, strip_accents(title) AS bare FROM dataset WHERE title IS NOT NULL AND NOT regexp_matches(title, '[^\\x00-\\x{017F}]')")
 def accents_stripped(spark, sf_dir):
     df = read_table(spark, sf_dir, "dataset", ["title"]).where(F.col("title").isNotNull() & ~F.col("title").rlike(r"[^\x{00}-\x{17F}]"))
@@ -96,6 +101,12 @@ def hyphens_joined(spark, sf_dir):
     return df.select("doc_id", T.join_hyphens(F.col("text")).alias("joined"))
 
 
+@query("hyphens_joined_originals", f"SELECT id, regexp_replace(original_text, '(\\p{{L}})-[ \\t\\n\\r]+(\\p{{Ll}})', '\\1\\2', 'g') AS joined FROM {S.DATASET} WHERE regexp_matches(original_text, '\\p{{L}}-[ \\t\\n\\r]+\\p{{Ll}}')")
+def hyphens_joined_originals(spark, sf_dir):
+    df = dataset(spark, sf_dir, "original_text").where(F.col("original_text").rlike(r"\p{L}-[ \t\n\r]+\p{Ll}"))
+    return df.select("id", T.join_hyphens(F.col("original_text")).alias("joined"))
+
+
 @query(
     "cid_profiles",
     f"""SELECT id, len(c)::INT AS cid_count, len(list_distinct(c))::INT AS cid_distinct, round(CASE WHEN length(original_text) > 0
@@ -146,6 +157,14 @@ def extraction_scores(spark, sf_dir):
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.round(T.extraction_score(F.col("text")), 6).alias("score"))
 
 
+@query(
+    "extraction_scores_originals",
+    f"""SELECT id, round(CASE WHEN length(original_text) > 0 THEN (length(original_text) - len(regexp_extract_all(original_text, '\\(cid:[0-9]+\\)')) - len(regexp_extract_all(original_text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')))::DOUBLE / length(original_text) ELSE 0 END, 6) AS score FROM {S.DATASET}""",
+)
+def extraction_scores_originals(spark, sf_dir):
+    return dataset(spark, sf_dir, score=F.round(T.extraction_score(F.col("original_text")), 6))
+
+
 @query(
     "readable_samples",
     """SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '\\(cid:[0-9]+\\)', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), ' '), lambda w: regexp_matches(w, '^\\p{L}{3,}$'))[1:20], ' ') AS sample FROM documents""",
