@@ -58,6 +58,12 @@ def answers_after_marker(spark, sf_dir):
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.trim(X.strip_fence(X.after_marker(raw))).alias("answer"))
 
 
+@query("answers_whole", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer FROM documents")
+def answers_whole(spark, sf_dir):
+    raw = F.concat(F.lit("<think>plan</think> "), F.lit("```\n"), "text", F.lit("\n```"))
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.trim(X.strip_fence(X.after_marker(raw))).alias("answer"))
+
+
 _PLAIN = "creator[1] IS NOT NULL AND regexp_matches(creator[1], '^[^,;|&<>/\"''«\\[(]+, [^,;|&<>/\"''«\\[(]+$') AND title <> '' AND regexp_matches(title, '^[\\p{L}\\p{N} .,:()-]+$') AND title = trim(title)"
 
 

@@ -31,3 +31,7 @@ def test_texts_of_scans_are_repaired(spark, name):
 
 def test_texts_of_scans_are_scored(spark):
     assert any(r["score"] not in (None, 1) and r["score"] > 0 for r in same_as_sql(spark, "extraction_scores_originals", LARGER))
+
+
+def test_whole_answers_are_read_back(spark):
+    assert any(len(r["answer"] or "") > 40 and "\n" in r["answer"] for r in same_as_sql(spark, "answers_whole"))
