@@ -62,6 +62,12 @@ def balanced_records(spark, sf_dir):
     return C.top_per_group(curated(spark, sf_dir).select("id", "doc_type", "complete"), "doc_type", 50, F.desc("complete"), F.col("id"))
 
 
+@query("balanced_records_500", f"SELECT id, doc_type, complete FROM {CURATED} QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY complete DESC, id) <= 500")
+def balanced_records_500(spark, sf_dir):
+    """With the limit of the reference (D6)."""
+    return C.top_per_group(curated(spark, sf_dir).select("id", "doc_type", "complete"), "doc_type", 500, F.desc("complete"), F.col("id"))
+
+
 @query("type_counts_total", f"SELECT coalesce(doc_type, CASE WHEN grouping(doc_type) = 1 THEN 'TOTAL' ELSE '(null)' END) AS doc_type, count(*) AS records FROM {S.DATASET} GROUP BY ROLLUP (doc_type)")
 def type_counts_total(spark, sf_dir):
     df = dataset(spark, sf_dir, "doc_type").rollup("doc_type").agg(F.count("*").alias("records"), F.grouping("doc_type").alias("g"))
@@ -90,6 +96,12 @@ def capped_label_sample(spark, sf_dir):
     return C.capped_sample(read_table(spark, sf_dir, "subject_labels", ["id", "subject"]).distinct(), "subject", "id", 5, 20)
 
 
+@query("capped_label_sample_200", "SELECT id, subject FROM (SELECT DISTINCT id, subject FROM subject_labels) QUALIFY count(*) OVER (PARTITION BY subject) >= 5 AND row_number() OVER (PARTITION BY subject ORDER BY md5('42|' || id), id) <= 200")
+def capped_label_sample_200(spark, sf_dir):
+    """With the limits of the reference (D7)."""
+    return C.capped_sample(read_table(spark, sf_dir, "subject_labels", ["id", "subject"]).distinct(), "subject", "id", 5, 200)
+
+
 @query(
     "stratified_split",
     f"""SELECT id, CASE WHEN i <= floor(n * 0.8) THEN 'training' WHEN i <= floor(n * 0.8) + floor(n * 0.1) THEN 'test' ELSE 'validation' END AS split FROM (SELECT id,

@@ -250,6 +250,12 @@ def first_tokens(spark, sf_dir):
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.first_tokens(F.col("text"), 50).alias("head"))
 
 
+@query("first_tokens_500", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ')[1:500], ' ') AS head FROM documents")
+def first_tokens_500(spark, sf_dir):
+    """With the limit of the reference (T33)."""
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.first_tokens(F.col("text")).alias("head"))
+
+
 @query("folded_text", "SELECT doc_id, md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS fingerprint FROM documents")
 def folded_text(spark, sf_dir):
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.md5(T.fold_space(F.col("text"))).alias("fingerprint"))

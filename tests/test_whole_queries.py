@@ -1,6 +1,7 @@
 """Queries that do the whole of a job, against their SQL and with hits."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -35,3 +36,9 @@ def test_texts_of_scans_are_scored(spark):
 
 def test_whole_answers_are_read_back(spark):
     assert any(len(r["answer"] or "") > 40 and "\n" in r["answer"] for r in same_as_sql(spark, "answers_whole"))
+
+
+def test_limits_of_the_reference(spark):
+    assert max(Counter(r["doc_type"] for r in same_as_sql(spark, "balanced_records_500")).values()) > 50
+    assert max(len((r["head"] or "").split(" ")) for r in same_as_sql(spark, "first_tokens_500")) > 50
+    assert max(Counter(r["subject"] for r in same_as_sql(spark, "capped_label_sample_200", LARGER)).values()) > 20
