@@ -179,16 +179,19 @@ def agreement(a: tuple, b: tuple, given: frozenset[str]) -> str | None:
     return "same" if (len(a[4]) > 1) == (len(b[4]) > 1) else "part"
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """``id, comp``: the least id reachable from each of ``nodes`` over ``edges`` (a, b, both ways), by passing least labels on."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, comp``: the least id reachable from each of ``nodes`` over ``edges`` (a, b, both ways).
+
+    Least labels are passed on, and each takes the label of its label, until none moves.
+    """
     labels = cut(nodes.select("id", F.col("id").alias("comp")))
-    for _ in range(rounds):
+    while True:
         passed = edges.join(labels, edges["a"] == labels["id"]).groupBy(F.col("b").alias("id")).agg(F.min("comp").alias("least"))
         moved = cut(labels.join(passed, "id", "left").select("id", F.least("comp", "least").alias("comp"), (F.col("least") < F.col("comp")).alias("moved")))
-        labels = moved.select("id", "comp")
         if not moved.where("moved").head(1):
-            break
-    return labels
+            return moved.select("id", "comp")
+        further = moved.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+        labels = cut(moved.join(further, "comp", "left").select("id", F.least("comp", "next").alias("comp")))
 
 
 def link_names(names: DataFrame, given: frozenset[str]) -> DataFrame:

@@ -56,6 +56,15 @@ def test_link_names(spark):
     assert names.link_names(df.limit(0), GIVEN).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    n = 40
+    links = [(i, i + 1) for i in range(n - 1)] + [(100, 101)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(n), 100, 101, 200]], "id long")
+    edges = spark.createDataFrame([*links, *[(b, a) for a, b in links]], "a long, b long")
+    got = {r["id"]: r["comp"] for r in names.components(nodes, edges).collect()}
+    assert got == {**dict.fromkeys(range(n), 0), 100: 100, 101: 100, 200: 200}
+
+
 # --- overlaps ------------------------------------------------------------------------------------------------------------
 
 
