@@ -10,7 +10,7 @@ from acervo.llm.language import label_cases, segments
 from acervo.llm.lexicon import trusted_words
 from acervo.llm.mixing import mix, reached_shares
 from acervo.llm.names import link_names, variant_pairs
-from acervo.llm.overlap import overlap_counts, split_overlaps
+from acervo.llm.overlap import Overlaps, split_overlaps
 from acervo.llm.packing import fill_rates, pack
 from acervo.llm.scans import scan_noise
 from acervo.llm.subjects import SubjectModel, assign, declared_areas, fit, subject_cases
@@ -71,17 +71,17 @@ def p5_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("subject").agg(F.countDistinct("id").alias("records"), F.round(F.sum("share"), 4).alias("text_share"))
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _overlaps(spark: SparkSession, sf_dir: str) -> Overlaps:
     return split_overlaps(read_table(spark, sf_dir, "dataset", ["id", "original_text", "split"]))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _overlaps(spark, sf_dir)
+    pairs = _overlaps(spark, sf_dir).pairs()
     return pairs.select(F.least("id_t", "id_e").alias("id_a"), F.greatest("id_t", "id_e").alias("id_b")).distinct()
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_counts(_overlaps(spark, sf_dir), read_table(spark, sf_dir, "dataset", ["id", "source"]))
+    return _overlaps(spark, sf_dir).counts(read_table(spark, sf_dir, "dataset", ["id", "source"]))
 
 
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:

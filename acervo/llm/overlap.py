@@ -1,26 +1,32 @@
-"""Same or near-same records across splits: an exact prefix-filter join on shingles, evaluation against training.
+"""Same or near-same records across splits: an exact prefix-filter join on rare shingles, evaluation against training.
 
 Texts are compared by a skeleton that damage does not change: wrong decoding undone, accents and typography dropped,
 hyphenated words joined, spaced and tripled letters closed up, and letters that scanners confuse folded together.
-Texts with the same skeleton form one content, so a group of copies is joined once however large it is.
+Evaluation texts with the same skeleton form one content. Their prefixes are indexed in blocks of bounded size, written
+once to the shared folder; training texts probe the blocks where they are read, so no training text is shuffled.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.llm.hashcounts import counts_of
 from acervo.llm.encoding import decode_spans, decode_words
 from acervo.llm.lexicon import trusted_words
-from acervo.sources import cut
+from acervo.sources import checkpoint_dir, cut
 
 BROKEN_WORD = re.compile(r"[-\xad¬‐‑–](?<=\w.)[^\S\n]*\n\s*(?=\w)")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
@@ -36,9 +42,8 @@ for _a, _b in zip(FOLD_FROM, FOLD_TO):
     _TABLE[_a] = _b
 FOLD = bytes(_TABLE)
 REPEATED = re.compile(rb"([a-z])\1+")
-#: Shingles of one side that a block of pairs holds at a time, HELD bytes each: 48 bits, so that two texts of a thousand
-#: words have one shingle in common by chance in 1 of 300 million pairs.
-BLOCK, HELD = 8_000_000, 6
+#: Shingles of the evaluation texts that a block of the index holds; a block takes about 16 bytes a shingle.
+BLOCK = 6_000_000
 
 
 def fold(text: str) -> bytes:
@@ -49,16 +54,12 @@ def fold(text: str) -> bytes:
 
 
 class Codes(dict):
-    """Token -> the hashes of its folded words, 8 bytes each; the lowest bit tells that a word is not a common one."""
-
-    def __init__(self, trusted: dict[str, int]):
-        self.common = frozenset(w for word in trusted for w in fold(word).split())
+    """Token -> the hashes of its folded words, 8 bytes each."""
 
     def __missing__(self, token: str) -> bytes:
         if len(self) > 1_000_000:
             self.clear()
-        words = fold(token).split()
-        code = b"".join(((xxhash.xxh3_64_intdigest(w) >> 1 & ~1) | (w not in self.common and len(w) > 3)).to_bytes(8, "little") for w in words)
+        code = b"".join(xxhash.xxh3_64_digest(w) for w in fold(token).split())
         self[token] = code
         return code
 
@@ -75,149 +76,213 @@ def skeleton(text: str, trusted: dict[str, int], codes: Codes) -> np.ndarray:
     return np.frombuffer(b"".join(map(codes.__getitem__, text.split())), np.uint64)
 
 
-def shingles(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of a text, and how many rare words each has. Shorter texts are one shingle."""
+def shingles(codes: np.ndarray, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in order. Shorter texts are one shingle."""
     if not len(codes):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64)
     width = min(width, len(codes))
     n = len(codes) - width + 1
-    mixed, rare = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    mixed = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            part = codes[k : k + n]
-            mixed = (mixed ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-            rare += part & np.uint64(1)
-    hashes, first = np.unique(mixed.view(np.int64), return_index=True)
-    return hashes, rare[first].view(np.int64)
+    return np.unique(mixed.view(np.int64))
 
 
-def contents(df: DataFrame, key: str, text: str, split: str, trusted: dict[str, int], width: int) -> DataFrame:
-    """``key, split, content, n, all``: the skeleton's hash and its ``n`` distinct shingles of ``width`` words, a row per non-empty text.
+def contents(df: DataFrame, trusted: dict[str, int], width: int) -> DataFrame:
+    """``key, split, content, shingles`` of ``key, split, text``: the skeleton's hash and its distinct shingles as bytes, a row per text that has words.
 
     Rows with NULL, empty or wordless text give no row.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = Codes(trusted)
+        codes = Codes()
         for b in batches:
             out = []
-            for k, t, s in zip(b["key"], b["text"], b["split"]):
+            for k, s, t in zip(b["key"], b["split"], b["text"]):
                 coded = skeleton(t, trusted, codes)
                 if len(coded):
-                    every = np.unique(shingles(coded, width)[0] & ((1 << 8 * HELD) - 1))
-                    out.append((k, s, xxhash.xxh3_64_intdigest(coded.tobytes()) >> 1, len(every), every.view(np.uint8).reshape(-1, 8)[:, :HELD].tobytes()))
-            yield pd.DataFrame(out, columns=["key", "split", "content", "n", "all"])
-
-    texts = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(split).alias("split"))
-    return texts.mapInPandas(rows, "key string, split string, content long, n int, all binary")
-
-
-def _once(side: DataFrame) -> DataFrame:
-    """``content, n, all``: each content once. Only contents whose residue is not alone are shuffled to be compared."""
-    rows = side.select("content", "n", "all")
-    held = counts_of(rows.select("content"))
-
-    def of(alone: bool):
-        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b[(held[b["content"].to_numpy() & (len(held) - 1)] == 1) == alone]
-
-        return rows.mapInPandas(some, rows.schema)
+                    out.append((k, s, xxhash.xxh3_64_intdigest(coded.tobytes()) >> 1, shingles(coded, width).tobytes()))
+            yield pd.DataFrame(out, columns=["key", "split", "content", "shingles"])
 
-    return of(True).unionByName(of(False).dropDuplicates(["content"]))
+    return df.where("text != ''").select("key", "split", "text").mapInPandas(rows, "key string, split string, content long, shingles binary")
 
 
-def _set(raw: bytes) -> np.ndarray:
-    """The shingles of a content, sorted."""
-    out = np.zeros((len(raw) // HELD, 8), np.uint8)
-    out[:, :HELD] = np.frombuffer(raw, np.uint8).reshape(-1, HELD)
-    return out.view(np.int64).ravel()
+class Prefixes:
+    """A block of the index: word numbers by rising frequency, and the texts that have each number in their prefix.
 
-
-def close_pairs(t: pd.DataFrame, e: pd.DataFrame, same: float) -> pd.DataFrame:
-    """``content_t, content_e, similarity``: every pair of different contents whose shingles have a Jaccard coefficient of ``same`` or more.
-
-    A pair at the threshold shares at least ``same`` / (1 + ``same``) of both sizes together, and never less than ``same``
-    of the first. So the commonest shingles of a text, fewer than that, are left out at first: what the others meet in a
-    text, with those left out, must reach the least; pairs that may are counted in full.
-    """
-    empty = pd.DataFrame({"content_t": np.empty(0, np.int64), "content_e": np.empty(0, np.int64), "similarity": np.empty(0)})
-    if not len(t) or not len(e):
-        return empty
-    sets = [_set(x) for x in e["all"]]
-    sizes = np.array([len(x) for x in sets])
-    words, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[np.argsort(place, kind="stable")]
-    often = np.bincount(place)
-    start = np.cumsum(often) - often
-    part = same / (1 + same)
-    wanted = part * sizes - 1e-9
-    ids_t, ids_e = t["content"].to_numpy(), e["content"].to_numpy()
-    out = []
-    for i, raw in enumerate(t["all"]):
-        mine = _set(raw)
-        at = np.minimum(np.searchsorted(words, mine), len(words) - 1)
-        at = at[words[at] == mine]
-        left_out = int(np.ceil(same * len(mine) - 1e-9)) - 1
-        if len(at) <= left_out:
-            continue
-        first = at[np.argsort(often[at])][: len(at) - left_out]
-        n = often[first]
-        posted = owner[np.repeat(start[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        met = np.bincount(posted, minlength=len(sets))
-        for k in np.flatnonzero((met > 0) & (met - wanted >= part * len(mine) - left_out)):
-            shared = len(np.intersect1d(mine, sets[k], assume_unique=True))
-            similarity = shared / (len(mine) + len(sets[k]) - shared)
-            if similarity >= same and ids_t[i] != ids_e[k]:
-                out.append((ids_t[i], ids_e[k], similarity))
-    return pd.DataFrame(out, columns=empty.columns) if out else empty
-
-
-def _close(known: DataFrame, training: str, same: float) -> DataFrame:
-    """``content_t, content_e, similarity`` over all pairs of a training and another content, block by block.
-
-    A block holds about BLOCK shingles of either side, so its memory is bounded; a side is sent once to each block of the other.
+    hashes, number: shingle hash (sorted) -> number; start, owner: number -> texts; at, sets: text -> its numbers in order;
+    ends: the last number of a text's prefix.
     """
-    sides = {True: known.where(F.col("split") == training), False: known.where(F.col("split") != training)}
-    n = {r["t"]: r["n"] for r in known.groupBy((F.col("split") == training).alias("t")).agg(F.sum("n").alias("n")).collect()}
-    blocks = {k: -(-n.get(k, 0) // BLOCK) or 1 for k in sides}
 
-    def placed(k: bool) -> DataFrame:
-        own, other = ("bt", "be") if k else ("be", "bt")
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks[not k] - 1)))
-        return _once(sides[k]).select(F.pmod("content", F.lit(blocks[k])).cast("int").alias(own), every.alias(other), "content", "all")
+    FIELDS = ("contents", "hashes", "number", "start", "owner", "at", "sets", "ends")
+
+    def __init__(self, same: float, **arrays: np.ndarray):
+        self.same, self.part = same, same / (1 + same)
+        for name in self.FIELDS:
+            setattr(self, name, arrays[name])
+        self.sizes = np.diff(self.at)
+        self.kept = _prefix(self.sizes, same)
+        self.times = np.diff(self.start)
+
+    @classmethod
+    def build(cls, contents: np.ndarray, sets: list[np.ndarray], same: float) -> Prefixes:
+        sizes = np.array([len(x) for x in sets], np.int64)
+        hashes, place, often = np.unique(np.concatenate([*sets, np.empty(0, np.int64)]), return_inverse=True, return_counts=True)
+        number = np.empty(len(hashes), np.int32)
+        number[np.argsort(often, kind="stable")] = np.arange(len(hashes), dtype=np.int32)
+        text = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        coded = number[place]
+        order = np.lexsort((coded, text))
+        flat = coded[order]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        kept = _prefix(sizes, same)
+        inside = np.arange(len(flat)) - np.repeat(at[:-1], sizes) < np.repeat(kept, sizes)
+        posted = np.argsort(flat[inside], kind="stable")
+        start = np.concatenate([[0], np.cumsum(np.bincount(flat[inside], minlength=len(hashes)))])
+        return cls(same, contents=contents, hashes=hashes, number=number, start=start, owner=text[inside][posted], at=at, sets=flat, ends=flat[at[:-1] + kept - 1])
+
+    def save(self, path: str) -> None:
+        fs, name = pa_fs.FileSystem.from_uri(path)
+        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        part = f"{name}.{uuid.uuid4().hex}"  # another attempt of this task may be writing too
+        with fs.open_output_stream(part) as f:
+            np.savez(f, **{x: getattr(self, x) for x in self.FIELDS})
+        fs.move(part, name)
+
+    @classmethod
+    def load(cls, path: str, same: float) -> Prefixes:
+        fs, name = pa_fs.FileSystem.from_uri(path)
+        with fs.open_input_file(name) as f, np.load(io.BytesIO(f.read())) as arrays:
+            return cls(same, **{x: arrays[x] for x in cls.FIELDS})
+
+    def close_to(self, mine: np.ndarray) -> list[tuple[int, float]]:
+        """``content, similarity`` of every indexed text whose shingles have a Jaccard coefficient of ``same`` or more with ``mine``.
+
+        Such a pair has ``part`` of both sizes together in common, so each side's prefix meets the other's. All meetings of
+        prefixes are counted. What lies beyond the prefix that ends first can add no more than that text has left, so
+        texts with too few meetings, and texts too short or too long, are ruled out; the others are compared in full.
+        """
+        m = len(mine)
+        found = np.minimum(np.searchsorted(self.hashes, mine), len(self.hashes) - 1)
+        present = np.sort(self.number[found[self.hashes[found] == mine]])
+        keep = int(_prefix(np.array(m), self.same))
+        take = keep - (m - len(present))  # shingles the index lacks are the rarest
+        if take <= 0:
+            return []
+        mine_in = present[:take]
+        n = self.times[mine_in]
+        total = int(n.sum())
+        if not total:
+            return []
+        posted = self.owner[np.repeat(self.start[mine_in] - (np.cumsum(n) - n), n) + np.arange(total)]
+        met = np.bincount(posted, minlength=len(self.sizes))
+        some = np.flatnonzero(met)
+        size = self.sizes[some]
+        beyond = np.where(mine_in[-1] <= self.ends[some], m - keep, size - self.kept[some])
+        fits = (met[some] + beyond >= self.part * (m + size) - 1e-9) & (size >= self.same * m - 1e-9) & (m >= self.same * size - 1e-9)
+        out = []
+        for k in some[fits]:
+            other = self.sets[self.at[k] : self.at[k + 1]]
+            at = np.minimum(np.searchsorted(other, present), len(other) - 1)
+            shared = int((other[at] == present).sum())
+            similarity = shared / (m + len(other) - shared)
+            if similarity >= self.same - 1e-9:
+                out.append((int(self.contents[k]), similarity))
+        return out
+
+
+def _prefix(sizes: np.ndarray, same: float) -> np.ndarray:
+    """How many of a text's rarest shingles its prefix holds: the others are too few to make a pair by themselves."""
+    return sizes - np.ceil(same * sizes - 1e-9).astype(np.int64) + 1
+
+
+@lru_cache(maxsize=2)
+def _block(path: str, same: float) -> Prefixes:
+    """A block of the index, loaded once per Python worker."""
+    return Prefixes.load(path, same)
+
+
+def index(sides: DataFrame, same: float, block: int = BLOCK) -> list[str]:
+    """The files of the index over different ``content, shingles``, each of about ``block`` shingles."""
+    total = sides.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)).alias("n")).first()["n"] // 8
+    blocks = -(-total // block)
+    folder = f"{checkpoint_dir(sides.sparkSession)}/prefixes-{uuid.uuid4().hex}"
+    path = lambda k: f"{folder}/{k}.npz"
+
+    def build(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        Prefixes.build(b["content"].to_numpy(), [np.frombuffer(x, np.int64) for x in b["shingles"]], same).save(path(key[0]))
+        return pd.DataFrame({"block": [key[0]]})
+
+    if not total:
+        return []
+    built = sides.groupBy(F.pmod("content", F.lit(blocks)).cast("int").alias("block")).applyInPandas(build, "block int")
+    return [path(r["block"]) for r in built.collect()]
+
+
+def probe(texts: DataFrame, paths: list[str], trusted: dict[str, int], same: float, width: int) -> DataFrame:
+    """``key, content, similarity`` of every ``key, text`` and indexed content; equal texts of a batch are looked up once."""
 
-    def match(t: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        return close_pairs(t, e, same)
-
-    return placed(True).groupBy("bt", "be").cogroup(placed(False).groupBy("bt", "be")).applyInPandas(match, "content_t long, content_e long, similarity double")
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes()
+        for b in batches:
+            sets: dict[str, np.ndarray] = {t: s for t in dict.fromkeys(b["text"]) if len(s := shingles(skeleton(t, trusted, codes), width))}
+            met: dict[str, list[tuple[int, float]]] = defaultdict(list)
+            for path in paths:
+                held = _block(path, same)
+                for t, s in sets.items():
+                    met[t] += held.close_to(s)
+            out = [(k, *pair) for k, t in zip(b["key"], b["text"]) for pair in met.get(t, ())]
+            yield pd.DataFrame(out, columns=["key", "content", "similarity"])
+
+    return texts.mapInPandas(rows, "key string, content long, similarity double")
+
+
+@dataclass
+class Overlaps:
+    """matches: ``id_t, content, similarity`` per training row and evaluation content; members: ``content, id_e, split_e``."""
+
+    matches: DataFrame
+    members: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """``id_t, id_e, split_e, similarity``: contents expanded into their records."""
+        return self.matches.join(self.members, "content").where("id_t != id_e").select("id_t", "id_e", "split_e", "similarity")
+
+    def counts(self, rows: DataFrame, key: str = "id", source: str = "source") -> DataFrame:
+        """``split, source, records, training_records, pairs``: overlaps by the evaluation record's split and source.
+
+        Pairs are counted from the sizes of contents, so no group of copies is expanded. A key that is in training
+        and in evaluation counts as a pair with the others only.
+        """
+        of = rows.select(F.col(key).alias("id_e"), F.col(source).alias("source")).distinct()
+        members = cut(self.members.join(of, "id_e"))
+        trained = self.matches.groupBy("content").agg(F.count("*").alias("t"))
+        own = self.matches.join(members, (self.matches["content"] == members["content"]) & (F.col("id_t") == F.col("id_e"))).groupBy("id_e", "split_e", "source").agg(F.count("*").alias("own"))
+        held = members.join(trained, "content").join(own, ["id_e", "split_e", "source"], "left").withColumn("n", F.col("t") - F.coalesce("own", F.lit(0))).where("n > 0")
+        totals = held.groupBy("split_e", "source").agg(F.countDistinct("id_e").alias("records"), F.sum("n").alias("pairs"))
+        groups = members.groupBy("content", "split_e", "source").agg(F.min("id_e").alias("least"), F.max("id_e").alias("most"))
+        used = self.matches.join(groups, "content").where("not (id_t = least and id_t = most)").groupBy("split_e", "source").agg(F.countDistinct("id_t").alias("training_records"))
+        return totals.join(used, totals["split_e"].eqNullSafe(used["split_e"]) & totals["source"].eqNullSafe(used["source"])).select(
+            totals["split_e"].alias("split"), totals["source"], "records", "training_records", "pairs"
+        )
 
 
 def split_overlaps(
-    df: DataFrame, key: str = "id", text: str = "original_text", split: str = "split", training: str = "training", same: float = 0.35, near: int = 3
-) -> DataFrame:
-    """``id_t, id_e, split_e, similarity``: every pair of a training row and a row of another split whose running text is (nearly) the same.
+    df: DataFrame, key: str = "id", text: str = "original_text", split: str = "split", training: str = "training", same: float = 0.27, width: int = 5
+) -> Overlaps:
+    """Every training row with every evaluation content whose running text is (nearly) the same.
 
-    Pairs with one skeleton have similarity 1; for others it is the Jaccard coefficient of ``near``-word shingles of the
-    whole skeletons, at least ``same``; no such pair is left out. Rows with NULL split, NULL or wordless text take part in
-    no pair; repeated deliveries of a key count once.
+    The similarity is the Jaccard coefficient of the ``width``-word shingles of the whole skeletons, at least ``same``; no
+    such pair is left out. Rows with NULL split, NULL or wordless text take part in no pair; repeated deliveries of a key
+    count once, under each content they were delivered with.
     """
     trusted = trusted_words(df, text)
-    columns = df.where(F.col(split).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(split).alias("_s"))
-    known = cut(contents(columns, "_k", "_t", "_s", trusted, near))
-    both = _close(known, training, same)
-    sides = known.select("key", "split", "content").distinct()
-    t = sides.where(F.col("split") == training).select(F.col("key").alias("id_t"), F.col("content").alias("content_t"))
-    e = sides.where(F.col("split") != training).select(F.col("key").alias("id_e"), F.col("content").alias("content_e"), F.col("split").alias("split_e"))
-    equal = t.join(e, F.col("content_t") == F.col("content_e")).select("id_t", "id_e", "split_e", F.lit(1.0).alias("similarity"))
-    close = cut(both).join(t, "content_t").join(e, "content_e").select("id_t", "id_e", "split_e", "similarity")
-    return equal.unionByName(close).where(F.col("id_t") != F.col("id_e"))
-
-
-def overlap_counts(pairs: DataFrame, rows: DataFrame, key: str = "id", source: str = "source") -> DataFrame:
-    """``split, source, records, training_records, pairs``: overlaps by the evaluation record's split and source."""
-    of = rows.select(F.col(key).alias("id_e"), F.col(source).alias("source")).distinct()
-    return (
-        pairs.join(of, "id_e").groupBy(F.col("split_e").alias("split"), "source").agg(F.countDistinct("id_e").alias("records"), F.countDistinct("id_t").alias("training_records"), F.count("*").alias("pairs"))
-    )
+    rows = df.where(F.col(split).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(split).alias("split"))
+    evaluation, train = rows.where(F.col("split") != training), rows.where(F.col("split") == training)
+    known = cut(contents(evaluation, trusted, width))
+    paths = index(known.select("content", "shingles").dropDuplicates(["content"]), same)
+    members = known.select("content", F.col("key").alias("id_e"), F.col("split").alias("split_e")).distinct()
+    matches = cut(probe(train.where("text != ''").select("key", "text"), paths, trusted, same, width).select(F.col("key").alias("id_t"), "content", "similarity").distinct())
+    return Overlaps(matches, members)

@@ -88,12 +88,12 @@ def corpus(n=60, seed=4):
 def test_overlaps_equal_brute_force(spark):
     rows = [*corpus(), ("n", None, "test"), ("e", "", "training"), ("b", " \n", "test"), ("s", "hola", None), ("x1", "Un texto corto.", "training"), ("x2", "un texto  corto", "test"), ("x2", "un texto  corto", "test")]
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], "id string, original_text string, split string, content string, size int").repartition(4)
-    got = {(r["id_t"], r["id_e"]) for r in overlap.split_overlaps(df).collect()}
-    codes = overlap.Codes({})
-    sets = {k: (s, set(overlap.shingles(overlap.skeleton(t, {}, codes), 3)[0].tolist())) for k, t, s in rows if t and t.strip() and s}
-    want = {(a, b) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" and u != "training" and a != b and len(x & y) / len(x | y) >= 0.35}
+    got = {(r["id_t"], r["id_e"]) for r in overlap.split_overlaps(df).pairs().collect()}
+    codes = overlap.Codes()
+    sets = {k: (s, set(overlap.shingles(overlap.skeleton(t, {}, codes), 5).tolist())) for k, t, s in rows if t and t.strip() and s}
+    want = {(a, b) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" and u != "training" and a != b and len(x & y) / len(x | y) >= 0.27}
     assert got == want and ("x1", "x2") in got and len(want) > 5
-    assert overlap.split_overlaps(df.limit(0)).count() == 0
+    assert overlap.split_overlaps(df.limit(0)).pairs().count() == 0
 
 
 def test_overlap_of_a_text_of_common_words_with_a_damaged_copy(spark):
@@ -106,30 +106,45 @@ def test_overlap_of_a_text_of_common_words_with_a_damaged_copy(spark):
         copy[at] = other
     rows = [("a", texts[0], "training"), ("b", "Universidad Kwanpaxi\n" + " ".join(copy), "test"), *[(f"r{i}", t, "training") for i, t in enumerate(texts[1:])]]
     df = spark.createDataFrame(rows, "id string, original_text string, split string")
-    assert {(r["id_t"], r["id_e"]) for r in overlap.split_overlaps(df).collect()} == {("a", "b")}
+    assert {(r["id_t"], r["id_e"]) for r in overlap.split_overlaps(df).pairs().collect()} == {("a", "b")}
 
 
 def test_close_pairs_equal_brute_force_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(overlap, "BLOCK", 700)
     rows = corpus(90, 11)
     df = spark.createDataFrame(rows, "id string, original_text string, split string").repartition(3)
-    codes = overlap.Codes({})
-    sets = {k: (s, set(overlap.shingles(overlap.skeleton(t, {}, codes), 3)[0].tolist())) for k, t, s in rows}
-    want = {(a, b): len(x & y) / len(x | y) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" != u and len(x & y) / len(x | y) >= 0.35}
-    assert {(r["id_t"], r["id_e"]): r["similarity"] for r in overlap.split_overlaps(df).collect()} == pytest.approx(want) and len(want) > 5
+    codes = overlap.Codes()
+    sets = {k: (s, set(overlap.shingles(overlap.skeleton(t, {}, codes), 5).tolist())) for k, t, s in rows}
+    want = {(a, b): len(x & y) / len(x | y) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" != u and len(x & y) / len(x | y) >= 0.27}
+    assert {(r["id_t"], r["id_e"]): r["similarity"] for r in overlap.split_overlaps(df).pairs().collect()} == pytest.approx(want) and len(want) > 5
+
+
+def test_close_to_equals_brute_force_on_word_changes():
+    """Word changes of 1 in 5 to 1 in 20 over texts of few words, so that prefixes meet often."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(3, 120))] for _ in range(150)]
+    changed = [[rng.choice(words) if rng.random() < 1 / rng.randint(5, 20) else w for w in t] for t in texts]
+    codes = overlap.Codes()
+    of = lambda t: overlap.shingles(overlap.skeleton(" ".join(t), {}, codes), 5)
+    left, right = [of(t) for t in texts], [of(t) for t in changed]
+    held = overlap.Prefixes.build(np.arange(len(left)), left, 0.27)
+    for x in right:
+        want = {k: s for k, y in enumerate(left) if (s := len(np.intersect1d(x, y)) / len(np.union1d(x, y))) >= 0.27}
+        assert dict(held.close_to(x)) == pytest.approx(want)
 
 
 def test_hot_group_of_copies(spark):
     text = corpus(1)[0][1]
     rows = [(f"t{i}", text, "training") for i in range(40)] + [(f"e{i}", text, "test") for i in range(3)]
     got = overlap.split_overlaps(spark.createDataFrame(rows, "id string, original_text string, split string"))
-    assert got.count() == 120
-    counts = overlap.overlap_counts(got, spark.createDataFrame([(k, "s") for k, _, _ in rows], "id string, source string")).first()
+    assert got.pairs().count() == 120 and got.matches.count() == 40  # one row per training record and content
+    counts = got.counts(spark.createDataFrame([(k, "s") for k, _, _ in rows], "id string, source string")).first()
     assert (counts["split"], counts["records"], counts["training_records"], counts["pairs"]) == ("test", 3, 40, 120)
 
 
 def test_skeleton_survives_damage():
-    codes = overlap.Codes({})
+    codes = overlap.Codes()
     sound = overlap.skeleton("La medición del modelo según el glaciar", {}, codes).tolist()
     for damaged in ("La medi-\nción del modelo según el glaciar", "La m e d i c i ó n del MMMOOODDDEEELLLOOO según el g1aciar", "La medicién del modc1o scgún el glaciar".replace("medicién", "medición"), "La mediciÃ³n del modelo segÃºn el glaciar"):
         assert overlap.skeleton(damaged, {}, codes).tolist() == sound, damaged
