@@ -77,7 +77,7 @@ def skeleton(text: str, trusted: dict[str, int], codes: Codes) -> np.ndarray:
 
 
 def shingles(codes: np.ndarray, width: int) -> np.ndarray:
-    """The distinct shingle hashes of a text in order. Shorter texts are one shingle."""
+    """The distinct shingle hashes of a text. Shorter texts are one shingle."""
     if not len(codes):
         return np.empty(0, np.int64)
     width = min(width, len(codes))
@@ -87,7 +87,8 @@ def shingles(codes: np.ndarray, width: int) -> np.ndarray:
         for k in range(width):
             mixed = (mixed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed.view(np.int64))
+    mixed.sort()
+    return mixed[np.append(True, mixed[1:] != mixed[:-1])].view(np.int64)
 
 
 def contents(df: DataFrame, trusted: dict[str, int], width: int) -> DataFrame:
@@ -157,39 +158,59 @@ class Prefixes:
         with fs.open_input_file(name) as f, np.load(io.BytesIO(f.read())) as arrays:
             return cls(same, **{x: arrays[x] for x in cls.FIELDS})
 
-    def close_to(self, mine: np.ndarray) -> list[tuple[int, float]]:
-        """``content, similarity`` of every indexed text whose shingles have a Jaccard coefficient of ``same`` or more with ``mine``.
+    def _least(self, m: int) -> np.ndarray:
+        """How many meetings of prefixes each indexed text needs at least to be close to a text of ``m`` shingles."""
+        most = np.maximum(m - int(_prefix(np.array(m), self.same)), self.sizes - self.kept)
+        least = np.maximum(np.ceil(self.part * (m + self.sizes) - most - 1e-9), 1).astype(np.int64)
+        least[(self.sizes < self.same * m - 1e-9) | (m < self.same * self.sizes - 1e-9)] = np.iinfo(np.int64).max
+        return least
+
+    def close_to(self, sets: list[np.ndarray]) -> list[list[tuple[int, float]]]:
+        """For each set of shingles ``content, similarity`` of every indexed text with a Jaccard coefficient of ``same`` or more.
 
         Such a pair has ``part`` of both sizes together in common, so each side's prefix meets the other's. All meetings of
         prefixes are counted. What lies beyond the prefix that ends first can add no more than that text has left, so
         texts with too few meetings, and texts too short or too long, are ruled out; the others are compared in full.
         """
-        m = len(mine)
-        found = np.minimum(np.searchsorted(self.hashes, mine), len(self.hashes) - 1)
-        present = np.sort(self.number[found[self.hashes[found] == mine]])
-        keep = int(_prefix(np.array(m), self.same))
-        take = keep - (m - len(present))  # shingles the index lacks are the rarest
-        if take <= 0:
-            return []
-        mine_in = present[:take]
-        n = self.times[mine_in]
-        total = int(n.sum())
-        if not total:
-            return []
-        posted = self.owner[np.repeat(self.start[mine_in] - (np.cumsum(n) - n), n) + np.arange(total)]
-        met = np.bincount(posted, minlength=len(self.sizes))
-        some = np.flatnonzero(met)
-        size = self.sizes[some]
-        beyond = np.where(mine_in[-1] <= self.ends[some], m - keep, size - self.kept[some])
-        fits = (met[some] + beyond >= self.part * (m + size) - 1e-9) & (size >= self.same * m - 1e-9) & (m >= self.same * size - 1e-9)
-        out = []
-        for k in some[fits]:
-            other = self.sets[self.at[k] : self.at[k + 1]]
-            at = np.minimum(np.searchsorted(other, present), len(other) - 1)
-            shared = int((other[at] == present).sum())
-            similarity = shared / (m + len(other) - shared)
-            if similarity >= self.same - 1e-9:
-                out.append((int(self.contents[k]), similarity))
+        out: list[list[tuple[int, float]]] = [[] for _ in sets]
+        if not sets:
+            return out
+        asked, place = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        numbers = np.where(self.hashes[at] == asked, self.number[at], -1)[place]
+        bounds = np.cumsum([0, *map(len, sets)])
+        mark = np.zeros(len(self.hashes), bool)
+        least, size_of_least = None, -1
+        for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+            m = len(sets[i])
+            present = np.sort(numbers[bounds[i] : bounds[i + 1]])
+            present = present[np.searchsorted(present, 0) :]
+            keep = m - int(np.ceil(self.same * m - 1e-9)) + 1
+            take = keep - (m - len(present))  # shingles the index lacks are the rarest
+            if take <= 0:
+                continue
+            prefix = present[:take]
+            n = self.times[prefix]
+            total = int(n.sum())
+            if not total:
+                continue
+            posted = self.owner[np.repeat(self.start[prefix] - (np.cumsum(n) - n), n) + np.arange(total)]
+            met = np.bincount(posted, minlength=len(self.sizes))
+            if m != size_of_least:
+                least, size_of_least = self._least(m), m
+            some = np.flatnonzero(met >= least)
+            size = self.sizes[some]
+            beyond = np.where(prefix[-1] <= self.ends[some], m - keep, size - self.kept[some])
+            fits = met[some] + beyond >= self.part * (m + size) - 1e-9
+            some, size = some[fits], size[fits]
+            if not len(some):
+                continue
+            mark[present] = True
+            ends = np.cumsum(size)
+            shared = np.add.reduceat(mark[self.sets[np.repeat(self.at[some] - (ends - size), size) + np.arange(ends[-1])]], ends - size, dtype=np.int64)
+            mark[present] = False
+            similarity = shared / (m + size - shared)
+            out[i] = [(int(self.contents[k]), float(x)) for k, x in zip(some, similarity) if x >= self.same - 1e-9]
         return out
 
 
@@ -231,8 +252,8 @@ def probe(texts: DataFrame, paths: list[str], trusted: dict[str, int], same: flo
             met: dict[str, list[tuple[int, float]]] = defaultdict(list)
             for path in paths:
                 held = _block(path, same)
-                for t, s in sets.items():
-                    met[t] += held.close_to(s)
+                for t, found in zip(sets, held.close_to(list(sets.values()))):
+                    met[t] += found
             out = [(k, *pair) for k, t in zip(b["key"], b["text"]) for pair in met.get(t, ())]
             yield pd.DataFrame(out, columns=["key", "content", "similarity"])
 
