@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm.encoding import find_garbled
-from acervo.llm.language import label_cases, segments
+from acervo.llm.language import declared, label_cases, segments
 from acervo.llm.lexicon import trusted_words
-from acervo.llm.mixing import mix, reached_shares
+from acervo.llm.mixing import Mixture, mix, reached_shares
 from acervo.llm.names import link_names, variant_pairs
 from acervo.llm.overlap import Overlaps, split_overlaps
 from acervo.llm.packing import fill_rates, pack
@@ -49,8 +49,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SubjectModel]:
     materias = read_table(spark, sf_dir, "materias")
     names = sorted(r["subject"] for r in materias.select("subject").distinct().collect())
-    df = declared_areas(read_table(spark, sf_dir, "dataset", ["id", "original_text", "subject"]), "subject", materias)
-    model = fit(df.where(F.col("declared").isNotNull() & (F.col("original_text") != "")).select(F.col("declared").alias("area"), F.col("original_text").alias("text")), names)
+    df = declared_areas(read_table(spark, sf_dir, "dataset", ["id", "original_text", "subject", "language"]), "subject", materias)
+    labelled = df.where(F.col("declared").isNotNull() & (F.col("original_text") != ""))
+    model = fit(labelled.select(F.col("declared").alias("area"), declared(F.col("language")).alias("lang"), F.col("original_text").alias("text")), names)
     return assign(df, "id", "original_text", "declared", model), model
 
 
@@ -110,12 +111,16 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_rates(p8_pack(spark, sf_dir), _capacities(spark, sf_dir))
 
 
-def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
     return mix(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]), read_table(spark, sf_dir, "mix_targets"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).selection.drop("weights")
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reached_shares(p9_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+    return reached_shares(_mixture(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
 def _endings(spark: SparkSession, sf_dir: str) -> DataFrame:

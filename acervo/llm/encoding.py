@@ -15,8 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Legacy encodings that UTF-8 was read in, with the lead bytes whose spans are decoded there (Latin letters and punctuation).
-MULTIBYTE = {"cp1252": (0xC2, 0xC3, 0xC5, 0xE2), "mac_roman": (0xC2, 0xC3, 0xE2), "cp437": (0xC2, 0xC3, 0xE2), "cp850": (0xC2, 0xC3, 0xE2), "cp1251": (0xC2, 0xC3)}
+#: Legacy encodings that UTF-8 was read in, with the lead bytes that are decoded wherever they stand (Latin
+#: letters, punctuation, and the lead of four bytes). Sequences of other leads are decoded in runs of two or more.
+MULTIBYTE = {
+    "cp1252": (0xC2, 0xC3, 0xC5, 0xE2, 0xF0), "mac_roman": (0xC2, 0xC3, 0xE2), "cp437": (0xC2, 0xC3, 0xE2), "cp850": (0xC2, 0xC3, 0xE2), "cp1251": (0xC2, 0xC3, 0xF0),
+}
 #: Encodings that Latin-1 text was read in.
 SINGLE_BYTE = ("mac_roman", "cp850", "cp1251", "cp437", "cp1250", "koi8_r")
 #: The letters and signs beyond ASCII that the five languages use.
@@ -27,10 +30,10 @@ LOST = "�"
 _CLOSER = "ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇ·°ı"
 SUSPECT = (
     r"[\x{80}-\x{10FFFF}&&[^áàâãéèêíìîóòôõúùûüñç¿¡ªº«»\x{AD}\x{A0}´¬\x{2010}-\x{2015}‘’“”…•ﬁﬂ]]"
-    rf"(?:(?<![{_CLOSER}])|(?<=\p{{Ll}}[ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇı])|(?<=[ÃÂ])[^\p{{L}} ]|(?<=\p{{L}}[·°])|(?<=[·°])\p{{L}})"
+    rf"(?:(?<![{_CLOSER}])|(?<=\p{{Ll}}[ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇı])|(?<=[ÃÂ])[[^\p{{L}} ]ªº]|(?<=\p{{L}}[·°])|(?<=[·°])\p{{L}})"
 )
 #: Signs of damage that hold even where nothing can be decoded: lost characters, controls, a lead letter inside a lower-case word, table-drawing or mixed-script letters next to Latin ones, a sign or accented capital between small letters.
-RESIDUE = re.compile(r"�|[\x80-\x9f]|[a-zß-ÿ][ÃÂ](?![A-ZÀ-Þ])|[A-Za-z][√├┬╔╗│▒║┤][^\s]|[√├┬][^\s\d]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]|Ã[‚ƒ€†]|â€|[a-z][ÀÁÂÈÉÊÌÍÎÒÔÙÚÛÝÞ±¾§þ³¹][a-z]")
+RESIDUE = re.compile(r"�|[\x80-\x9f]|[a-zß-ÿ][ÃÂ](?![A-ZÀ-Þ])|[A-Za-z][√├┬╔╗│▒║┤][^\s]|[√├┬][^\s\d]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]|Ã[‚ƒ€†]|â€|[a-z][ÀÁÂÈÉÊÌÍÎÒÔÙÚÛÝÞ±¾§þ³¹][a-z]|ðŸ|[ÐÑ][^\w\s»”\"')\],.;:?!-]")
 TOKEN = re.compile(r"[^\s.,;:()\[\]!?\"'’/-]+")
 
 
@@ -53,10 +56,10 @@ def _automaton(codec: str, leads: tuple[int, ...]) -> tuple[re.Pattern, dict[str
     if codec == "cp1252":
         back |= {chr(b): b for b in range(0x80, 0xA0)}
     tails = "".join(re.escape(c) for c, b in back.items() if 0x80 <= b < 0xC0)
-    two = "".join(re.escape(table[b]) for b in leads if 0xC2 <= b < 0xE0)
-    three = "".join(re.escape(table[b]) for b in leads if b >= 0xE0)
-    parts = [f"[{two}][{tails}]"] + ([f"[{three}][{tails}]{{2}}"] if three else [])
-    return re.compile(f"(?:{'|'.join(parts)})+"), back
+    of = lambda low, high, only: "".join(re.escape(table[b]) for b in range(low, high) if b in table and (b in leads or not only))
+    sequences = [[f"[{x}][{tails}]{{{n}}}" for n, low, high in ((1, 0xC2, 0xE0), (2, 0xE0, 0xF0), (3, 0xF0, 0xF5)) if (x := of(low, high, only))] for only in (True, False)]
+    sure, every = ("|".join(x) for x in sequences)
+    return re.compile(f"(?:{every}){{2,}}|(?:{sure})"), back
 
 
 AUTOMATA = {codec: _automaton(codec, leads) for codec, leads in MULTIBYTE.items()}

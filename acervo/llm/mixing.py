@@ -1,13 +1,15 @@
 """Mixing sources to target weights by soft membership.
 
-Each text belongs to sources by weights: its label where it has one, else the posteriors of a classifier fitted on the
-labelled rows. Projected-gradient least squares then finds rates, from 0 to the cap on repeats, at which the expected
-tokens per source match the targets. Rates become whole uses by a threshold on a hash of the key, set so that the tokens
-used come to what the rate asks for.
+A classifier fitted on a bounded table of labelled texts gives every text its posteriors over the sources. Projected-gradient
+least squares finds document rates, from 0 to the cap on repeats of the text's source, at which the expected tokens per
+posterior source come nearest the targets, among the rates that give each source its share by label. Rates become whole
+uses by a threshold on a hash of the key, set so that the tokens used come to what the rate asks for.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, StringIndexer
@@ -19,98 +21,152 @@ from pyspark.sql import functions as F
 from acervo.llm.tokens import TOKENIZER, with_tokens
 from acervo.sources import cut
 
+#: Posteriors are kept in steps of 1/STEPS.
+STEPS = 20
+
 
 def memberships(df: DataFrame, key: str, text: str, source: str, sample: int = 20000, features: int = 1 << 14) -> DataFrame:
-    """``key, source, tokens, label, weights``: MAP<source, weight> per text; weights below 0.05 are dropped and the rest rescaled.
+    """``key, tokens, label, source, weights`` of every row: its label (NULL where blank), the label or else the likeliest
+    source, and MAP<source, weight> of posteriors in steps of 1/STEPS that sum to 1.
 
-    The classifier is fitted on about ``sample`` labelled rows, and only where rows without a label exist.
+    The classifier is fitted on about ``sample`` labelled rows taken by the hash of the key; labels serve the fitting
+    only, the weights are posteriors for labelled rows too. Without any labelled text there are no sources and no rows.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(F.trim(F.col(source)) != "", F.trim(F.col(source))).alias("label"), "tokens")
-    labelled = rows.where("label is not null").select("key", "tokens", "label", F.create_map("label", F.lit(1.0)).alias("weights"))
-    unlabelled = rows.where("label is null and tokens > 0")
-    if not unlabelled.head(1):
-        return labelled
-    total = max(1, rows.where("label is not null").count())
+    labelled = rows.where("label is not null and tokens > 0")
+    total = labelled.count()
+    if not total:
+        return rows.where("false").select("key", "tokens", "label", F.col("label").alias("source"), F.create_map("label", F.lit(1.0)).alias("weights"))
     tf = HashingTF(inputCol="words", outputCol="features", numFeatures=features)
-    bag = lambda x: tf.transform(x.withColumn("words", F.split(F.lower("text"), r"[^\p{L}]+")))
-    train = cut(bag(rows.where("label is not null and text is not null").where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < min(1.0, sample / total) * (1 << 20))).select("label", "features"))
+    bag = lambda x: tf.transform(x.withColumn("words", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")))
+    train = cut(bag(labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < max(min(1.0, sample / total), 1 / (1 << 20)) * (1 << 20))).select("label", "features"))
+    if not train.head(1):  # very few labelled rows, none of them taken
+        train = cut(bag(labelled).select("label", "features"))
     index = StringIndexer(inputCol="label", outputCol="target").fit(train)
     model = NaiveBayes(featuresCol="features", labelCol="target").fit(index.transform(train))
-    p = vector_to_array("probability")
-    scored = model.transform(bag(unlabelled)).select("key", "tokens", F.lit(None).cast("string").alias("label"), F.map_from_arrays(F.array(*[F.lit(x) for x in index.labels]), p).alias("all"))
-    kept = F.map_filter("all", lambda _, v: v >= 0.05)
-    mass = F.aggregate(F.map_values(kept), F.lit(0.0), lambda a, v: a + v)
-    return labelled.unionByName(scored.select("key", "tokens", "label", F.transform_values(kept, lambda _, v: v / mass).alias("weights")))
+    entries = F.arrays_zip(F.array(*[F.lit(x) for x in index.labels]).alias("source"), vector_to_array("probability").alias("weight"))
+    scored = model.transform(bag(rows)).select("key", "tokens", "label", F.transform(entries, lambda e: F.struct(e["source"].alias("source"), F.floor(e["weight"] * STEPS).cast("int").alias("n"), e["weight"].alias("p"))).alias("all"))
+    best = F.array_max(F.transform("all", lambda e: F.struct(e["p"].alias("p"), e["source"].alias("source"))))["source"]
+    given = F.aggregate("all", F.lit(0), lambda a, e: a + e["n"])
+    scored = scored.withColumn("best", best).withColumn("rest", F.lit(STEPS) - given)  # what rounding down leaves goes to the likeliest
+    steps = F.transform("all", lambda e: F.struct(e["source"], (e["n"] + F.when(e["source"] == F.col("best"), F.col("rest")).otherwise(0)).cast("double") / STEPS))
+    return scored.select("key", "tokens", "label", F.coalesce("label", "best").alias("source"), F.map_filter(F.map_from_entries(steps), lambda _, v: v > 0).alias("weights"))
+
+
+@dataclass
+class Rates:
+    """rates: ``group, rate``; whether the steps settled, after how many, and the error left: the root of the squared misses over that of the targets."""
 
+    rates: DataFrame
+    settled: bool
+    steps: int
+    error: float
 
-def rates(groups: DataFrame, targets: dict[str, float], caps: dict[str, float], rounds: int = 30, step: float = 0.8) -> DataFrame:
-    """``weights, tokens, cap, rate``: nonnegative rates, at most ``cap``, whose expected tokens per source come nearest the targets.
 
-    groups: ``weights`` (MAP) and ``tokens`` of all texts with these weights. One projected-gradient step is one
-    aggregation over the groups; the gradient of a source is scaled by the tokens it holds.
+def rates(groups: DataFrame, targets: dict[str, float], caps: dict[str, float], rounds: int = 40, step: float = 0.5) -> Rates:
+    """Rates from 0 to the cap of the source at which the expected tokens per posterior source come nearest the targets.
+
+    groups: ``group, source, weights, tokens``. A step is one aggregation over the groups; the gradient of a source is
+    scaled by the tokens it holds, and its mean over a source is taken off, so that a step keeps the tokens each source
+    has by label; what the bounds then change there is made good by a factor in the next step. Sources without a target
+    are not used. A source whose cap keeps it short stays at the cap.
     """
 
-    def dot(values: dict[str, float]) -> Column:
-        """The sum over a text's sources of weight times value; 0 for sources without a value."""
-        if not values:
-            return F.lit(0.0)
-        of = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-        return F.aggregate(F.map_entries("weights"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(of[e["key"]], F.lit(0.0)))
-
-    state = cut(groups.withColumn("cap", dot(caps)).withColumn("rate", F.lit(0.0)))
-    flat = lambda d: d.select("tokens", "rate", F.explode("weights").alias("source", "weight"))
-    held = {r["source"]: r["n"] for r in flat(state).groupBy("source").agg(F.sum(F.col("tokens") * F.col("weight")).alias("n")).collect()}
-    last = np.inf
-    for turn in range(rounds):
-        reached = {r["source"]: r["n"] for r in flat(state).groupBy("source").agg(F.sum(F.col("tokens") * F.col("weight") * F.col("rate")).alias("n")).collect()}
-        gradient = {s: (reached.get(s, 0.0) - targets.get(s, 0.0)) / max(held[s], 1.0) for s in held}
-        loss = sum((reached.get(s, 0.0) - t) ** 2 for s, t in targets.items())
-        if abs(last - loss) <= 1e-10 * max(1.0, sum(t * t for t in targets.values())):
+    def value(of: Column, values: dict[str, float]) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[of], F.lit(0.0)) if values else F.lit(0.0)
+
+    parts = F.concat(
+        F.array(F.struct(F.lit("label").alias("by"), F.col("source").alias("name"), F.lit(1.0).alias("weight"))),
+        F.transform(F.map_entries("weights"), lambda e: F.struct(F.lit("posterior").alias("by"), e["key"].alias("name"), e["value"].alias("weight"))),
+    )
+    state = cut(groups.where(F.col("source").isin(*targets)).withColumn("cap", value(F.col("source"), caps)).withColumn("parts", parts))
+    crossed = state.select("source", "tokens", F.explode("weights").alias("name", "weight")).groupBy("source", "name").agg(F.sum(F.col("tokens") * F.col("weight")).alias("n")).collect()
+    own, held = {}, {}
+    for r in crossed:  # a row per two sources
+        own[r["source"]] = own.get(r["source"], 0.0) + r["n"]
+        held[r["name"]] = held.get(r["name"], 0.0) + r["n"]
+    state = state.withColumn("rate", F.least("cap", value(F.col("source"), {s: targets[s] / max(n, 1e-9) for s, n in own.items()})))
+    size = max(sum(t * t for t in targets.values()), 1e-9)
+    last, settled, error, turn = np.inf, False, 0.0, 0
+    for turn in range(1, rounds + 1):
+        sums = state.select("tokens", "rate", F.explode("parts").alias("x")).groupBy("x.by", "x.name").agg(F.sum(F.col("tokens") * F.col("x.weight") * F.col("rate")).alias("n")).collect()
+        label = {r["name"]: r["n"] for r in sums if r["by"] == "label"}
+        reached = {r["name"]: r["n"] for r in sums if r["by"] == "posterior"}
+        error = (sum((reached.get(s, 0.0) - t) ** 2 for s, t in targets.items()) / size) ** 0.5
+        settled = abs(last - error) <= 1e-3  # of the targets
+        factor = {s: targets[s] / n for s, n in label.items() if n > 0}
+        scaled = F.least("cap", F.col("rate") * value(F.col("source"), factor))
+        if settled:
+            state = state.withColumn("rate", scaled)
             break
-        last = loss
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.least("cap", F.col("rate") - step * dot(gradient))))
-        state = cut(state) if turn % 5 == 4 else state
-    return state
+        last = error
+        gradient = {s: (reached.get(s, 0.0) - targets.get(s, 0.0)) / max(held[s], 1e-9) for s in held}
+        mean: dict[str, float] = dict.fromkeys(own, 0.0)
+        for r in crossed:
+            mean[r["source"]] += r["n"] * gradient[r["name"]] / max(own[r["source"]], 1e-9)
+        slope = F.aggregate(F.map_entries("weights"), F.lit(0.0), lambda a, e: a + e["value"] * value(e["key"], gradient))
+        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.least("cap", scaled - step * (slope - value(F.col("source"), mean)))))
+        state = cut(state) if turn % 5 == 0 else state
+    return Rates(cut(state.select("group", "rate")), settled, turn, float(error))
+
+
+@dataclass
+class Mixture:
+    """selection: ``mix, key, source, tokens, uses, weights``; fits: of each mix its name, whether its rates settled, after how many steps, and the error left."""
+
+    selection: DataFrame
+    fits: list[tuple[str, bool, int, float]]
 
 
-def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER) -> DataFrame:
-    """``mix, key, source, tokens, uses``: the texts of each mix and how often each is used (rows with no use are left out).
+def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER) -> Mixture:
+    """The texts of each mix and how often each is used; rows with no use are left out.
 
     targets: ``mix, source, target_share, max_repeats, total_ratio``. A source that its cap keeps below its share stays at
     the cap; ``source`` is the label, or the likeliest source of a text without one. Texts without tokens are not used.
     """
-    sized = cut(memberships(with_tokens(df, text, path), key, text, source).where("tokens > 0"))
-    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    sized = memberships(with_tokens(df, text, path), key, text, source).where("tokens > 0")
+    group = F.xxhash64("source", F.array_sort(F.map_entries("weights")))
+    rows = cut(sized.withColumn("group", group))
+    total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     wanted = targets.collect()  # a row per mix and source, fixed
-    group = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values("weights", lambda _, v: F.round(v * 20) / 20)))))
-    rows = sized.withColumn("group", group).withColumn("likely", F.coalesce("label", F.array_max(F.transform(F.map_entries("weights"), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))["k"]))
-    groups = cut(rows.groupBy("group").agg(F.first("weights").alias("weights"), F.sum("tokens").cast("double").alias("tokens")))
-    out = None
+    groups = cut(rows.groupBy("group").agg(F.min("source").alias("source"), F.map_from_entries(F.min(F.array_sort(F.map_entries("weights")))).alias("weights"), F.sum("tokens").cast("double").alias("tokens")))
+    out, told = None, []
     for name in sorted({r["mix"] for r in wanted}):
         mine = [r for r in wanted if r["mix"] == name]
         goal = {r["source"]: r["target_share"] * r["total_ratio"] * total for r in mine}
         caps = {r["source"]: float(r["max_repeats"]) for r in mine}
-        rate = rates(groups, goal, caps).select("group", "rate", "cap")
-        used = rows.join(rate, "group").where("rate > 0")
+        fit = rates(groups, goal, caps)
+        told.append((name, fit.settled, fit.steps, round(fit.error, 6)))
+        used = rows.join(fit.rates, "group").where("rate > 0")
         used = used.withColumn("base", F.floor("rate").cast("int")).withColumn("part", F.col("rate") - F.floor("rate"))
-        used = used.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(name)), F.lit(1 << 12)).cast("int"))
-        # the buckets of a group in turn, until their tokens are the fraction the rate asks for: at most 4096 per group
-        tokens = used.groupBy("group", "part", "bucket").agg(F.sum("tokens").alias("n"))
-        run = W.partitionBy("group").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-        edge = tokens.withColumn("before", F.sum("n").over(run) - F.col("n")).withColumn("all", F.sum("n").over(W.partitionBy("group")))
-        extra = edge.where(F.col("before") + F.col("n") / 2 <= F.col("part") * F.col("all")).select("group", "bucket", F.lit(1).alias("more"))
-        picked = used.join(extra, ["group", "bucket"], "left").withColumn("uses", (F.col("base") + F.coalesce("more", F.lit(0))).cast("int"))
-        picked = picked.where("uses > 0").select(F.lit(name).alias("mix"), F.col("key").alias(key), F.col("likely").alias("source"), "tokens", "uses")
+        # a row's part of a use becomes one where a hash in [0, 1) lies below it, times a factor near 1 for each source that
+        # makes the tokens used what the rates ask for; the factor is found among 4096 bins
+        lots = (F.pmod(F.xxhash64("key", F.lit(name)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+        used = used.withColumn("bin", F.when(F.col("part") > 0, F.greatest(F.lit(-1), F.least(F.lit(4096), F.floor((lots / F.col("part") - 0.5) * 4096)))).otherwise(4097).cast("int"))
+        tokens = used.groupBy("source", "bin").agg(F.sum("tokens").alias("n"), F.sum(F.col("tokens") * F.col("part")).alias("asked"))
+        run = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+        sums = tokens.withColumn("before", F.sum("n").over(run) - F.col("n")).withColumn("asked", F.sum("asked").over(W.partitionBy("source")))
+        edges = sums.where("bin < 4096 and before + n / 2 <= asked").groupBy("source").agg(F.max("bin").alias("edge"))
+        picked = used.join(F.broadcast(edges), "source", "left")  # a row per source of the mix
+        picked = picked.withColumn("uses", (F.col("base") + F.when(F.col("bin") <= F.col("edge"), 1).otherwise(0)).cast("int"))
+        picked = picked.where("uses > 0").select(F.lit(name).alias("mix"), F.col("key").alias(key), "source", "tokens", "uses", "weights")
         out = picked if out is None else out.unionByName(picked)
     if out is None:
-        return rows.where("false").select(F.lit("").alias("mix"), F.col("key").alias(key), F.col("likely").alias("source"), "tokens", F.lit(0).alias("uses"))
-    return out
+        out = rows.where("false").select(F.lit("").alias("mix"), F.col("key").alias(key), "source", "tokens", F.lit(0).alias("uses"), "weights")
+    return Mixture(out, told)
 
 
-def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """``mix, source, target_share, share, tokens, texts, most_uses``: what each source contributes, sources with nothing included."""
+def reached_shares(mixture: Mixture, targets: DataFrame) -> DataFrame:
+    """``mix, source, target_share, share, posterior_share, tokens, texts, most_uses, settled, error``: what each source
+    contributes by label and by posteriors, sources with nothing included, and how the rates of the mix were found."""
+    mixed = mixture.selection
     sums = mixed.groupBy("mix", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("texts"), F.max("uses").alias("most_uses"))
-    every = targets.select("mix", "source", "target_share").join(sums, ["mix", "source"], "left")
+    soft = mixed.select("mix", (F.col("tokens") * F.col("uses")).alias("n"), F.explode("weights").alias("source", "weight")).groupBy("mix", "source").agg(F.sum(F.col("n") * F.col("weight")).alias("soft"))
+    fits = targets.sparkSession.createDataFrame(mixture.fits, "mix string, settled boolean, steps int, error double")
+    every = targets.select("mix", "source", "target_share").join(sums, ["mix", "source"], "left").join(soft, ["mix", "source"], "left").join(fits, "mix", "left")
     tokens = F.coalesce("tokens", F.lit(0))
-    share = F.round(tokens / F.sum(tokens).over(W.partitionBy("mix")), 6)
-    return every.select("mix", "source", "target_share", share.alias("share"), tokens.alias("tokens"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    of = W.partitionBy("mix")
+    return every.select(
+        "mix", "source", "target_share", F.round(tokens / F.sum(tokens).over(of), 6).alias("share"), F.round(F.coalesce("soft", F.lit(0.0)) / F.sum(tokens).over(of), 6).alias("posterior_share"),
+        tokens.alias("tokens"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "settled", "error",
+    )

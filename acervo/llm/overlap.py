@@ -8,7 +8,6 @@ once to the shared folder; training texts probe the blocks where they are read,
 
 from __future__ import annotations
 
-import io
 import re
 import unicodedata
 import uuid
@@ -141,7 +140,7 @@ class Prefixes:
         kept = _prefix(sizes, same)
         inside = np.arange(len(flat)) - np.repeat(at[:-1], sizes) < np.repeat(kept, sizes)
         posted = np.argsort(flat[inside], kind="stable")
-        start = np.concatenate([[0], np.cumsum(np.bincount(flat[inside], minlength=len(hashes)))])
+        start = np.concatenate([[0], np.cumsum(np.bincount(flat[inside], minlength=len(hashes)))]).astype(np.int32)
         return cls(same, contents=contents, hashes=hashes, number=number, start=start, owner=text[inside][posted], at=at, sets=flat, ends=flat[at[:-1] + kept - 1])
 
     def save(self, path: str) -> None:
@@ -155,7 +154,7 @@ class Prefixes:
     @classmethod
     def load(cls, path: str, same: float) -> Prefixes:
         fs, name = pa_fs.FileSystem.from_uri(path)
-        with fs.open_input_file(name) as f, np.load(io.BytesIO(f.read())) as arrays:
+        with fs.open_input_file(name) as f, np.load(f) as arrays:
             return cls(same, **{x: arrays[x] for x in cls.FIELDS})
 
     def _least(self, m: int) -> np.ndarray:
@@ -219,7 +218,7 @@ def _prefix(sizes: np.ndarray, same: float) -> np.ndarray:
     return sizes - np.ceil(same * sizes - 1e-9).astype(np.int64) + 1
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _block(path: str, same: float) -> Prefixes:
     """A block of the index, loaded once per Python worker."""
     return Prefixes.load(path, same)

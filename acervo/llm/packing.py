@@ -89,10 +89,12 @@ def pack(df: DataFrame, capacities: dict[str, int], key: str = "doc_id", text: s
     A text above the capacity fills containers of its own with whole pieces, and its rest (piece > 0, from token ``start``)
     is packed like a text. NULL and empty texts have no tokens and no row. Repeated keys and copies are separate texts.
     """
-    rows = with_tokens(df.where(F.col(text) != "").select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", path)
+    rows = df.where(F.col(text) != "").select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     words = F.filter(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+")), lambda w: F.length(w) > 5)
     signature = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))
+    # ranges are sampled from what stands before the exchange, so texts are tokenised after it, once
     ordered = rows.withColumn("_sig", signature).repartitionByRange(F.col("_sig"), F.xxhash64("_key")).sortWithinPartitions("_sig", F.xxhash64("_key"))
+    sized = with_tokens(ordered, "_text", path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -130,7 +132,7 @@ def pack(df: DataFrame, capacities: dict[str, int], key: str = "doc_id", text: s
             yield shard_of(held)
 
     kind = df.schema[key].dataType.simpleString()
-    return ordered.select("_key", "_text", "tokens").mapInPandas(run, f"budget string, container string, slot int, key {kind}, piece int, start int, tokens int").withColumnRenamed("key", key)
+    return sized.select("_key", "_text", "tokens").mapInPandas(run, f"budget string, container string, slot int, key {kind}, piece int, start int, tokens int").withColumnRenamed("key", key)
 
 
 def fill_rates(packed: DataFrame, capacities: dict[str, int]) -> DataFrame:

@@ -1,12 +1,13 @@
 """Subject areas of documents from latent Dirichlet topics.
 
-A topic model is fitted on a bounded sample of labelled texts over words that tell areas apart; each topic is mapped to
-the area its top terms stand for; a text's areas follow from the proportions of its topics. As topics of rare
-languages mix areas, each word of a topic is weighed by the areas the word itself stands for.
+A topic model is fitted on a bounded sample of labelled texts, balanced over the languages of their labels so that rare
+languages have topics of their own, over words that tell areas apart. Each topic is mapped to the areas its top terms
+stand for, and a text's areas follow from the proportions of its topics.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from acervo.sources import cut
 
 @dataclass
 class SubjectModel:
-    """vocab: word -> row; topics: words x topics, p(word | topic); topic_area: topics x areas, what the top terms of a topic stand for; term_area: words x areas."""
+    """vocab: word -> row; topics: words x topics, p(word | topic); topic_area: topics x areas, 1 at the area that a topic's top terms stand for; purity: how far they do."""
 
     names: list[str]
     vocab: dict[str, int]
@@ -32,7 +33,6 @@ class SubjectModel:
     weights: np.ndarray
     topic_area: np.ndarray
     purity: np.ndarray
-    term_area: np.ndarray
 
     def table(self, terms: int = 15) -> list[tuple[int, str, float, str]]:
         """``topic, subject, purity, terms``: what the mapping was read from."""
@@ -48,14 +48,20 @@ def declared_areas(df: DataFrame, subject: str, materias: DataFrame) -> DataFram
     return df.withColumn("_name", F.trim(F.split_part(F.col(subject), F.lit("::"), F.lit(1)))).join(F.broadcast(areas), "_name", "left").drop("_name")
 
 
-def fit(labelled: DataFrame, names: list[str], sample: int = 12000, topics: int = 96, share: float = 2e-5, lift: float = 3.0, seed: int = 7) -> SubjectModel:
-    """Fit on about ``sample`` rows of ``area, text`` taken by the hash of the text.
+def fit(labelled: DataFrame, names: list[str], sample: int = 12000, topics: int = 60, share: float = 2e-5, lift: float = 3.0, pure: float = 0.75, seed: int = 7) -> SubjectModel:
+    """Fit ``topics`` topics for each ``lang`` on about ``sample`` rows of ``area, lang, text`` in all, as many of each
+    ``lang`` (few, so at most a few fits), taken by the hash of the text. Rows with NULL ``lang`` serve where there are no others.
 
     The vocabulary holds the words that make up ``share`` of the sample's words or more (at most 1/share) and whose
     documents are ``lift`` times as often of one area as of a random one (with few areas, half the most that can be reached).
+    A topic is mapped to the area that its 15 top terms stand for; a topic whose terms give no area ``pure`` is set aside.
     """
-    total = labelled.count()
-    rows = cut(labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, sample / max(total, 1)) * (1 << 20)).select("area", "text"))
+    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    totals = {k: n for k, n in totals.items() if k is not None} or totals
+    part = F.lit(0.0)
+    for lang, n in totals.items():
+        part = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(min(1.0, sample / len(totals) / n))).otherwise(part)
+    rows = cut(labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part * (1 << 20)).select("area", "lang", "text"))
     number = {a: i for i, a in enumerate(names)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,64 +86,93 @@ def fit(labelled: DataFrame, names: list[str], sample: int = 12000, topics: int
     keep = (rate / np.maximum(base, 1e-9)).max(axis=1) >= min(lift, (1 + len(names)) / 2)
     words = table["word"].to_numpy()[keep]
     if not len(words):
-        return SubjectModel(names, {}, np.zeros((0, 1)), np.ones(1), np.full((1, len(names)), 1 / len(names)), np.zeros(1), np.zeros((0, len(names))))
+        return SubjectModel(names, {}, np.zeros((0, 1)), np.ones(1), np.full((1, len(names)), 1 / len(names)), np.zeros(1))
     adjusted = rate[keep] / np.maximum(base, 1e-9)
     term_area = adjusted**2 / (adjusted**2).sum(axis=1, keepdims=True)
     plain = F.translate(F.lower("text"), "áéíóúàèìòùâêîôûãõäëïöüçñ", "aeiouaeiouaeiouaoaeioucn")
     vectors = CountVectorizerModel.from_vocabulary(words.tolist(), "tokens", "features")
-    docs = vectors.transform(rows.select(F.split(plain, r"[^a-z]+").alias("tokens"))).select("features")
-    model = LDA(k=topics, maxIter=25, optimizer="online", subsamplingRate=0.15, docConcentration=[0.05] * topics, topicConcentration=0.02, seed=seed).fit(docs)
-    matrix = model.topicsMatrix().toArray()
+    docs = cut(vectors.transform(rows.select("lang", F.split(plain, r"[^a-z]+").alias("tokens"))).select("lang", "features"))
+    found = []
+    for lang in sorted(totals, key=str):
+        own = docs.where(F.col("lang").eqNullSafe(F.lit(lang))).select("features").repartition(4)
+        if own.head(1):
+            lda = LDA(k=topics, maxIter=40, optimizer="online", subsamplingRate=0.2, learningOffset=64.0, docConcentration=[0.05] * topics, topicConcentration=0.02, seed=seed)
+            found.append(lda.fit(own).topicsMatrix().toArray())
+    matrix = np.hstack([m / max(m.sum(), 1e-12) for m in found])
     weights = matrix.sum(axis=0)
     phi = matrix / np.maximum(weights, 1e-12)
     top = np.zeros_like(phi)
     for k in range(phi.shape[1]):
         best = np.argsort(-phi[:, k])[:15]
         top[best, k] = phi[best, k]
-    topic_area = (top / np.maximum(top.sum(axis=0), 1e-12)).T @ term_area
-    return SubjectModel(names, {w: i for i, w in enumerate(words)}, phi, weights / weights.sum(), topic_area, topic_area.max(axis=1), term_area)
-
-
-def shares(texts: list[str], model: SubjectModel, rounds: int = 12, alpha: float = 0.05) -> np.ndarray:
-    """texts x areas: the share of each text's subject words that its topics give to each area; zeros where it has none."""
-    ids, doc = [], []
-    get = model.vocab.get
-    for d, t in enumerate(texts):
-        found = [i for w in WORD.findall(t.lower()) if len(w) > 3 and (i := get(bare(w))) is not None]
-        ids += found
-        doc += [d] * len(found)
-    out = np.zeros((len(texts), len(model.names)))
-    if not ids:
-        return out
-    ids, doc = np.array(ids), np.array(doc)
-    starts = np.flatnonzero(np.diff(doc, prepend=-1))
-    rows = doc[starts]
-    place = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(doc))))
-    phi = model.topics[ids].astype(np.float32)
-    theta = np.tile(model.weights.astype(np.float32), (len(starts), 1))
-    for _ in range(rounds):
-        each = phi * theta[place]
-        each /= np.maximum(each.sum(axis=1, keepdims=True), 1e-12)
-        theta = np.add.reduceat(each, starts, axis=0) + alpha * model.weights
-        theta /= theta.sum(axis=1, keepdims=True)
-    token = (each @ model.topic_area + 0.02) * model.term_area[ids]
-    token /= np.maximum(token.sum(axis=1, keepdims=True), 1e-12)
-    total = np.add.reduceat(token, starts, axis=0)
-    out[rows] = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
+    stands = (top / np.maximum(top.sum(axis=0), 1e-12)).T @ term_area
+    purity = stands.max(axis=1)
+    kept = purity >= min(pure, purity.max())
+    phi, weights, purity = phi[:, kept], weights[kept], purity[kept]
+    topic_area = np.eye(len(names))[stands[kept].argmax(axis=1)]
+    return SubjectModel(names, {w: i for i, w in enumerate(words)}, phi, weights / weights.sum(), topic_area, purity)
+
+
+class Numbers(dict):
+    """Word as written -> its row in the vocabulary, or -1."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.vocab = vocab
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = row = self.vocab.get(bare(word), -1) if len(word) > 3 else -1
+        return row
+
+
+def shares(texts: list[str], model: SubjectModel, numbers: Numbers | None = None, rounds: int = 10, alpha: float = 0.05) -> np.ndarray:
+    """texts x areas: the areas of each text's topic proportions; zeros where it has no subject word.
+
+    Proportions are folded in with the topics fixed, over each text's different words and their counts; texts are taken
+    in order of their number of words, a group of like size at a time.
+    """
+    numbers = Numbers(model.vocab) if numbers is None else numbers
+    bags = [Counter(map(numbers.__getitem__, WORD.findall(t.lower()))) for t in texts]
+    for bag in bags:
+        bag.pop(-1, None)
+    out = np.zeros((len(texts), len(model.names)), np.float32)
+    order = sorted((i for i, bag in enumerate(bags) if bag), key=lambda i: len(bags[i]))
+    topics = np.vstack([model.topics, np.zeros((1, model.topics.shape[1]))]).astype(np.float32)  # the last row fills up
+    prior = (alpha * model.weights).astype(np.float32)
+    while order:
+        width = len(bags[order[0]])
+        most = max(1, 4000 // (width + width // 4))
+        group = [i for i in order[:most] if len(bags[i]) <= width + width // 4]
+        order = order[len(group) :]
+        width = len(bags[group[-1]])
+        ids, n = np.full((len(group), width), len(topics) - 1), np.zeros((len(group), width), np.float32)
+        for row, i in enumerate(group):
+            ids[row, : len(bags[i])] = list(bags[i].keys())
+            n[row, : len(bags[i])] = list(bags[i].values())
+        phi = topics[ids]
+        theta = np.tile(model.weights.astype(np.float32), (len(group), 1))
+        for _ in range(rounds):
+            each = n / np.maximum(np.matmul(phi, theta[:, :, None])[:, :, 0], 1e-12)
+            theta = theta * np.matmul(each[:, None, :], phi)[:, 0, :] + prior
+            theta /= theta.sum(axis=1, keepdims=True)
+        found = np.maximum(theta - prior / (n.sum(axis=1, keepdims=True) + alpha), 0) @ model.topic_area
+        out[group] = found / np.maximum(found.sum(axis=1, keepdims=True), 1e-12)
     return out
 
 
 def assign(df: DataFrame, key: str, text: str, declared: str, model: SubjectModel, least: float = 0.28) -> DataFrame:
-    """``key, declared, subject, share``: the areas that make up ``least`` of a text's subject words, or its largest area.
+    """``key, declared, subject, share``: the areas that make up ``least`` of a text's topic proportions, or its largest area.
 
     NULL and empty texts and texts without any subject word give no row; repeated rows give theirs each.
     """
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = Numbers(model.vocab)
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.iloc[at : at + 500]
-                found = shares(b["text"].tolist(), model)
+            for at in range(0, len(whole), 2000):
+                b = whole.iloc[at : at + 2000]
+                found = shares(b["text"].tolist(), model, numbers)
                 top = found.max(axis=1)
                 d, a = np.nonzero((found > 0) & ((found >= least) | (found == top[:, None])) & (top[:, None] > 0))
                 keys, labels = b["key"].tolist(), b["declared"].tolist()

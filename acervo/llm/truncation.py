@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from acervo.sources import cut
+
 #: Words a title does not end on, in the five languages.
 FUNCTION_WORDS = tuple(
     "a al con da das de degli dei del della delle des di do dos du e el en em et for from in la las le les lo los no na of o os on or par para per por que se su the to un una und with y à é è".split()
@@ -107,7 +109,9 @@ def endings(df: DataFrame, titles: DataFrame, key: str = "doc_id", text: str = "
     rows = rows.select("_key", "_source", "_line", kind.alias("_kind"), at.alias("_sizes"))
     per_source = storage_limits(df, text, source, copies=False).groupBy("source").agg(F.collect_set(F.struct("measure", "size")).alias("_limits"))
     known = rows.join(per_source, F.col("_source").eqNullSafe(F.col("source")), "left").drop("source")
-    known = known.select("_key", "_source", "_line", "_kind", F.coalesce(F.arrays_overlap("_sizes", "_limits"), F.lit(False)).alias("_at"))
+    # used three times below: once decided, kept as a key and, where a title is to be told, a line
+    known = known.select("_key", "_source", F.when(F.col("_kind") == "open", F.col("_line")).alias("_line"), "_kind", F.coalesce(F.arrays_overlap("_sizes", "_limits"), F.lit(False)).alias("_at"))
+    known = cut(known)
     words = F.filter(F.regexp_extract_all(F.col("_line"), F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: F.lower(w) == w)
     last = F.lower(F.regexp_extract(F.col("_line"), r"(\p{L}+)[^\p{L}]*$", 1))
     first = F.lower(F.regexp_extract(F.col("_line"), r"^[^\p{L}]*(\p{L}+)", 1))
@@ -117,8 +121,8 @@ def endings(df: DataFrame, titles: DataFrame, key: str = "doc_id", text: str = "
     foreign = lines.select("_line", F.explode(F.array_union(words, F.array(first))).alias("word")).join(F.broadcast(title_words(titles)), "word", "left_anti").select("_line").distinct()
     asked = known.where(maybe).join(foreign.withColumn("_foreign", F.lit(True)), "_line", "left")
     told = known.where(~maybe).select("_key", "_source", "_kind", "_at").unionByName(asked.select("_key", "_source", F.when(F.col("_foreign"), "open").otherwise("title").alias("_kind"), "_at"))
-    cut = F.col("_kind").isin("marked", "open") | ((F.col("_kind") == "list") & F.col("_at"))
-    return told.select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_kind").alias("ending"), F.col("_at").alias("at_limit"), cut.alias("truncated"))
+    truncated = F.col("_kind").isin("marked", "open") | ((F.col("_kind") == "list") & F.col("_at"))
+    return told.select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_kind").alias("ending"), F.col("_at").alias("at_limit"), truncated.alias("truncated"))
 
 
 def truncation_rates(found: DataFrame, source: str = "source") -> DataFrame:

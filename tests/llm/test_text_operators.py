@@ -230,7 +230,7 @@ def test_subjects(spark):
     sentence = lambda a, i: " ".join(f"La medición de {w} y su registro según los datos {i}." for w in words[a].split())
     rows = [(f"{a}{i}", sentence(a, i), a) for a in words for i in range(30)] + [("two", sentence("agua", 1) + sentence("letras", 2), "agua"), ("none", "Nada que decir.", "agua"), ("empty", "", None), ("null", None, "agua"), (None, sentence("salud", 3), None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id string, body string, declared string, share int")
-    model = subjects.fit(df.where("declared is not null and body <> ''").select(F.col("declared").alias("area"), F.col("body").alias("text")), sorted(words), topics=6)
+    model = subjects.fit(df.where("declared is not null and body <> ''").select(F.col("declared").alias("area"), F.lit("es").alias("lang"), F.col("body").alias("text")), sorted(words), topics=6)
     got = {}
     for r in subjects.assign(df, "id", "body", "declared", model).collect():
         got.setdefault(r["id"], set()).add(r["subject"])
@@ -239,7 +239,7 @@ def test_subjects(spark):
     cases = {r["id"] for r in subjects.subject_cases(subjects.assign(df, "id", "body", "declared", model), "id").collect()}
     assert cases == {"two", None}
     assert subjects.assign(df.limit(0), "id", "body", "declared", model).count() == 0
-    assert subjects.fit(df.limit(0).select(F.col("declared").alias("area"), F.col("body").alias("text")), sorted(words)).vocab == {}
+    assert subjects.fit(df.limit(0).select(F.col("declared").alias("area"), F.lit("es").alias("lang"), F.col("body").alias("text")), sorted(words)).vocab == {}
 
 
 def test_segments_do_not_depend_on_neighbours(spark):
@@ -248,3 +248,11 @@ def test_segments_do_not_depend_on_neighbours(spark):
     alone = [language.segment_batch([t], model)[0] for t in texts]
     assert language.segment_batch(texts, model) == alone
     assert language.segment_batch(texts[::-1], model)[::-1] == alone
+
+
+def test_damage_beyond_latin_letters_is_found(spark):
+    rows = [("a", "Ãºltimo avance"), ("b", "La Ãºnica obra"), ("c", "cafÃ© ðŸ˜€ y mÃ¡s"), ("d", "Глава о языке".encode().decode("cp1252", "ignore")), ("e", "El niño dijo «sí» y “qué”"), ("f", "ESPAÑA: «AÑ» y “É”")]
+    got = {r["id"]: (r["restored"], r["complete"]) for r in encoding.find_garbled(spark.createDataFrame(rows, "id string, title string"), "id", ["title"], {"último": 3, "única": 3, "más": 3}).collect()}
+    assert got["a"][0] == "último avance" and got["b"][0] == "La única obra"
+    assert got["c"] == ("café 😀 y más", True)
+    assert "лав" in got["d"][0] and not {"e", "f"} & set(got)
