@@ -15,10 +15,45 @@ _TO = "".join(next(x for x in unicodedata.normalize("NFD", c) if not unicodedata
 LETTER = r"\p{L}"
 #: Vowels with an acute accent, by the bare vowel; a dotless i counts as i.
 ACUTE = {"a": "á", "e": "é", "i": "í", "ı": "í", "o": "ó", "u": "ú", "A": "Á", "E": "É", "I": "Í", "O": "Ó", "U": "Ú"}
-#: Forms of address removed from names, longest first.
-HONORIFICS = ("profesora", "profesor", "doctora", "doctor", "licenciada", "licenciado", "ingeniera", "ingeniero", "profa", "prof", "dra", "dr", "lic", "ing", "arq", "mgs", "mg", "abg", "sra", "sr")
+#: Forms of address removed from names where a dot follows, and those removed without one.
+HONORIFICS = (
+    "dr dra drª lic lica licª ing inga ingª mg mgr mgs mgtr mag msc phd ph.d prof profa profª sr sra srª mr mrs ms dir dira dirª codir codira codirª coord colab "
+    "agr agra arq arqa esp abog cdor cdora cra med vet mv zoot farm psic geof ftal sc ec tec téc bio biol"
+).split()
+WHOLE_HONORIFICS = "colaborador colaboradora doctor doctora".split()
 #: Month names dropped from volume and issue statements.
-MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+MONTHS = (
+    "january february march april may june july august september october november december "
+    "enero febrero marzo abril mayo junio julio agosto septiembre setiembre octubre noviembre diciembre"
+).split()
+#: The further steps of a volume and issue statement, in order, as pattern and replacement.
+VOLUME_STEPS = (
+    (r"\bvol(\.|umen)?\b", "vol"),
+    (r"\b(número|numero|nro|nº|n°|n\.º|no\.?)\b", "no"),
+    (r"\b(no\s+)?especial\b", "especial"),
+    (r"\b(suplemento|sup)\s*(no\s*)?(\d+)", "suplemento $3"),
+    (r"(vol\s+\d+)\s*\(\s*(\d+)\s*\)", "$1, no $2"),
+    (r"\b(\d+)\s*\(\s*(\d+)\s*\)", "vol $1, no $2"),
+    (r"\b(vol|no|suplemento)(\d+)\b", "$1 $2"),
+    (r"\s*[,;|]\s*", ", "),
+    (r"[()]", ""),
+    (r"\bvol\s+vol\b", "vol"),
+    (r"\s{2,}", " "),
+    (r"^[ ,]+|[ ,]+$", ""),
+)
+#: Names of repository keys and what records call them.
+KEY_NAMES = {
+    "dc.language": "language", "dc.subject": "keywords", "dc.title": "title", "sedici.creator.person": "creator", "dc.subject.ford": "subject", "sedici.rights.license": "rights",
+    "sedici.rights.uri": "rightsurl", "dc.identifier.uri": "dc.uri", "sedici.identifier.uri": "sedici.uri", "dc.date.issued": "date", "mods.originInfo.place": "originPlaceInfo",
+    "sedici.relation.isRelatedWith": "isrelatedwith", "sedici.contributor.codirector": "codirector", "sedici.contributor.director": "director", "thesis.degree.grantor": "degree.grantor",
+    "thesis.degree.name": "degree.name", "sedici.relation.journalTitle": "journalTitle", "sedici.relation.journalVolumeAndIssue": "journalVolumeAndIssue", "sedici.identifier.issn": "issn",
+    "sedici.relation.event": "event", "sedici.contributor.publisher": "publisher", "sedici.identifier.isbn": "isbn", "sedici.contributor.compiler": "compiler",
+}
+#: Attributes that curated records do not keep, and fields that extracted records must not have.
+UNUSED_KEYS = ("sedici.contributor.editor", "sedici.contributor.colaborator", "sedici.institucionDesarrollo", "id")
+FORBIDDEN_KEYS = ("dc.type", "isRelatedWith", "isrelatedwith", "sedici.uri", "dc.uri")
+#: Spellings of document types and what each is called.
+TYPE_NAMES = {"Artículo": "Articulo", "Articulo": "Articulo", "Article": "Articulo", "ARTÍCULO": "Articulo", "Tesis": "Tesis", "Tesina": "Tesis", "Libro": "Libro", "Objeto de conferencia": "Objeto de conferencia"}
 
 
 def strip_accents(c: Column) -> Column:
@@ -66,10 +101,11 @@ def name_key(c: Column) -> Column:
 
 
 def drop_honorifics(c: Column) -> Column:
-    """Forms of address (with their dot), bracketed notes of up to 80 characters, and one closing dot removed."""
-    x = reduce(lambda y, h: F.regexp_replace(y, rf"(?i)(^|[^\p{{L}}]){h}\.( |$)", "$1$2"), HONORIFICS, c)
-    x = F.trim(F.regexp_replace(F.regexp_replace(x, r"\([^()]{0,80}\)", ""), r"[ \t\n\r]+", " "))
-    return F.trim(F.regexp_replace(x, r"\.$", ""))
+    """Forms of address (with their dot), bracketed notes of up to 80 characters, and one closing dot removed, in this order."""
+    x = reduce(lambda y, h: F.regexp_replace(y, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){h.replace('.', '[.]')}\.\s*", ""), HONORIFICS, c)
+    x = reduce(lambda y, h: F.regexp_replace(y, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){h}(?![\p{{L}}\p{{N}}_])\s*", ""), WHOLE_HONORIFICS, x)
+    x = F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*\([^)]{1,80}\)\s*", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(x, r"\.\s*$", ""))
 
 
 def person_name(c: Column) -> Column:
@@ -134,17 +170,27 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"</?h1[^>]*>|</?h2[^>]*>|</?p[^>]*>", "")
 
 
+def found_tags(c: Column) -> Column:
+    """The h1, h2 and p tags of a text (anything that begins with ``<p`` too), in order."""
+    return F.regexp_extract_all(c, F.lit(r"(</?h1[^>]*>|</?h2[^>]*>|</?p[^>]*>)"), F.lit(1))
+
+
 def has_licence(c: Column) -> Column:
     """Whether the text names an open licence of the CC family, by name, sign or address."""
-    return c.rlike(r"(?i)creative ?commons|cc[ -]by(-(nc|nd|sa))*|atribuci[oó]n(-nocomercial|-compartirigual|-sinderivadas)*( [0-9]\.[0-9])?")
+    return c.rlike(r"(?i)creative\s*commons|cc[-\s]*by")
+
+
+def licence_holds(rights: Column, text: Column) -> Column:
+    """Whether rights are stated and the text names such a licence; NULL text names none."""
+    return F.coalesce((rights != "") & has_licence(text), F.lit(False))
 
 
 def valid_issn(c: Column) -> Column:
-    return c.rlike(r"^[0-9]{4}-[0-9]{3}[0-9Xx]$")
+    return c.rlike(r"^[0-9]{4}-[0-9Xx]{4}$")
 
 
 def valid_isbn(c: Column) -> Column:
-    return F.regexp_replace(c, r"[-\s]", "").rlike(r"^([0-9]{9}[0-9Xx]|[0-9]{13})$")
+    return F.regexp_replace(c, r"[-\s]", "").rlike(r"^([0-9Xx]{10}|[0-9Xx]{13})$")
 
 
 def valid_partial_date(c: Column) -> Column:
@@ -152,18 +198,18 @@ def valid_partial_date(c: Column) -> Column:
 
 
 def volume_issue(c: Column) -> Column:
-    """A volume and issue statement in one form: months and years in brackets dropped, ``vol. n, no. m``."""
-    x = F.lower(F.regexp_replace(c, r"\([0-9]{4}\)", ""))
-    x = reduce(lambda y, m: F.regexp_replace(y, rf"\b{m}\b", ""), MONTHS, x)
-    x = F.regexp_replace(x, r"\b(volumen|volume|vol|v)\b\.? *", "vol. ")
-    x = F.regexp_replace(x, r"(número|numero|núm|num|nro|nº|n°|\bno\b|\bn\b)\.? *", "no. ")
-    x = F.regexp_replace(F.regexp_replace(x, r" *[,;] *", ", "), r"[ \t]+", " ")
-    return F.regexp_replace(F.trim(x), r"^, |,$", "")
+    """A volume and issue statement in one form: lower case, months dropped, then the VOLUME_STEPS in order."""
+    x = F.regexp_replace(F.lower(c), rf"(?U)\b({'|'.join(MONTHS)})\b", "")
+    return reduce(lambda y, step: F.regexp_replace(y, f"(?U){step[0]}", step[1]), VOLUME_STEPS, x)
+
+
+#: Fixed value: what separates keywords.
+KEYWORD_SEPARATORS = r"[,;|•·]|\s[-/]\s|\.\s+"
 
 
 def split_keywords(c: Column, longest: int = 80, words: int = 6) -> Column:
     """Keywords of a section: cut at separators, 1 to ``words`` words and at most ``longest`` characters each."""
-    parts = F.transform(F.split(c, r"[,;|•·]| [-/] |\. +"), lambda p: F.trim(F.regexp_replace(p, r"[ \t\n\r]+", " ")))
+    parts = F.transform(F.split(c, KEYWORD_SEPARATORS), lambda p: F.trim(F.regexp_replace(p, r"[ \t\n\r]+", " ")))
     return F.filter(parts, lambda p: (p != "") & (F.length(p) <= longest) & (F.size(F.split(p, " ")) <= words))
 
 
@@ -192,6 +238,24 @@ def present(c: Column) -> Column:
     return F.coalesce(F.exists(c, lambda v: v.isNotNull() & ~F.lower(F.trim(v)).isin("", "null")), F.lit(False))
 
 
+def is_empty(values: Column, is_list: Column) -> Column:
+    """Emptiness as the report counts it: NULL, a list without elements, or a single value that is NULL or blank; "null" is a value."""
+    single = ~F.coalesce(is_list, F.lit(False)) & (F.size(values) == 1) & F.coalesce(F.trim(F.get(values, F.lit(0))) == "", F.lit(True))
+    return values.isNull() | (F.size(values) == 0) | single
+
+
+def type_name(c: Column) -> Column:
+    """The name of a document type by its exact spelling; an unknown one stays."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in TYPE_NAMES.items() for x in kv])[c], c)
+
+
+def latin_text(c: Column) -> Column:
+    r"""Text of a model's answer: literal \\r\\n as a blank, stray \\R, \\p, \\/ and \\c dropped, \\uXXXX, \\n and \\r as characters, quoted lists bare, an escaped lost sign as ¿."""
+    x = F.regexp_replace(F.replace(c, F.lit("\\r\\n"), F.lit(" ")), r"\\[Rp/c]", "")
+    x = F.replace(F.replace(decode_escapes(x), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.replace(F.regexp_replace(x, r'"\[(.*?)\]"', "[$1]"), F.lit("\\\ufffd"), F.lit("¿"))
+
+
 def is_blank(c: Column) -> Column:
     """NULL or white space."""
     return c.isNull() | (F.trim(F.regexp_replace(c, r"[\t\n\r]", " ")) == "")

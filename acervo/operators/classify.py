@@ -14,13 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from acervo.operators.curation import hash_order
+from acervo.operators.curation import ranked
 
 
 def holdout(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Adds ``train``: true for the first ``share`` of a repeatable shuffle of each label."""
-    w = W.partitionBy(label)
-    return df.withColumn("train", F.row_number().over(w.orderBy(hash_order(key, seed), F.col(key))) <= F.floor(F.count("*").over(w) * share))
+    return ranked(df, label, key, seed).withColumn("train", F.col("_i") <= F.floor(F.col("_all") * share)).drop("_i", "_all")
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:

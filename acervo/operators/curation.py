@@ -47,25 +47,65 @@ def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+def ranked(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Adds ``_i`` and ``_all``: a row's place from 1 in the repeatable shuffle of its label, and the rows of the label.
+
+    Hashes are counted by their first three digits, so a label is ranked in 4096 parts and no task sorts a whole label.
+    """
+    rows = df.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
+    counts = rows.groupBy(F.col(label).alias("_label"), F.col("_b").alias("_part")).agg(F.count("*").alias("_n"))
+    of = W.partitionBy("_label")
+    before = counts.withColumn("_before", F.sum("_n").over(of.orderBy("_part")) - F.col("_n")).withColumn("_all", F.sum("_n").over(of)).drop("_n")
+    placed = rows.withColumn("_place", F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key)))
+    joined = placed.join(before, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_part")))
+    return joined.select(*[F.col(c) for c in df.columns], (F.col("_before") + F.col("_place")).alias("_i"), "_all")
+
+
 def capped_sample(df: DataFrame, label: str, key: str, least: int, most: int, seed: int = 42) -> DataFrame:
-    """Labels with ``least`` rows or more, ``most`` rows of each by a repeatable shuffle."""
-    sized = df.withColumn("_all", F.count("*").over(W.partitionBy(label))).where(F.col("_all") >= least).drop("_all")
-    return top_per_group(sized, label, most, hash_order(key, seed), F.col(key))
+    """Labels with ``least`` rows or more, ``most`` rows of each by a repeatable shuffle. NULL is no label."""
+    enough = df.groupBy(label).agg(F.count("*").alias("_all")).where(F.col("_all") >= least).select(label)
+    return top_per_group(df.join(enough, label, "left_semi"), label, most, hash_order(key, seed), F.col(key))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, train: float = 0.8, test: float = 0.1) -> DataFrame:
     """Adds ``split``: per label the first floor(n * train) of a repeatable shuffle train, the next floor(n * test) test, the rest validation."""
-    w = W.partitionBy(label)
-    n, i = F.count("*").over(w), F.row_number().over(w.orderBy(hash_order(key, seed), F.col(key)))
-    a, b = F.floor(n * train), F.floor(n * test)
-    return df.withColumn("split", F.when(i <= a, "training").when(i <= a + b, "test").otherwise("validation"))
+    i, a, b = F.col("_i"), F.floor(F.col("_all") * train), F.floor(F.col("_all") * test)
+    return ranked(df, label, key, seed).withColumn("split", F.when(i <= a, "training").when(i <= a + b, "test").otherwise("validation")).drop("_i", "_all")
+
+
+def quota(have: DataFrame, pool: DataFrame, label: str, key: str, target: int, least: int = 0) -> DataFrame:
+    """Rows of ``pool`` not yet in ``have`` that fill each label up to ``target``, least keys first; labels of which the
+    pool holds fewer than ``least`` rows are skipped."""
+    plan = quota_plan(have, pool, label, key, target, least).where("need > 0").select(label, "need")
+    missing = top_per_group(pool.join(have.select(key), key, "left_anti"), label, target, F.col(key))
+    placed = missing.withColumn("_n", F.row_number().over(W.partitionBy(label).orderBy(key)))
+    return placed.join(plan, label).where(F.col("_n") <= F.col("need")).drop("_n", "need")
+
+
+def quota_plan(have: DataFrame, pool: DataFrame, label: str, key: str, target: int, least: int = 0) -> DataFrame:
+    """``label, have, available, need, short`` per label of ``pool``: what there is, what is taken up to ``target``, and what stays missing."""
+    held = have.groupBy(label).agg(F.count("*").alias("have"))
+    free = pool.join(have.select(key), key, "left_anti").groupBy(label).agg(F.count("*").alias("free"))
+    every = pool.groupBy(label).agg(F.count("*").alias("_all")).join(held, label, "left").join(free, label, "left").na.fill(0, ["have", "free"])
+    need = F.when(F.col("_all") < least, F.lit(0)).otherwise(F.greatest(F.lit(0), target - F.col("have"))).cast("long")
+    return every.select(label, "have", F.col("free").alias("available"), need.alias("need"), F.greatest(F.lit(0), need - F.col("free")).cast("long").alias("short"))
+
+
+def renamed_keys(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns by their names in ``names`` where they have one there; dots count as underscores and case as nothing."""
+    flat = {k.replace(".", "_").lower(): v.replace(".", "_").lower() for k, v in names.items()}
+    return df.withColumnsRenamed({c: flat[c.lower()] for c in df.columns if c.lower() in flat})
+
+
+def without_keys(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The columns that are not in ``names`` (compared as in :func:`renamed_keys`, the whole name or what follows its last dot)."""
+    flat = {n.lower().replace(".", "_") for n in names} | {n.lower().rsplit(".", 1)[-1] for n in names if n.count(".") > 1 or n.startswith("sedici.inst")}
+    return df.select(*[c for c in df.columns if c.lower() not in flat])
 
 
-def quota(have: DataFrame, pool: DataFrame, label: str, key: str, target: int) -> DataFrame:
-    """Rows of ``pool`` not yet in ``have`` that fill each label up to ``target``, least keys first."""
-    held = have.groupBy(label).agg(F.count("*").alias("_have"))
-    missing = pool.join(have.select(key), key, "left_anti").withColumn("_n", F.row_number().over(W.partitionBy(label).orderBy(key)))
-    return missing.join(held, label, "left").where(F.col("_n") <= F.greatest(F.lit(0), target - F.coalesce("_have", F.lit(0)))).drop("_n", "_have")
+def aligned(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The columns ``columns`` names, in its order, as out -> from; one that is missing is NULL (STRING)."""
+    return df.select(*[(F.col(f"`{source}`") if source in df.columns else F.lit(None).cast("string")).alias(out) for out, source in columns.items()])
 
 
 def distinct_ignoring_case(values: Column) -> Column:
@@ -82,9 +122,9 @@ def update_by_key(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in shared else F.col(c) for c in df.columns])
 
 
-def training_pairs(df: DataFrame, key: str, doc_type: str, prompts: dict[str, str]) -> DataFrame:
-    """Two rows per record: the general prompt and that of its type (the general one again for an unknown type)."""
+def training_pairs(df: DataFrame, key: str, doc_type: str, prompts: dict[str, str], unknown: str = "General") -> DataFrame:
+    """Two rows per record: the general prompt and that of its type (that of ``unknown`` for a type without one)."""
     general = F.lit(prompts["General"])
-    typed = F.coalesce(F.create_map(*[F.lit(x) for kv in prompts.items() for x in kv])[F.col(doc_type)], general)
+    typed = F.coalesce(F.create_map(*[F.lit(x) for kv in prompts.items() for x in kv])[F.col(doc_type)], F.lit(prompts[unknown]))
     two = F.array(F.struct(F.lit("General").alias("kind"), general.alias("prompt")), F.struct(F.lit("typed").alias("kind"), typed.alias("prompt")))
     return df.select(key, F.explode(two).alias("x")).select(key, "x.kind", "x.prompt")

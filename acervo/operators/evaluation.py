@@ -85,17 +85,23 @@ def list_match(pairs: DataFrame, *by: str) -> DataFrame:
 
 
 def null_statistics(pairs: DataFrame, *by: str) -> DataFrame:
-    """How often prediction and truth are absent, in number and share."""
-    p, t = F.count_if(~T.present(F.col("pred"))), F.count_if(~T.present(F.col("truth")))
+    """How often prediction and truth are empty, as the report counts it ("null" is a value), in number and share."""
+    p, t = F.count_if(T.is_empty(F.col("pred"), F.col("pred_is_list"))), F.count_if(T.is_empty(F.col("truth"), F.col("truth_is_list")))
     n = F.count("*")
     return pairs.groupBy(*by).agg(n.alias("total"), p.alias("pred_null"), t.alias("truth_null"), F.round(p / n, 6).alias("pred_null_share"), F.round(t / n, 6).alias("truth_null_share"))
 
 
-def breakdown(pairs: DataFrame, system: str = "system", field: str = "field", truth_below: float = 0.8, pred_above: float = 0.2) -> DataFrame:
-    """Outcomes of fields whose truth is mostly there and whose prediction is often absent; invented values are left out."""
+def simple_match(pred: str = "pred", truth: str = "truth") -> Column:
+    """Whether two values are equal in lower case without accents: lists in any order, single values as they are, never one of each kind."""
+    flat = lambda c: F.array_sort(F.transform(c, lambda v: T.strip_accents(F.trim(F.lower(F.coalesce(v, F.lit("None")))))))
+    return F.coalesce((F.col(f"{pred}_is_list") == F.col(f"{truth}_is_list")) & (flat(F.col(pred)) == flat(F.col(truth))), F.lit(False))
+
+
+def breakdown(pairs: DataFrame, system: str = "system", field: str = "field", truth_below: float = 0.8, pred_above: float = 0.8) -> DataFrame:
+    """Outcomes of fields whose truth is mostly there and whose prediction is mostly empty; invented values are left out."""
     stats = null_statistics(pairs, system, field).where((F.col("truth_null_share") < truth_below) & (F.col("pred_null_share") > pred_above)).select(system, field)
-    p, t, m = F.col("has_pred"), F.col("has_truth"), F.col("match")
-    rows = with_match(pairs).join(stats, [system, field])
+    p, t, m = ~T.is_empty(F.col("pred"), F.col("pred_is_list")), ~T.is_empty(F.col("truth"), F.col("truth_is_list")), simple_match()
+    rows = pairs.join(stats, [system, field])
     return rows.groupBy(system, field).agg(F.count_if(~p & ~t).alias("null_match"), F.count_if(~p & t).alias("null_mismatch"), F.count_if(p & t & m).alias("ok_match"), F.count_if(p & t & ~m).alias("wrong"))
 
 

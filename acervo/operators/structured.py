@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PAIR = r'"([A-Za-z_][A-Za-z0-9_.]*)"\s*:\s*("(?:[^"\\]|\\.)*"|\[[^\]]*\]|-?[0-9.]+|true|false|null)'
+#: Fixed value: a first-level pair of broken JSON; any key, a value without nesting.
+PAIR = r'"([^"]+)"\s*:\s*("[^"]*"|\[[^\]]*\]|true|false|null|-?[0-9]+(?:\.[0-9]+)?)'
 
 
 def strip_fence(c: Column) -> Column:
@@ -34,11 +35,18 @@ def salvage_pairs(df: DataFrame, key: str, raw: str) -> DataFrame:
 
 
 def tolerant_json(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """``key, value, error``: the object as JSON text, after strict parsing, quote repair, closing of brackets or salvage, else an error."""
+    """``key, value, error``: the object as JSON text, after strict parsing, quote repair, closing of brackets, decoding its
+    bytes again as UTF-8, or salvage of pairs (values typed where they are JSON), else an error."""
     import re
 
     pair = re.compile(PAIR)
 
+    def value(raw: str):
+        try:
+            return json.loads(raw)
+        except ValueError:
+            return raw.strip('"')
+
     def read(s: str | None) -> tuple[str | None, str | None]:
         if s is None or not s.strip():
             return None, "empty"
@@ -55,11 +63,18 @@ def tolerant_json(df: DataFrame, key: str, raw: str) -> DataFrame:
                 return json.dumps(out, ensure_ascii=False, sort_keys=True, default=str), None
         except (ValueError, SyntaxError, MemoryError, RecursionError):
             pass
+        redecoded = text.replace("'", '"').replace('"[', "[").replace(']"', "]").encode("latin-1", "replace").decode("utf-8", "replace")
+        try:
+            out = json.loads(redecoded, strict=False)
+            if isinstance(out, dict):
+                return json.dumps(out, ensure_ascii=False, sort_keys=True), None
+        except ValueError:
+            pass
         found: dict[str, str] = {}
         for k, v in pair.findall(text):
             if k not in found or len(v) > len(found[k]):
                 found[k] = v
-        return (json.dumps({k: v.strip('"') for k, v in found.items()}, ensure_ascii=False, sort_keys=True), None) if found else (None, "no pairs")
+        return (json.dumps({k: value(v) for k, v in found.items()}, ensure_ascii=False, sort_keys=True), None) if found else (None, "no pairs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -52,19 +52,13 @@ def curated_export(spark, sf_dir):
     return curated(spark, sf_dir).withColumn("creators", F.array_join("creators", "; "))
 
 
-@query("recent_records", f"SELECT id, issued, doc_type FROM {CURATED} WHERE issued > 2020 AND doc_type IN ('Tesis', 'Libro', 'Articulo', 'Objeto de conferencia')")
+@query("recent_records", f"SELECT id, issued, doc_type FROM {CURATED} WHERE issued > 2018 AND doc_type IN ('Tesis', 'Libro', 'Articulo', 'Objeto de conferencia')")
 def recent_records(spark, sf_dir):
-    return curated(spark, sf_dir).where((F.col("issued") > 2020) & F.col("doc_type").isin("Tesis", "Libro", "Articulo", "Objeto de conferencia")).select("id", "issued", "doc_type")
+    return curated(spark, sf_dir).where((F.col("issued") > 2018) & F.col("doc_type").isin("Tesis", "Libro", "Articulo", "Objeto de conferencia")).select("id", "issued", "doc_type")
 
 
-@query("balanced_records", f"SELECT id, doc_type, complete FROM {CURATED} QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY complete DESC, id) <= 50")
+@query("balanced_records", f"SELECT id, doc_type, complete FROM {CURATED} QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY complete DESC, id) <= 500")
 def balanced_records(spark, sf_dir):
-    return C.top_per_group(curated(spark, sf_dir).select("id", "doc_type", "complete"), "doc_type", 50, F.desc("complete"), F.col("id"))
-
-
-@query("balanced_records_500", f"SELECT id, doc_type, complete FROM {CURATED} QUALIFY row_number() OVER (PARTITION BY doc_type ORDER BY complete DESC, id) <= 500")
-def balanced_records_500(spark, sf_dir):
-    """With the limit of the reference (D6)."""
     return C.top_per_group(curated(spark, sf_dir).select("id", "doc_type", "complete"), "doc_type", 500, F.desc("complete"), F.col("id"))
 
 
@@ -91,14 +85,8 @@ def threshold_ladder(spark, sf_dir):
     return steps.select(F.explode(F.array(*[F.struct(F.lit(t).alias("least"), F.col(f"`{t}`").alias("labels")) for t in (5, 10, 20, 50, 100)])).alias("x")).select("x.*")
 
 
-@query("capped_label_sample", "SELECT id, subject FROM (SELECT DISTINCT id, subject FROM subject_labels) QUALIFY count(*) OVER (PARTITION BY subject) >= 5 AND row_number() OVER (PARTITION BY subject ORDER BY md5('42|' || id), id) <= 20")
+@query("capped_label_sample", "SELECT id, subject FROM (SELECT DISTINCT id, subject FROM subject_labels) QUALIFY count(*) OVER (PARTITION BY subject) >= 5 AND row_number() OVER (PARTITION BY subject ORDER BY md5('42|' || id), id) <= 200")
 def capped_label_sample(spark, sf_dir):
-    return C.capped_sample(read_table(spark, sf_dir, "subject_labels", ["id", "subject"]).distinct(), "subject", "id", 5, 20)
-
-
-@query("capped_label_sample_200", "SELECT id, subject FROM (SELECT DISTINCT id, subject FROM subject_labels) QUALIFY count(*) OVER (PARTITION BY subject) >= 5 AND row_number() OVER (PARTITION BY subject ORDER BY md5('42|' || id), id) <= 200")
-def capped_label_sample_200(spark, sf_dir):
-    """With the limits of the reference (D7)."""
     return C.capped_sample(read_table(spark, sf_dir, "subject_labels", ["id", "subject"]).distinct(), "subject", "id", 5, 200)
 
 
@@ -111,11 +99,55 @@ def stratified_split(spark, sf_dir):
     return C.stratified_split(dataset(spark, sf_dir, "doc_type"), "doc_type", "id").select("id", "split")
 
 
-@query("quota_plan", f"SELECT id, doc_type FROM (SELECT id, doc_type, row_number() OVER (PARTITION BY doc_type ORDER BY id) AS i FROM {S.DATASET} WHERE id NOT IN (SELECT id FROM subject_labels)) p LEFT JOIN (SELECT doc_type, count(*) AS h FROM {S.DATASET} WHERE id IN (SELECT id FROM subject_labels) GROUP BY doc_type) USING (doc_type) WHERE i <= greatest(0, 120 - coalesce(h, 0))")
+_FREE = f"(SELECT id, doc_type FROM {S.DATASET} WHERE id NOT IN (SELECT id FROM subject_labels))"
+_HELD = f"(SELECT doc_type, count(*) AS have FROM {S.DATASET} WHERE id IN (SELECT id FROM subject_labels) GROUP BY doc_type)"
+
+
+def _labelled(spark, sf_dir):
+    rows = dataset(spark, sf_dir, "doc_type")
+    return rows.join(read_table(spark, sf_dir, "subject_labels", ["id"]).distinct(), "id", "left_semi"), rows
+
+
+@query("quota_rows", f"SELECT id, doc_type FROM (SELECT id, doc_type, row_number() OVER (PARTITION BY doc_type ORDER BY id) AS i FROM {_FREE}) LEFT JOIN {_HELD} USING (doc_type) WHERE i <= greatest(0, 500 - coalesce(have, 0))")
+def quota_rows(spark, sf_dir):
+    return C.quota(*_labelled(spark, sf_dir), "doc_type", "id", 500).select("id", "doc_type")
+
+
+@query(
+    "quota_plan",
+    f"""SELECT doc_type, have, available, need, greatest(0, need - available)::BIGINT AS short FROM (SELECT doc_type, coalesce(have, 0)::BIGINT AS have, coalesce(available, 0)::BIGINT AS available,
+        CASE WHEN n < 5 THEN 0 ELSE greatest(0, 500 - coalesce(have, 0)) END::BIGINT AS need FROM (SELECT doc_type, count(*) AS n FROM {S.DATASET} GROUP BY doc_type)
+        LEFT JOIN {_HELD} USING (doc_type) LEFT JOIN (SELECT doc_type, count(*) AS available FROM {_FREE} GROUP BY doc_type) USING (doc_type))""",
+)
 def quota_plan(spark, sf_dir):
+    return C.quota_plan(*_labelled(spark, sf_dir), "doc_type", "id", 500, least=5)
+
+
+@query("evaluation_quota", f"SELECT id, doc_type FROM (SELECT id, doc_type, row_number() OVER (PARTITION BY doc_type ORDER BY id) AS i FROM {S.DATASET} WHERE id NOT IN (SELECT id FROM extraction_timings WHERE id IS NOT NULL)) LEFT JOIN (SELECT doc_type, count(*) AS have FROM {S.DATASET} WHERE id IN (SELECT id FROM extraction_timings) GROUP BY doc_type) USING (doc_type) WHERE i <= greatest(0, 15 - coalesce(have, 0))")
+def evaluation_quota(spark, sf_dir):
+    """The evaluation set filled up to 15 of each type."""
     rows = dataset(spark, sf_dir, "doc_type")
-    have = rows.join(read_table(spark, sf_dir, "subject_labels", ["id"]).distinct(), "id", "left_semi")
-    return C.quota(have, rows, "doc_type", "id", 120)
+    have = rows.join(read_table(spark, sf_dir, "extraction_timings", ["id"]).where("id is not null").distinct(), "id", "left_semi")
+    return C.quota(have, rows, "doc_type", "id", 15).select("id", "doc_type")
+
+
+@query("renamed_export", "SELECT DISTINCT dc_identifier_uri AS dc_uri, dc_type_es, dc_date_issued AS date, dc_title AS title, sedici_creator_person AS creator, sedici_rights_license AS rights FROM repository_export")
+def renamed_export(spark, sf_dir):
+    """The export under the names that records use."""
+    columns = ["dc_identifier_uri", "dc_type_es", "dc_date_issued", "dc_title", "sedici_creator_person", "sedici_rights_license"]
+    return C.renamed_keys(read_table(spark, sf_dir, "repository_export", columns), T.KEY_NAMES).distinct()
+
+
+@query("attributes_removed", "SELECT DISTINCT doc_type, title, issn, rights, rightsurl FROM dataset")
+def attributes_removed(spark, sf_dir):
+    """Records without the attributes that curation drops and the fields that extraction must not give."""
+    columns = ["id", "doc_type", "title", "issn", "rights", "rightsurl", "editor", "colaborator", "instituciondesarrollo", "isrelatedwith", "sedici_uri", "dc_uri"]
+    return C.without_keys(read_table(spark, sf_dir, "dataset", columns), T.UNUSED_KEYS + T.FORBIDDEN_KEYS).distinct()
+
+
+@query("aligned_records", f"SELECT id, title, date_issued AS issued, NULL::VARCHAR AS subtitle FROM {S.DATASET}")
+def aligned_records(spark, sf_dir):
+    return C.aligned(dataset(spark, sf_dir, "title", "date_issued"), {"id": "id", "title": "title", "issued": "date_issued", "subtitle": "subtitle"})
 
 
 @query("pending_ids", f"SELECT id FROM {S.DATASET} WHERE id NOT IN (SELECT id FROM extraction_timings WHERE id IS NOT NULL)")
@@ -204,9 +236,11 @@ def all_ids(spark, sf_dir):
     return read_table(spark, sf_dir, "dataset", ["id"]).union(curated(spark, sf_dir).select("id")).distinct()
 
 
-@query("ids_by_type", f"SELECT doc_type, list_sort(list(id)) AS ids FROM {S.DATASET} GROUP BY doc_type")
+@query("ids_by_type", f"SELECT doc_type, left(md5(id), 3) AS part, list_sort(list(id)) AS ids FROM {S.DATASET} GROUP BY 1, 2")
 def ids_by_type(spark, sf_dir):
-    return dataset(spark, sf_dir, "doc_type").groupBy("doc_type").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    """The ids of each type in 4096 parts by their hash, so that no task holds a type's whole list."""
+    rows = dataset(spark, sf_dir, "doc_type").withColumn("part", F.substring(F.md5("id"), 1, 3))
+    return rows.groupBy("doc_type", "part").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 @query("split_by_type", f"PIVOT (SELECT split, doc_type FROM {S.DATASET}) ON doc_type IN ('Tesis', 'Articulo', 'Libro', 'Objeto de conferencia') USING count(*) GROUP BY split")
@@ -229,12 +263,12 @@ def null_fields_pruned(spark, sf_dir):
     return dataset(spark, sf_dir, blank=n).agg(F.sum("blank").alias("removed"))
 
 
-@query("type_spellings", f"SELECT doc_type, CASE WHEN contains(lower(doc_type), 'tesis') THEN 'Tesis' WHEN contains(lower(doc_type), 'articulo') THEN 'Articulo' WHEN contains(lower(doc_type), 'libro') THEN 'Libro' WHEN contains(lower(doc_type), 'conferencia') THEN 'Conferencia' ELSE 'Other' END AS kind, upper(doc_type[1:1]) || doc_type[2:] AS shown, count(*) AS n FROM {S.DATASET} GROUP BY 1, 2, 3")
+@query("type_spellings", f"SELECT doc_type, CASE WHEN contains(lower(doc_type), 'tesis') THEN 'Tesis' WHEN contains(lower(doc_type), 'articulo') THEN 'Articulo' WHEN contains(lower(doc_type), 'libro') THEN 'Libro' WHEN contains(lower(doc_type), 'conferencia') THEN 'Conferencia' ELSE 'Other' END AS kind, CASE WHEN doc_type IN ('Artículo', 'Articulo', 'Article', 'ARTÍCULO') THEN 'Articulo' WHEN doc_type IN ('Tesis', 'Tesina') THEN 'Tesis' ELSE doc_type END AS named, upper(doc_type[1:1]) || doc_type[2:] AS shown, count(*) AS n FROM {S.DATASET} GROUP BY 1, 2, 3, 4")
 def type_spellings(spark, sf_dir):
     low = F.lower("doc_type")
     kind = F.when(low.contains("tesis"), "Tesis").when(low.contains("articulo"), "Articulo").when(low.contains("libro"), "Libro").when(low.contains("conferencia"), "Conferencia").otherwise("Other")
     shown = F.concat(F.upper(F.substring("doc_type", 1, 1)), F.substring("doc_type", 2, 1000))
-    return dataset(spark, sf_dir, "doc_type").groupBy("doc_type", kind.alias("kind"), shown.alias("shown")).agg(F.count("*").alias("n"))
+    return dataset(spark, sf_dir, "doc_type").groupBy("doc_type", kind.alias("kind"), T.type_name(F.col("doc_type")).alias("named"), shown.alias("shown")).agg(F.count("*").alias("n"))
 
 
 @query("training_pairs", f"SELECT id, kind, CASE WHEN kind = 'General' THEN 'extract all' WHEN doc_type = 'Tesis' THEN 'extract thesis' WHEN doc_type = 'Libro' THEN 'extract book' ELSE 'extract all' END AS prompt FROM {S.DATASET}, (SELECT unnest(['General', 'typed']) AS kind)")
@@ -243,6 +277,13 @@ def training_pairs(spark, sf_dir):
     return C.training_pairs(dataset(spark, sf_dir, "doc_type"), "id", "doc_type", prompts)
 
 
+@query("training_pairs_book", f"SELECT id, kind, CASE WHEN kind = 'General' THEN 'extract all' WHEN doc_type = 'Tesis' THEN 'extract thesis' ELSE 'extract book' END AS prompt FROM {S.DATASET}, (SELECT unnest(['General', 'typed']) AS kind)")
+def training_pairs_book(spark, sf_dir):
+    """With the book's prompt for a type without one, as the training set has it."""
+    prompts = {"General": "extract all", "Tesis": "extract thesis", "Libro": "extract book"}
+    return C.training_pairs(dataset(spark, sf_dir, "doc_type"), "id", "doc_type", prompts, unknown="Libro")
+
+
 @query("class_weights", f"SELECT doc_type, round(count(*) OVER_ALL / (4.0 * count(*)), 6) AS weight FROM {S.DATASET} GROUP BY doc_type".replace("count(*) OVER_ALL", "(sum(count(*)) OVER ())::DOUBLE"))
 def class_weights(spark, sf_dir):
     from pyspark.sql import Window as W
@@ -274,6 +315,5 @@ def second_values(spark, sf_dir):
 
 @query("flattened_splits", f"SELECT id, split FROM {S.DATASET} WHERE split IN ('training', 'validation', 'test')")
 def flattened_splits(spark, sf_dir):
-    df = dataset(spark, sf_dir, "split").select("id", "split")
-    parts = [df.where(F.col("split") == s) for s in ("training", "validation", "test")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The splits as one relation, the last delivery of an id."""
+    return dataset(spark, sf_dir, "split").where(F.col("split").isin("training", "validation", "test")).select("id", "split")

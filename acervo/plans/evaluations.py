@@ -115,7 +115,11 @@ def creator_director_overlap(spark, sf_dir):
     return df.select("id", F.round(E.name_jaccard(F.col("creator"), both), 6).alias("jaccard"))
 
 
-_NULLS = f"count(*) AS total, count(*) FILTER (NOT {_P}) AS pred_null, count(*) FILTER (NOT {_T}) AS truth_null, round(count(*) FILTER (NOT {_P})::DOUBLE / count(*), 6) AS pred_null_share, round(count(*) FILTER (NOT {_T})::DOUBLE / count(*), 6) AS truth_null_share"
+_EMPTY = lambda x: f"({x} IS NULL OR len({x}) = 0 OR (NOT coalesce({x}_is_list, false) AND len({x}) = 1 AND coalesce(trim({x}[1]) = '', true)))"
+_PE, _TE = _EMPTY("pred"), _EMPTY("truth")
+_FLAT = lambda x: f"list_sort(list_transform({x}, lambda v: strip_accents(trim(lower(coalesce(v, 'None'))))))"
+_SIMPLE = f"coalesce(pred_is_list = truth_is_list AND {_FLAT('pred')} = {_FLAT('truth')}, false)"
+_NULLS = f"count(*) AS total, count(*) FILTER ({_PE}) AS pred_null, count(*) FILTER ({_TE}) AS truth_null, round(count(*) FILTER ({_PE})::DOUBLE / count(*), 6) AS pred_null_share, round(count(*) FILTER ({_TE})::DOUBLE / count(*), 6) AS truth_null_share"
 
 
 @query("null_statistics", f"SELECT system, field, {_NULLS} FROM {S.PAIRS} GROUP BY system, field")
@@ -128,15 +132,22 @@ def null_statistics_by_type(spark, sf_dir):
     return E.null_statistics(pairs(spark, sf_dir), "system", "doc_type", "field")
 
 
-@query(
-    "field_breakdown",
-    f"""SELECT system, field, count(*) FILTER (NOT p AND NOT t) AS null_match, count(*) FILTER (NOT p AND t) AS null_mismatch, count(*) FILTER (p AND t AND m) AS ok_match, count(*) FILTER (p AND t AND NOT m) AS wrong
-        FROM {MATCHED} GROUP BY system, field HAVING count(*) FILTER (NOT t)::DOUBLE / count(*) < 0.8 AND count(*) FILTER (NOT p)::DOUBLE / count(*) > 0.2""",
-)
+def _breakdown_sql(above: float) -> str:
+    return f"""SELECT system, field, count(*) FILTER ({_PE} AND {_TE}) AS null_match, count(*) FILTER ({_PE} AND NOT {_TE}) AS null_mismatch, count(*) FILTER (NOT {_PE} AND NOT {_TE} AND {_SIMPLE}) AS ok_match,
+        count(*) FILTER (NOT {_PE} AND NOT {_TE} AND NOT {_SIMPLE}) AS wrong FROM {S.PAIRS} GROUP BY system, field HAVING count(*) FILTER ({_TE})::DOUBLE / count(*) < 0.8 AND count(*) FILTER ({_PE})::DOUBLE / count(*) > {above}"""
+
+
+@query("field_breakdown", _breakdown_sql(0.8))
 def field_breakdown(spark, sf_dir):
     return E.breakdown(pairs(spark, sf_dir))
 
 
+@query("field_breakdown_any", _breakdown_sql(0.0))
+def field_breakdown_any(spark, sf_dir):
+    """Of every field with any empty prediction, as few fields reach the report's 0.8 here."""
+    return E.breakdown(pairs(spark, sf_dir), pred_above=0.0)
+
+
 _ORDER = "list_position([" + ", ".join(f"'{s}'" for s in SYSTEMS) + "], system)"
 _SCORED = f"(SELECT system, field, round(({_F1})::DOUBLE, 6) AS f1 FROM (SELECT system, field, {COUNTS} FROM {MATCHED} GROUP BY system, field))"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from acervo.functions.text import ACUTE, HONORIFICS, MONTHS
+from acervo.functions.text import ACUTE, HONORIFICS, MONTHS, WHOLE_HONORIFICS
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzáéíóúàèìòùâêîôûãõçñüABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÀÈÂÊÔÃÕÇÑ"
 DATASET = "(SELECT * FROM dataset QUALIFY row_number() OVER (PARTITION BY id ORDER BY harvested_at DESC) = 1)"
@@ -30,17 +30,20 @@ def attach_acutes(x: str) -> str:
 
 
 def honorifics(x: str) -> str:
-    y = reduce(lambda z, h: f"regexp_replace({z}, '(^|[^\\p{{L}}]){h}\\.( |$)', '\\1\\2', 'gi')", HONORIFICS, x)
-    return f"trim(regexp_replace(trim(regexp_replace(regexp_replace({y}, '\\([^()]{{0,80}}\\)', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), '\\.$', ''))"
+    edge = "(^|[^\\p{L}\\p{N}_])"
+    y = reduce(lambda z, h: f"regexp_replace({z}, '{edge}{h.replace('.', '[.]')}\\.\\s*', '\\1', 'gi')", HONORIFICS, x)
+    y = reduce(lambda z, h: f"regexp_replace({z}, '{edge}{h}($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2', 'gi')", WHOLE_HONORIFICS, y)
+    return f"trim(regexp_replace(trim(regexp_replace(regexp_replace({y}, '\\s*\\([^)]{{1,80}}\\)\\s*', '', 'g'), '\\s+', ' ', 'g')), '\\.\\s*$', ''))"
 
 
 def volume_issue(x: str) -> str:
-    y = f"lower(regexp_replace({x}, '\\([0-9]{{4}}\\)', '', 'g'))"
-    y = reduce(lambda z, m: f"regexp_replace({z}, '\\b{m}\\b', '', 'g')", MONTHS, y)
-    y = f"regexp_replace({y}, '\\b(volumen|volume|vol|v)\\b\\.? *', 'vol. ', 'g')"
-    y = f"regexp_replace({y}, '(número|numero|núm|num|nro|nº|n°|\\bno\\b|\\bn\\b)\\.? *', 'no. ', 'g')"
-    y = f"regexp_replace(regexp_replace({y}, ' *[,;] *', ', ', 'g'), '[ \\t]+', ' ', 'g')"
-    return f"regexp_replace(trim({y}), '^, |,$', '', 'g')"
+    """The steps written out for RE2, whose word boundary knows ASCII alone; º and ª count as letters here."""
+    steps = [
+        (rf"\b({'|'.join(MONTHS)})\b", ""), (r"\bvol(\.\b|umen\b|\b)", "vol"), (r"\bno\.(\w)", r"no\1"), (r"\b(n[uú]mero|nro)\b", "no"), (r"(^|\W)n\.?º($|\W)", r"\1no\2"), (r"(^|\W)n°(\w)", r"\1no\2"),
+        (r"\b(no\s+)?especial\b", "especial"), (r"\b(suplemento|sup)\s*(no\s*)?(\d+)", r"suplemento \3"), (r"(vol\s+\d+)\s*\(\s*(\d+)\s*\)", r"\1, no \2"), (r"\b(\d+)\s*\(\s*(\d+)\s*\)", r"vol \1, no \2"),
+        (r"\b(vol|no|suplemento)(\d+)\b", r"\1 \2"), (r"\s*[,;|]\s*", ", "), (r"[()]", ""), (r"\bvol\s+vol\b", "vol"), (r"\s{2,}", " "), (r"^[ ,]+|[ ,]+$", ""),
+    ]
+    return reduce(lambda y, step: f"regexp_replace({y}, '{step[0]}', '{step[1]}', 'g')", steps, f"lower({x})")
 
 
 def metric_key(x: str) -> str:

@@ -28,19 +28,21 @@ def event_properties(spark, sf_dir):
     return read_table(spark, sf_dir, "events", ["event_id", "event_type", "props"]).select("event_id", "event_type", F.from_json("props", "k int")["k"].alias("k"))
 
 
-_SALVAGE_RAW = """'{"title": "' || replace(title, '"', '') || '", "year": "' || coalesce(date_issued, '') || '", "title": "x", "n": 12, "open'"""
+_SALVAGE_RAW = """'{"título de-obra": "' || replace(title, '"', '') || '", "year": "' || coalesce(date_issued, '') || '", "título de-obra": "x", "n": 12, "open'"""
+
+
+_PAIR = '"([^"]+)"\\s*:\\s*("[^"]*"|\\[[^\\]]*\\]|true|false|null|-?[0-9]+(?:\\.[0-9]+)?)'
 
 
 @query(
     "salvaged_pairs",
     f"""SELECT id, field, regexp_replace(value, '^"|"$', '', 'g') AS value FROM (SELECT id, generate_subscripts(f, 1) AS pos, unnest(f) AS field, unnest(v) AS value FROM (SELECT id,
-        regexp_extract_all(raw, '"([A-Za-z_][A-Za-z0-9_.]*)"\\s*:\\s*("(?:[^"\\\\]|\\\\.)*"|\\[[^\\]]*\\]|-?[0-9.]+|true|false|null)', 1) AS f,
-        regexp_extract_all(raw, '"([A-Za-z_][A-Za-z0-9_.]*)"\\s*:\\s*("(?:[^"\\\\]|\\\\.)*"|\\[[^\\]]*\\]|-?[0-9.]+|true|false|null)', 2) AS v
+        regexp_extract_all(raw, '{_PAIR}', 1) AS f, regexp_extract_all(raw, '{_PAIR}', 2) AS v
         FROM (SELECT id, {_SALVAGE_RAW} AS raw FROM {S.DATASET} WHERE title IS NOT NULL))) QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY length(value) DESC, pos) = 1""",
 )
 def salvaged_pairs(spark, sf_dir):
     df = dataset(spark, sf_dir, "title", "date_issued").where("title is not null")
-    raw = F.concat(F.lit('{"title": "'), F.replace("title", F.lit('"'), F.lit("")), F.lit('", "year": "'), F.coalesce("date_issued", F.lit("")), F.lit('", "title": "x", "n": 12, "open'))
+    raw = F.concat(F.lit('{"título de-obra": "'), F.replace("title", F.lit('"'), F.lit("")), F.lit('", "year": "'), F.coalesce("date_issued", F.lit("")), F.lit('", "título de-obra": "x", "n": 12, "open'))
     return X.salvage_pairs(df.select("id", raw.alias("raw")), "id", "raw")
 
 
@@ -52,14 +54,8 @@ def tolerant_objects(spark, sf_dir):
     return X.tolerant_json(df.select("id", raw.alias("raw")), "id", "raw").select("id", F.get_json_object("value", "$.title").alias("title"))
 
 
-@query("answers_after_marker", "SELECT doc_id, trim(left(text, 40)) AS answer FROM documents")
+@query("answers_after_marker", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer FROM documents")
 def answers_after_marker(spark, sf_dir):
-    raw = F.concat(F.lit("<think>plan</think> "), F.lit("```\n"), F.substring("text", 1, 40), F.lit("\n```"))
-    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.trim(X.strip_fence(X.after_marker(raw))).alias("answer"))
-
-
-@query("answers_whole", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer FROM documents")
-def answers_whole(spark, sf_dir):
     raw = F.concat(F.lit("<think>plan</think> "), F.lit("```\n"), "text", F.lit("\n```"))
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.trim(X.strip_fence(X.after_marker(raw))).alias("answer"))
 
@@ -89,9 +85,9 @@ def bibtex_records(spark, sf_dir):
     return df.select("id", X.bibtex_field(entry, "title").alias("title"), F.coalesce(X.bibtex_field(entry, "year"), F.lit("")).alias("year"))
 
 
-@query("html_texts", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS plain FROM documents WHERE NOT regexp_matches(text, '[&<>]')")
+@query("html_texts", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS plain FROM documents")
 def html_texts(spark, sf_dir):
-    df = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).where(~F.col("text").rlike("[&<>]"))
+    df = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     page = F.concat(F.lit("<html><style>p{}</style><body><p>"), X.escape_markup(F.col("text")), F.lit("</p><script>x=1</script></body></html>"))
     return df.select("doc_id", X.html_text(page).alias("plain"))
 
@@ -103,7 +99,10 @@ def literal_lists(spark, sf_dir):
     return df.select("raw", F.size(X.literal_list(F.col("raw"))).alias("n"))
 
 
-@query("record_json")
+@query(
+    "record_json",
+    f"""SELECT id, '{{' || array_to_string(list_filter(['"id":' || to_json(id), '"title":' || to_json(title), '"doc_type":' || to_json(doc_type), '"creator":' || to_json(creator), '"date_issued":' || to_json(date_issued)], lambda x: x IS NOT NULL), ',') || '}}' AS json FROM {S.DATASET}""",
+)
 def record_json(spark, sf_dir):
     """Records as JSON without their NULL fields."""
     df = dataset(spark, sf_dir, "title", "doc_type", "creator", "date_issued")

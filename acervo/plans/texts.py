@@ -173,22 +173,36 @@ def readable_samples(spark, sf_dir):
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.readable_sample(F.col("text")).alias("sample"))
 
 
-@query("tags_stripped", "SELECT doc_id, text AS plain FROM documents")
+_TAGGED = "'<h1 id=\"a\">' || replace(text, ' de ', ' <p>de</p> ') || '</h1><pre>x</pre><h3>y</h3>'"
+
+
+@query("tags_stripped", f"SELECT doc_id, regexp_replace({_TAGGED}, '</?h1[^>]*>|</?h2[^>]*>|</?p[^>]*>', '', 'g') AS plain, len(regexp_extract_all({_TAGGED}, '</?(?:h1|h2|p)[^>]*>'))::INT AS tags FROM documents")
 def tags_stripped(spark, sf_dir):
-    """Round trip: paragraphs are tagged and the tags stripped again."""
-    tagged = F.concat(F.lit("<h1>"), F.col("text"), F.lit("</h1><p class='x'></p>"))
-    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.strip_tags(tagged).alias("plain"))
+    """Tags are put around and inside the texts, then found and stripped again."""
+    tagged = F.concat(F.lit('<h1 id="a">'), F.replace("text", F.lit(" de "), F.lit(" <p>de</p> ")), F.lit("</h1><pre>x</pre><h3>y</h3>"))
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.strip_tags(tagged).alias("plain"), F.size(T.found_tags(tagged)).alias("tags"))
 
 
-@query("licence_check", f"""SELECT coalesce(rights, '') AS rights, count(*) AS records, count(*) FILTER (regexp_matches(rights, '(?i)creative ?commons|cc[ -]by(-(nc|nd|sa))*|atribuci[oó]n(-nocomercial|-compartirigual|-sinderivadas)*( [0-9]\\.[0-9])?')) AS licensed FROM {S.DATASET} GROUP BY 1""")
+@query("licence_check", f"""SELECT coalesce(rights, '') AS rights, count(*) AS records, count(*) FILTER (rights <> '' AND regexp_matches(original_text, '(?i)creative\\s*commons|cc[-\\s]*by|https?://creativecommons\\.org/licenses/')) AS licensed FROM {S.DATASET} GROUP BY 1""")
 def licence_check(spark, sf_dir):
-    return dataset(spark, sf_dir, "rights").groupBy(F.coalesce("rights", F.lit("")).alias("rights")).agg(F.count("*").alias("records"), F.count_if(T.has_licence(F.col("rights"))).alias("licensed"))
+    df = dataset(spark, sf_dir, "rights", held=T.licence_holds(F.col("rights"), F.col("original_text")))
+    return df.groupBy(F.coalesce("rights", F.lit("")).alias("rights")).agg(F.count("*").alias("records"), F.count_if("held").alias("licensed"))
+
+
+@query("licences_named", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN doc_id % 2 = 0 ELSE regexp_matches(text, '(?i)creative\\s*commons|cc[-\\s]*by') END AS held FROM documents WHERE text IS NOT NULL""")
+def licences_named(spark, sf_dir):
+    """Round trip: a licence is written into two of three texts, in its forms, and stated or not."""
+    third = F.col("doc_id") % 3
+    notice = F.when(third == 0, F.concat(F.lit("Licencia Creative\nCommons 4.0 "), "text")).when(third == 1, F.concat("text", F.lit(" CC-BY-NC-SA 4.0"))).otherwise(F.col("text"))
+    stated = F.when((third == 1) & (F.col("doc_id") % 2 == 1), "").otherwise("CC")
+    rows = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).where("text is not null")
+    return rows.select("doc_id", T.licence_holds(stated, notice).alias("held"))
 
 
 @query(
     "identifier_formats",
-    f"""SELECT id, CASE WHEN regexp_matches(issn, '^[0-9]{{4}}-[0-9]{{3}}[0-9Xx]$') THEN issn END AS issn,
-        CASE WHEN regexp_matches(regexp_replace(isbn, '[-\\s]', '', 'g'), '^([0-9]{{9}}[0-9Xx]|[0-9]{{13}})$') THEN isbn END AS isbn,
+    f"""SELECT id, CASE WHEN regexp_matches(issn, '^[0-9]{{4}}-[0-9Xx]{{4}}$') THEN issn END AS issn,
+        CASE WHEN regexp_matches(regexp_replace(isbn, '[-\\s]', '', 'g'), '^([0-9Xx]{{10}}|[0-9Xx]{{13}})$') THEN isbn END AS isbn,
         CASE WHEN regexp_matches(date_issued, '^[0-9]{{4}}(/[0-9]{{2}}(/[0-9]{{2}})?)?$') THEN date_issued END AS date_issued FROM {S.DATASET}""",
 )
 def identifier_formats(spark, sf_dir):
@@ -213,12 +227,12 @@ def identifier_in_text(spark, sf_dir):
 
 @query(
     "uri_in_text",
-    f"""SELECT count(*) AS records, count(*) FILTER (contains(lower(original_text), lower(sedici_uri))) AS own_uri, count(*) FILTER (contains(lower(original_text), lower(rightsurl))) AS rights_url FROM {S.DATASET}""",
+    f"""SELECT count(*) AS records, count(*) FILTER (contains(lower(original_text), lower(sedici_uri))) AS own_uri, count(*) FILTER (contains(lower(original_text), lower(dc_uri))) AS dc_uri, count(*) FILTER (contains(lower(original_text), lower(rightsurl))) AS rights_url FROM {S.DATASET}""",
 )
 def uri_in_text(spark, sf_dir):
     low = F.lower("original_text")
-    df = dataset(spark, sf_dir, own=low.contains(F.lower("sedici_uri")), rights_in=low.contains(F.lower("rightsurl")))
-    return df.agg(F.count("*").alias("records"), F.count_if("own").alias("own_uri"), F.count_if("rights_in").alias("rights_url"))
+    df = dataset(spark, sf_dir, own=low.contains(F.lower("sedici_uri")), dc=low.contains(F.lower("dc_uri")), rights_in=low.contains(F.lower("rightsurl")))
+    return df.agg(F.count("*").alias("records"), F.count_if("own").alias("own_uri"), F.count_if("dc").alias("dc_uri"), F.count_if("rights_in").alias("rights_url"))
 
 
 @query(
@@ -245,14 +259,8 @@ def keyword_bases(spark, sf_dir):
     return dataset(spark, sf_dir, "keywords").where(F.size("keywords.real") > 0).select("id", F.transform("keywords.real", T.before_authority).alias("bases"))
 
 
-@query("first_tokens", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ')[1:50], ' ') AS head FROM documents")
+@query("first_tokens", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ')[1:500], ' ') AS head FROM documents")
 def first_tokens(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.first_tokens(F.col("text"), 50).alias("head"))
-
-
-@query("first_tokens_500", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ')[1:500], ' ') AS head FROM documents")
-def first_tokens_500(spark, sf_dir):
-    """With the limit of the reference (T33)."""
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", T.first_tokens(F.col("text")).alias("head"))
 
 
@@ -280,10 +288,21 @@ def titles_with_subtitles(spark, sf_dir):
     return dataset(spark, sf_dir, "title", "journaltitle").select("id", F.concat_ws(": ", "title", "journaltitle").alias("full_title"))
 
 
-@query("corruption_classes", None)
+_KINDS = {"cid": ("\\(cid:[0-9]+\\)", 50), "control": ("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", 100), "glyph names": ("(?:/[A-Za-z0-9_]+)+", 100), "escapes": ("\\\\u", 10)}
+_CLASS = ", ".join(f"CASE WHEN len(regexp_extract_all(original_text, '{p}')) > {n} THEN '{k}' END" for k, (p, n) in _KINDS.items())
+
+
+@query("corruption_classes", f"SELECT kinds, count(*) AS texts FROM (SELECT concat_ws(' + ', {_CLASS}) AS kinds FROM {S.DATASET}) GROUP BY kinds")
 def corruption_classes(spark, sf_dir):
-    df = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return df.select("doc_id", T.corruption_class(F.col("text")).alias("kinds")).groupBy("kinds").agg(F.count("*").alias("texts"))
+    return dataset(spark, sf_dir, kinds=T.corruption_class(F.col("original_text"))).groupBy("kinds").agg(F.count("*").alias("texts"))
+
+
+@query("latin_texts", "SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS plain FROM documents WHERE NOT contains(text, chr(92)) AND NOT contains(text, '\"[')")
+def latin_texts(spark, sf_dir):
+    """Round trip: line ends, accents and a quoted list written as a model escapes them are read back."""
+    df = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).where(~F.col("text").contains("\\") & ~F.col("text").contains('"['))
+    escaped = F.replace(F.replace(F.regexp_replace("text", r"\s+", "\\\\r\\\\n"), F.lit("é"), F.lit("\\u00e9")), F.lit("ó"), F.lit("\\u00F3"))
+    return df.select("doc_id", T.latin_text(escaped).alias("plain"))
 
 
 @query("repeated_digits", f"SELECT id, issn AS fixed FROM {S.DATASET} WHERE regexp_matches(issn, '^[0-9]{{4}}-[0-9]{{4}}$')")

@@ -14,10 +14,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one is set only where the session has none (tests)."""
+    """The shared checkpoint folder the cluster names; a local one is set only where a local session has none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("a cluster has no machine-local checkpoints: set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="acervo-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -35,10 +35,10 @@ def test_texts_of_scans_are_scored(spark):
 
 
 def test_whole_answers_are_read_back(spark):
-    assert any(len(r["answer"] or "") > 40 and "\n" in r["answer"] for r in same_as_sql(spark, "answers_whole"))
+    assert any(len(r["answer"] or "") > 40 and "\n" in r["answer"] for r in same_as_sql(spark, "answers_after_marker"))
 
 
 def test_limits_of_the_reference(spark):
-    assert max(Counter(r["doc_type"] for r in same_as_sql(spark, "balanced_records_500")).values()) > 50
-    assert max(len((r["head"] or "").split(" ")) for r in same_as_sql(spark, "first_tokens_500")) > 50
-    assert max(Counter(r["subject"] for r in same_as_sql(spark, "capped_label_sample_200", LARGER)).values()) > 20
+    assert max(Counter(r["doc_type"] for r in same_as_sql(spark, "balanced_records")).values()) > 50
+    assert max(len((r["head"] or "").split(" ")) for r in same_as_sql(spark, "first_tokens")) > 50
+    assert max(Counter(r["subject"] for r in same_as_sql(spark, "capped_label_sample", LARGER)).values()) > 20
