@@ -16,7 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acervo.sources import cut
+
 LANGUAGES = ("es", "en", "pt", "fr", "it")
+#: The outcome for a stretch of which none of the languages contains LEAST of the n-grams.
+OTHER, LEAST = "other", 0.45
 #: Spellings of the five languages, lower case, without accents and without region.
 SPELLINGS = {
     "es": "es spa esp cas castellano espanol spanish espagnol spagnolo espanhol".split(),
@@ -27,7 +31,7 @@ SPELLINGS = {
 }
 GRAM, SLOTS, HASHES = 4, 1 << 20, ((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F), (0x165667B1, 0xD3A2646C | 1, 0xFD7046C5, 0xB55A4F09))
 SENTENCE = re.compile(r"[.?!…]+[»”\"')\]]*\s+(?=[^\W\da-zß-ÿ]|[¿¡«“\"(])|[.?!]\s*\n|\n[^\S\n]*\n\s*|\x00")
-QUOTED = re.compile(r"«[^«»\x00]{1,400}»|“[^“”\x00]{1,400}”|(?<![^\W_])\"[^\"\n\x00]{1,400}\"")
+QUOTED = re.compile(r"«[^«»\x00]+»|“[^“”\x00]+”|(?<![^\W_])\"[^\"\n\x00]+\"")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -56,6 +60,8 @@ def _letters(text: str) -> np.ndarray:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     codes = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32).copy()
     letter = ((codes >= 97) & (codes <= 122)) | ((codes >= 0xDF) & (codes <= 0xFF) & (codes != 0xF7))
+    beyond = np.flatnonzero(codes > 0xFF)
+    letter[beyond] = [chr(c).isalpha() for c in codes[beyond]]
     codes[~letter] = 32
     return codes
 
@@ -85,18 +91,27 @@ def train(labelled: DataFrame, per_language: int = 2000, rate: float = 1e-5, rat
     share = F.lit(0.0)
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / max(n, 1)))).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * per_language * len(LANGUAGES)).toPandas()
-    counts, slots = np.zeros((len(LANGUAGES), SLOTS), np.float64), None
-    second = np.zeros((len(LANGUAGES), SLOTS), np.float64)
-    for k, lang in enumerate(LANGUAGES):
-        texts = sample.loc[sample["lang"] == lang, "text"]
-        for at in range(0, len(texts), 500):
-            slots = _slots(_letters("\n".join(texts.iloc[at : at + 500])))
-            counts[k] += np.bincount(slots[0], minlength=SLOTS)
-            second[k] += np.bincount(slots[1], minlength=SLOTS)
+    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text").distinct()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lang, texts in b.groupby("lang")["text"]:
+                for at in range(0, len(texts), 500):
+                    for j, slots in enumerate(_slots(_letters("\n".join(texts.iloc[at : at + 500])))):
+                        slot, n = np.unique(slots.astype(np.int32), return_counts=True)
+                        yield pd.DataFrame({"lang": lang, "hash": j, "slot": slot, "n": n})
+
+    counted = cut(sample.mapInPandas(count, "lang string, hash int, slot int, n long").groupBy("lang", "hash", "slot").agg(F.sum("n").alias("n")))
+    sums = {(r["lang"], r["hash"]): r["n"] for r in counted.groupBy("lang", "hash").agg(F.sum("n").alias("n")).collect()}
+    least = F.lit(0.0)
+    for (lang, j), n in sums.items():
+        least = F.when((F.col("lang") == lang) & (F.col("hash") == j), F.lit(rate * n)).otherwise(least)
+    tables = np.zeros((2, len(LANGUAGES), SLOTS))
+    for r in counted.where(F.col("n") >= least).toPandas().itertuples(index=False):  # at most 1/rate of each language and hash
+        if r.lang in LANGUAGES:
+            tables[r.hash, LANGUAGES.index(r.lang), r.slot] = r.n / sums[r.lang, r.hash]
     masks = np.zeros((2, SLOTS), np.uint8)
-    for j, table in enumerate((counts, second)):
-        rates = table / np.maximum(table.sum(axis=1, keepdims=True), 1)
+    for j, rates in enumerate(tables):
         top = rates.max(axis=0)
         for k in range(len(LANGUAGES)):
             masks[j] |= (((rates[k] >= rate) & (rates[k] >= ratio * top)).astype(np.uint8)) << k
@@ -185,7 +200,7 @@ def segment_batch(texts: list[str], model: Filter) -> list[list[tuple[str, float
             total = s[a:z].sum(axis=0)
             rank = np.sort(total)[::-1]
             sure = float(rank[0] - rank[1]) / float(max(rank[0], 1e-9))
-            lang = LANGUAGES[langs[a]]
+            lang = LANGUAGES[langs[a]] if total.max() >= LEAST * letters[i + a : i + z].sum() else OTHER
             found.append((lang, round(min(1.0, max(0.0, sure)), 4), int(b[i + a, 0] - offset), int(min(b[i + z - 1, 1] - offset, len(text)))))
         out.append(found)
         offset += len(text) + 1

@@ -42,7 +42,8 @@ def plain(text: str) -> str:
 
 
 def parse_name(name: str, given: frozenset[str]) -> tuple[bool, str, str, str, str]:
-    """``body, s1, s2, g1, g2``: first and second surname and given names (full or initial), or place and acronym of a body."""
+    """``body, s1, s2, g1, g2``: first surname and the others, first given name and the others (full or initial, joined by
+    blanks), or place and acronym of a body."""
     text = re.sub(r"::\w*\s*$", "", name).strip()
     words = re.findall(r"[^\W\d_]+", text)
     if not words:
@@ -86,9 +87,8 @@ def parse_name(name: str, given: frozenset[str]) -> tuple[bool, str, str, str, s
             surnames, names = flat[-1:], flat[:-1]
     surnames = [w for w in surnames if w not in PARTICLES and w not in TITLES]
     names = [SHORT_FORMS.get(w, w) for w in names if w not in TITLES and w not in PARTICLES or len(w) == 1]
-    s1, s2 = (surnames + ["", ""])[:2]
-    g1, g2 = (names + ["", ""])[:2]
-    return False, s1, s2, g1, g2
+    (s1, *others), (g1, *further) = surnames or [""], names or [""]
+    return False, s1, " ".join(others), g1, " ".join(further)
 
 
 def _edits(a: str, b: str, most: int = 2) -> int:
@@ -125,13 +125,18 @@ def near_words(words: DataFrame, k: int = 2, most: int = 1) -> DataFrame:
     """``word_a, word_b``: all pairs (both ways, equals included) of the STRING column ``word`` within ``most`` edits.
 
     The segment join is exact for ``k`` plain edits; a transposition is one edit here and two plain ones, so k = 2 serves
-    most = 1. Words of four letters or fewer match only themselves. NULL and empty words are left out.
+    most = 1. Segments of short words tell nothing: words of three to five letters meet by what is left without one
+    letter, which is exact for most = 1. Words of two letters or fewer match only themselves. NULL and empty words are left out.
     """
     words = words.where(F.col("word") != "").select("word").distinct()
 
+    def short(w: str) -> set[str]:
+        return {f"-:{x}" for x in (w, *(w[:i] + w[i + 1 :] for i in range(len(w))))} if 3 <= len(w) <= 5 else set()
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(f"{len(w)}:{i}:{w[x:y]}", w) for w in b["word"] if len(w) > 4 for i, (x, y) in enumerate(_cuts(len(w), k + 1))]
+            rows += [(x, w) for w in b["word"] for x in short(w)]
             yield pd.DataFrame(rows, columns=["segment", "word_a"])
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,6 +144,7 @@ def near_words(words: DataFrame, k: int = 2, most: int = 1) -> DataFrame:
             rows = set()
             for w in b["word"]:
                 n = len(w)
+                rows.update((x, w) for x in short(w))
                 for length in range(max(5, n - k), n + k + 1) if n > 4 else ():
                     for i, (x, y) in enumerate(_cuts(length, k + 1)):
                         shift = n - length
@@ -168,15 +174,21 @@ def agreement(a: tuple, b: tuple, given: frozenset[str]) -> str | None:
             return x[0] == y[0]
         return x == y or (not (x in known and y in known) and min(len(x), len(y)) > 2 and _edits(x, y, 1) <= 1)
 
+    def all_fit(x: str, y: str, known: frozenset[str]) -> bool:
+        return all(fits(p, q, known) for p, q in zip(x.split(), y.split()))
+
+    def full(x: str) -> int:
+        return sum(len(p) > 1 for p in x.split())
+
     if a[0] != b[0] or not a[3] or not b[3]:
         return None
     if a[0]:
         return "same" if a[3] == b[3] else None
-    if not fits(a[3], b[3], given) or not fits(a[4], b[4], given) or not fits(a[2], b[2], frozenset()):
+    if not fits(a[3], b[3], given) or not all_fit(a[4], b[4], given) or not all_fit(a[2], b[2], frozenset()):
         return None
     if len(a[3]) == 1 or len(b[3]) == 1:
         return "initial"
-    return "same" if (len(a[4]) > 1) == (len(b[4]) > 1) else "part"
+    return "same" if full(a[4]) == full(b[4]) else "part"
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -206,11 +218,19 @@ def link_names(names: DataFrame, given: frozenset[str]) -> DataFrame:
             rows = [(n, *parse_name(n, known)) for n in b["name"] if len(parse_element(n, True, given)[0]) == 1]
             yield pd.DataFrame(rows, columns=["name", *COLUMNS])
 
-    parsed = names.where(F.trim("name") != "").select("name").distinct().mapInPandas(parse, "name string, body boolean, s1 string, s2 string, g1 string, g2 string")
-    nodes = cut(parsed.withColumn("id", F.xxhash64("name")).withColumn("first", F.substring("g1", 1, 1)).where("s1 != ''"))
-    near = near_words(nodes.select(F.col("s1").alias("word")))
-    side = lambda x: nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", *COLUMNS)], F.col("s1").alias(f"word_{x}"), "first", "body")
-    pairs = side("a").join(near, "word_a").join(side("b"), ["word_b", "first", "body"]).where("id_a != id_b")
+    parsed = cut(names.where(F.trim("name") != "").select("name").distinct().mapInPandas(parse, "name string, body boolean, s1 string, s2 string, g1 string, g2 string").where("s1 != ''"))
+    # spellings that parse alike are one form: forms are compared, and names follow their form
+    form = F.xxhash64(*COLUMNS).alias("id")
+    nodes = cut(parsed.select(form, *COLUMNS).distinct().withColumn("first", F.substring("g1", 1, 1)))
+    near = cut(near_words(nodes.select(F.col("s1").alias("word"))))
+    side = lambda x, *extra: nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", *COLUMNS)], F.col("s1").alias(f"word_{x}"), "first", "body", *extra)
+    columns = [f"{c}_{x}" for x in "ab" for c in ("id", *COLUMNS)]
+    meets = side("a").join(near, "word_a").join(side("b"), ["word_b", "first", "body"]).where("id_a != id_b").select(*columns)
+    # given names of different first letters: near spellings under one surname
+    given_near = near_words(nodes.where("not body and length(g1) > 2").select(F.col("g1").alias("word"))).where(F.substring("word_a", 1, 1) != F.substring("word_b", 1, 1))
+    given_near = given_near.select(F.col("word_a").alias("g1_a"), F.col("word_b").alias("g1_b"))
+    swapped = side("a").drop("first").join(given_near, "g1_a").join(side("b").drop("first").withColumnRenamed("word_b", "word_a"), ["word_a", "g1_b", "body"]).where("not body").select(*columns)
+    pairs = meets.unionByName(swapped)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left, right = [f"{c}_a" for c in COLUMNS], [f"{c}_b" for c in COLUMNS]
@@ -222,8 +242,9 @@ def link_names(names: DataFrame, given: frozenset[str]) -> DataFrame:
     links = cut(pairs.mapInPandas(judge, "a long, b long, how string, exact boolean, second boolean"))
     full = nodes.where("body or length(g1) > 1")
     comp = components(full, links.where("how = 'same'").select("a", "b"))
-    # a form without a second given name joins the one person it fits
-    part = links.where("how = 'part'").join(nodes.select(F.col("id").alias("a")).where("length(g2) < 2"), "a", "left_semi")
+    # a form with fewer given names joins the one person it fits
+    fullness = lambda c: nodes.select(F.col("id").alias(c), F.size(F.filter(F.split("g2", " "), lambda g: F.length(g) > 1)).alias(f"full_{c}"))
+    part = links.where("how = 'part'").join(fullness("a"), "a").join(fullness("b"), "b").where("full_a < full_b").select("a", "b")
     of = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
     lone = part.join(of("a"), "a").join(of("b"), "b").groupBy("comp_a").agg(F.collect_set("comp_b").alias("fits")).where("size(fits) = 1").select(F.col("comp_a").alias("comp"), F.col("fits")[0].alias("into"))
     people = cut(comp.join(lone, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")))
@@ -237,7 +258,7 @@ def link_names(names: DataFrame, given: frozenset[str]) -> DataFrame:
     joined = fits.select(F.col("a").alias("id"), chosen.alias("comp"))
     rest = nodes.where("not body and length(g1) = 1").join(joined, "id", "left").select("id", F.coalesce("comp", F.xxhash64("s1", "g1", F.substring("g2", 1, 1))).alias("comp"))
     bare = nodes.where("not body and g1 = ''").select("id", F.xxhash64("s1", "s2").alias("comp"))
-    return nodes.select("id", "name").join(people.unionByName(rest).unionByName(bare), "id").select("name", F.col("comp").alias("entity"))
+    return parsed.select("name", form).join(people.unionByName(rest).unionByName(bare), "id").select("name", F.col("comp").alias("entity"))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, product, repeat
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,7 @@ OPEN_WORDS = frozenset(
 LOWER_WORD = re.compile(r"(?<![\w´¨~-])[^\W\d_]{4,}(?![\w´¨~(])")
 #: Words with digits or signs that scanners take for letters at the start or the end.
 EDGE_WORD = re.compile(r"(?<![\w´¨~.,-])(?:[0125689!|]{1,2}[^\W\d_]+|[^\W\d_]+[0125689!|]{1,2})(?![\w´¨~(-])")
+DIGIT_WORD = re.compile(r"[^\s.,;:()?¿]*[^\W\d_][0-9!|][^\s.,;:()?¿]*")
 LONG_WORD = re.compile(r"[^\W\d_]{4,}")
 BETWEEN = "zzzzbetweentextszzzz"  # no word of any text, so no pair spans two texts
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
@@ -122,6 +124,15 @@ class Speller:
                             table[x][y] = c
         return table[len(seen)].get(len(meant), float("inf")) if len(table) > len(seen) else float("inf")
 
+    def _forms(self, word: str) -> list[str]:
+        """The word as seen, and with its digits and signs replaced by the letters they may stand for: the index covers two
+        damaged letters, so these forms let it find words with more of which are digits or signs."""
+        odd = [c for c in dict.fromkeys(word) if not c.isalpha()]
+        if not odd:
+            return [word]
+        meant = [[m for seen, m in CONFUSIONS if seen == c and len(m) == 1] or [c] for c in odd[:4]]
+        return [word, *("".join(dict(zip(odd, x)).get(c, c) for c in word) for x in product(*meant))]
+
     def candidates(self, word: str) -> list[tuple[float, str]]:
         """Trusted words that ``word`` may be a misreading of, cheapest first; none for a trusted word or one out of its accents."""
         plain = bare(word.lower())
@@ -132,7 +143,7 @@ class Speller:
                 self.cache.clear()
             found = {}
             if len(plain) > 4 or self.looks_known(plain):
-                for short in self._deletes(plain):
+                for short in {x for form in self._forms(plain) for x in self._deletes(form)}:
                     for meant in self.index.get(short, ()):
                         if meant not in found and abs(len(meant) - len(plain)) <= 3:
                             cost = self.distance(plain, meant)
@@ -272,23 +283,19 @@ def repair(text: str, trusted: dict[str, int], speller: Speller, compounds: froz
     if BAD_EXTRACTION.search(flat) or (SPACED_SIGN.search(flat) and SPACED_LETTERS.search(flat)) or TRIPLED.search(flat):
         kinds.add("chars")
     if "chars" not in kinds or rebuild:
-        before = ""
         fixes = {}
         # an unknown word with a capital is a name, unless it looks just like a trusted word
         odd = {w for w in set(LONG_WORD.findall(flat)) if (v := w.lower()) not in trusted and not speller.knows(v) and (w[0].islower() or speller.looks_known(v)) and speller.candidates(v)}
         for m in LOWER_WORD.finditer(flat) if odd else ():
             w = m[0]
             if w in odd:
-                previous = WORD.findall(flat[max(0, m.start() - 30) : m.start()])
-                before = previous[-1].lower() if previous else ""
-                if fixed := speller.correct(w, before):
+                if fixed := speller.correct(w, _word_before(m)):
                     fixes[m.span()] = fixed
                     kinds.add("chars")
                     if not rebuild:
                         break
         for m in EDGE_WORD.finditer(flat) if rebuild or "chars" not in kinds else ():
-            previous = WORD.findall(flat[max(0, m.start() - 30) : m.start()])
-            if fixed := speller.edge(m[0], previous[-1].lower() if previous else ""):
+            if fixed := speller.edge(m[0], _word_before(m)):
                 fixes[m.span()] = fixed
                 kinds.add("chars")
                 if not rebuild:
@@ -301,10 +308,16 @@ def repair(text: str, trusted: dict[str, int], speller: Speller, compounds: froz
     flat = SPACED_LETTERS.sub(lambda m: m[0].replace(" ", ""), flat)
     flat = TRIPLED.sub(lambda m: m[0][::3].lower(), flat)
     flat = unicodedata.normalize("NFKC", re.sub(r"[´¨˜] ?([^\W\d_])|([^\W\d_])([´¨˜~])", _accent, flat)) if BAD_EXTRACTION.search(flat) else flat
-    flat = re.sub(r"[^\s.,;:()?¿]*[^\W\d_][0-9!|][^\s.,;:()?¿]*", lambda m: speller.correct(m[0]) or m[0], flat)
+    flat = DIGIT_WORD.sub(lambda m: speller.correct(m[0], _word_before(m)) or m[0], flat)
     return kinds, _paragraphs(flat.split("\n"))
 
 
+def _word_before(m: re.Match) -> str:
+    """The word that stands before a match, in lower case."""
+    before = WORD.findall(m.string[max(0, m.start() - 30) : m.start()])
+    return before[-1].lower() if before else ""
+
+
 def _accent(m: re.Match) -> str:
     """A letter with the accent that stands beside it."""
     mark = {"´": "́", "¨": "̈", "˜": "̃", "~": "̃"}
@@ -356,6 +369,17 @@ def corpus_statistics(df: DataFrame, text: str, trusted: dict[str, int], share:
     return bigrams, frozenset(r["word"] for r in kept if r["word"] is not None)
 
 
+_SPELLERS: dict[str, Speller] = {}
+
+
+def _speller(name: str, trusted: dict[str, int], bigrams: dict[tuple[str, str], int]) -> Speller:
+    """The speller of a run, its index built once per Python worker."""
+    if name not in _SPELLERS:
+        _SPELLERS.clear()
+        _SPELLERS[name] = Speller(trusted, bigrams)
+    return _SPELLERS[name]
+
+
 def scan_noise(df: DataFrame, key: str, text: str, rebuild: bool = True) -> DataFrame:
     """``key, kinds, clean``: the rows whose text carries noise of scanned pages, its kinds and the running text in paragraphs.
 
@@ -365,9 +389,10 @@ def scan_noise(df: DataFrame, key: str, text: str, rebuild: bool = True) -> Data
     once = distinct_texts(df, text)
     trusted = trusted_words(once, text, copies=False)
     bigrams, compounds = corpus_statistics(once, text, trusted)
+    run = uuid.uuid4().hex
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        speller = Speller(trusted, bigrams)
+        speller = _speller(run, trusted, bigrams)
         for b in batches:
             out = []
             for k, t in zip(b["key"], b["text"]):

@@ -24,7 +24,7 @@ def test_near_words_equal_brute_force(spark):
         typos += [w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]]
     words = sorted({w for w in base + typos if w})
     got = {tuple(r) for r in names.near_words(spark.createDataFrame([(w,) for w in [*words, *words[:3], "", None]], "word string").repartition(4)).collect()}
-    assert got == {(a, b) for a in words for b in words if a == b or (len(a) > 4 and len(b) > 4 and names._edits(a, b, 1) <= 1)}
+    assert got == {(a, b) for a in words for b in words if a == b or (len(a) > 2 and len(b) > 2 and names._edits(a, b, 1) <= 1)}
 
 
 def test_edits():
@@ -56,6 +56,14 @@ def test_link_names(spark):
     assert names.link_names(df.limit(0), GIVEN).count() == 0
 
 
+def test_short_surnames_and_further_given_names(spark):
+    given = GIVEN | {"luisa", "paula"}
+    rows = ["Ruiz, Ana", "Riuz, Ana", "García, Ana María Luisa", "García, Ana María Paula", "Boriga, Pqulina", "Boriga, Aqulina"]
+    linked = names.link_names(spark.createDataFrame([(n,) for n in rows], "name string"), given)
+    got = {tuple(r) for r in names.variant_pairs(linked).collect()}
+    assert got == {("Riuz, Ana", "Ruiz, Ana"), ("Boriga, Aqulina", "Boriga, Pqulina")}
+
+
 def test_components_of_a_long_chain(spark):
     n = 40
     links = [(i, i + 1) for i in range(n - 1)] + [(100, 101)]

@@ -256,3 +256,14 @@ def test_damage_beyond_latin_letters_is_found(spark):
     assert got["a"][0] == "último avance" and got["b"][0] == "La única obra"
     assert got["c"] == ("café 😀 y más", True)
     assert "лав" in got["d"][0] and not {"e", "f"} & set(got)
+
+
+def test_words_with_several_digits_are_found():
+    speller = scans.Speller({"clasificacion": 9, "registro": 5})
+    assert speller.correct("c1as1f1cacion") == "clasificacion" and speller.correct("reg1str0") == "registro"
+
+
+def test_text_in_another_language_is_other(spark):
+    model = language.train(spark.createDataFrame([(k, t) for k, t in TEXTS.items()], "lang string, text string"))
+    told = language.segment_batch(["Отчёт описывает развитие города с девятнадцатого века. Большинство домов восстановлено.", "Większość przyrządów odbudowywano później; wszędzie żądają źródeł.", "1234 - !"], model)
+    assert [[x[0] for x in t] for t in told] == [["other"], ["other"], []]
