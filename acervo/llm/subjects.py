@@ -48,13 +48,15 @@ def declared_areas(df: DataFrame, subject: str, materias: DataFrame) -> DataFram
     return df.withColumn("_name", F.trim(F.split_part(F.col(subject), F.lit("::"), F.lit(1)))).join(F.broadcast(areas), "_name", "left").drop("_name")
 
 
-def fit(labelled: DataFrame, names: list[str], sample: int = 12000, topics: int = 60, share: float = 2e-5, lift: float = 3.0, pure: float = 0.75, seed: int = 7) -> SubjectModel:
+def fit(labelled: DataFrame, names: list[str], sample: int = 12000, topics: int = 60, share: float = 2e-5, lift: float = 3.0, pure: float = 0.75, covered: float = 0.98, fits: int = 4, seed: int = 7) -> SubjectModel:
     """Fit ``topics`` topics for each ``lang`` on about ``sample`` rows of ``area, lang, text`` in all, as many of each
     ``lang`` (few, so at most a few fits), taken by the hash of the text. Rows with NULL ``lang`` serve where there are no others.
 
     The vocabulary holds the words that make up ``share`` of the sample's words or more (at most 1/share) and whose
     documents are ``lift`` times as often of one area as of a random one (with few areas, half the most that can be reached).
     A topic is mapped to the area that its 15 top terms stand for; a topic whose terms give no area ``pure`` is set aside.
+    Where the top terms of the topics kept do not make up ``covered`` of a language's words, topics are fitted again with
+    another seed and added, ``fits`` times at most. Topics of one language that stand for one area are taken together.
     """
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     totals = {k: n for k, n in totals.items() if k is not None} or totals
@@ -85,31 +87,43 @@ def fit(labelled: DataFrame, names: list[str], sample: int = 12000, topics: int
     rate = (n + base) / (n.sum(axis=1, keepdims=True) + 1)
     keep = (rate / np.maximum(base, 1e-9)).max(axis=1) >= min(lift, (1 + len(names)) / 2)
     words = table["word"].to_numpy()[keep]
+    none = SubjectModel(names, {}, np.zeros((0, 1)), np.ones(1), np.full((1, len(names)), 1 / len(names)), np.zeros(1))
     if not len(words):
-        return SubjectModel(names, {}, np.zeros((0, 1)), np.ones(1), np.full((1, len(names)), 1 / len(names)), np.zeros(1))
+        return none
     adjusted = rate[keep] / np.maximum(base, 1e-9)
     term_area = adjusted**2 / (adjusted**2).sum(axis=1, keepdims=True)
     plain = F.translate(F.lower("text"), "áéíóúàèìòùâêîôûãõäëïöüçñ", "aeiouaeiouaeiouaoaeioucn")
     vectors = CountVectorizerModel.from_vocabulary(words.tolist(), "tokens", "features")
-    docs = cut(vectors.transform(rows.select("lang", F.split(plain, r"[^a-z]+").alias("tokens"))).select("lang", "features"))
-    found = []
+    docs = cut(vectors.transform(rows.select("lang", F.xxhash64("text").alias("_h"), F.split(plain, r"[^a-z]+").alias("tokens"))).select("lang", "_h", "features"))
+    merged: dict[tuple, list] = {}  # topics of one language that stand for one area are taken together
     for lang in sorted(totals, key=str):
-        own = docs.where(F.col("lang").eqNullSafe(F.lit(lang))).select("features").repartition(4)
-        if own.head(1):
-            lda = LDA(k=topics, maxIter=40, optimizer="online", subsamplingRate=0.2, learningOffset=64.0, docConcentration=[0.05] * topics, topicConcentration=0.02, seed=seed)
-            found.append(lda.fit(own).topicsMatrix().toArray())
-    matrix = np.hstack([m / max(m.sum(), 1e-12) for m in found])
+        # the same partitions and order wherever it runs, as mini-batches are drawn from them
+        own = docs.where(F.col("lang").eqNullSafe(F.lit(lang))).repartition(4, "_h").sortWithinPartitions("_h").select("features")
+        if not own.head(1):
+            continue
+        told = np.zeros(len(words), bool)
+        for turn in range(fits):
+            lda = LDA(k=topics, maxIter=40, optimizer="online", subsamplingRate=0.2, learningOffset=64.0, docConcentration=[0.05] * topics, topicConcentration=0.02, seed=seed + turn)
+            matrix = lda.fit(own).topicsMatrix().toArray().copy()
+            matrix /= max(matrix.sum(), 1e-12)
+            best = np.argsort(-matrix, axis=0)[:15]
+            stands = np.stack([(matrix[best[:, k], k] @ term_area[best[:, k]]) / max(matrix[best[:, k], k].sum(), 1e-12) for k in range(topics)])
+            clear = stands.max(axis=1) >= pure
+            for area in np.unique(stands[clear].argmax(axis=1)):
+                of = clear & (stands.argmax(axis=1) == area)
+                held = merged.setdefault((lang, area), [np.zeros(len(words)), 0.0])
+                held[0] += matrix[:, of].sum(axis=1)
+                held[1] += stands[of].max(axis=1) @ matrix[:, of].sum(axis=0)
+            told[best[:, clear].ravel()] = True
+            if matrix.sum(axis=1)[told].sum() >= covered:
+                break
+    if not merged:
+        return none
+    matrix = np.stack([x for x, _ in merged.values()], axis=1)
     weights = matrix.sum(axis=0)
     phi = matrix / np.maximum(weights, 1e-12)
-    top = np.zeros_like(phi)
-    for k in range(phi.shape[1]):
-        best = np.argsort(-phi[:, k])[:15]
-        top[best, k] = phi[best, k]
-    stands = (top / np.maximum(top.sum(axis=0), 1e-12)).T @ term_area
-    purity = stands.max(axis=1)
-    kept = purity >= min(pure, purity.max())
-    phi, weights, purity = phi[:, kept], weights[kept], purity[kept]
-    topic_area = np.eye(len(names))[stands[kept].argmax(axis=1)]
+    topic_area = np.eye(len(names))[[area for _, area in merged]]
+    purity = np.array([p for _, p in merged.values()]) / np.maximum(weights, 1e-12)
     return SubjectModel(names, {w: i for i, w in enumerate(words)}, phi, weights / weights.sum(), topic_area, purity)
 
 
