@@ -233,6 +233,18 @@ def context(c: Column, keyword: str, before: int = 20, after: int = 60) -> Colum
     return F.when(at > 0, F.substring(c, start, at - start + len(keyword) + after))
 
 
+def around(c: Column, keyword: str, chars: int) -> Column:
+    """Text from 20 characters before the first occurrence of a keyword, whatever its case, to ``chars`` after its start; NULL without one."""
+    at = F.locate(keyword.lower(), F.lower(c))
+    start = F.greatest(at - 20, F.lit(1))
+    return F.when(at > 0, F.substring(c, start, at + chars - start))
+
+
+def first_around(c: Column, keywords: tuple[str, ...], chars: int) -> Column:
+    """The text around the first of the keywords that occurs, trimmed."""
+    return F.coalesce(*[F.trim(around(c, k, chars)) for k in keywords])
+
+
 def present(c: Column) -> Column:
     """A value list that holds something: not NULL, not empty, and no blank or "null" alone."""
     return F.coalesce(F.exists(c, lambda v: v.isNotNull() & ~F.lower(F.trim(v)).isin("", "null")), F.lit(False))

@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from acervo.operators.curation import ranked
+from acervo.sources import cut
 
 
 def holdout(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
@@ -93,31 +94,43 @@ def vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> Data
     return w.groupBy("query").agg(F.max_by(label, F.struct("w", (-F.col(label)).alias("n"))).alias("predicted"))
 
 
+def with_class_weights(df: DataFrame, label: str) -> DataFrame:
+    """Adds ``weight``: rows over labels times rows of the label, so that every label weighs the same. The label set is small."""
+    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    totals = counts.agg(F.sum("_n").alias("rows"), F.count("*").alias("labels")).first()
+    return df.join(F.broadcast(counts), label).withColumn("weight", F.lit(float(totals["rows"] or 0)) / (totals["labels"] * F.col("_n"))).drop("_n")
+
+
 def vector_models(labels: int, size: int) -> dict:
-    """Models over dense vectors, by name."""
+    """Models over dense vectors, by name; those that take class weights do."""
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "logistic": LogisticRegression(maxIter=30, regParam=0.01, **common),
-        "svm": OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), **common),
-        "forest": RandomForestClassifier(numTrees=20, seed=42, **common),
-        "perceptron": MultilayerPerceptronClassifier(layers=[size, 64, labels], maxIter=40, seed=42, **common),
+        "logistic": LogisticRegression(maxIter=30, regParam=0.01, weightCol="weight", **common),
+        "svm": OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), weightCol="weight", **common),
+        "forest": RandomForestClassifier(numTrees=100, seed=42, weightCol="weight", **common),
+        "boosted": OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=6, seed=42), weightCol="weight", **common),
+        "perceptron": MultilayerPerceptronClassifier(layers=[size, 256, 128, labels], maxIter=40, seed=42, **common),
     }
 
 
 def compare_models(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """``model, y_true, y_pred, n`` on the held-out fifth, for every model that trains; one that fails does not stop the others."""
-    data = holdout(df, label, key).select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"), "train").persist()
-    size = len(df.select(vector).first()[0])
-    n = int(data.agg(F.max("label")).first()[0]) + 1
-    out = None
-    for name, model in vector_models(n, size).items():
+    """``model, y_true, y_pred, n, error`` on the held-out fifth, for every model; one that fails does not stop the others
+    and has one row with its error and no counts. Rows with NULL vectors or labels are left out."""
+    given = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
+    data = holdout(given, label, key).select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"), "train")
+    data = cut(with_class_weights(data, "label"))
+    first = data.select("features").first()
+    n = int(data.agg(F.max("label")).first()[0] or 0) + 1
+    rows = "model string, y_true int, y_pred int, n long, error string"
+    out = df.sparkSession.createDataFrame([], rows)
+    for name, model in vector_models(n, len(first[0]) if first else 1).items():
         try:
             told = model.fit(data.where("train")).transform(data.where("not train"))
-        except Exception:  # noqa: BLE001 - reported by its absence
-            continue
-        rows = told.groupBy(F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")).agg(F.count("*").alias("n")).withColumn("model", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("model", "y_true", "y_pred", "n")
+            cells = told.groupBy(F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")).agg(F.count("*").alias("n"))
+            out = out.unionByName(cells.select(F.lit(name).alias("model"), "y_true", "y_pred", "n", F.lit(None).cast("string").alias("error")))
+        except Exception as e:  # noqa: BLE001 - told in its row
+            out = out.unionByName(df.sparkSession.createDataFrame([(name, None, None, None, str(e)[:500])], rows))
+    return out
 
 
 def text_classifier(label: str = "label", text: str = "text", features: int = 15000) -> Pipeline:
@@ -132,3 +145,16 @@ def text_classifier(label: str = "label", text: str = "text", features: int = 15
             LogisticRegression(featuresCol="features", labelCol=label, maxIter=20, regParam=0.01),
         ]
     )
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """A fitted pipeline, written over whatever was there."""
+    model.write().overwrite().save(path)
+
+
+def predict(df: DataFrame, path: str, labels: list[str], text: str = "text") -> DataFrame:
+    """Adds ``predicted``: the label that the saved pipeline gives to ``text``; NULL and empty texts get NULL."""
+    known = df.withColumn("_given", F.coalesce(F.col(text) != "", F.lit(False))).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    told = PipelineModel.load(path).transform(known.select(*[F.col(c).alias(f"_c_{c}") for c in df.columns], "_given", F.col("_text").alias("text")))
+    names = F.array(*[F.lit(x) for x in labels])
+    return told.select(*[F.col(f"_c_{c}").alias(c) for c in df.columns], F.when(F.col("_given"), F.get(names, F.col("prediction").cast("int"))).alias("predicted"))

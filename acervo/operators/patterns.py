@@ -12,20 +12,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from acervo.functions import text as T
+from acervo.sources import cut
 
 #: Words that carry no subject, in the languages of the corpus.
 STOP_WORDS = tuple(
     "como con del desde donde entre esta este esto las los más para pero por que según ser sin sobre son también una uno the and for from that this with are was which not com dos das para por que uma não mais dans des les par pour que une avec sur est alla che con dal del della per una più".split()
 )
-KEYWORD_LINE = r"(?im)^[^\S\n]*(?:palabras clave|keywords|palavras-chave|mots-clés|parole chiave)[^\S\n]*[:.][^\S\n]*([^\n]{1,200})$"
+#: Headings of keyword sections, second headings beside them, and headings that end them.
+KEYWORD_HEAD = r"(?i)^(keywords?|palabras?\s+claves?|key\s+words?|mots[- ]cl[eé]s?|parole\s+chiave|palavras?[- ]chave)\s*[:\-–—]?\s*(.*)$"
+SECOND_HEAD = r"(?i)^(keywords?|palabras?\s+claves?|key\s+words?|conclusiones?|resumen|abstract|summary|resumo)\s*$"
+KEYWORD_STOPS = ("abstract", "resumen", "summary", "resumo", "introducción", "introduction", "introdução", "1.", "1", "references", "referencias")
 ABSTRACT_HEAD = re.compile(r"^\s*(resumen|abstract|resumo|résumé|riassunto)\b\s*[:.—-]?\s*(.*)$", re.I)
 STOP_HEAD = re.compile(r"^\s*(palabras clave|keywords|palavras-chave|mots-clés|parole chiave|introducci[oó]n|introduction|introdução|introduzione|abstract|resumen|resumo|résumé|riassunto|pregunta|question|pergunta|domanda|tabla|table|tabela|tableau|tabella)\b", re.I)
 
 
+def kept_words(text: Column, least: int = 3) -> Column:
+    """Lower-case words of ``least`` letters or more that are no stop words, in order."""
+    return F.filter(T.letter_tokens(text, least), lambda w: ~w.isin(*STOP_WORDS))
+
+
 def tokens(df: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
-    """``key, pos, word``: lower-case words of ``least`` letters or more that are no stop words."""
-    rows = df.select(key, F.posexplode(T.letter_tokens(F.col(text), least)).alias("pos", "word"))
-    return rows.where(~F.col("word").isin(*STOP_WORDS))
+    """``key, word``: the kept words of each text."""
+    return df.select(key, F.explode(kept_words(F.col(text), least)).alias("word"))
 
 
 def vocabulary(df: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
@@ -33,15 +41,23 @@ def vocabulary(df: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
     return tokens(df, key, text).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct(key).alias("docs")).where(F.col("n") >= least)
 
 
+def grams(words: Column, n: int) -> Column:
+    """Runs of ``n`` neighbouring words joined by blanks; formed within the row, so no word is shuffled for its neighbour."""
+    if n == 1:
+        return words
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, a, b``: pairs of neighbouring kept words of a text."""
-    rows = tokens(df, key, text)
-    return rows.withColumn("b", F.lead("word").over(W.partitionBy(key).orderBy("pos"))).where("b is not null").select(key, F.col("word").alias("a"), "b")
+    rows = df.select(key, kept_words(F.col(text)).alias("w")).where("size(w) > 1")
+    less = F.size("w") - 1
+    return rows.select(key, F.explode(F.arrays_zip(F.slice("w", F.lit(1), less).alias("a"), F.slice("w", F.lit(2), less).alias("b"))).alias("x")).select(key, "x.a", "x.b")
 
 
 def pmi(df: DataFrame, key: str, text: str, least: int = 3, top: int = 20000) -> DataFrame:
     """``a, b, n, pmi``: bigrams of ``least`` occurrences or more by log2(n_ab * N / (n_a * n_b)), the best ``top``."""
-    words = tokens(df, key, text).groupBy("word").agg(F.count("*").alias("n"))
+    words = cut(tokens(df, key, text).groupBy("word").agg(F.count("*").alias("n")))
     pairs = bigrams(df, key, text).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     total = float(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"])
     joined = pairs.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
@@ -49,12 +65,18 @@ def pmi(df: DataFrame, key: str, text: str, least: int = 3, top: int = 20000) ->
     return joined.select("a", "b", "n", value.alias("pmi")).orderBy(F.desc("pmi"), "a", "b").limit(top)
 
 
-def tfidf(df: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
-    """``key, word, weight``: the ``top`` words of each text by (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), L2-normalised."""
-    tf = tokens(df, key, text).groupBy(key, "word").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy("word").agg(F.count("*").alias("df"))
+def tfidf(df: DataFrame, key: str, text: str, top: int = 5, longest: int = 1, min_df: int = 1, max_df: float = 1.0, features: int | None = None) -> DataFrame:
+    """``key, word, weight``: the ``top`` terms of each text by (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), L2-normalised.
+
+    Terms are runs of one to ``longest`` words in ``min_df`` texts or more and in a share of at most ``max_df`` of all, the
+    ``features`` commonest of them where that is given (the least on ties). Texts without terms give no row.
+    """
+    terms = F.concat(*[grams(F.col("_w"), n) for n in range(1, longest + 1)])
+    tf = df.select(key, kept_words(F.col(text)).alias("_w")).select(key, F.explode(terms).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
     total = df.count()
-    raw = tf.join(df_, "word").withColumn("raw", (1 + F.log("tf")) * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1))
+    counts = tf.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("_n")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * total))
+    counts = counts if features is None else counts.orderBy(F.desc("_n"), "word").limit(features)
+    raw = tf.join(counts.select("word", "df"), "word").withColumn("raw", (1 + F.log("tf")) * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1))
     weight = F.round(F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key))), 6)
     ranked = raw.withColumn("weight", weight).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("weight"), "word")))
     return ranked.where(F.col("_n") <= top).select(key, "word", "weight")
@@ -139,10 +161,22 @@ def rake(df: DataFrame, key: str, text: str, most: int = 10) -> DataFrame:
     return df.select(key, text).mapInPandas(pick, f"key {kind}, rank int, phrase string, score double").withColumnRenamed("key", key)
 
 
-def keyword_section(text: Column) -> Column:
-    """The keywords of the first keyword line of a text, split; NULL without such a line."""
-    line = F.regexp_extract(text, KEYWORD_LINE, 1)
-    return F.when(line != "", T.split_keywords(line))
+def keyword_section(text: Column, longest: int = 120, following: int = 5) -> Column:
+    """The keywords of the first keyword heading that yields any: what stands beside it, if at most ``longest`` characters,
+    else the lines after it, up to ``following``, a blank or longer line or another heading; NULL without any."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+    def terms(line: Column, i: Column) -> Column:
+        beside = F.regexp_extract(line, KEYWORD_HEAD, 2)
+        beside = F.when(beside.rlike(SECOND_HEAD), "").otherwise(beside)
+        after = F.slice(lines, i + 2, following)
+        end = F.array_position(F.transform(after, lambda x: (x == "") | (F.length(x) > longest) | F.regexp_replace(F.lower(x), "[.:]+$", "").isin(*KEYWORD_STOPS)), True).cast("int")
+        below = F.array_join(F.when(end == 0, after).otherwise(F.slice(after, F.lit(1), F.greatest(end - 1, F.lit(0)))), " ")
+        raw = F.when((beside != "") & (F.length(beside) <= longest), beside).otherwise(below)
+        return F.when(line.rlike(KEYWORD_HEAD), T.split_keywords(raw))
+
+    found = F.filter(F.transform(lines, terms), lambda x: F.size(x) > 0)
+    return F.when(text.rlike(KEYWORD_HEAD.replace("(?i)^", r"(?im)^\s*").replace("(.*)$", "")), F.get(found, F.lit(0)))
 
 
 def abstracts(df: DataFrame, key: str, text: str, most_words: int = 500) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from acervo.functions import text as T
+
 #: Fixed value: a first-level pair of broken JSON; any key, a value without nesting.
 PAIR = r'"([^"]+)"\s*:\s*("[^"]*"|\[[^\]]*\]|true|false|null|-?[0-9]+(?:\.[0-9]+)?)'
 
@@ -102,14 +104,56 @@ def literal_list(c: Column) -> Column:
     return parse(c)
 
 
+#: What a reader takes for a title or an author and is none.
+NO_TITLE, NO_AUTHORS = "Esta obra está bajo una Licencia Creative Commons", ("Internacional", "Google Maps", "Api")
+#: Keywords whose surroundings give a field, with how far, in order; by document type.
+SEARCHED = {
+    "event": (("Congreso", "Conference", "Simposio", "Symposium", "Reunión", "Meeting"), 200),
+    "compiler": (("Compilador", "Compiler", "Compilado por"), 100),
+    "editor": (("Editor", "Editado por", "Ed."), 100),
+}
+SEARCHED_BY_TYPE = {
+    "director": ("Tesis", ("Director", "Directora", "Dir.", "Dirigido por"), 100),
+    "codirector": ("Tesis", ("Codirector", "Codirectora", "Co-director"), 100),
+    "degree_name": ("Tesis", ("Grado", "Degree", "Título", "Carrera"), 100),
+    "degree_grantor": ("Tesis", ("Universidad", "University", "Facultad", "Institute"), 100),
+    "publisher": ("Libro", ("Editorial", "Publisher", "Publicado por", "Press"), 100),
+}
+
+
+def searched_fields(text: Column) -> dict[str, Column]:
+    """Fields from the surroundings of keywords in a text: identifiers and volume by their form, others as they stand; NULL where there is none."""
+    form = lambda keyword, chars, pattern: F.nullif(F.regexp_extract(T.around(text, keyword, chars), pattern, 1), F.lit(""))
+    return {
+        "issn": form("ISSN", 50, "([0-9]{4}-[0-9]{3}[0-9X])"),
+        "isbn": form("ISBN", 50, "([0-9]{3}-[0-9]{1,5}-[0-9]{1,7}-[0-9]{1,7}-[0-9X])"),
+        "volume": F.concat(F.lit("Vol. "), form("Vol", 30, r"(?i)vol\.?\s*([0-9]+)")),
+        **{k: T.first_around(text, words, chars) for k, (words, chars) in SEARCHED.items()},
+    }
+
+
+def searched_by_type(text: Column, doc_type: Column) -> dict[str, Column]:
+    """Fields that only a document of their type has, from the surroundings of keywords."""
+    return {k: F.when(doc_type == of, T.first_around(text, words, chars)) for k, (of, words, chars) in SEARCHED_BY_TYPE.items()}
+
+
+def tei_keywords(c: Column) -> Column:
+    """Keywords of a TEI document: its terms, else its keyword text cut at separators, else its keyword note."""
+    terms = F.filter(F.transform(F.xpath(c, F.lit("//keywords/term/text()")), lambda t: F.trim(t)), lambda t: t != "")
+    cut = lambda x: F.filter(F.transform(F.split(x, r"[,;|•·]"), lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
+    plain, note = cut(F.xpath_string(c, F.lit("//keywords"))), cut(F.xpath_string(c, F.lit("//note[@type='keywords']")))
+    return F.when(F.size(terms) > 0, terms).when(F.size(plain) > 0, plain).otherwise(note)
+
+
 def tei_fields(c: Column) -> dict[str, Column]:
-    """Main title, authors ("Surname, Forename"), abstract, keywords and language of a TEI document."""
+    """Main title, authors ("Surname, Forename"), abstract, keywords, language and first organisation of a TEI document."""
     text = lambda path: F.when(F.xpath_string(c, F.lit(path)) != "", F.xpath_string(c, F.lit(path)))
     surnames, forenames = F.xpath(c, F.lit("//author/persName/surname/text()")), F.xpath(c, F.lit("//author/persName/forename/text()"))
     return {
-        "title": text("//titleStmt/title[@level='a' and @type='main']"),
-        "authors": F.zip_with(surnames, forenames, lambda s, f: F.concat_ws(", ", s, f)),
-        "abstract": text("//abstract/p"),
+        "title": F.nullif(text("//titleStmt/title[@level='a' and @type='main']"), F.lit(NO_TITLE)),
+        "authors": F.filter(F.zip_with(surnames, forenames, lambda s, f: F.concat_ws(", ", s, f)), lambda a: (a != "") & ~a.isin(*NO_AUTHORS)),
+        "abstract": F.nullif(F.trim(F.array_join(F.xpath(c, F.lit("//abstract//p/text()")), " ")), F.lit("")),
+        "organisation": F.get(F.filter(F.transform(F.xpath(c, F.lit("//affiliation/orgName/text()")), lambda o: F.trim(o)), lambda o: F.length(o) > 5), F.lit(0)),
         "keywords": F.xpath(c, F.lit("//keywords/term/text()")),
         "language": text("//profileDesc/language/@ident"),
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from acervo.functions import text as T
 from acervo.operators import patterns as P
 from acervo.plans import sql as S
 from acervo.plans.texts import dataset
@@ -63,17 +64,40 @@ def tfidf_terms(spark, sf_dir):
     return P.tfidf(_docs(spark, sf_dir), "doc_id", "text")
 
 
+_GRAMS = " UNION ALL ".join(
+    f"SELECT doc_id, {' || chr(32) || '.join(f'w[i + {k}]' for k in range(n))} AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM (SELECT doc_id, list(word ORDER BY pos) AS w FROM {TOKENS} GROUP BY doc_id))" for n in (1, 2, 3)
+)
+
+
+@query(
+    "tfidf_ngrams",
+    f"""WITH tf AS (SELECT doc_id, term AS word, count(*) AS tf FROM ({_GRAMS}) GROUP BY ALL), d AS (SELECT word, count(*) AS df, sum(tf) AS n FROM tf GROUP BY word HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT count(*) FROM documents) ORDER BY n DESC, word LIMIT 60000),
+        r AS (SELECT doc_id, tf.word, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS raw FROM tf JOIN d USING (word)),
+        v AS (SELECT doc_id, word, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r)
+        SELECT doc_id, word, weight FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) <= 5""",
+)
+def tfidf_ngrams(spark, sf_dir):
+    """Runs of one to three words, in two texts or more and at most four fifths of them, the 60 000 commonest."""
+    return P.tfidf(_docs(spark, sf_dir), "doc_id", "text", longest=3, min_df=2, max_df=0.8, features=60000)
+
+
 @query("keyphrases")
 def keyphrases(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return P.keyphrases(docs, "doc_id", "text", P.pmi(docs, "doc_id", "text", top=20000))
 
 
+_HEAD, _SECOND = P.KEYWORD_HEAD.replace("'", "''"), P.SECOND_HEAD
+_STOPS = ", ".join(S.q(w) for w in P.KEYWORD_STOPS)
+_SECTION = f"""(SELECT doc_id, i, beside, list_position(list_transform(after, lambda x: x = '' OR length(x) > 120 OR regexp_replace(lower(x), '[.:]+$', '') IN ({_STOPS})), true) AS p, after FROM (SELECT doc_id, i,
+    CASE WHEN regexp_matches(b, '{_SECOND}') THEN '' ELSE b END AS beside, lines[i + 1:i + 5] AS after FROM (SELECT doc_id, lines, i, regexp_extract(lines[i], '{_HEAD}', 2) AS b FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+    FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS lines FROM documents)) WHERE regexp_matches(lines[i], '{_HEAD}'))))"""
+
+
 @query(
     "keyword_sections",
-    """SELECT doc_id, list_filter(list_transform(regexp_split_to_array(line, '[,;|•·]| [-/] |\\. +'), lambda p: trim(regexp_replace(p, '[ \\t\\n\\r]+', ' ', 'g'))),
-        lambda p: p <> '' AND length(p) <= 80 AND len(string_split(p, ' ')) <= 6) AS keywords FROM (SELECT doc_id,
-        regexp_extract(text, '(?im)^[ \\t]*(?:palabras clave|keywords|palavras-chave|mots-clés|parole chiave)[ \\t]*[:.][ \\t]*([^\\n]{1,200})$', 1) AS line FROM documents) WHERE line <> ''""",
+    f"""SELECT doc_id, keywords FROM (SELECT doc_id, i, list_filter(list_transform(regexp_split_to_array(CASE WHEN beside <> '' AND length(beside) <= 120 THEN beside ELSE array_to_string(CASE WHEN coalesce(p, 0) = 0 THEN after ELSE after[1:p - 1] END, ' ') END, '{T.KEYWORD_SEPARATORS}'),
+        lambda p: trim(regexp_replace(p, '[ \\t\\n\\r]+', ' ', 'g'))), lambda p: p <> '' AND length(p) <= 80 AND len(string_split(p, ' ')) <= 6) AS keywords FROM {_SECTION}) WHERE len(keywords) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1""",
 )
 def keyword_sections(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", P.keyword_section(F.col("text")).alias("keywords")).where("keywords is not null")

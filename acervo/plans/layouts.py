@@ -21,10 +21,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-BOXES = """(SELECT doc_id, page_no, seq, text, x0, x0 + least(45.0, 5.0 * length(text))::DOUBLE AS x1, top, top + height AS bottom, height, 600.0::DOUBLE AS page_w, 800.0::DOUBLE AS page_h FROM (SELECT doc_id, seq // 300 + 1 AS page_no, seq, text,
-    (50.0 + (seq % 300) % 10 * 50 + CASE WHEN doc_id % 3 = 0 AND (seq % 300) % 10 >= 5 THEN 40.0 ELSE 0.0 END)::DOUBLE AS x0, (60.0 + 14 * ((seq % 300) // 10) + (seq % 2) * 0.5)::DOUBLE AS top,
-    (CASE WHEN seq % 97 = 0 THEN 18.0 WHEN (seq % 300) // 10 % 11 = 0 THEN 14.0 ELSE 10.0 + (doc_id % 2) * 0.4 END)::DOUBLE AS height FROM (SELECT doc_id, generate_subscripts(w, 1) - 1 AS seq, unnest(w) AS text
-    FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ') AS w FROM documents))))"""
+BOXES = """(SELECT doc_id, page_no, seq, text, x0, x0 + CASE WHEN doc_id % 7 = 0 THEN 34 ELSE 46 END AS x1, top, top + height AS bottom, height, 600.0::DOUBLE AS page_w, 800.0::DOUBLE AS page_h FROM (SELECT doc_id, seq // 300 + 1 AS page_no, seq, text,
+    (CASE WHEN doc_id % 7 <> 0 THEN 50.0 + col * 50 + line % 3 * 6 + two WHEN col = 9 THEN CASE WHEN doc_id % 2 = 0 AND line % 3 = 0 THEN 480 ELSE 560 END ELSE 50.0 + col * 36 + two END)::DOUBLE AS x0, (60.0 + 14 * line + (seq % 2) * 0.5)::DOUBLE AS top,
+    (CASE WHEN seq % 97 = 0 THEN 18.0 WHEN line % 11 = 0 THEN 14.0 ELSE 10.0 + (doc_id % 2) * 0.4 END)::DOUBLE AS height FROM (SELECT *, (seq % 300) // 10 AS line, seq % 10 AS col, CASE WHEN doc_id % 3 = 0 AND seq % 10 >= 5 THEN 40 ELSE 0 END AS two
+    FROM (SELECT doc_id, generate_subscripts(w, 1) - 1 AS seq, unnest(w) AS text FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ') AS w FROM documents)))))"""
 TIERS = f"(SELECT doc_id, list_max(hs) AS h1, hs[floor(len(hs) * 0.75)::INT + 1] AS h2 FROM (SELECT doc_id, list_sort(list(DISTINCT round_even(height, 0)::INT)) AS hs FROM {BOXES} WHERE page_no <= 5 AND round_even(height, 0) < 40 GROUP BY doc_id))"
 
 
@@ -47,9 +47,15 @@ def tagged_runs(spark, sf_dir):
     return L.tagged_runs(_boxes(spark, sf_dir))
 
 
-GAPS = f"""(SELECT doc_id, page_no, count(*) AS wide, count(*) FILTER (hit) AS gapped, count(*) >= 3 AND count(*) FILTER (hit)::DOUBLE / count(*) >= 0.35 AS two_columns FROM (SELECT doc_id, page_no, line, bool_or(coalesce(x0 - prev >= 12 AND (x0 - l) / (r - l) BETWEEN 0.25 AND 0.75, false)) AS hit
-    FROM (SELECT *, lag(x1) OVER (PARTITION BY doc_id, page_no, line ORDER BY x0, seq) AS prev FROM (SELECT *, count(*) OVER p AS n, min(x0) OVER p AS l, max(x0) OVER p AS r FROM (SELECT *, round_even(top / 2, 0) * 2 AS line FROM {BOXES})
-    WINDOW p AS (PARTITION BY doc_id, page_no, line)) WHERE n >= 4 AND r - l >= 0.4 * page_w) GROUP BY doc_id, page_no, line) GROUP BY doc_id, page_no)"""
+GAPS = f"""(SELECT doc_id, page_no, count(*) AS wide, count(*) FILTER (hit) AS gapped, NOT bool_or(edge) AND count(*) >= 3 AND count(*) FILTER (hit)::DOUBLE / count(*) >= 0.35 AS two_columns FROM (SELECT doc_id, page_no, line, bool_or(edge) AS edge,
+    bool_or(coalesce(x0 - prev >= 12 AND (prev - l) / (r - l) BETWEEN 0.25 AND 0.75, false)) AS hit FROM (SELECT *, lag(x1) OVER (PARTITION BY doc_id, page_no, line ORDER BY x0, seq) AS prev FROM (SELECT *, count(*) OVER p AS n, min(x0) OVER p AS l, max(x0) OVER p AS r,
+    coalesce(count(*) FILTER (x0 >= 450) OVER g / count(*) OVER g::DOUBLE > 0.05 AND max(x0) FILTER (x0 >= 450) OVER g - min(x0) FILTER (x0 >= 450) OVER g < 60, false) AS edge FROM (SELECT *, round_even(top / 2, 0) * 2 AS line FROM {BOXES})
+    WINDOW p AS (PARTITION BY doc_id, page_no, line), g AS (PARTITION BY doc_id, page_no)) WHERE n >= 4 AND r - l >= 0.4 * page_w) GROUP BY doc_id, page_no, line) GROUP BY doc_id, page_no)"""
+VALLEYS = f"""(SELECT doc_id, page_no, words, CASE WHEN two_columns THEN (p + 0.5) * 30.0 END::DOUBLE AS split_x, right_spike, two_columns FROM (SELECT *, NOT right_spike AND low < 0.35 * list_max(h) AND list_sum(h[1:p]) >= 10 AND coalesce(list_sum(h[p + 2:20]), 0) >= 10 AS two_columns
+    FROM (SELECT *, list_min(h[7:14]) AS low, list_position(h[7:14], list_min(h[7:14])) + 5 AS p, list_sum(h[15:20]) >= 10 AND list_max(h[15:20]) > 0.6 * list_sum(h[15:20]) AS right_spike FROM (SELECT doc_id, page_no, words, list_transform(range(0, 20), lambda i: len(list_filter(bs, lambda b: b = i))) AS h
+    FROM (SELECT doc_id, page_no, list(least(floor((x0 + x1) / 2 / 30)::INT, 19)) AS bs, count(*) AS words FROM {BOXES} GROUP BY doc_id, page_no) WHERE words >= 25))))"""
+PAGES = f"""(SELECT doc_id, page_no, words, split_x, (a AND NOT (spike AND NOT b AND words <= 250)) OR b AS two_columns FROM (SELECT s.doc_id, s.page_no, s.words, split_x, coalesce(g.two_columns, false) AS a, coalesce(v.two_columns, false) AS b, coalesce(right_spike, false) AS spike
+    FROM (SELECT doc_id, page_no, count(*) AS words FROM {BOXES} GROUP BY doc_id, page_no) s LEFT JOIN {GAPS} g USING (doc_id, page_no) LEFT JOIN {VALLEYS} v USING (doc_id, page_no)))"""
 
 
 @query("column_gaps", f"SELECT * FROM {GAPS}")
@@ -57,32 +63,38 @@ def column_gaps(spark, sf_dir):
     return L.char_gap(_boxes(spark, sf_dir))
 
 
-@query(
-    "histogram_valleys",
-    f"""WITH h AS (SELECT doc_id, page_no, list_transform(range(0, 20), lambda i: len(list_filter(bs, lambda b: b = i))) AS h FROM (SELECT doc_id, page_no, list(least(floor((x0 + x1) / 2 / 30)::INT, 19)) AS bs, count(*) AS n FROM {BOXES} GROUP BY doc_id, page_no) WHERE n >= 25),
-        m AS (SELECT *, list_min(h[7:14]) AS low, list_position(h[7:14], list_min(h[7:14])) + 5 AS p FROM h)
-        SELECT doc_id, page_no, CASE WHEN two_columns THEN (p + 0.5) * 30.0 END::DOUBLE AS split_x, two_columns FROM (SELECT *, low < 0.35 * list_max(h) AND list_sum(h[1:p]) >= 10 AND coalesce(list_sum(h[p + 2:20]), 0) >= 10 AS two_columns FROM m)""",
-)
+@query("histogram_valleys", f"SELECT * FROM {VALLEYS}")
 def histogram_valleys(spark, sf_dir):
     return L.histogram_valley(_boxes(spark, sf_dir))
 
 
+@query("page_columns", f"SELECT * FROM {PAGES}")
+def page_columns(spark, sf_dir):
+    return L.page_columns(_boxes(spark, sf_dir))
+
+
 @query(
     "column_votes",
-    f"""SELECT doc_id, count(*) AS pages, CASE WHEN count(*) <= 2 THEN count(*) FILTER (two_columns) > 0 ELSE count(*) FILTER (two_columns)::DOUBLE / count(*) > 0.6 END AS two_columns FROM {GAPS}
-        JOIN (SELECT doc_id, page_no FROM {BOXES} WHERE page_no <= 5 GROUP BY doc_id, page_no HAVING count(*) >= 25) USING (doc_id, page_no) GROUP BY doc_id""",
+    f"""SELECT doc_id, pages, CASE WHEN pages <= 2 THEN yes > 0 ELSE yes::DOUBLE / pages > 0.6 END AS two_columns FROM (SELECT doc_id, count(*) FILTER (page_no <= 5 AND words >= 25) AS pages,
+        count(*) FILTER (page_no <= 5 AND words >= 25 AND two_columns) AS yes FROM {PAGES} GROUP BY doc_id)""",
 )
 def column_votes(spark, sf_dir):
-    words = _boxes(spark, sf_dir)
-    return L.document_vote(L.char_gap(words), words.groupBy("doc_id", "page_no").agg(F.count("*").alias("n")))
+    return L.document_vote(page_columns(spark, sf_dir))
+
+
+_SPLIT = f"""(SELECT *, CASE WHEN sx IS NULL OR (n >= 2 AND l < sx AND r > sx AND NOT bool_or(coalesce(x0 - prev >= 21 AND sx BETWEEN prev AND x0, false)) OVER (PARTITION BY doc_id, page_no, line)) THEN 0 ELSE ((x0 + x1) / 2 >= sx)::INT END AS col FROM (SELECT *, count(*) OVER p AS n, min(x0) OVER p AS l, max(x1) OVER p AS r,
+    lag(x1) OVER (PARTITION BY doc_id, page_no, line ORDER BY x0, seq) AS prev FROM (SELECT w.*, round_even(top / 2, 0) * 2 AS line, CASE WHEN two_columns THEN coalesce(split_x, 300) END AS sx FROM {BOXES} w LEFT JOIN {PAGES} USING (doc_id, page_no) WHERE bottom < 0.94 * page_h)
+    WINDOW p AS (PARTITION BY doc_id, page_no, line)))"""
 
 
 @query(
     "column_texts",
-    f"""SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY ((x0 + x1) / 2 >= 320)::INT, round_even(top / 2, 0) * 2, x0, seq) AS text FROM {BOXES} WHERE bottom < 0.94 * page_h GROUP BY doc_id, page_no""",
+    f"""SELECT doc_id, page_no, string_agg(text, chr(10) || chr(10) ORDER BY col) AS text FROM (SELECT doc_id, page_no, col, string_agg(text, chr(10) ORDER BY line) AS text FROM
+        (SELECT doc_id, page_no, col, line, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM {_SPLIT} GROUP BY doc_id, page_no, col, line) GROUP BY doc_id, page_no, col) GROUP BY doc_id, page_no""",
 )
 def column_texts(spark, sf_dir):
-    return L.column_text(_boxes(spark, sf_dir), 320.0)
+    words = _boxes(spark, sf_dir)
+    return L.column_text(words, L.page_columns(words))
 
 
 @query(
@@ -109,10 +121,10 @@ def dominant_heights(spark, sf_dir):
 @query(
     "detector_counts",
     f"""SELECT count(*) FILTER (t AND d) AS hits, count(*) FILTER (t AND NOT d) AS missed, count(*) FILTER (NOT t AND d) AS wrong, round(count(*) FILTER (t AND d)::DOUBLE / count(*) FILTER (t), 6) AS rate
-        FROM (SELECT doc_id % 3 = 0 AS t, two_columns AS d FROM {GAPS})""",
+        FROM (SELECT doc_id % 3 = 0 AS t, two_columns AS d FROM {PAGES})""",
 )
 def detector_counts(spark, sf_dir):
-    """How the gap detector does on the boxes, of which every third document has two columns."""
+    """How the page verdict does on the boxes, of which every third document has two columns."""
     t, d = F.col("doc_id") % 3 == 0, F.col("two_columns")
-    pages = L.char_gap(_boxes(spark, sf_dir))
+    pages = L.page_columns(_boxes(spark, sf_dir))
     return pages.agg(F.count_if(t & d).alias("hits"), F.count_if(t & ~d).alias("missed"), F.count_if(~t & d).alias("wrong"), F.round(F.count_if(t & d) / F.count_if(t), 6).alias("rate"))

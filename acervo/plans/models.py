@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from acervo.operators import classify as K
 from acervo.plans.texts import dataset
-from acervo.sources import read_table
+from acervo.sources import checkpoint_dir, read_table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -65,15 +67,28 @@ def holdout_split(spark, sf_dir):
 @query("model_ranking")
 def model_ranking(spark, sf_dir):
     cells = K.compare_models(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
-    scored = cells.groupBy("model").agg(F.round(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"))
-    return scored.withColumn("place", F.row_number().over(W.orderBy(F.desc("accuracy"), "model")))
+    scored = cells.groupBy("model").agg(F.round(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"), F.max("error").alias("error"))
+    return scored.withColumn("place", F.row_number().over(W.orderBy(F.col("accuracy").desc_nulls_last(), "model")))  # a row per model
+
+
+def _typed(spark, sf_dir):
+    df = dataset(spark, sf_dir, "original_text", "doc_type", "split").where("original_text <> ''").select("id", F.col("original_text").alias("text"), "doc_type", "split")
+    return df, StringIndexer(inputCol="doc_type", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(df)
 
 
 @query("type_classifier")
 def type_classifier(spark, sf_dir):
     """Document type from text, fitted on the training split and scored on the others."""
-    df = dataset(spark, sf_dir, "original_text", "doc_type", "split").where("original_text <> ''").select(F.col("original_text").alias("text"), "doc_type", "split")
-    index = StringIndexer(inputCol="doc_type", outputCol="label", stringOrderType="alphabetAsc").fit(df)
+    df, index = _typed(spark, sf_dir)
     data = index.transform(df)
     told = K.text_classifier().fit(data.where("split = 'training'")).transform(data.where("split <> 'training'"))
     return told.groupBy("split", "doc_type").agg(F.count("*").alias("records"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("int")), 6).alias("accuracy"))
+
+
+@query("type_predictions")
+def type_predictions(spark, sf_dir):
+    """The type model fitted, saved in the shared folder, loaded and applied to every record of the other splits."""
+    df, index = _typed(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/type-model-{uuid.uuid4().hex}"
+    K.save_model(K.text_classifier().fit(index.transform(df).where("split = 'training'")), path)
+    return K.predict(df.where("split <> 'training'").select("id", "text", "doc_type"), path, index.labels).select("id", "doc_type", "predicted")

@@ -78,6 +78,42 @@ def tei_records(spark, sf_dir):
     return df.select("id", f["title"].alias("title"), f["authors"].alias("authors"), F.array_join(f["keywords"], ", ").alias("keywords"))
 
 
+def _around(keyword: str, chars: int) -> str:
+    at = f"instr(lower(original_text), {S.q(keyword.lower())})"
+    return f"CASE WHEN {at} > 0 THEN substr(original_text, greatest({at} - 20, 1), {at} + {chars} - greatest({at} - 20, 1)) END"
+
+
+_FIRST = lambda words, chars: "coalesce(" + ", ".join(f"trim({_around(k, chars)}, ' ')" for k in words) + ")"
+_FORM = lambda keyword, chars, pattern: f"nullif(regexp_extract({_around(keyword, chars)}, '{pattern}', 1), '')"
+_FOUND = ", ".join(f"{_FIRST(*v)} AS {k}" for k, v in X.SEARCHED.items())
+
+
+@query(
+    "searched_fields",
+    f"""SELECT id, {_FORM("ISSN", 50, "([0-9]{4}-[0-9]{3}[0-9X])")} AS issn, {_FORM("ISBN", 50, "([0-9]{3}-[0-9]{1,5}-[0-9]{1,7}-[0-9]{1,7}-[0-9X])")} AS isbn,
+        'Vol. ' || {_FORM("Vol", 30, "(?i)vol[.]?[ ]*([0-9]+)")} AS volume, {_FOUND} FROM {S.DATASET} WHERE original_text <> ''""",
+)
+def searched_fields(spark, sf_dir):
+    f = X.searched_fields(F.col("original_text"))
+    return dataset(spark, sf_dir, given=F.col("original_text") != "", **f).where("given").select("id", *f)
+
+
+@query("searched_by_type", f"SELECT id, {', '.join(f'CASE WHEN doc_type = {S.q(of)} THEN {_FIRST(words, chars)} END AS {k}' for k, (of, words, chars) in X.SEARCHED_BY_TYPE.items())} FROM {S.DATASET} WHERE original_text <> ''")
+def searched_by_type(spark, sf_dir):
+    f = X.searched_by_type(F.col("original_text"), F.col("doc_type"))
+    return dataset(spark, sf_dir, given=F.col("original_text") != "", **f).where("given").select("id", *f)
+
+
+@query("tei_keywords", f"SELECT id, doc_type || ' | b & c' AS keywords FROM {S.DATASET}")
+def tei_keywords(spark, sf_dir):
+    """Round trip: two keywords as terms, as text or as a note."""
+    kind = F.pmod(F.length("id") + F.ascii(F.substring("id", -1, 1)), F.lit(3))
+    inner = F.when(kind == 0, F.concat(F.lit("<keywords><term>"), "doc_type", F.lit("</term><term> b &amp; c </term></keywords>"))).when(kind == 1, F.concat(F.lit("<keywords>"), "doc_type", F.lit("; b &amp; c;</keywords>")))
+    inner = inner.otherwise(F.concat(F.lit('<note type="keywords">'), "doc_type", F.lit(", b &amp; c</note>")))
+    tei = F.concat(F.lit("<TEI><profileDesc>"), inner, F.lit("</profileDesc></TEI>"))
+    return dataset(spark, sf_dir, "doc_type").select("id", F.array_join(X.tei_keywords(tei), " | ").alias("keywords"))
+
+
 @query("bibtex_records", f"SELECT id, title, coalesce(date_issued[1:4], '') AS year FROM {S.DATASET} WHERE title <> '' AND NOT regexp_matches(title, '[{{}}\\n]')")
 def bibtex_records(spark, sf_dir):
     df = dataset(spark, sf_dir, "title", "date_issued").where("title <> ''").where(~F.col("title").rlike(r"[{}\n]"))

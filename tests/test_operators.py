@@ -5,8 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from acervo.functions import text as T
 from acervo.operators import classify as K
 from acervo.operators import curation as C
 from acervo.operators import evaluation as E
@@ -85,6 +87,76 @@ def test_patterns(spark):
     assert P.vocabulary(df.limit(0), "id", "text").count() == 0
 
 
+def test_keyword_section_on_following_lines(spark):
+    texts = ["Keywords\nagua; suelo\ncauce\n\nfin", "Palabras clave: Abstract\nuno, dos\nAbstract\nno", "Keywords:\n\nPalabras clave - a - b", "nada", None, "Keywords: " + "x" * 130 + "\nagua, suelo"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(P.keyword_section(F.col("t"))).collect()]
+    assert got == [["agua", "suelo cauce"], ["uno", "dos"], ["a", "b"], None, None, ["agua", "suelo"]]
+
+
+def test_ngrams_within_rows(spark):
+    df = spark.createDataFrame([(1, "alfa beta gamma"), (2, "alfa"), (3, None), (4, "")], "id int, text string")
+    got = df.where("id = 1").select(P.grams(P.kept_words(F.col("text")), 2), P.grams(P.kept_words(F.col("text")), 3), P.grams(P.kept_words(F.col("text")), 4)).first()
+    assert tuple(got) == (["alfa beta", "beta gamma"], ["alfa beta gamma"], [])
+    assert [tuple(r) for r in P.bigrams(df, "id", "text").collect()] == [(1, "alfa", "beta"), (1, "beta", "gamma")]
+
+
+def test_ranked_equals_window(spark):
+    rows = [(i, None if i % 11 == 0 else f"l{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, l string").repartition(5)
+    w = Window.partitionBy("l")
+    want = df.withColumn("i", F.row_number().over(w.orderBy(C.hash_order("id", 7), "id"))).withColumn("n", F.count("*").over(w))
+    got = C.ranked(df, "l", "id", 7)
+    assert sorted(map(tuple, got.select("id", "_i", "_all").collect())) == sorted(map(tuple, want.select("id", "i", "n").collect()))
+
+
+def test_layout_vetoes_and_full_width_lines(spark):
+    columns = "doc_id long, page_no int, seq int, text string, x0 double, x1 double, top double, bottom double, height double, page_w double, page_h double"
+
+    def page(doc, lines):
+        seq = 0
+        for i, words in enumerate(lines):
+            for x0, x1, text in words:
+                yield doc, 1, seq, text, float(x0), float(x1), 60.0 + 14 * i, 70.0 + 14 * i, 10.0, 600.0, 800.0
+                seq += 1
+
+    two = [[(50, 130, f"a{i}"), (140, 190, f"b{i}"), (340, 420, f"c{i}"), (430, 450 + 40 * (i % 4), f"d{i}")] for i in range(12)]
+    wide = [[(50, 180, "w"), (190, 310, "x"), (320, 440, "y"), (450, 550, "z")]]
+    edge = [[(50, 130, "a"), (140, 250, "b"), (340, 420, "c"), (560, 590, "9")] for _ in range(12)]
+    words = spark.createDataFrame([*page(1, wide + two), *page(2, edge), *page(3, two[:2])], columns)
+    pages = {r["doc_id"]: r for r in L.page_columns(words).collect()}
+    assert pages[1]["two_columns"] and not pages[2]["two_columns"] and not pages[3]["two_columns"]
+    assert {r["doc_id"]: r["two_columns"] for r in L.char_gap(words).collect()} == {1: True, 2: False, 3: False}
+    assert {r["doc_id"]: r["right_spike"] for r in L.histogram_valley(words).collect()} == {1: False, 2: True}
+    text = {r["doc_id"]: r["text"] for r in L.column_text(words, L.page_columns(words)).collect()}
+    assert text[1].startswith("w x y z\na0 b0\na1 b1") and "\n\nc0 d0\n" in text[1] and text[3] == "a0 b0 c0 d0\na1 b1 c1 d1"
+    assert {r["doc_id"]: r["two_columns"] for r in L.document_vote(L.page_columns(words)).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_saved_model_predicts_as_it_did(spark, tmp_path):
+    rows = [(i, ("agua cauce cuenca" if i % 2 else "poema verso soneto") + f" palabra{'abc'[i % 3]}", float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, text string, label double")
+    model = K.text_classifier().fit(df)
+    K.save_model(model, str(tmp_path / "m"))
+    K.save_model(model, str(tmp_path / "m"))  # written over
+    asked = spark.createDataFrame([(1, "cuenca agua", 5), (2, "verso", 6), (3, None, 7), (4, "", 8)], "id int, text string, prediction int")
+    assert [tuple(r) for r in K.predict(asked, str(tmp_path / "m"), ["letras", "agua"]).orderBy("id").select("id", "prediction", "predicted").collect()] == [(1, 5, "agua"), (2, 6, "letras"), (3, 7, None), (4, 8, None)]
+
+
+def test_a_failing_model_has_its_error_in_its_row(spark, monkeypatch):
+    class Bad:
+        def fit(self, df):
+            raise ValueError("no")
+
+    monkeypatch.setattr(K, "vector_models", lambda n, size: {"bad": Bad()})
+    df = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(20)], "id int, v array<double>, label int")
+    assert [tuple(r) for r in K.compare_models(df, "id", "v", "label").collect()] == [("bad", None, None, None, "no")]
+
+
+def test_report_emptiness(spark):
+    df = spark.createDataFrame([(None, False), ([], False), ([""], False), ([" "], None), (["null"], False), ([None], False), ([""], True), (["a"], True)], "v array<string>, l boolean")
+    assert [r[0] for r in df.select(T.is_empty(F.col("v"), F.col("l"))).collect()] == [True, True, True, True, False, True, False, False]
+
+
 def test_rake(spark):
     df = spark.createDataFrame([(1, "La napa freática del norte, la napa freática y los pozos."), (2, None)], "id int, text string")
     got = [(r["phrase"], r["score"]) for r in P.rake(df, "id", "text").orderBy("rank").collect()]
