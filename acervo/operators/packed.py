@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acervo.sources import cut
+
 QUOTES = {'"': '"', "'": "'", "«": "»", "“": "”"}
 STRONG = re.compile(r"\s*(?:\|\||[|;\n\r\t•·])\s*|\s+/\s+|\s+[–—-]\s+")
 STRONG_OR_COMMA = re.compile(STRONG.pattern + r"|\s*,\s*")
@@ -193,8 +195,8 @@ def given_names(people: DataFrame, share: float = 1e-3) -> frozenset[str]:
             )
         ).alias("x")
     ).select("x.*")
-    counts = words.groupBy("word").agg(F.sum("is_given").alias("g"), F.sum(1 - F.col("is_given")).alias("s"))
-    total = words.agg(F.coalesce(F.sum("is_given"), F.lit(0)).alias("n")).first()["n"]
+    counts = cut(words.groupBy("word").agg(F.sum("is_given").alias("g"), F.sum(1 - F.col("is_given")).alias("s")))  # asked twice, counted once
+    total = counts.agg(F.coalesce(F.sum("g"), F.lit(0)).alias("n")).first()["n"]
     kept = counts.where((F.col("g") >= max(2.0, share * total)) & (F.col("g") > 2 * F.col("s")) & (F.length("word") > 2) & ~F.col("word").isin(*OPEN_ENDS))
     return frozenset(r["word"] for r in kept.select("word").collect())
 
