@@ -109,7 +109,8 @@ def aligned(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def distinct_ignoring_case(values: Column) -> Column:
-    """A list without elements equal to an earlier one after trimming and lower case; the first spelling stays."""
+    """A list without NULLs and without elements equal to an earlier one after trimming and lower case; the first spelling stays."""
+    values = F.array_compact(values)
     folded = F.transform(values, lambda v: F.lower(F.trim(v)))
     return F.filter(F.zip_with(values, F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1))), lambda v, i: F.when(F.array_position(folded, F.lower(F.trim(v))) == i, v)), lambda v: v.isNotNull())
 

@@ -148,10 +148,12 @@ def tei_keywords(c: Column) -> Column:
 def tei_fields(c: Column) -> dict[str, Column]:
     """Main title, authors ("Surname, Forename"), abstract, keywords, language and first organisation of a TEI document."""
     text = lambda path: F.when(F.xpath_string(c, F.lit(path)) != "", F.xpath_string(c, F.lit(path)))
-    surnames, forenames = F.xpath(c, F.lit("//author/persName/surname/text()")), F.xpath(c, F.lit("//author/persName/forename/text()"))
+    # each author is read by itself, as one may lack a part that the next has
+    blocks = F.regexp_extract_all(c, F.lit(r"(?s)(<author\b[^>]*>.*?</author>)"), F.lit(1))
+    part = lambda b, name: F.nullif(F.trim(F.xpath_string(b, F.lit(f"/author/persName/{name}"))), F.lit(""))
     return {
         "title": F.nullif(text("//titleStmt/title[@level='a' and @type='main']"), F.lit(NO_TITLE)),
-        "authors": F.filter(F.zip_with(surnames, forenames, lambda s, f: F.concat_ws(", ", s, f)), lambda a: (a != "") & ~a.isin(*NO_AUTHORS)),
+        "authors": F.filter(F.transform(blocks, lambda b: F.concat_ws(", ", part(b, "surname"), part(b, "forename"))), lambda a: (a != "") & ~a.isin(*NO_AUTHORS)),
         "abstract": F.nullif(F.trim(F.array_join(F.xpath(c, F.lit("//abstract//p/text()")), " ")), F.lit("")),
         "organisation": F.get(F.filter(F.transform(F.xpath(c, F.lit("//affiliation/orgName/text()")), lambda o: F.trim(o)), lambda o: F.length(o) > 5), F.lit(0)),
         "keywords": F.xpath(c, F.lit("//keywords/term/text()")),

@@ -215,9 +215,9 @@ def updated_subjects(spark, sf_dir):
     return C.update_by_key(dataset(spark, sf_dir, "subject").select("id", "subject"), subject_label_table(spark, sf_dir).select("id", "subject"), "id")
 
 
-@query("keywords_once", f"SELECT id, list_filter(k, lambda v, i: list_position(list_transform(k, lambda x: lower(trim(x))), lower(trim(v))) = i) AS keywords FROM (SELECT id, keywords.real AS k FROM {S.DATASET}) WHERE len(k) > 0")
+@query("keywords_once", f"SELECT id, list_filter(k, lambda v, i: list_position(list_transform(k, lambda x: lower(trim(x))), lower(trim(v))) = i) AS keywords FROM (SELECT id, list_filter(keywords.real, lambda v: v IS NOT NULL) AS k FROM {S.DATASET} WHERE len(keywords.real) > 0)")
 def keywords_once(spark, sf_dir):
-    df = dataset(spark, sf_dir, "keywords").where("size(keywords.real) > 0 and not exists(keywords.real, k -> k is null)")
+    df = dataset(spark, sf_dir, "keywords").where("size(keywords.real) > 0")
     return df.select("id", C.distinct_ignoring_case(F.col("keywords.real")).alias("keywords"))
 
 

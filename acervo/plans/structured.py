@@ -46,11 +46,12 @@ def salvaged_pairs(spark, sf_dir):
     return X.salvage_pairs(df.select("id", raw.alias("raw")), "id", "raw")
 
 
-@query("tolerant_objects", f"""SELECT id, title FROM {S.DATASET} WHERE title IS NOT NULL AND NOT regexp_matches(title, '["\\\\]')""")
+@query("tolerant_objects", f"""SELECT id, title FROM {S.DATASET} WHERE title IS NOT NULL""")
 def tolerant_objects(spark, sf_dir):
     """Objects cut before their closing bracket, in a fence: the title must come back."""
-    df = dataset(spark, sf_dir, "title").where("title is not null").where(~F.col("title").rlike(r'["\\]'))
-    raw = F.concat(F.lit('```json\n{"title": "'), "title", F.lit('"'))
+    df = dataset(spark, sf_dir, "title").where("title is not null")
+    whole = F.to_json(F.struct("title"))
+    raw = F.concat(F.lit("```json\n"), F.substring(whole, F.lit(1), F.length(whole) - 1))
     return X.tolerant_json(df.select("id", raw.alias("raw")), "id", "raw").select("id", F.get_json_object("value", "$.title").alias("title"))
 
 
@@ -60,22 +61,26 @@ def answers_after_marker(spark, sf_dir):
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.trim(X.strip_fence(X.after_marker(raw))).alias("answer"))
 
 
-_PLAIN = "creator[1] IS NOT NULL AND regexp_matches(creator[1], '^[^,;|&<>/\"''«\\[(]+, [^,;|&<>/\"''«\\[(]+$') AND title <> '' AND regexp_matches(title, '^[\\p{L}\\p{N} .,:()-]+$') AND title = trim(title)"
-
-
-@query("tei_records", f"SELECT id, title, list_transform([creator[1]], lambda c: split_part(c, ', ', 1) || ', ' || split_part(c, ', ', 2)) AS authors, doc_type AS keywords FROM {S.DATASET} WHERE {_PLAIN}")
+@query(
+    "tei_records",
+    f"""SELECT id, nullif(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '') AS title, list_filter(list_transform(list_filter(creator, lambda c: c IS NOT NULL), lambda c: trim(split_part(c, ',', 1)) || CASE WHEN trim(array_to_string(string_split(c, ',')[2:], ',')) <> '' THEN ', ' || trim(array_to_string(string_split(c, ',')[2:], ',')) ELSE '' END),
+        lambda a: a <> '') AS authors, doc_type AS keywords FROM {S.DATASET} WHERE title IS NOT NULL AND NOT regexp_matches(title || coalesce(array_to_string(creator, ''), ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')""",
+)
 def tei_records(spark, sf_dir):
-    df = dataset(spark, sf_dir, "title", "creator", "doc_type").where("title <> '' and title = trim(title)")
-    one = F.get("creator", F.lit(0))
-    df = df.withColumn("c", one).where(F.col("c").rlike(r"^[^,;|&<>/\"'«\[(]+, [^,;|&<>/\"'«\[(]+$") & F.col("title").rlike(r"^[\p{L}\p{N} .,:()-]+$"))
-    part = lambda i: F.split_part("c", F.lit(", "), F.lit(i))
+    """Round trip: titles and every creator written as TEI, with what XML cannot hold (controls) left out, and read back."""
+    df = dataset(spark, sf_dir, "title", "creator", "doc_type").where("title is not null")
+    df = df.where(~F.concat("title", F.coalesce(F.array_join("creator", ""), F.lit(""))).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
+    author = lambda c: F.concat(
+        F.lit("<author><persName><surname>"), X.escape_markup(F.trim(F.split_part(c, F.lit(","), F.lit(1)))), F.lit("</surname><forename>"),
+        X.escape_markup(F.trim(F.when(c.contains(","), F.regexp_replace(c, r"(?s)^[^,]*,", "")).otherwise(""))), F.lit("</forename></persName></author>"),
+    )
+    authors = F.array_join(F.transform(F.array_compact(F.coalesce("creator", F.array().cast("array<string>"))), author), "")
     tei = F.concat(
-        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="a" type="main">'), X.escape_markup(F.col("title")),
-        F.lit("</title></titleStmt><sourceDesc><author><persName><forename>"), part(2), F.lit("</forename><surname>"), part(1),
-        F.lit("</surname></persName></author></sourceDesc></fileDesc><profileDesc><keywords><term>"), F.col("doc_type"), F.lit("</term></keywords></profileDesc></teiHeader></TEI>"),
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="a" type="main">'), X.escape_markup(F.col("title")), F.lit("</title></titleStmt><sourceDesc>"), authors,
+        F.lit("</sourceDesc></fileDesc><profileDesc><keywords><term>"), F.col("doc_type"), F.lit("</term></keywords></profileDesc></teiHeader></TEI>"),
     )
     f = X.tei_fields(tei)
-    return df.select("id", f["title"].alias("title"), f["authors"].alias("authors"), F.array_join(f["keywords"], ", ").alias("keywords"))
+    return df.select("id", f["title"].alias("title"), F.when(F.col("creator").isNotNull(), f["authors"]).alias("authors"), F.array_join(f["keywords"], ", ").alias("keywords"))
 
 
 def _around(keyword: str, chars: int) -> str:

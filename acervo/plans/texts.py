@@ -60,15 +60,15 @@ def acute_repair_originals(spark, sf_dir):
     return dataset(spark, sf_dir, "original_text").where(F.col("original_text").contains("´")).select("id", T.attach_acutes(F.col("original_text")).alias("fixed"))
 
 
-@query("accents_stripped", "SELECT DISTINCT title, strip_accents(title) AS bare FROM dataset WHERE title IS NOT NULL AND NOT regexp_matches(title, '[^\\x00-\\x{017F}]')")
+@query("accents_stripped", "SELECT DISTINCT title, strip_accents(title) AS bare FROM dataset WHERE title IS NOT NULL")
 def accents_stripped(spark, sf_dir):
-    df = read_table(spark, sf_dir, "dataset", ["title"]).where(F.col("title").isNotNull() & ~F.col("title").rlike(r"[^\x{00}-\x{17F}]"))
+    df = read_table(spark, sf_dir, "dataset", ["title"]).where("title is not null")
     return df.select("title", T.strip_accents(F.col("title")).alias("bare")).distinct()
 
 
-@query("metric_keys", f"SELECT DISTINCT title, {S.metric_key('title')} AS key FROM dataset WHERE title IS NOT NULL AND NOT regexp_matches(title, '[^\\x00-\\x{{017F}}]')")
+@query("metric_keys", f"SELECT DISTINCT title, {S.metric_key('title')} AS key FROM dataset WHERE title IS NOT NULL")
 def metric_keys(spark, sf_dir):
-    df = read_table(spark, sf_dir, "dataset", ["title"]).where(F.col("title").isNotNull() & ~F.col("title").rlike(r"[^\x{00}-\x{17F}]"))
+    df = read_table(spark, sf_dir, "dataset", ["title"]).where("title is not null")
     return df.select("title", T.metric_key(F.col("title")).alias("key")).distinct()
 
 
