@@ -39,10 +39,10 @@ class Index:
         self.postings = {w: (np.array([i for i, _ in p]), np.array([x for _, x in p])) for w, p in postings.items()}
         self.bags, self.size = bags, n
 
-    def neighbours(self, i: int, terms: int = 12) -> np.ndarray:
-        """The other texts by falling BM25 score for the best ``terms`` terms of text ``i``."""
+    def neighbours(self, i: int) -> np.ndarray:
+        """The other texts by falling BM25 score for all terms of text ``i``."""
         scores = np.zeros(self.size)
-        for w in sorted(self.bags[i], key=lambda w: (-self.idf[w] * min(3, self.bags[i][w]), w))[:terms]:
+        for w in self.bags[i]:
             at, weight = self.postings[w]
             scores[at] += self.idf[w] * weight
         scores[i] = 0
