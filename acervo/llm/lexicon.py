@@ -38,14 +38,11 @@ def distinct_texts(df: DataFrame, text: str) -> DataFrame:
     rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.xxhash64(text).alias("_h"))
     held = counts_of(rows.select("_h"))
 
-    def of(alone: bool):
-        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b[(held[b["_h"].to_numpy() & (len(held) - 1)] == 1) == alone]
+    @F.pandas_udf("boolean")
+    def alone(h: pd.Series) -> pd.Series:  # the hashes go to Python, the texts stay
+        return pd.Series(held[h.to_numpy() & (len(held) - 1)] == 1)
 
-        return rows.mapInPandas(some, rows.schema)
-
-    return of(True).unionByName(of(False).dropDuplicates(["_t"])).select(F.col("_t").alias(text))
+    return rows.where(alone("_h")).unionByName(rows.where(~alone("_h")).dropDuplicates(["_t"])).select(F.col("_t").alias(text))
 
 
 def trusted_words(df: DataFrame, text: str, share: float = 1e-5, least: int = 3, copies: bool = True) -> dict[str, int]:

@@ -31,7 +31,7 @@ BROKEN_WORD = re.compile(r"[-\xad¬‐‑–](?<=\w.)[^\S\n]*\n\s*(?=\w)")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
 SPACED_SIGN = re.compile(r" [^\W\d_] [^\W\d_] [^\W\d_] ")
 MULTIBYTE_SIGN = re.compile("[ÃÂâ√├┬ГВ]")
-ONE_BYTE_SIGN = re.compile(r"(?:[^\x00-\x7fáàâãéèêíìîóòôõúùûüñçºª«»“”‘’‐-―\xad¬´\xa0¿¡ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇ]|[ÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛÜÑÇ])(?<=[a-z].)")
+ONE_BYTE_SIGN = re.compile(r"[^\x00-\x7fáàâãéèêíìîóòôõúùûüñçºª«»“”‘’‐-―\xad¬´\xa0¿¡](?<=[a-z].)")
 #: Letters and signs that scanners take for one another, folded to one of them.
 FOLD_FROM, FOLD_TO = b"1l!|ueyv65029tf8", b"iiiiicvvbsoooffb"
 _TABLE = bytearray(b" " * 256)

@@ -40,11 +40,16 @@ NUMBERED_HEADER = re.compile(r"^\s*(?:\d{1,4}\s{2,}(?=\D*[^\W\d_]{3})(.+)|(.*[^\
 VOLUME_HEADER = re.compile(r"\|\s*v[o0][l1!i]\.?\s*\w+", re.I)
 ET_AL_LINE = re.compile(r"^[^\W\d_][\w!|]+ (?:e|c)t a[l1!]\.$", re.I)
 TABLE_LINE = re.compile(r"^\s*\d+(?:\s{2,}|\t)\S*\d\s*$")
+DIGITS = re.compile(r"\d+")
+NO_LETTERS = bytes(x for x in range(256) if not 97 <= x <= 122)
 LINE_MARKS = tuple("-\xad¬‐‑–")
 LINE_HYPHEN = re.compile(r"([^\W_]\S*?)([-\xad¬‐‑–])\s*$")
 SPACED_LETTERS = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){4,}[^\W\d_](?![^\W_])")
 TRIPLED = re.compile(r"([A-ZÀ-Þ])\1\1(?:([A-ZÀ-Þ])\2\2)+")
-BAD_EXTRACTION = re.compile(r"[ﬀ-ﬆı\ue000-\uf8ff]|[´¨˜~](?:[^\W\d_]|(?<=[^\W\d_].))|[0-9!|](?<=[^\W\d_].)[^\W\d_]|0(?<=[a-zà-ÿ]{2}0)(?!\w)|\(cid:\d+\)")
+#: One class leads, which is searched fast; what it finds is then looked at closer.
+BAD_EXTRACTION = re.compile(
+    r"[ﬀ-ﬆı\ue000-\uf8ff´¨˜~0-9!|(](?:(?<=[ﬀ-ﬆı\ue000-\uf8ff])|(?<=[´¨˜~])(?:[^\W\d_]|(?<=[^\W\d_].))|(?<=[^\W\d_][0-9!|])[^\W\d_]|(?<=[a-zà-ÿ]{2}0)(?!\w)|(?<=\()cid:\d+\))"
+)
 #: Words that leave a sentence open; a line that ends on one is running text.
 OPEN_WORDS = frozenset(
     "a al and as con da das de degli dei del della delle des di do dos du e el em en et for from il in la las le les lo los na no of on or os per por que se su than the to un una und y à é o más hacia entre between around vers tra pour com with".split()
@@ -52,6 +57,7 @@ OPEN_WORDS = frozenset(
 LOWER_WORD = re.compile(r"(?<![\w´¨~-])[^\W\d_]{4,}(?![\w´¨~(])")
 #: Words with digits or signs that scanners take for letters at the start or the end.
 EDGE_WORD = re.compile(r"(?<![\w´¨~.,-])(?:[0125689!|]{1,2}[^\W\d_]+|[^\W\d_]+[0125689!|]{1,2})(?![\w´¨~(-])")
+EDGE_SIGN = re.compile(r"[0125689!|](?:(?<=[^\W\d_].)|(?=[^\W\d_]))")
 DIGIT_WORD = re.compile(r"[^\s.,;:()?¿]*[^\W\d_][0-9!|][^\s.,;:()?¿]*")
 LONG_WORD = re.compile(r"[^\W\d_]{4,}")
 BETWEEN = "zzzzbetweentextszzzz"  # no word of any text, so no pair spans two texts
@@ -72,6 +78,20 @@ def bare(word: str) -> str:
     return word if word.isascii() else unicodedata.normalize("NFD", word).encode("ascii", "ignore").decode()
 
 
+class Odd(dict):
+    """Word as written -> whether it is unknown and may be a misreading of a trusted word."""
+
+    def __init__(self, speller: Speller):
+        self.speller = speller
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 1_000_000:
+            self.clear()
+        low, speller = word.lower(), self.speller
+        self[word] = out = not speller.knows(low) and (word[0].islower() or speller.looks_known(low)) and bool(speller.candidates(low))
+        return out
+
+
 class Speller:
     """Corrections of misread words from a lexicon of trusted words and their counts."""
 
@@ -90,6 +110,7 @@ class Speller:
                     self.index[short].append(plain)
         self.folded = {fold(w).replace(b" ", b"") for w in self.counts if len(w) >= 4}
         self.cache: dict[str, list[tuple[float, str]]] = {}
+        self.odd = Odd(self)
 
     def _deletes(self, word: str) -> set[str]:
         part = word[: self.head]
@@ -190,7 +211,7 @@ def _layout(lines: list[str]) -> tuple[set[int], set[int], bool]:
                 numbered.add(i)
                 s = (m[1] or m[2]).strip()
         if s[0].isupper() or s[0].isdigit():
-            keyed[re.sub(rb"[^a-z]", b"", fold(re.sub(r"\d+", "", s)))].append(i)
+            keyed[fold(DIGITS.sub("", s)).translate(None, NO_LETTERS)].append(i)
     order = {i: k for k, i in enumerate(text_at)}
 
     def around(i: int, skip: set[int]) -> tuple[str, str]:
@@ -285,16 +306,16 @@ def repair(text: str, trusted: dict[str, int], speller: Speller, compounds: froz
     if "chars" not in kinds or rebuild:
         fixes = {}
         # an unknown word with a capital is a name, unless it looks just like a trusted word
-        odd = {w for w in set(LONG_WORD.findall(flat)) if (v := w.lower()) not in trusted and not speller.knows(v) and (w[0].islower() or speller.looks_known(v)) and speller.candidates(v)}
-        for m in LOWER_WORD.finditer(flat) if odd else ():
+        odd = speller.odd
+        for m in LOWER_WORD.finditer(flat) if any(map(odd.__getitem__, LONG_WORD.findall(flat))) else ():
             w = m[0]
-            if w in odd:
+            if odd[w]:
                 if fixed := speller.correct(w, _word_before(m)):
                     fixes[m.span()] = fixed
                     kinds.add("chars")
                     if not rebuild:
                         break
-        for m in EDGE_WORD.finditer(flat) if rebuild or "chars" not in kinds else ():
+        for m in EDGE_WORD.finditer(flat) if (rebuild or "chars" not in kinds) and EDGE_SIGN.search(flat) else ():
             if fixed := speller.edge(m[0], _word_before(m)):
                 fixes[m.span()] = fixed
                 kinds.add("chars")
