@@ -1,7 +1,7 @@
 """A fixed-size table of hash counts, whose size does not grow with the data.
 
-It orders hashes by how often they occur and rules out those that cannot occur. Hashes of one residue share a count, so
-an order by it is still one order for all, and a hash let through by chance is dropped by the exact join that follows.
+It tells hashes that no other row can share. Hashes of one residue share a count, so rows it does not tell apart, copies or
+not, are compared by the exact step that follows.
 """
 
 from __future__ import annotations
@@ -38,8 +38,3 @@ def counts_of(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
     for r in blocks.mapInPandas(pack, "block int, bytes binary").collect():
         out[r["block"]] = np.frombuffer(r["bytes"], np.uint8)
     return out.ravel()
-
-
-def may_hold(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which of the hashes the table may hold."""
-    return counts[hashes.astype(np.int64, copy=False) & (len(counts) - 1)] > 0

@@ -301,29 +301,24 @@ def repair(text: str, trusted: dict[str, int], speller: Speller, compounds: froz
                 continue
         k += 1
     flat = "\n".join(body)
-    if BAD_EXTRACTION.search(flat) or (SPACED_SIGN.search(flat) and SPACED_LETTERS.search(flat)) or TRIPLED.search(flat):
+    # the index decides first; what it cannot know (glyphs, spaced and tripled letters, signs inside names) is told by its form
+    fixes = {}
+    odd = speller.odd
+    for m in LOWER_WORD.finditer(flat) if any(map(odd.__getitem__, LONG_WORD.findall(flat))) else ():
+        w = m[0]
+        if odd[w] and (fixed := speller.correct(w, _word_before(m))):
+            fixes[m.span()] = fixed
+            if not rebuild:
+                break
+    for m in EDGE_WORD.finditer(flat) if (rebuild or not fixes) and EDGE_SIGN.search(flat) else ():
+        if fixed := speller.edge(m[0], _word_before(m)):
+            fixes[m.span()] = fixed
+            if not rebuild:
+                break
+    if fixes or BAD_EXTRACTION.search(flat) or (SPACED_SIGN.search(flat) and SPACED_LETTERS.search(flat)) or TRIPLED.search(flat):
         kinds.add("chars")
-    if "chars" not in kinds or rebuild:
-        fixes = {}
-        # an unknown word with a capital is a name, unless it looks just like a trusted word
-        odd = speller.odd
-        for m in LOWER_WORD.finditer(flat) if any(map(odd.__getitem__, LONG_WORD.findall(flat))) else ():
-            w = m[0]
-            if odd[w]:
-                if fixed := speller.correct(w, _word_before(m)):
-                    fixes[m.span()] = fixed
-                    kinds.add("chars")
-                    if not rebuild:
-                        break
-        for m in EDGE_WORD.finditer(flat) if (rebuild or "chars" not in kinds) and EDGE_SIGN.search(flat) else ():
-            if fixed := speller.edge(m[0], _word_before(m)):
-                fixes[m.span()] = fixed
-                kinds.add("chars")
-                if not rebuild:
-                    break
-        if rebuild:
-            for (a, b), fixed in sorted(fixes.items(), reverse=True):
-                flat = flat[:a] + fixed + flat[b:]
+    for (a, b), fixed in sorted(fixes.items(), reverse=True) if rebuild else ():
+        flat = flat[:a] + fixed + flat[b:]
     if not rebuild:
         return kinds, ""
     flat = SPACED_LETTERS.sub(lambda m: m[0].replace(" ", ""), flat)
