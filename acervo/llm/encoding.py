@@ -9,6 +9,7 @@ result is a trusted word of the corpus, and then the field's other words of the
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,8 +50,9 @@ def _table(codec: str) -> dict[int, str]:
     return out
 
 
-def _automaton(codec: str, leads: tuple[int, ...]) -> tuple[re.Pattern, dict[str, int]]:
-    """A pattern over the codec's characters that matches runs of well-formed UTF-8 sequences, and character -> byte."""
+def _automaton(codec: str, leads: tuple[int, ...]) -> tuple[re.Pattern, re.Pattern, dict[str, int]]:
+    """Patterns over the codec's characters that match runs of well-formed UTF-8 sequences, of any lead or of ``leads``
+    alone, and character -> byte."""
     table = _table(codec)
     back = {c: b for b, c in table.items()}
     if codec == "cp1252":
@@ -59,7 +61,7 @@ def _automaton(codec: str, leads: tuple[int, ...]) -> tuple[re.Pattern, dict[str
     of = lambda low, high, only: "".join(re.escape(table[b]) for b in range(low, high) if b in table and (b in leads or not only))
     sequences = [[f"[{x}][{tails}]{{{n}}}" for n, low, high in ((1, 0xC2, 0xE0), (2, 0xE0, 0xF0), (3, 0xF0, 0xF5)) if (x := of(low, high, only))] for only in (True, False)]
     sure, every = ("|".join(x) for x in sequences)
-    return re.compile(f"(?:{every}){{2,}}|(?:{sure})"), back
+    return re.compile(f"(?:{every}){{2,}}|(?:{sure})"), re.compile(f"(?:{sure})+"), back
 
 
 AUTOMATA = {codec: _automaton(codec, leads) for codec, leads in MULTIBYTE.items()}
@@ -68,17 +70,27 @@ for _codec in SINGLE_BYTE:
     RETURN[_codec] = {ord(c): bytes([b]).decode("latin-1") for b, c in _table(_codec).items() if b >= 0xA0 and bytes([b]).decode("latin-1") in SOUND and ord(c) > 0x7F}
 
 
+def _bytes(span: str, back: dict[str, int]) -> str:
+    try:
+        return bytes(back[c] for c in span).decode("utf-8")
+    except UnicodeDecodeError:
+        return span
+
+
 def decode_spans(text: str) -> str:
     """Decode every maximal well-formed multibyte span, up to three layers deep."""
     for _ in range(3):
         before = text
-        for pattern, back in AUTOMATA.values():
+        for pattern, sure, back in AUTOMATA.values():
 
-            def decoded(m: re.Match, back: dict[str, int] = back) -> str:
+            def decoded(m: re.Match, sure: re.Pattern = sure, back: dict[str, int] = back) -> str:
                 try:
-                    return bytes(back[c] for c in m[0]).decode("utf-8")
+                    out = bytes(back[c] for c in m[0]).decode("utf-8")
+                    if not any(unicodedata.category(c) in ("Co", "Cn") for c in out):
+                        return out
                 except UnicodeDecodeError:
-                    return m[0]
+                    pass
+                return sure.sub(lambda x: _bytes(x[0], back), m[0])  # no characters of any script: the surer leads alone
 
             text = pattern.sub(decoded, text)
         if text == before:

@@ -68,8 +68,8 @@ def rates(groups: DataFrame, targets: dict[str, float], caps: dict[str, float],
 
     groups: ``group, source, weights, tokens``. A step is one aggregation over the groups; the gradient of a source is
     scaled by the tokens it holds, and its mean over a source is taken off, so that a step keeps the tokens each source
-    has by label; what the bounds then change there is made good by a factor in the next step. Sources without a target
-    are not used. A source whose cap keeps it short stays at the cap.
+    has by label; what the bounds change there is made good in the next step, and at the end until it fits. Sources
+    without a target are not used. A source whose cap keeps it short stays at the cap.
     """
 
     def value(of: Column, values: dict[str, float]) -> Column:
@@ -88,16 +88,22 @@ def rates(groups: DataFrame, targets: dict[str, float], caps: dict[str, float],
     state = state.withColumn("rate", F.least("cap", value(F.col("source"), {s: targets[s] / max(n, 1e-9) for s, n in own.items()})))
     size = max(sum(t * t for t in targets.values()), 1e-9)
     last, settled, error, turn = np.inf, False, 0.0, 0
-    for turn in range(1, rounds + 1):
+
+    def totals() -> tuple[dict[str, float], dict[str, float]]:
+        """What the rates use of each source, by label and by posteriors."""
         sums = state.select("tokens", "rate", F.explode("parts").alias("x")).groupBy("x.by", "x.name").agg(F.sum(F.col("tokens") * F.col("x.weight") * F.col("rate")).alias("n")).collect()
-        label = {r["name"]: r["n"] for r in sums if r["by"] == "label"}
-        reached = {r["name"]: r["n"] for r in sums if r["by"] == "posterior"}
+        return tuple({r["name"]: r["n"] for r in sums if r["by"] == by} for by in ("label", "posterior"))
+
+    def missing(label: dict[str, float]) -> dict[str, float]:
+        """By how much the rates of each source must rise to use what they should by label, bounds aside."""
+        return {s: (targets[s] - label.get(s, 0.0)) / max(n, 1e-9) for s, n in own.items()}
+
+    within = lambda rate: F.greatest(F.lit(0.0), F.least("cap", rate))
+    for turn in range(1, rounds + 1):
+        label, reached = totals()
         error = (sum((reached.get(s, 0.0) - t) ** 2 for s, t in targets.items()) / size) ** 0.5
         settled = abs(last - error) <= 1e-3  # of the targets
-        factor = {s: targets[s] / n for s, n in label.items() if n > 0}
-        scaled = F.least("cap", F.col("rate") * value(F.col("source"), factor))
         if settled:
-            state = state.withColumn("rate", scaled)
             break
         last = error
         gradient = {s: (reached.get(s, 0.0) - targets.get(s, 0.0)) / max(held[s], 1e-9) for s in held}
@@ -105,8 +111,17 @@ def rates(groups: DataFrame, targets: dict[str, float], caps: dict[str, float],
         for r in crossed:
             mean[r["source"]] += r["n"] * gradient[r["name"]] / max(own[r["source"]], 1e-9)
         slope = F.aggregate(F.map_entries("weights"), F.lit(0.0), lambda a, e: a + e["value"] * value(e["key"], gradient))
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.least("cap", scaled - step * (slope - value(F.col("source"), mean)))))
+        state = state.withColumn("rate", within(F.col("rate") + value(F.col("source"), missing(label)) - step * (slope - value(F.col("source"), mean))))
         state = cut(state) if turn % 5 == 0 else state
+    state = cut(state)
+    for again in range(rounds):  # onto the rates that give each source its share by label, or its cap
+        label, reached = totals()
+        rise = missing(label)
+        if all(abs(d) <= 1e-3 * targets[s] / max(own[s], 1e-9) or (d > 0 and label.get(s, 0.0) >= caps.get(s, 0.0) * own[s] * (1 - 1e-6)) for s, d in rise.items()):
+            break
+        state = state.withColumn("rate", within(F.col("rate") + value(F.col("source"), rise)))
+        state = cut(state) if again % 5 == 4 else state
+    error = (sum((reached.get(s, 0.0) - t) ** 2 for s, t in targets.items()) / size) ** 0.5
     return Rates(cut(state.select("group", "rate")), settled, turn, float(error))
 
 

@@ -45,7 +45,12 @@ NO_LETTERS = bytes(x for x in range(256) if not 97 <= x <= 122)
 LINE_MARKS = tuple("-\xad¬‐‑–")
 LINE_HYPHEN = re.compile(r"([^\W_]\S*?)([-\xad¬‐‑–])\s*$")
 SPACED_LETTERS = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){4,}[^\W\d_](?![^\W_])")
-TRIPLED = re.compile(r"([A-ZÀ-Þ])\1\1(?:([A-ZÀ-Þ])\2\2)+")
+TRIPLED = re.compile(r"([A-ZÀ-Þ])\1\1(?:([A-ZÀ-Þ])\2\2)+(?:([.,;:])\3\3)?")
+SPACED_WORD = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])(?: (?=[.,;:]))?")
+#: Words of one letter.
+ONE_LETTER = frozenset("aeoyuéàè")
+LOST_GLYPH = re.compile(r"(?:[^\W\d_]|\(cid:\d+\))*\(cid:\d+\)(?:[^\W\d_]|\(cid:\d+\))*")
+CID = re.compile(r"\(cid:\d+\)")
 #: One class leads, which is searched fast; what it finds is then looked at closer.
 BAD_EXTRACTION = re.compile(
     r"[ﬀ-ﬆı\ue000-\uf8ff´¨˜~0-9!|(](?:(?<=[ﬀ-ﬆı\ue000-\uf8ff])|(?<=[´¨˜~])(?:[^\W\d_]|(?<=[^\W\d_].))|(?<=[^\W\d_][0-9!|])[^\W\d_]|(?<=[a-zà-ÿ]{2}0)(?!\w)|(?<=\()cid:\d+\))"
@@ -183,6 +188,14 @@ class Speller:
         found = [w for x in plain if (w := self.spelled.get(x)) and (len(word) == 3 or (not word.startswith("1") and (before, w) in self.bigrams))]
         return max(found, key=lambda w: (self.bigrams.get((before, w), 0), self.counts[bare(w)]), default=None)
 
+    def complete(self, parts: list[str], before: str = "") -> str | None:
+        """The trusted word whose letters are those of ``parts`` with one unknown letter between each two; None without one."""
+        known = [bare(p.lower()) for p in parts]
+        form = re.compile(".".join(map(re.escape, known)))
+        found = {m for short in self._deletes("".join(known)) for m in self.index.get(short, ()) if form.fullmatch(m)} if len(parts) < 4 else set()
+        best = max(found, key=lambda m: (self.bigrams.get((before, self.spelled[m]), 0), self.counts[m]), default=None)
+        return best and (self.spelled[best].capitalize() if parts[0][:1].isupper() else self.spelled[best])
+
     def correct(self, word: str, before: str = "") -> str | None:
         """The trusted word meant, by cost, then how often it follows ``before``, then its count; None if there is none."""
         found = self.candidates(word)
@@ -321,10 +334,11 @@ def repair(text: str, trusted: dict[str, int], speller: Speller, compounds: froz
         flat = flat[:a] + fixed + flat[b:]
     if not rebuild:
         return kinds, ""
-    flat = SPACED_LETTERS.sub(lambda m: m[0].replace(" ", ""), flat)
-    flat = TRIPLED.sub(lambda m: m[0][::3].lower(), flat)
-    flat = unicodedata.normalize("NFKC", re.sub(r"[´¨˜] ?([^\W\d_])|([^\W\d_])([´¨˜~])", _accent, flat)) if BAD_EXTRACTION.search(flat) else flat
-    flat = DIGIT_WORD.sub(lambda m: speller.correct(m[0], _word_before(m)) or m[0], flat)
+    flat = SPACED_WORD.sub(lambda m: _closed(m[0], speller), flat)
+    flat = TRIPLED.sub(lambda m: _single(m[0][::3], speller), flat)
+    flat = unicodedata.normalize("NFKC", MARK_BESIDE.sub(_accent, flat)) if BAD_EXTRACTION.search(flat) else flat
+    flat = DIGIT_WORD.sub(lambda m: speller.correct(m[0], _word_before(m)) or BETWEEN_LETTERS.sub("o", m[0]), flat)
+    flat = LOST_GLYPH.sub(lambda m: speller.complete(CID.split(m[0]), _word_before(m)) or m[0], flat) if "(cid:" in flat else flat
     return kinds, _paragraphs(flat.split("\n"))
 
 
@@ -334,11 +348,41 @@ def _word_before(m: re.Match) -> str:
     return before[-1].lower() if before else ""
 
 
+#: A lone mark with the letters beside it: it goes to the letter after it where that is a dotless i, or where the one before cannot bear it.
+MARK_BESIDE = re.compile(r"([^\W\d_]?)([´¨˜~]) ?([^\W\d_]?)")
+BEARERS = {"´": "aeiouyı", "¨": "aeiouyı", "˜": "aon", "~": "aon"}
+BETWEEN_LETTERS = re.compile(r"(?<=[^\W\d_])0(?=[^\W\d_])")
+
+
 def _accent(m: re.Match) -> str:
     """A letter with the accent that stands beside it."""
-    mark = {"´": "́", "¨": "̈", "˜": "̃", "~": "̃"}
-    letter, sign = (m[1], m[0][0]) if m[1] else (m[2], m[3])
-    return unicodedata.normalize("NFC", letter.replace("ı", "i") + mark[sign])
+    before, sign, after = m[1], m[2], m[3]
+    may = lambda c: bool(c) and c.lower() in BEARERS[sign]
+    mark = {"´": "\u0301", "¨": "\u0308", "˜": "\u0303", "~": "\u0303"}[sign]
+    with_mark = lambda c: unicodedata.normalize("NFC", c.replace("ı", "i") + mark)
+    if may(after) and (after == "ı" or not may(before)):
+        return before + with_mark(after)
+    if may(before):
+        return with_mark(before) + m[0][len(before) + 1 :]
+    return m[0]
+
+
+def _closed(spaced: str, speller: Speller) -> str:
+    """A word whose letters stand apart, closed up; a one-letter word at its side stays one. Few letters that make no known word stay apart."""
+    word = spaced.replace(" ", "")
+    if speller.knows(word.lower()):
+        return word
+    if word[0].lower() in ONE_LETTER and speller.knows(word[1:].lower()):
+        return f"{word[0]} {word[1:]}"
+    if word[-1] in ONE_LETTER and speller.knows(word[:-1].lower()):
+        return f"{word[:-1]} {word[-1]}"
+    return word if len(word) > 4 else spaced
+
+
+def _single(word: str, speller: Speller) -> str:
+    """A word of tripled capitals as it was: small if it is known, else a name."""
+    low = word.lower()
+    return low if speller.knows(low.rstrip(".,;:")) else low.capitalize()
 
 
 def _paragraphs(lines: list[str]) -> str:

@@ -267,3 +267,15 @@ def test_text_in_another_language_is_other(spark):
     model = language.train(spark.createDataFrame([(k, t) for k, t in TEXTS.items()], "lang string, text string"))
     told = language.segment_batch(["Отчёт описывает развитие города с девятнадцатого века. Большинство домов восстановлено.", "Większość przyrządów odbudowywano później; wszędzie żądają źródeł.", "1234 - !"], model)
     assert [[x[0] for x in t] for t in told] == [["other"], ["other"], []]
+
+
+def test_letters_apart_tripled_marked_or_lost_are_had_back():
+    known = {w: 9 for w in "menos casa depende para guía señal intensidad radiación galáxia".split()}
+    speller = scans.Speller(known, {("de", "depende"): 5})
+    fix = lambda t: scans.repair(t, known, speller, frozenset())[1]
+    assert fix("con m e n o s intensidad p a r a la c a s a .") == "con menos intensidad para la casa."
+    assert fix("la x y z señal") == "la x y z señal"  # letters that make no word stay apart
+    assert fix("RRRAAADDDIIIAAACCCIIIÓÓÓNNN,,, de RRROOODDDIII") == "radiación, de Rodi"
+    assert fix("la gu´ıa y se~nal, observ´es") == "la guía y señal, observés"
+    assert fix("la de(cid:12)ende y ra(cid:9)iación x(cid:1)qq") == "la depende y radiación x(cid:1)qq"
+    assert fix("a g a l á x i a en Endr0za") == "a galáxia en Endroza"
