@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from acervo.functions import text as T
+from acervo.sources import cut
 
 PAIR = ["run_no", "system", "id", "doc_type", "field", "pred", "pred_is_list", "truth", "truth_is_list"]
 
@@ -105,6 +106,30 @@ def breakdown(pairs: DataFrame, system: str = "system", field: str = "field", tr
     return rows.groupBy(system, field).agg(F.count_if(~p & ~t).alias("null_match"), F.count_if(~p & t).alias("null_mismatch"), F.count_if(p & t & m).alias("ok_match"), F.count_if(p & t & ~m).alias("wrong"))
 
 
+def metric_rows(pairs: DataFrame, by: str | None = None) -> DataFrame:
+    """``system, [by,] field, metric, value``: accuracy and F1 of every field and of all together ("(all)": records right in
+    every field, F1 over all pairs), and the mean list match of fields whose truth is a list. One pass over the pairs."""
+    none = F.array().cast("array<string>")
+    a, b = (F.array_distinct(keys(F.coalesce(c, none))) for c in ("pred", "truth"))
+    rows = with_match(pairs).select("system", "run_no", "id", *([by] if by else []), "field", "match", "has_pred", "has_truth", "truth_is_list", jaccard(a, b).alias("j"))
+    group = ["system", *([by] if by else [])]
+    p, t, m = F.col("has_pred"), F.col("has_truth"), F.col("match")
+    counts = [F.count("*").alias("n"), F.count_if(m).alias("right"), F.count_if(p & t & m).alias("tp"), F.count_if(p & ~(t & m)).alias("fp"), F.count_if(t & ~p).alias("fn"), F.avg("j").alias("list"), F.bool_or("truth_is_list").alias("lists")]
+    fields = cut(rows.groupBy(*group, "field").agg(*counts))
+    whole = rows.groupBy(*group, "run_no", "id").agg(F.bool_and("match").alias("ok")).groupBy(*group).agg(F.round(F.count_if("ok") / F.count("*"), 6).alias("value"))
+    f = lambda x: scores(F.col("tp"), F.col("fp"), F.col("fn"))["f1"].alias("value")
+    sums = fields.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    parts = [
+        fields.select(*group, "field", F.lit("accuracy").alias("metric"), F.round(F.col("right") / F.col("n"), 6).alias("value")), whole.select(*group, F.lit("(all)").alias("field"), F.lit("accuracy").alias("metric"), "value"),
+        fields.select(*group, "field", F.lit("f1").alias("metric"), f(fields)), sums.select(*group, F.lit("(all)").alias("field"), F.lit("f1").alias("metric"), f(sums)),
+        fields.where("lists").select(*group, "field", F.lit("list").alias("metric"), F.round("list", 6).alias("value")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def winners(scored: DataFrame, metric: str, order: list[str], system: str = "system", *by: str) -> DataFrame:
     """The best system per group; NULL scores do not count, the system listed first wins ties."""
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(system))

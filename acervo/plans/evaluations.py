@@ -157,14 +157,44 @@ def winners_by_field(spark, sf_dir):
     return E.winners(f1_by_field(spark, sf_dir), "f1", SYSTEMS, "system", "field")
 
 
-@query("win_tally", f"SELECT winner, count(*) AS wins FROM (SELECT field, system AS winner FROM {_SCORED} QUALIFY row_number() OVER (PARTITION BY field ORDER BY f1 DESC, {_ORDER}) = 1) GROUP BY winner")
-def win_tally(spark, sf_dir):
-    return winners_by_field(spark, sf_dir).groupBy("winner").agg(F.count("*").alias("wins"))
+def _rows_sql(by: str = "") -> str:
+    """The rows of metrics; by: "" or a column with a comma after it."""
+    g = f"system, {by}"
+    return f"""(SELECT {g} field, 'accuracy' AS metric, round(count(*) FILTER (m)::DOUBLE / count(*), 6) AS value FROM {MATCHED} GROUP BY {g} field
+        UNION ALL SELECT {g} '(all)', 'accuracy', round(count(*) FILTER (ok)::DOUBLE / count(*), 6) FROM (SELECT {g} run_no, id, bool_and(m) AS ok FROM {MATCHED} GROUP BY {g} run_no, id) GROUP BY {g.rstrip(', ')}
+        UNION ALL SELECT {g} field, 'f1', round(({_F1})::DOUBLE, 6) FROM (SELECT {g} field, {COUNTS} FROM {MATCHED} GROUP BY {g} field) UNION ALL SELECT {g} '(all)', 'f1', round(({_F1})::DOUBLE, 6) FROM (SELECT {g} {COUNTS} FROM {MATCHED} GROUP BY {g.rstrip(', ')})
+        UNION ALL SELECT {g} field, 'list', round(avg({_J}), 6) FROM {_LISTS} GROUP BY {g} field HAVING bool_or(truth_is_list))"""
+
+
+@query("metric_rows", f"SELECT system, field, metric, value FROM {_rows_sql()}")
+def metric_rows(spark, sf_dir):
+    return E.metric_rows(pairs(spark, sf_dir))
 
 
-@query("metric_summary", f"SELECT system, round(avg(f1), 6) AS avg_f1, min(f1) AS min_f1, max(f1) AS max_f1, count(*) AS fields FROM {_SCORED} GROUP BY system")
+@query("metric_rows_by_type", f"SELECT system, doc_type, field, metric, value FROM {_rows_sql('doc_type, ')}")
+def metric_rows_by_type(spark, sf_dir):
+    return E.metric_rows(pairs(spark, sf_dir), "doc_type")
+
+
+@query("metric_summary", f"SELECT system, metric, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count(*) AS n FROM {_rows_sql()} GROUP BY system, metric")
 def metric_summary(spark, sf_dir):
-    return f1_by_field(spark, sf_dir).groupBy("system").agg(F.round(F.avg("f1"), 6).alias("avg_f1"), F.min("f1").alias("min_f1"), F.max("f1").alias("max_f1"), F.count("*").alias("fields"))
+    """Over the rows of metrics, those of all fields together included."""
+    return metric_rows(spark, sf_dir).groupBy("system", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
+
+
+_BY_TYPE = f"(SELECT system, doc_type AS what, metric, round(avg(value), 6) AS value FROM {_rows_sql('doc_type, ')} GROUP BY system, doc_type, metric)"
+
+
+@query(
+    "win_tally",
+    f"""SELECT system AS winner, count(*) AS wins FROM (SELECT * FROM (SELECT system, field AS what, metric, value FROM {_rows_sql()} WHERE field <> '(all)' UNION ALL SELECT * FROM {_BY_TYPE})
+        QUALIFY row_number() OVER (PARTITION BY what, metric ORDER BY value DESC, {_ORDER}) = 1) GROUP BY system""",
+)
+def win_tally(spark, sf_dir):
+    """Which system is best how often, over fields by three metrics and types by the means of three."""
+    by_field = metric_rows(spark, sf_dir).where("field <> '(all)'").select("system", F.col("field").alias("what"), "metric", "value")
+    by_type = metric_rows_by_type(spark, sf_dir).groupBy("system", F.col("doc_type").alias("what"), "metric").agg(F.round(F.avg("value"), 6).alias("value"))
+    return E.winners(by_field.unionByName(by_type), "value", SYSTEMS, "system", "what", "metric").groupBy("winner").agg(F.count("*").alias("wins"))
 
 
 @query("system_ranking", f"SELECT field, system, f1, row_number() OVER (PARTITION BY field ORDER BY f1 DESC, system) AS place FROM {_SCORED}")

@@ -149,6 +149,14 @@ def corpus_corruption(spark, sf_dir):
     return df.groupBy("doc_type").agg(F.count("*").alias("records"), F.count_if(F.col("cid_count") > 0).alias("with_cid"), F.count_if((F.col("cid_percent") > 5) | (F.col("cid_distinct") > 20)).alias("significant"))
 
 
+@query("corrupted_most", f"SELECT id, n AS cid_count, d AS cid_distinct, round(p, 6) AS cid_percent FROM (SELECT id, len(c)::INT AS n, len(list_distinct(c))::INT AS d, coalesce({_CID}, 0)::DOUBLE AS p FROM (SELECT id, original_text, coalesce(regexp_extract_all(original_text, '\\(cid:[0-9]+\\)'), []) AS c FROM {S.DATASET})) WHERE n > 0 ORDER BY round(p, 6) DESC, id LIMIT 20")
+def corrupted_most(spark, sf_dir):
+    """The twenty records with the largest share of glyph references."""
+    p = T.cid_profile(F.coalesce(F.col("original_text"), F.lit("")))
+    df = dataset(spark, sf_dir, **p).where("cid_count > 0")
+    return df.select("id", "cid_count", "cid_distinct", F.round("cid_percent", 6).alias("cid_percent")).orderBy(F.desc("cid_percent"), "id").limit(20)
+
+
 @query(
     "extraction_scores",
     """SELECT doc_id, round(CASE WHEN length(text) > 0 THEN (length(text) - len(regexp_extract_all(text, '\\(cid:[0-9]+\\)')) - len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')))::DOUBLE / length(text) ELSE 0 END, 6) AS score FROM documents""",

@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 from acervo.streaming.incremental import append_new
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV with header, every column STRING, quoted line breaks kept; ``columns`` prunes the scan."""
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8", drop_undecodable: bool = False) -> DataFrame:
+    """A CSV with header, every column STRING, quoted line breaks kept; ``columns`` prunes the scan. Undecodable bytes are
+    the replacement character, or left out with ``drop_undecodable``."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-    return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
+    kept = [F.col(f"`{c}`") for c in columns or df.columns]
+    return df.select(*[F.replace(c, F.lit("\ufffd"), F.lit("")).alias(n) if drop_undecodable else c for c, n in zip(kept, columns or df.columns)])
 
 
 def read_keyed_json(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
@@ -35,11 +37,11 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("id"), "path", F.col("length").alias("bytes"))
 
 
-def allowed(path: Column, suffixes: tuple[str, ...] = (".pdf", ".docx")) -> Column:
-    """Whether a path ends on one of the suffixes, whatever its case."""
+def allowed(path: Column, suffixes: tuple[str, ...] = (".pdf", ".docx"), any_case: bool = True) -> Column:
+    """Whether a path ends on one of the suffixes, whatever its case or, without ``any_case``, as written."""
     out = F.lit(False)
     for s in suffixes:
-        out = out | F.lower(path).endswith(s)
+        out = out | (F.lower(path) if any_case else path).endswith(s)
     return out
 
 

@@ -93,6 +93,25 @@ def test_keyword_section_on_following_lines(spark):
     assert got == [["agua", "suelo cauce"], ["uno", "dos"], ["a", "b"], None, None, ["agua", "suelo"]]
 
 
+@pytest.mark.parametrize(
+    ("text", "abstract"),
+    [
+        ("Abstract\nThe river.\n\nResumen\nEl río crece.\n1. Introducción\nno", "El río crece."), ("Resumen .......... 12\nResumen\nLa cuenca.", "La cuenca."), ("RESUMEN DE LA OBRA COMPLETA\nResumen: Se mide.\nKeywords: x", "Se mide."),
+        ("Resumen\nviene de antes\nAbstract\nA river.", "A river."), ("Resumen\nFin de frase.\n12\nSigue la frase\nXI\nII acaba.", "Fin de frase. Sigue la fraseXI II acaba."), ("Resumen\nUno.\n\n\nDos.", "Uno."),
+        ("Resumen\nUno.\nhttps://x.y\nDos.\n2 Objetivos\nno", "Uno. Dos."), ("nada", None), (None, None), ("", None),
+    ],
+)
+def test_abstract_of(text, abstract):
+    assert P.abstract_of(text) == abstract
+
+
+def test_keyphrases_prefer_phrases_of_two_words(spark):
+    df = spark.createDataFrame([(1, "napa profunda y napa profunda con napa; nivel, nivel, niveles, niveles"), (2, None)], "id int, text string")
+    vocab = spark.createDataFrame([("napa", "profunda")], "a string, b string")
+    got = [r["phrase"] for r in P.keyphrases(df, "id", "text", vocab).orderBy("rank").collect()]
+    assert got == ["napa profunda", "nivel"]  # no "napa", no "niveles"
+
+
 def test_ngrams_within_rows(spark):
     df = spark.createDataFrame([(1, "alfa beta gamma"), (2, "alfa"), (3, None), (4, "")], "id int, text string")
     got = df.where("id = 1").select(P.grams(P.kept_words(F.col("text")), 2), P.grams(P.kept_words(F.col("text")), 3), P.grams(P.kept_words(F.col("text")), 4)).first()
