@@ -124,6 +124,16 @@ def before_authority(c: Column) -> Column:
     return F.when(c.contains("::"), F.trim(F.split_part(c, F.lit("::"), F.lit(1)))).otherwise(c)
 
 
+def split_pipe(c: Column) -> Column:
+    """The values of a field joined by ``||``, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(c, r"\|\|"), lambda v: F.trim(v)), lambda v: v != "")
+
+
+def joined_values(c: Column) -> Column:
+    """The values of a field joined by ``||`` without their authorities, joined by ", "."""
+    return F.array_join(F.transform(F.split(c, r"\|\|"), before_authority), ", ")
+
+
 def handle_id(c: Column) -> Column:
     """The handle of the first URI as an id (``90871/12`` is ``90871-12``); NULL without one."""
     return F.replace(F.get(F.split(F.split_part(c, F.lit("||"), F.lit(1)), "handle/"), F.lit(1)), F.lit("/"), F.lit("-"))

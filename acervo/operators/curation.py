@@ -123,9 +123,20 @@ def update_by_key(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in shared else F.col(c) for c in df.columns])
 
 
+#: The fields that the general prompt asks for, and those that no prompt does.
+GENERAL_FIELDS = ("language", "title", "subtitle", "creator", "rights", "rightsurl", "date_issued", "originplaceinfo")
+UNASKED_FIELDS = ("doc_type", "type", "dc_type", "original_text", "keywords", "dc_uri", "sedici_uri", "abstract", "subject", "isrelatedwith")
+
+
 def training_pairs(df: DataFrame, key: str, doc_type: str, prompts: dict[str, str], unknown: str = "General") -> DataFrame:
-    """Two rows per record: the general prompt and that of its type (that of ``unknown`` for a type without one)."""
+    """``key, kind, prompt, output``, two rows per record: the general prompt with the general fields, and that of its type
+    (that of ``unknown`` for a type without one) with all fields but those unasked, as JSON with NULLs kept."""
     general = F.lit(prompts["General"])
     typed = F.coalesce(F.create_map(*[F.lit(x) for kv in prompts.items() for x in kv])[F.col(doc_type)], F.lit(prompts[unknown]))
-    two = F.array(F.struct(F.lit("General").alias("kind"), general.alias("prompt")), F.struct(F.lit("typed").alias("kind"), typed.alias("prompt")))
-    return df.select(key, F.explode(two).alias("x")).select(key, "x.kind", "x.prompt")
+    output = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) if columns else F.lit("{}")
+    few = [c for c in df.columns if c.lower() in GENERAL_FIELDS]
+    every = [c for c in df.columns if c.lower() not in UNASKED_FIELDS]
+    two = F.array(
+        F.struct(F.lit("General").alias("kind"), general.alias("prompt"), output(few).alias("output")), F.struct(F.lit("typed").alias("kind"), typed.alias("prompt"), output(every).alias("output"))
+    )
+    return df.select(F.col(key), F.explode(two).alias("x")).select(key, "x.kind", "x.prompt", "x.output")

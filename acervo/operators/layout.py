@@ -131,3 +131,32 @@ def image_profile(images: DataFrame, dpi: float = 150.0) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("images"), F.count_if("full").alias("page_sized"), F.count_if(~F.col("full") & (F.col("n") == 1)).alias("kept"))
 
 
+def long_document_vote(pages: DataFrame, long: int = 50) -> DataFrame:
+    """``doc_id, pages, two_columns`` of ``doc_id, page_no, words, two_columns``: a vote of all first five pages, but in documents of
+    more than ``long`` pages of which two or more of these have fewer than 25 words, of the others alone, if there are any."""
+    first = F.col("page_no") <= 5
+    full = first & (F.col("words") >= 25)
+    sums = pages.groupBy("doc_id").agg(F.max("page_no").alias("last"), F.count_if(first).alias("n"), F.count_if(first & F.col("two_columns")).alias("yes"), F.count_if(full).alias("n_full"), F.count_if(full & F.col("two_columns")).alias("yes_full"))
+    apart = (F.col("last") > long) & (F.col("n") - F.col("n_full") >= 2) & (F.col("n_full") > 0)
+    n, yes = F.when(apart, F.col("n_full")).otherwise(F.col("n")), F.when(apart, F.col("yes_full")).otherwise(F.col("yes"))
+    return sums.select("doc_id", n.alias("pages"), F.when(n <= 2, yes >= 1).otherwise(yes / n > 0.6).alias("two_columns"))
+
+
+def image_verdict(images: DataFrame) -> DataFrame:
+    """Adds ``coverage`` (percent of the page) and ``verdict`` to ``w, h, page_w, page_h, tag`` in points: full pages, artifacts and small
+    images are skipped, figures and other images that are not large processed, the rest uncertain."""
+    coverage = F.col("w") * F.col("h") / (F.col("page_w") * F.col("page_h")) * 100
+    tag = F.coalesce("tag", F.lit(""))
+    large = (F.col("w") > 0.6 * F.col("page_w")) | (F.col("h") > 0.6 * F.col("page_h"))
+    verdict = F.when(coverage > 80, "full page").when(tag == "Artifact", "artifact").when((F.col("w") < 100) | (F.col("h") < 50), "small").when(tag == "Figure", "figure").when(~large, "content").otherwise("uncertain")
+    return images.withColumn("coverage", coverage).withColumn("verdict", verdict)
+
+
+#: What in a list of fonts goes with text that cannot be read.
+SUSPICIOUS_FONTS = ("+ArialNarrow", "ArialNarrow,Italic", "ArialNarrow", "Identity-H", "TimesNewRomanPSMT-Identity-H", "{'basefont': '', 'type': 'Type3'", "'type': 'Type3', 'encoding': 'F")
+
+
+def suspicious_fonts(fonts: Column) -> Column:
+    """Which of SUSPICIOUS_FONTS an ARRAY<STRING> of fonts holds; NULL lists and fonts hold none."""
+    given = F.coalesce(fonts, F.array().cast("array<string>"))
+    return F.filter(F.array(*[F.lit(x) for x in SUSPICIOUS_FONTS]), lambda p: F.exists(given, lambda f: F.coalesce(f.contains(p), F.lit(False))))

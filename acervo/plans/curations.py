@@ -201,6 +201,23 @@ def timing_spread(spark, sf_dir):
     return _times(spark, sf_dir).groupBy("doc_type").agg(F.round(F.avg("with_tags_s"), 4).alias("mean"), F.round(F.stddev_samp("with_tags_s"), 4).alias("sd"), F.round(F.sum("with_tags_s"), 2).alias("total"), F.count_if(F.col("with_tags_s") > 45).alias("slow"))
 
 
+@query(
+    "pipe_values",
+    """SELECT DISTINCT sedici_creator_person AS raw, list_filter(list_transform(string_split(sedici_creator_person, '||'), lambda v: trim(v)), lambda v: v <> '') AS vals,
+        array_to_string(list_transform(string_split(sedici_creator_person, '||'), lambda v: CASE WHEN contains(v, '::') THEN trim(split_part(v, '::', 1)) ELSE v END), ', ') AS joined FROM repository_export WHERE sedici_creator_person IS NOT NULL""",
+)
+def pipe_values(spark, sf_dir):
+    raw = read_table(spark, sf_dir, "repository_export", ["sedici_creator_person"]).where("sedici_creator_person is not null").distinct()
+    c = F.col("sedici_creator_person")
+    return raw.select(c.alias("raw"), T.split_pipe(c).alias("vals"), T.joined_values(c).alias("joined"))
+
+
+@query("real_keywords", f"SELECT id, CASE WHEN len(keywords.real) > 0 THEN keywords.real END AS keywords FROM {S.DATASET}")
+def real_keywords(spark, sf_dir):
+    """The list of real keywords in place of the pair of lists; an empty one is NULL."""
+    return dataset(spark, sf_dir, "keywords").select("id", F.when(F.size("keywords.real") > 0, F.col("keywords.real")).alias("keywords"))
+
+
 @query("compare_sides", f"SELECT CASE WHEN a.h IS NULL THEN 'only dataset' WHEN b.h IS NULL THEN 'only export' WHEN a.h = b.h THEN 'same' ELSE 'differs' END AS outcome, count(*) AS ids FROM (SELECT id, sha256(coalesce(title, '')) AS h FROM {CURATED} WHERE id IS NOT NULL) a FULL JOIN (SELECT id, sha256(coalesce(title, '')) AS h FROM {S.DATASET}) b USING (id) GROUP BY 1")
 def compare_sides(spark, sf_dir):
     h = F.sha2(F.coalesce("title", F.lit("")), 256)
@@ -271,17 +288,25 @@ def type_spellings(spark, sf_dir):
     return dataset(spark, sf_dir, "doc_type").groupBy("doc_type", kind.alias("kind"), T.type_name(F.col("doc_type")).alias("named"), shown.alias("shown")).agg(F.count("*").alias("n"))
 
 
-@query("training_pairs", f"SELECT id, kind, CASE WHEN kind = 'General' THEN 'extract all' WHEN doc_type = 'Tesis' THEN 'extract thesis' WHEN doc_type = 'Libro' THEN 'extract book' ELSE 'extract all' END AS prompt FROM {S.DATASET}, (SELECT unnest(['General', 'typed']) AS kind)")
+_PROMPTS = {"General": "extract all", "Tesis": "extract thesis", "Libro": "extract book"}
+_ASKED = ["id", "doc_type", "language", "subject", "title", "creator", "date_issued", "issn", "abstract", "rights"]
+_FEW, _EVERY = (f"json_object({', '.join(f'{S.q(c)}, {c}' for c in cols)})::VARCHAR" for cols in (("language", "title", "creator", "date_issued", "rights"), ("id", "language", "title", "creator", "date_issued", "issn", "rights")))
+
+
+def _pairs_sql(unknown: str) -> str:
+    typed = f"CASE doc_type WHEN 'Tesis' THEN 'extract thesis' WHEN 'Libro' THEN 'extract book' ELSE '{unknown}' END"
+    return f"SELECT id, kind, CASE WHEN kind = 'General' THEN 'extract all' ELSE {typed} END AS prompt, CASE WHEN kind = 'General' THEN {_FEW} ELSE {_EVERY} END AS output FROM {S.DATASET}, (SELECT unnest(['General', 'typed']) AS kind)"
+
+
+@query("training_pairs", _pairs_sql("extract all"))
 def training_pairs(spark, sf_dir):
-    prompts = {"General": "extract all", "Tesis": "extract thesis", "Libro": "extract book"}
-    return C.training_pairs(dataset(spark, sf_dir, "doc_type"), "id", "doc_type", prompts)
+    return C.training_pairs(dataset(spark, sf_dir, *_ASKED[1:]).select(*_ASKED), "id", "doc_type", _PROMPTS)
 
 
-@query("training_pairs_book", f"SELECT id, kind, CASE WHEN kind = 'General' THEN 'extract all' WHEN doc_type = 'Tesis' THEN 'extract thesis' ELSE 'extract book' END AS prompt FROM {S.DATASET}, (SELECT unnest(['General', 'typed']) AS kind)")
+@query("training_pairs_book", _pairs_sql("extract book"))
 def training_pairs_book(spark, sf_dir):
     """With the book's prompt for a type without one, as the training set has it."""
-    prompts = {"General": "extract all", "Tesis": "extract thesis", "Libro": "extract book"}
-    return C.training_pairs(dataset(spark, sf_dir, "doc_type"), "id", "doc_type", prompts, unknown="Libro")
+    return C.training_pairs(dataset(spark, sf_dir, *_ASKED[1:]).select(*_ASKED), "id", "doc_type", _PROMPTS, unknown="Libro")
 
 
 @query("class_weights", f"SELECT doc_type, round(count(*) OVER_ALL / (4.0 * count(*)), 6) AS weight FROM {S.DATASET} GROUP BY doc_type".replace("count(*) OVER_ALL", "(sum(count(*)) OVER ())::DOUBLE"))

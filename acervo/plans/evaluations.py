@@ -197,6 +197,13 @@ def win_tally(spark, sf_dir):
     return E.winners(by_field.unionByName(by_type), "value", SYSTEMS, "system", "what", "metric").groupBy("winner").agg(F.count("*").alias("wins"))
 
 
+@query("report_lines", f"SELECT field, metric, string_agg(format('{{:<14}} {{:10.6f}}', system, value), ' | ' ORDER BY system) AS line FROM {_rows_sql()} GROUP BY field, metric")
+def report_lines(spark, sf_dir):
+    """The report as text: a line per field and metric with every system's value."""
+    cells = metric_rows(spark, sf_dir).select("field", "metric", F.struct("system", F.format_string("%-14s %10.6f", "system", "value").alias("cell")).alias("x"))
+    return cells.groupBy("field", "metric").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["cell"]), " | ").alias("line"))
+
+
 @query("system_ranking", f"SELECT field, system, f1, row_number() OVER (PARTITION BY field ORDER BY f1 DESC, system) AS place FROM {_SCORED}")
 def system_ranking(spark, sf_dir):
     return f1_by_field(spark, sf_dir).select("field", "system", "f1", F.row_number().over(W.partitionBy("field").orderBy(F.desc("f1"), "system")).alias("place"))

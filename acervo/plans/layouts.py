@@ -82,6 +82,46 @@ def column_votes(spark, sf_dir):
     return L.document_vote(page_columns(spark, sf_dir))
 
 
+@query(
+    "column_votes_long",
+    f"""SELECT doc_id, n AS pages, CASE WHEN n <= 2 THEN yes >= 1 ELSE yes::DOUBLE / n > 0.6 END AS two_columns FROM (SELECT doc_id, CASE WHEN apart THEN nf ELSE na END AS n, CASE WHEN apart THEN yf ELSE ya END AS yes FROM (SELECT *, nf > 0 AND last > 50 AND na - nf >= 2 AS apart
+        FROM (SELECT doc_id, max(page_no) AS last, count(*) FILTER (page_no <= 5) AS na, count(*) FILTER (page_no <= 5 AND two_columns) AS ya, count(*) FILTER (page_no <= 5 AND words >= 25) AS nf, count(*) FILTER (page_no <= 5 AND words >= 25 AND two_columns) AS yf FROM {PAGES} GROUP BY doc_id)))""",
+)
+def column_votes_long(spark, sf_dir):
+    return L.long_document_vote(page_columns(spark, sf_dir))
+
+
+@query(
+    "image_verdicts",
+    """SELECT verdict, count(*) AS images, round(avg(w * h / 480000.0 * 100), 6) AS coverage FROM (SELECT *, CASE WHEN w * h / 480000.0 * 100 > 80 THEN 'full page' WHEN tag = 'Artifact' THEN 'artifact' WHEN w < 100 OR h < 50 THEN 'small' WHEN tag = 'Figure' THEN 'figure'
+        WHEN NOT (w > 360 OR h > 480) THEN 'content' ELSE 'uncertain' END AS verdict FROM (SELECT (50 + (doc_id * 7 + i * 331) % 5 * 137)::DOUBLE AS w, (30 + (doc_id * 3 + i * 127) % 4 * 257)::DOUBLE AS h, CASE (doc_id + i) % 4 WHEN 0 THEN 'Artifact' WHEN 1 THEN 'Figure' END AS tag
+        FROM documents, (SELECT unnest(range(0, 6)) AS i))) GROUP BY verdict""",
+)
+def image_verdicts(spark, sf_dir):
+    i, d = F.col("i"), F.col("doc_id")
+    images = read_table(spark, sf_dir, "documents", ["doc_id"]).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select(
+        (50 + (d * 7 + i * 331) % 5 * 137).cast("double").alias("w"), (30 + (d * 3 + i * 127) % 4 * 257).cast("double").alias("h"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"),
+        F.when((d + i) % 4 == 0, "Artifact").when((d + i) % 4 == 1, "Figure").alias("tag"),
+    )
+    return L.image_verdict(images).groupBy("verdict").agg(F.count("*").alias("images"), F.round(F.avg("coverage"), 6).alias("coverage"))
+
+
+@query(
+    "font_suspicions",
+    """SELECT doc_id % 5 AS kind, count(*) AS documents, count(*) FILTER (doc_id % 5 IN (1, 2, 3)) AS suspicious, sum(CASE doc_id % 5 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END)::BIGINT AS signs FROM documents GROUP BY 1""",
+)
+def font_suspicions(spark, sf_dir):
+    """Font lists derived by the document's number, sound and suspicious ones."""
+    lists = [["Arial", "Times"], ["ABCDEF+ArialNarrow"], ["TimesNewRomanPSMT-Identity-H", None], ["{'basefont': '', 'type': 'Type3'}"], None]
+    kind = F.col("doc_id") % 5
+    fonts = F.lit(None).cast("array<string>")
+    for k, names in enumerate(lists):
+        if names:
+            fonts = F.when(kind == k, F.array(*[F.lit(n).cast("string") for n in names])).otherwise(fonts)
+    found = read_table(spark, sf_dir, "documents", ["doc_id"]).select(kind.alias("kind"), F.size(L.suspicious_fonts(fonts)).alias("n"))
+    return found.groupBy("kind").agg(F.count("*").alias("documents"), F.count_if(F.col("n") > 0).alias("suspicious"), F.sum("n").alias("signs"))
+
+
 _SPLIT = f"""(SELECT *, CASE WHEN sx IS NULL OR (n >= 2 AND l < sx AND r > sx AND NOT bool_or(coalesce(x0 - prev >= 21 AND sx BETWEEN prev AND x0, false)) OVER (PARTITION BY doc_id, page_no, line)) THEN 0 ELSE ((x0 + x1) / 2 >= sx)::INT END AS col FROM (SELECT *, count(*) OVER p AS n, min(x0) OVER p AS l, max(x1) OVER p AS r,
     lag(x1) OVER (PARTITION BY doc_id, page_no, line ORDER BY x0, seq) AS prev FROM (SELECT w.*, round_even(top / 2, 0) * 2 AS line, CASE WHEN two_columns THEN coalesce(split_x, 300) END AS sx FROM {BOXES} w LEFT JOIN {PAGES} USING (doc_id, page_no) WHERE bottom < 0.94 * page_h)
     WINDOW p AS (PARTITION BY doc_id, page_no, line)))"""

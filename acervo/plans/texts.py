@@ -197,6 +197,20 @@ def licence_check(spark, sf_dir):
     return df.groupBy(F.coalesce("rights", F.lit("")).alias("rights")).agg(F.count("*").alias("records"), F.count_if("held").alias("licensed"))
 
 
+_TRIED = {"rights": "rights <> '' AND regexp_matches(original_text, '(?i)creative\\s*commons|cc[-\\s]*by')"} | {c: f"{c} <> '' AND contains(lower(original_text), lower({c}))" for c in ("rightsurl", "sedici_uri", "dc_uri")}
+
+
+@query("exact_match_tally", f"SELECT field, count(*) FILTER (held) AS ok, count(*) FILTER (NOT held) AS failed, round(100.0::DOUBLE * count(*) FILTER (NOT held) / count(*), 6) AS failed_percent FROM ({' UNION ALL '.join(f"SELECT '{k}' AS field, coalesce({v}, false) AS held FROM {S.DATASET}" for k, v in _TRIED.items())}) GROUP BY field")
+def exact_match_tally(spark, sf_dir):
+    """Of each field that must stand in the text, in how many records it does."""
+    t = F.lower("original_text")
+    held = {"rights": T.licence_holds(F.col("rights"), F.col("original_text"))} | {c: F.coalesce((F.col(c) != "") & t.contains(F.lower(c)), F.lit(False)) for c in ("rightsurl", "sedici_uri", "dc_uri")}
+    rows = dataset(spark, sf_dir, **{f"h_{k}": v for k, v in held.items()})
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"h_{k}").alias("held")) for k in held])).alias("x")).select("x.*")
+    failed = F.count_if(~F.col("held"))
+    return long.groupBy("field").agg(F.count_if("held").alias("ok"), failed.alias("failed"), F.round(100.0 * failed / F.count("*"), 6).alias("failed_percent"))
+
+
 @query("licences_named", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 3 = 1 THEN doc_id % 2 = 0 ELSE regexp_matches(text, '(?i)creative\\s*commons|cc[-\\s]*by') END AS held FROM documents WHERE text IS NOT NULL""")
 def licences_named(spark, sf_dir):
     """Round trip: a licence is written into two of three texts, in its forms, and stated or not."""
