@@ -57,7 +57,8 @@ def acute_repair(spark, sf_dir):
 
 @query("acute_repair_originals", f"SELECT id, {S.attach_acutes('original_text')} AS fixed FROM {S.DATASET} WHERE contains(original_text, '´')")
 def acute_repair_originals(spark, sf_dir):
-    return dataset(spark, sf_dir, "original_text").where(F.col("original_text").contains("´")).select("id", T.attach_acutes(F.col("original_text")).alias("fixed"))
+    fixed = F.when(F.col("original_text").contains("´"), T.attach_acutes(F.col("original_text")))
+    return dataset(spark, sf_dir, fixed=fixed).where("fixed is not null")
 
 
 @query("accents_stripped", "SELECT DISTINCT title, strip_accents(title) AS bare FROM dataset WHERE title IS NOT NULL")
@@ -103,8 +104,8 @@ def hyphens_joined(spark, sf_dir):
 
 @query("hyphens_joined_originals", f"SELECT id, regexp_replace(original_text, '(\\p{{L}})-[ \\t\\n\\r]+(\\p{{Ll}})', '\\1\\2', 'g') AS joined FROM {S.DATASET} WHERE regexp_matches(original_text, '\\p{{L}}-[ \\t\\n\\r]+\\p{{Ll}}')")
 def hyphens_joined_originals(spark, sf_dir):
-    df = dataset(spark, sf_dir, "original_text").where(F.col("original_text").rlike(r"\p{L}-[ \t\n\r]+\p{Ll}"))
-    return df.select("id", T.join_hyphens(F.col("original_text")).alias("joined"))
+    joined = F.when(F.col("original_text").rlike(r"\p{L}-[ \t\n\r]+\p{Ll}"), T.join_hyphens(F.col("original_text")))
+    return dataset(spark, sf_dir, joined=joined).where("joined is not null")
 
 
 @query(
@@ -135,7 +136,8 @@ def cid_filter_counts(spark, sf_dir):
 
 @query("cid_dropped", f"SELECT id, trim(regexp_replace(regexp_replace(original_text, '\\(cid:[0-9]+\\)', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS clean FROM {S.DATASET} WHERE contains(original_text, '(cid:')")
 def cid_dropped(spark, sf_dir):
-    return dataset(spark, sf_dir, "original_text").where(F.col("original_text").contains("(cid:")).select("id", T.drop_cid(F.col("original_text")).alias("clean"))
+    clean = F.when(F.col("original_text").contains("(cid:"), T.drop_cid(F.col("original_text")))
+    return dataset(spark, sf_dir, clean=clean).where("clean is not null")
 
 
 @query(
