@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from acervo.functions import text as T
+from acervo.functions.stemming import stem_phrase, stemmed
 from acervo.sources import cut
 
 #: Words that carry no subject, in the languages of the corpus.
@@ -53,6 +54,12 @@ def vocabulary(df: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
     return tokens(df, key, text).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct(key).alias("docs")).where(F.col("n") >= least)
 
 
+def stem_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``stem, words, n``: how many words of the corpus, different and in all, have a stem; each different word is stemmed once."""
+    words = tokens(df, key, text).groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy(stemmed(F.col("word")).alias("stem")).agg(F.count("*").alias("words"), F.sum("n").alias("n"))
+
+
 def grams(words: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring words joined by blanks; formed within the row, so no word is shuffled for its neighbour."""
     if n == 1:
@@ -108,7 +115,7 @@ def keyphrases(df: DataFrame, key: str, text: str, vocab: DataFrame, most: int =
     """``key, rank, phrase, score``: phrases of the vocabulary that occur twice or more, by count (two-word ones times 1.7).
 
     Greedy from the best down, the least phrase on ties: a word is replaced by the best phrase of two words that holds it, if
-    there is one, and a phrase equal to or more than ``alike`` similar to one taken is left out.
+    there is one, and a phrase of the same stems as one taken, or more than ``alike`` similar to it, is left out.
     vocab: ``a, b`` as :func:`pmi` gives them; it is limited to its ``top``, so it is safe to send to every task.
     """
     pairs = {(r["a"], r["b"]) for r in vocab.select("a", "b").collect()}
@@ -130,7 +137,7 @@ def keyphrases(df: DataFrame, key: str, text: str, vocab: DataFrame, most: int =
             p = holding.get(p, p)
             if len(taken) == most:
                 break
-            if p not in taken and not any(SequenceMatcher(None, p, q).ratio() > alike for q in taken):
+            if stem_phrase(p) not in map(stem_phrase, taken) and not any(SequenceMatcher(None, p, q).ratio() > alike for q in taken):
                 taken.append(p)
         return [(p, float(scores[p])) for p in taken]
 

@@ -81,6 +81,11 @@ def tfidf_ngrams(spark, sf_dir):
     return P.tfidf(_docs(spark, sf_dir), "doc_id", "text", longest=3, min_df=2, max_df=0.8, features=60000)
 
 
+@query("stem_counts")
+def stem_counts(spark, sf_dir):
+    return P.stem_counts(_docs(spark, sf_dir), "doc_id", "text")
+
+
 @query("keyphrases")
 def keyphrases(spark, sf_dir):
     docs = _docs(spark, sf_dir)
