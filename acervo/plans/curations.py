@@ -201,6 +201,13 @@ def timing_spread(spark, sf_dir):
     return _times(spark, sf_dir).groupBy("doc_type").agg(F.round(F.avg("with_tags_s"), 4).alias("mean"), F.round(F.stddev_samp("with_tags_s"), 4).alias("sd"), F.round(F.sum("with_tags_s"), 2).alias("total"), F.count_if(F.col("with_tags_s") > 45).alias("slow"))
 
 
+@query("combined_titles", "SELECT DISTINCT dc_identifier_uri AS uri, list_filter([dc_title, dc_title_es], lambda x: x IS NOT NULL) AS titles FROM repository_export")
+def combined_titles(spark, sf_dir):
+    """All titles of a row as a list."""
+    df = read_table(spark, sf_dir, "repository_export", ["dc_identifier_uri", "dc_title", "dc_title_es"])
+    return df.select(F.col("dc_identifier_uri").alias("uri"), C.combine_family(df, "dc_title").alias("titles")).distinct()
+
+
 @query(
     "pipe_values",
     """SELECT DISTINCT sedici_creator_person AS raw, list_filter(list_transform(string_split(sedici_creator_person, '||'), lambda v: trim(v)), lambda v: v <> '') AS vals,

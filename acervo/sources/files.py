@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,18 +47,25 @@ def allowed(path: Column, suffixes: tuple[str, ...] = (".pdf", ".docx"), any_cas
     return out
 
 
+def _decoded(b: bytes) -> tuple[str, str]:
+    marks = [(codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")]
+    marked = [name for mark, name in marks if b.startswith(mark)]
+    signs = ["cp1252"] if any(0x80 <= x < 0xA0 for x in b) else []
+    for name in (*marked, "utf-8", *signs):
+        try:
+            return b.decode(name), name
+        except UnicodeDecodeError:
+            continue
+    return b.decode("latin-1"), "latin-1"
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8 where they are well formed, else Latin-1; with the encoding used."""
+    """Bytes as text with the encoding used: by the byte-order mark, else UTF-8 where they are well formed, else Windows-1252
+    where they hold its signs, else Latin-1. NULL gives NULL."""
 
     @F.pandas_udf("text string, encoding string")
     def decode(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in s:
-            try:
-                rows.append((None, None) if b is None else (bytes(b).decode("utf-8"), "utf-8"))
-            except UnicodeDecodeError:
-                rows.append((bytes(b).decode("latin-1"), "latin-1"))
-        return pd.DataFrame(rows, columns=["text", "encoding"])
+        return pd.DataFrame([(None, None) if b is None else _decoded(bytes(b)) for b in s], columns=["text", "encoding"])
 
     return decode(content)
 

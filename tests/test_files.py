@@ -47,3 +47,15 @@ def test_windows(spark, tmp_path):
     q = stream.writeStream.outputMode("append").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["event_type"], r["n"]) for r in spark.table("w").collect()] == [("a", 2)]
+
+
+def test_decoded_by_mark_and_signs(spark):
+    raws = ["año".encode("utf-16"), b"\xef\xbb\xbfuno", "año “x”".encode("cp1252"), "año".encode("latin-1"), "año".encode(), None, b""]
+    rows = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in enumerate(raws)], "i int, b binary").select("i", files.decoded(F.col("b")).alias("d")).orderBy("i").collect()
+    assert [tuple(r["d"]) for r in rows] == [("año", "utf-16"), ("uno", "utf-8-sig"), ("año “x”", "cp1252"), ("año", "latin-1"), ("año", "utf-8"), (None, None), ("", "utf-8")]
+
+
+def test_undecodable_bytes_can_be_dropped(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"k,v\n1,a\xf1o\n")
+    assert files.read_csv(spark, str(tmp_path / "a.csv")).first()["v"] == "a\ufffdo"
+    assert files.read_csv(spark, str(tmp_path / "a.csv"), ["v"], drop_undecodable=True).first()["v"] == "ao"
