@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import codecs
+from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +30,7 @@ def read_keyed_json(spark: SparkSession, path: str, record: T.StructType) -> Dat
 
 
 def read_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
-    """``id, text``: a row per text file, the id from the file's name."""
+    """``id, text``: a row per text file that is not empty, the id from the file's name."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name")).where(F.col("name").endswith(suffix))
     return files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("id"), F.col("value").alias("text"))
 
@@ -80,8 +82,23 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:
-    """The texts as files in one folder per key."""
-    df.select(key, text).write.mode("overwrite").partitionBy(key).text(path)
+    """Each text as a file ``key.txt`` in one folder, signs a file name cannot hold percent-encoded; NULL texts and keys give none.
+
+    Files are written where the rows are and named by their key alone, so a task that runs again writes the same files.
+    """
+    from pyarrow import fs as pa_fs
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, folder = pa_fs.FileSystem.from_uri(path)
+        fs.create_dir(folder, recursive=True)
+        for b in batches:
+            for k, t in zip(b["key"], b["text"]):
+                with fs.open_output_stream(f"{folder}/{quote(k, safe=' ')}.txt") as f:
+                    f.write(t.encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
+    rows.mapInPandas(put, "n long").agg(F.sum("n")).collect()
 
 
 __all__ = ["allowed", "append_new", "decoded", "list_files", "read_csv", "read_keyed_json", "read_texts", "write_csv", "write_json", "write_texts"]

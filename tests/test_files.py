@@ -59,3 +59,12 @@ def test_undecodable_bytes_can_be_dropped(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"k,v\n1,a\xf1o\n")
     assert files.read_csv(spark, str(tmp_path / "a.csv")).first()["v"] == "a\ufffdo"
     assert files.read_csv(spark, str(tmp_path / "a.csv"), ["v"], drop_undecodable=True).first()["v"] == "ao"
+
+
+def test_texts_as_files_of_one_folder(spark, tmp_path):
+    rows = [("90871-1", "uno\ndos"), ("a/b", "z"), ("n", None), (None, "x")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "id string, body string, text string").repartition(3)
+    for _ in range(2):  # written again, nothing changes
+        files.write_texts(df, str(tmp_path / "out"), "id", "body")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["90871-1.txt", "a%2Fb.txt"]
+    assert {r["id"]: r["text"] for r in files.read_texts(spark, str(tmp_path / "out")).collect()} == {"90871-1": "uno\ndos", "a%2Fb": "z"}
