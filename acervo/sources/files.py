@@ -31,7 +31,7 @@ def read_keyed_json(spark: SparkSession, path: str, record: T.StructType) -> Dat
 
 def read_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """``id, text``: a row per text file that is not empty, the id from the file's name."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name")).where(F.col("name").endswith(suffix))
+    files = spark.read.text(path, wholetext=True).select("value", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("name")).where(F.col("name").endswith(suffix))
     return files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("id"), F.col("value").alias("text"))
 
 
