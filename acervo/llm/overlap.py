@@ -290,7 +290,7 @@ class Overlaps:
 
 
 def split_overlaps(
-    df: DataFrame, key: str = "id", text: str = "original_text", split: str = "split", training: str = "training", same: float = 0.27, width: int = 5
+    df: DataFrame, key: str = "id", text: str = "original_text", split: str = "split", training: str = "training", same: float = 0.29, width: int = 5
 ) -> Overlaps:
     """Every training row with every evaluation content whose running text is (nearly) the same.
 

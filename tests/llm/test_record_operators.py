@@ -99,7 +99,7 @@ def test_overlaps_equal_brute_force(spark):
     got = {(r["id_t"], r["id_e"]) for r in overlap.split_overlaps(df).pairs().collect()}
     codes = overlap.Codes()
     sets = {k: (s, set(overlap.shingles(overlap.skeleton(t, {}, codes), 5).tolist())) for k, t, s in rows if t and t.strip() and s}
-    want = {(a, b) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" and u != "training" and a != b and len(x & y) / len(x | y) >= 0.27}
+    want = {(a, b) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" and u != "training" and a != b and len(x & y) / len(x | y) >= 0.29}
     assert got == want and ("x1", "x2") in got and len(want) > 5
     assert overlap.split_overlaps(df.limit(0)).pairs().count() == 0
 
@@ -123,7 +123,7 @@ def test_close_pairs_equal_brute_force_over_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id string, original_text string, split string").repartition(3)
     codes = overlap.Codes()
     sets = {k: (s, set(overlap.shingles(overlap.skeleton(t, {}, codes), 5).tolist())) for k, t, s in rows}
-    want = {(a, b): len(x & y) / len(x | y) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" != u and len(x & y) / len(x | y) >= 0.27}
+    want = {(a, b): len(x & y) / len(x | y) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" != u and len(x & y) / len(x | y) >= 0.29}
     assert {(r["id_t"], r["id_e"]): r["similarity"] for r in overlap.split_overlaps(df).pairs().collect()} == pytest.approx(want) and len(want) > 5
 
 
@@ -136,9 +136,9 @@ def test_close_to_equals_brute_force_on_word_changes():
     codes = overlap.Codes()
     of = lambda t: overlap.shingles(overlap.skeleton(" ".join(t), {}, codes), 5)
     left, right = [of(t) for t in texts], [of(t) for t in changed]
-    held = overlap.Prefixes.build(np.arange(len(left)), left, 0.27)
+    held = overlap.Prefixes.build(np.arange(len(left)), left, 0.29)
     for x, got in zip(right, held.close_to(right)):
-        want = {k: s for k, y in enumerate(left) if (s := len(np.intersect1d(x, y)) / len(np.union1d(x, y))) >= 0.27}
+        want = {k: s for k, y in enumerate(left) if (s := len(np.intersect1d(x, y)) / len(np.union1d(x, y))) >= 0.29}
         assert dict(got) == pytest.approx(want)
 
 
