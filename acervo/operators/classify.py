@@ -52,12 +52,24 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, means: DataFrame, lab
     return told.select(F.col("key").alias(key), "predicted", F.round("score", 6).alias("score"))
 
 
-def nearest_neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
+def nearest_neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096, part: int = 20_000) -> DataFrame:
     """``query, key, rank, score``: the ``k`` rows of largest cosine for each query (itself left out), least key on ties.
 
-    Every row is compared: queries are the stated set, sent to every task in blocks of ``block``; a task keeps its ``k`` best per
-    query, so what is shuffled is queries times tasks times k, never the pairs.
+    Every row is compared with every query. Queries are taken in parts of about ``part``, so what the driver and the tasks hold
+    is bounded however many there are, and within a part in blocks of ``block``; a task keeps its ``k`` best per query, so what is
+    shuffled is queries times tasks times k, never the pairs. Rows and queries with NULL vectors are left out.
     """
+    df, queries = df.where(F.col(vector).isNotNull()), queries.where(F.col(vector).isNotNull())
+    parts = max(1, -(-queries.count() // part))
+    out = None
+    for at in range(parts):
+        found = _nearest(df, queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == at), key, vector, k, block)
+        found = cut(found) if parts > 1 else found  # a part's queries leave the driver before the next are taken
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int) -> DataFrame:
     asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("v")).collect()
     ids = np.array([r["query"] for r in asked])
     q = np.array([r["v"] for r in asked], np.float64).reshape(len(ids), -1)

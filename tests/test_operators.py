@@ -201,6 +201,9 @@ def test_neighbours_equal_brute_force(spark):
         s[q] = -9
         assert [r["id"] for r in got.where(f"query = {q}").orderBy("rank").collect()] == np.argsort(-s)[:4].tolist()
     assert K.vote(got, df, "id", "label").count() == 6
+    parts = K.nearest_neighbours(df, df.where("id % 10 = 0"), "id", "v", 4, part=2)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, got.collect()))
+    assert K.nearest_neighbours(df, df.limit(0), "id", "v", 4).count() == 0
 
 
 def test_report_and_confusion(spark):
