@@ -72,8 +72,8 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str,
 def _nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int) -> DataFrame:
     asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("v")).collect()
     ids = np.array([r["query"] for r in asked])
-    q = np.array([r["v"] for r in asked], np.float64).reshape(len(ids), -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30) if len(ids) else 1
+    q = np.array([r["v"] for r in asked], np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
