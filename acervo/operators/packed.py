@@ -25,7 +25,8 @@ from acervo.sources import cut
 
 QUOTES = {'"': '"', "'": "'", "«": "»", "“": "”"}
 STRONG = re.compile(r"\s*(?:\|\||[|;\n\r\t•·])\s*|\s+/\s+|\s+[–—-]\s+")
-STRONG_OR_COMMA = re.compile(STRONG.pattern + r"|\s*,\s*")
+#: A comma separates unless it stands between two digits, where it belongs to a number ("pH 7,4").
+STRONG_OR_COMMA = re.compile(STRONG.pattern + r"|\s*(?:(?<!\d),|,(?!\d))\s*")
 MARKER = re.compile(r"\(?(\d{1,3})[.)]\s+")
 AUTHORITY = re.compile(r"\s*::\s*\w*\s*$")
 AUTHORITY_AFTER_QUOTE = re.compile(r"::\w*")

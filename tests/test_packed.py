@@ -14,7 +14,7 @@ GIVEN = frozenset("ana luis maría josé".split())
         ("Centro de Física y Química de Sur", True, ["Centro de Física y Química de Sur"]), ("1) Paz, Ana 2) Gil, Luis", True, ["Paz, Ana", "Gil, Luis"]), ("Paz, Ana::1a||Gil, Luis::2b", True, ["Paz, Ana", "Gil, Luis"]),
         ("agua, suelo, roca", False, ["agua", "suelo", "roca"]), ("Agua, historia del", False, ["Agua, historia del"]), ("relación agua/suelo", False, ["relación agua/suelo"]), ("a / b\nc", False, ["a", "b", "c"]),
         ('"a; b"; c', False, ["a; b", "c"]), ('"a; b', False, ['"a', "b"]), ("cuenca (Sur, siglo XX)", False, ["cuenca (Sur, siglo XX)"]), ("(1) a (2) b", False, ["a", "b"]), ("«a» «b»", False, ["a", "b"]),
-        ("a;; ;b;", False, ["a", "b"]), (None, False, []), ("", True, []), ("  ", False, []), ("l'eau, d'or", False, ["l'eau", "d'or"]),
+        ("a;; ;b;", False, ["a", "b"]), ("pH 7,4", False, ["pH 7,4"]), ("pH 7,4, agua, 1,5 m", False, ["pH 7,4", "agua", "1,5 m"]), ("siglo 19, 20", False, ["siglo 19", "20"]), (None, False, []), ("", True, []), ("  ", False, []), ("l'eau, d'or", False, ["l'eau", "d'or"]),
     ],
 )
 def test_grammar(raw, names, values):
