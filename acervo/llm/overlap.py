@@ -9,9 +9,9 @@ once to the shared folder; training texts probe the blocks where they are read,
 from __future__ import annotations
 
 import re
+import tempfile
 import unicodedata
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyarrow import fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,16 @@ for _a, _b in zip(FOLD_FROM, FOLD_TO):
     _TABLE[_a] = _b
 FOLD = bytes(_TABLE)
 REPEATED = re.compile(rb"([a-z])\1+")
-#: Shingles of the evaluation texts that a block of the index holds; a block takes about 16 bytes a shingle.
-BLOCK = 6_000_000
+#: Shingles of the evaluation texts that a block of the index holds; a block takes about 11 bytes a shingle, and 64 MB.
+BLOCK = 24_000_000
+#: Training texts that are held for one reading of the index. Texts whose words are looked up together; texts, meetings and pairs
+#: that are counted together; marks by which a text's shingles are told before they are compared.
+HELD, TEXTS, TOGETHER, MEETINGS, PAIRS, MARKS = 40_000, 2_000, 128, 250_000, 20_000, 8_192
+#: Lists of so many texts are cut to the sizes that count.
+LONG = 64
+#: Fixed value: of the shingles a pair must have in common, this share may lie beyond the prefixes. At 1 one meeting makes a
+#: pair to compare; the less it is, the longer are the prefixes and the more meetings such a pair needs.
+BEYOND = 0.85
 
 
 def fold(text: str) -> bytes:
@@ -110,112 +119,189 @@ def contents(df: DataFrame, trusted: dict[str, int], width: int) -> DataFrame:
 
 
 class Prefixes:
-    """A block of the index: word numbers by rising frequency, and the texts that have each number in their prefix.
+    """A block of the index: texts by rising size, and the texts that have each word in their prefix.
 
-    hashes, number: shingle hash (sorted) -> number; start, owner: number -> texts; at, sets: text -> its numbers in order;
-    ends: the last number of a text's prefix.
+    All shingles of a hash bucket are one word, so no dictionary is needed; words are numbered by rising frequency. Texts have
+    no fewer words in common than shingles, so no pair is lost by it.
+    contents, sizes: the texts; at, sets: text -> its shingles; number: bucket -> word; start, owner: word -> texts.
     """
 
-    FIELDS = ("contents", "hashes", "number", "start", "owner", "at", "sets", "ends")
+    FIELDS = ("contents", "sizes", "at", "sets", "number", "start", "owner")
 
     def __init__(self, same: float, **arrays: np.ndarray):
         self.same, self.part = same, same / (1 + same)
         for name in self.FIELDS:
             setattr(self, name, arrays[name])
-        self.sizes = np.diff(self.at)
-        self.kept = _prefix(self.sizes, same)
-        self.times = np.diff(self.start)
 
     @classmethod
     def build(cls, contents: np.ndarray, sets: list[np.ndarray], same: float) -> Prefixes:
         sizes = np.array([len(x) for x in sets], np.int64)
-        hashes, place, often = np.unique(np.concatenate([*sets, np.empty(0, np.int64)]), return_inverse=True, return_counts=True)
-        number = np.empty(len(hashes), np.int32)
-        number[np.argsort(often, kind="stable")] = np.arange(len(hashes), dtype=np.int32)
-        text = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-        coded = number[place]
-        order = np.lexsort((coded, text))
-        flat = coded[order]
-        at = np.concatenate([[0], np.cumsum(sizes)])
+        order = np.argsort(sizes, kind="stable")
+        return cls.of_sorted(np.asarray(contents)[order], sizes[order], np.concatenate([*(sets[i] for i in order), np.empty(0, np.int64)]), same)
+
+    @classmethod
+    def of_sorted(cls, contents: np.ndarray, sizes: np.ndarray, flat: np.ndarray, same: float) -> Prefixes:
+        """The index of texts by rising size, whose shingles lie one text after another in ``flat``."""
         kept = _prefix(sizes, same)
-        inside = np.arange(len(flat)) - np.repeat(at[:-1], sizes) < np.repeat(kept, sizes)
-        posted = np.argsort(flat[inside], kind="stable")
-        start = np.concatenate([[0], np.cumsum(np.bincount(flat[inside], minlength=len(hashes)))]).astype(np.int32)
-        return cls(same, contents=contents, hashes=hashes, number=number, start=start, owner=text[inside][posted], at=at, sets=flat, ends=flat[at[:-1] + kept - 1])
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        parts = [(k, min(k + TEXTS, len(sizes))) for k in range(0, len(sizes), TEXTS)]
+        counts = np.zeros(1 << min(max(10, len(flat).bit_length()), 23), np.int32)
+        for a, b in parts:
+            np.add.at(counts, _buckets(flat[at[a] : at[b]], counts), 1)
+        number = np.empty(len(counts), np.int32)
+        number[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+        del counts
+        posted = np.empty(kept.sum(), np.int64)
+        done = 0
+        for a, b in parts:
+            words = _sorted_words(flat[at[a] : at[b]], sizes[a:b], number)
+            words = words[_places(sizes[a:b]) < np.repeat(kept[a:b], sizes[a:b])]
+            posted[done : done + len(words)] = words.astype(np.int64) << 32 | np.repeat(np.arange(a, b), kept[a:b])
+            done += len(words)
+        posted.sort()
+        start = np.searchsorted(posted, np.arange(len(number) + 1) << 32).astype(np.int32)
+        return cls(same, contents=contents, sizes=sizes, at=at, sets=flat, number=number, start=start, owner=posted.astype(np.int32))
 
     def save(self, path: str) -> None:
         fs, name = pa_fs.FileSystem.from_uri(path)
-        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
         part = f"{name}.{uuid.uuid4().hex}"  # another attempt of this task may be writing too
-        with fs.open_output_stream(part) as f:
-            np.savez(f, **{x: getattr(self, x) for x in self.FIELDS})
+        fs.create_dir(part, recursive=True)
+        for x in self.FIELDS:
+            with fs.open_output_stream(f"{part}/{x}.npy") as f:
+                np.save(f, getattr(self, x))
         fs.move(part, name)
 
     @classmethod
     def load(cls, path: str, same: float) -> Prefixes:
+        """Files of this machine are mapped, so that what is not asked for is not read."""
         fs, name = pa_fs.FileSystem.from_uri(path)
-        with fs.open_input_file(name) as f, np.load(f) as arrays:
-            return cls(same, **{x: arrays[x] for x in cls.FIELDS})
-
-    def _least(self, m: int) -> np.ndarray:
-        """How many meetings of prefixes each indexed text needs at least to be close to a text of ``m`` shingles."""
-        most = np.maximum(m - int(_prefix(np.array(m), self.same)), self.sizes - self.kept)
-        least = np.maximum(np.ceil(self.part * (m + self.sizes) - most - 1e-9), 1).astype(np.int64)
-        least[(self.sizes < self.same * m - 1e-9) | (m < self.same * self.sizes - 1e-9)] = np.iinfo(np.int64).max
-        return least
+        if isinstance(fs, pa_fs.LocalFileSystem):
+            return cls(same, **{x: np.load(f"{name}/{x}.npy", mmap_mode="r").view(np.ndarray) for x in cls.FIELDS})
+        arrays = {}
+        for x in cls.FIELDS:
+            with fs.open_input_file(f"{name}/{x}.npy") as f:
+                arrays[x] = np.load(f)
+        return cls(same, **arrays)
 
     def close_to(self, sets: list[np.ndarray]) -> list[list[tuple[int, float]]]:
         """For each set of shingles ``content, similarity`` of every indexed text with a Jaccard coefficient of ``same`` or more.
 
-        Such a pair has ``part`` of both sizes together in common, so each side's prefix meets the other's. All meetings of
-        prefixes are counted. What lies beyond the prefix that ends first can add no more than that text has left, so
-        texts with too few meetings, and texts too short or too long, are ruled out; the others are compared in full.
+        Such a pair has ``part`` of both sizes together in common. At most ``BEYOND`` of these lie beyond the prefix of either,
+        so the others are meetings of prefixes, which are counted. The prefix of a text is the shorter the longer the other
+        text is: a word late in it is looked up for short texts alone. Pairs that meet often enough are compared in full.
         """
         out: list[list[tuple[int, float]]] = [[] for _ in sets]
-        if not sets:
-            return out
-        asked, place = np.unique(np.concatenate(sets), return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
-        numbers = np.where(self.hashes[at] == asked, self.number[at], -1)[place]
-        bounds = np.cumsum([0, *map(len, sets)])
-        mark = np.zeros(len(self.hashes), bool)
-        least, size_of_least = None, -1
-        for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-            m = len(sets[i])
-            present = np.sort(numbers[bounds[i] : bounds[i + 1]])
-            present = present[np.searchsorted(present, 0) :]
-            keep = m - int(np.ceil(self.same * m - 1e-9)) + 1
-            take = keep - (m - len(present))  # shingles the index lacks are the rarest
-            if take <= 0:
-                continue
-            prefix = present[:take]
-            n = self.times[prefix]
-            total = int(n.sum())
-            if not total:
-                continue
-            posted = self.owner[np.repeat(self.start[prefix] - (np.cumsum(n) - n), n) + np.arange(total)]
-            met = np.bincount(posted, minlength=len(self.sizes))
-            if m != size_of_least:
-                least, size_of_least = self._least(m), m
-            some = np.flatnonzero(met >= least)
-            size = self.sizes[some]
-            beyond = np.where(prefix[-1] <= self.ends[some], m - keep, size - self.kept[some])
-            fits = met[some] + beyond >= self.part * (m + size) - 1e-9
-            some, size = some[fits], size[fits]
-            if not len(some):
-                continue
-            mark[present] = True
-            ends = np.cumsum(size)
-            shared = np.add.reduceat(mark[self.sets[np.repeat(self.at[some] - (ends - size), size) + np.arange(ends[-1])]], ends - size, dtype=np.int64)
-            mark[present] = False
-            similarity = shared / (m + size - shared)
-            out[i] = [(int(self.contents[k]), float(x)) for k, x in zip(some, similarity) if x >= self.same - 1e-9]
+        order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: len(sets[i]))
+        for k in range(0, len(order), TEXTS):
+            few = order[k : k + TEXTS]
+            for i, content, similarity in self._close([sets[i] for i in few]):
+                out[few[i]].append((content, similarity))
         return out
 
+    def _close(self, sets: list[np.ndarray]) -> Iterator[tuple[int, int, float]]:
+        m = np.array([len(x) for x in sets], np.int64)
+        place, text = _places(m), np.repeat(np.arange(len(m)), m)
+        inside = place < _prefix(m, self.same)[text]
+        word = _sorted_words(np.concatenate(sets), m, self.number)[inside]
+        first, last = self.start[word], self.start[word + 1]
+        some = last > first
+        text, place, first, last = text[inside][some], place[inside][some], first[some], last[some]
+        long = np.flatnonzero(last - first >= LONG)
+        of = text[long]
+        # the word at a place counts for texts of a size at which the prefix reaches it
+        most = np.floor((m[of] - place[long]) / (BEYOND * self.part) - m[of] + 1e-6)
+        longest = np.searchsorted(self.sizes, np.arange(most.max(initial=0) + 1), "right")
+        last[long] = _at_least(self.owner, first[long], last[long], longest[np.maximum(most, 0).astype(np.int64)])
+        many = last - first
+        through = np.cumsum(np.bincount(text, weights=many, minlength=len(m)).astype(np.int64))
+        begin = 0
+        while begin < len(m):
+            end = max(begin + 1, int(np.searchsorted(through, (through[begin - 1] if begin else 0) + MEETINGS, "right")))
+            end = min(end, begin + TOGETHER, begin + (2**31 - 1) // len(self.sizes))
+            a, b = np.searchsorted(text, [begin, end])
+            for i, *found in self._compare(sets[begin:end], m[begin:end], text[a:b] - begin, first[a:b], many[a:b]):
+                yield begin + i, *found
+            begin = end
+
+    def _compare(self, sets: list[np.ndarray], m: np.ndarray, text: np.ndarray, first: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        least = max(1, int(np.ceil((1 - BEYOND) * self.same * m.min() - 1e-6)))  # meetings that any pair here needs
+        total = int(many.sum())
+        if total < least:
+            return
+        met = np.repeat(first - (np.cumsum(many, dtype=np.int64) - many).astype(np.int32), many)
+        met += np.arange(total, dtype=np.int32)
+        met = self.owner[met]
+        met += np.repeat((text * len(self.sizes)).astype(np.int32), many)
+        met.sort()
+        often = met[least - 1 :][met[least - 1 :] == met[: total - least + 1]]
+        often, n = _runs(often)
+        of, held = np.divmod(often.astype(np.int64), len(self.sizes))
+        size = self.sizes[held]
+        common = self.part * (m[of] + size)
+        fits = (n + least - 1 >= (1 - BEYOND) * common - 1e-6) & (size <= m[of] / self.same + 1e-6) & (size >= m[of] * self.same - 1e-6)
+        of, held, size, common = of[fits], held[fits], size[fits], common[fits]
+        marks = np.zeros((len(sets), MARKS), bool)
+        for i in np.unique(of):
+            marks[i, sets[i] & (MARKS - 1)] = True
+        for a in range(0, len(of), PAIRS):
+            theirs, begins = self._shingles(held[a : a + PAIRS])
+            theirs &= MARKS - 1
+            theirs += np.repeat(of[a : a + PAIRS] * MARKS, size[a : a + PAIRS])
+            shared = np.add.reduceat(marks.ravel()[theirs], begins, dtype=np.int64)
+            for k in a + np.flatnonzero(shared >= common[a : a + PAIRS] - 1e-6):
+                i = int(of[k])
+                shared_k = len(np.intersect1d(sets[i], self.sets[self.at[held[k]] : self.at[held[k] + 1]], assume_unique=True))
+                similarity = shared_k / (len(sets[i]) + int(size[k]) - shared_k)
+                if similarity >= self.same - 1e-9:
+                    yield i, int(self.contents[held[k]]), similarity
+
+    def _shingles(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of indexed texts one text after another, and where each begins."""
+        size = self.sizes[held]
+        begins = np.cumsum(size) - size
+        return self.sets[np.repeat(self.at[held] - begins, size) + np.arange(size.sum())], begins
+
 
 def _prefix(sizes: np.ndarray, same: float) -> np.ndarray:
-    """How many of a text's rarest shingles its prefix holds: the others are too few to make a pair by themselves."""
-    return sizes - np.ceil(same * sizes - 1e-9).astype(np.int64) + 1
+    """How many of a text's rarest shingles its prefix holds: the others are ``BEYOND`` of what a pair has in common, or fewer."""
+    return sizes - np.floor(BEYOND * same * sizes + 1e-9).astype(np.int64)
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the texts that lie one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _runs(rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a row in which equal ones stand together, and how often each stands there."""
+    at = np.flatnonzero(np.append(True, rising[1:] != rising[:-1])[: len(rising)])
+    return rising[at], np.diff(at, append=len(rising))
+
+
+def _buckets(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return hashes & (len(table) - 1)
+
+
+def _sorted_words(hashes: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The words of each text in order."""
+    words = number[_buckets(hashes, number)]
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        words[a:b].sort()
+    return words
+
+
+def _at_least(values: np.ndarray, first: np.ndarray, last: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each stretch of ``values``, in which they rise, the place of the first that is ``bound`` or more."""
+    first, last = first.copy(), last.copy()
+    open_ = np.flatnonzero(first < last)
+    while len(open_):
+        middle = (first[open_] + last[open_]) >> 1
+        less = values[middle] < bound[open_]
+        first[open_[less]] = middle[less] + 1
+        last[open_[~less]] = middle[~less]
+        open_ = open_[first[open_] < last[open_]]
+    return first
 
 
 @lru_cache(maxsize=1)
@@ -225,36 +311,55 @@ def _block(path: str, same: float) -> Prefixes:
 
 
 def index(sides: DataFrame, same: float, block: int = BLOCK) -> list[str]:
-    """The files of the index over different ``content, shingles``, each of about ``block`` shingles."""
-    total = sides.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0)).alias("n")).first()["n"] // 8
+    """The blocks of the index over ``content, shingles``, each of about ``block`` shingles; equal contents are one."""
+    total = sides.select("content", F.octet_length("shingles").alias("n")).distinct().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // 8
     blocks = -(-total // block)
     folder = f"{checkpoint_dir(sides.sparkSession)}/prefixes-{uuid.uuid4().hex}"
-    path = lambda k: f"{folder}/{k}.npz"
 
-    def build(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        Prefixes.build(b["content"].to_numpy(), [np.frombuffer(x, np.int64) for x in b["shingles"]], same).save(path(key[0]))
-        return pd.DataFrame({"block": [key[0]]})
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        contents, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        with tempfile.TemporaryFile() as held:  # a file, so that a block's shingles need no memory
+            for b in batches:
+                held.write(b"".join(b["shingles"]))
+                contents.append(b["content"].to_numpy())
+                sizes.append(b["shingles"].map(len).to_numpy() // 8)
+            held.flush()
+            if held.tell():
+                name = f"{TaskContext.get().partitionId()}"
+                Prefixes.of_sorted(np.concatenate(contents), np.concatenate(sizes), np.memmap(held, np.int64, "r").view(np.ndarray), same).save(f"{folder}/{name}")
+                yield pd.DataFrame({"block": [name]})
 
     if not total:
         return []
-    built = sides.groupBy(F.pmod("content", F.lit(blocks)).cast("int").alias("block")).applyInPandas(build, "block int")
-    return [path(r["block"]) for r in built.collect()]
+    built = sides.dropDuplicates(["content"]).repartition(blocks, "content").sortWithinPartitions(F.octet_length("shingles")).mapInPandas(build, "block string")
+    return [f"{folder}/{r['block']}" for r in built.collect()]
 
 
 def probe(texts: DataFrame, paths: list[str], trusted: dict[str, int], same: float, width: int) -> DataFrame:
-    """``key, content, similarity`` of every ``key, text`` and indexed content; equal texts of a batch are looked up once."""
+    """``key, content, similarity`` of every ``key, text`` and indexed content; equal texts of a batch are looked up once, many texts for each reading of the index."""
+
+    def found(asked: list[tuple[str, int]], sets: list[np.ndarray]) -> pd.DataFrame:
+        met: list[list[tuple[int, float]]] = [[] for _ in sets]
+        for path in paths:
+            for of, pairs in zip(met, _block(path, same).close_to(sets)):
+                of += pairs
+        return pd.DataFrame([(k, *pair) for k, i in asked for pair in met[i]], columns=["key", "content", "similarity"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = Codes()
+        asked: list[tuple[str, int]] = []
+        sets: list[np.ndarray] = []
         for b in batches:
-            sets: dict[str, np.ndarray] = {t: s for t in dict.fromkeys(b["text"]) if len(s := shingles(skeleton(t, trusted, codes), width))}
-            met: dict[str, list[tuple[int, float]]] = defaultdict(list)
-            for path in paths:
-                held = _block(path, same)
-                for t, found in zip(sets, held.close_to(list(sets.values()))):
-                    met[t] += found
-            out = [(k, *pair) for k, t in zip(b["key"], b["text"]) for pair in met.get(t, ())]
-            yield pd.DataFrame(out, columns=["key", "content", "similarity"])
+            place: dict[str, int] = {}
+            for k, t in zip(b["key"], b["text"]):
+                if t not in place:
+                    place[t] = len(sets)
+                    sets.append(shingles(skeleton(t, trusted, codes), width))
+                asked.append((k, place[t]))
+            if len(sets) >= HELD:
+                yield found(asked, sets)
+                asked, sets = [], []
+        yield found(asked, sets)
 
     return texts.mapInPandas(rows, "key string, content long, similarity double")
 
@@ -302,7 +407,7 @@ def split_overlaps(
     rows = df.where(F.col(split).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(split).alias("split"))
     evaluation, train = rows.where(F.col("split") != training), rows.where(F.col("split") == training)
     known = cut(contents(evaluation, trusted, width))
-    paths = index(known.select("content", "shingles").dropDuplicates(["content"]), same)
+    paths = index(known.select("content", "shingles"), same)
     members = known.select("content", F.col("key").alias("id_e"), F.col("split").alias("split_e")).distinct()
     matches = cut(probe(train.where("text != ''").select("key", "text"), paths, trusted, same, width).select(F.col("key").alias("id_t"), "content", "similarity").distinct())
     return Overlaps(matches, members)

@@ -1,6 +1,7 @@
 """Names, cross-split overlaps, packing and mixing: brute force, invariants and defined edge cases."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -142,6 +143,36 @@ def test_close_to_equals_brute_force_on_word_changes():
         assert dict(got) == pytest.approx(want)
 
 
+def test_index_of_many_blocks_equals_brute_force(spark):
+    rows = corpus(90, 12)
+    known = overlap.contents(spark.createDataFrame([r for r in rows if r[2] != "training"], "key string, text string, split string"), {}, 5)
+    paths = overlap.index(known.unionAll(known).select("content", "shingles"), 0.29, block=700)
+    texts = spark.createDataFrame([r[:2] for r in rows if r[2] == "training"], "key string, text string").repartition(3)
+    names = {r["content"]: r["key"] for r in known.collect()}
+    got = {(r["key"], names[r["content"]]): r["similarity"] for r in overlap.probe(texts, paths, {}, 0.29, 5).collect()}
+    codes = overlap.Codes()
+    sets = {k: (s, set(overlap.shingles(overlap.skeleton(t, {}, codes), 5).tolist())) for k, t, s in rows}
+    want = {(a, b): len(x & y) / len(x | y) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == "training" != u and len(x & y) / len(x | y) >= 0.29}
+    assert len(paths) > 3 and got == pytest.approx(want) and len(want) > 5
+
+
+def test_looking_up_a_text_takes_no_longer_among_many_others():
+    """Texts that have nothing in common with those asked for cost no time, however many they are."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: list(np.sort(rng.integers(0, 1 << 62, (n, 6)), axis=1))
+    asked = draw(1_000)
+
+    def seconds(n: int) -> float:
+        held, took = overlap.Prefixes.build(np.arange(n + 1_000), [*draw(n), *asked], 0.29), []
+        for _ in range(3):
+            began = time.process_time()
+            assert [[p[0] for p in x] for x in held.close_to(asked)] == [[n + i] for i in range(1_000)]
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(1_000_000) < 4 * seconds(1_000)
+
+
 def test_hot_group_of_copies(spark):
     text = corpus(1)[0][1]
     rows = [(f"t{i}", text, "training") for i in range(40)] + [(f"e{i}", text, "test") for i in range(3)]
